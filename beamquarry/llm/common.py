@@ -51,9 +51,12 @@ def stored_bytes(df: DataFrame) -> int:
     return fs.getContentSummary(path).getLength()
 
 
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast for a stored table of a measured size up to the limit; else leave the join to shuffle."""
-    return F.broadcast(df) if stored_bytes(df) <= limit else df
+def bounded_broadcast(df: DataFrame, measured: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of df, some rows and columns of the stored table `measured`, if that is no larger than the limit.
+
+    Else the join is left to shuffle.
+    """
+    return F.broadcast(df) if stored_bytes(measured) <= limit else df
 
 
 def word_count(text: Column) -> Column:

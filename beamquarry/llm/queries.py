@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from beamquarry.llm import mixing
+from beamquarry.llm import chat, exact_dedup, mixing, quality, url_filter
 from beamquarry.llm.common import read_table
 
 QUERIES = {}
@@ -22,3 +22,33 @@ def query(name, sql=None):
 @query("op1_mixing")
 def op1_mixing(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op2_exact_dedup",
+    """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
+    SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size,
+           d.doc_id = g.keep_id AS kept, sha256(d.body) AS text_sha256
+    FROM d JOIN g ON d.body = g.body
+    """,
+)
+def op2_exact_dedup(spark, sf_dir):
+    return exact_dedup.dedup(read_table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op5_chat")
+def op5_chat(spark, sf_dir):
+    return chat.digests(chat.prefix_targets(chat.with_planted(read_table(spark, sf_dir, "conversations"))))
+
+
+@query("op6_url_filter", url_filter.ORACLE)
+def op6_url_filter(spark, sf_dir):
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
+@query("op8_quality")
+def op8_quality(spark, sf_dir):
+    judged = quality.assess(read_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
