@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from beamquarry.llm import chat, exact_dedup, mixing, quality, url_filter
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from beamquarry.llm import chat, exact_dedup, mixing, ngram_join, packing, quality, url_filter
 from beamquarry.llm.common import read_table
 
 QUERIES = {}
@@ -52,3 +55,14 @@ def op6_url_filter(spark, sf_dir):
 def op8_quality(spark, sf_dir):
     judged = quality.assess(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op3_packing")
+def op3_packing(spark, sf_dir):
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source_queue")
+
+
+@query("op4_ngram_join")
+def op4_ngram_join(spark, sf_dir):
+    return ngram_join.join(read_table(spark, sf_dir, "documents"), k=3, percent=90)
