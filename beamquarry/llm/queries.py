@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from beamquarry.llm import chat, exact_dedup, mixing, ngram_join, packing, quality, url_filter
+from beamquarry.llm import chat, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, sharding, substring_dedup, url_filter
 from beamquarry.llm.common import read_table
 
 QUERIES = {}
@@ -66,3 +66,20 @@ def op3_packing(spark, sf_dir):
 @query("op4_ngram_join")
 def op4_ngram_join(spark, sf_dir):
     return ngram_join.join(read_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.aligned(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+
+
+@query("op9_sharding")
+def op9_sharding(spark, sf_dir):
+    placed = sharding.assign(read_table(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark, sf_dir):
+    kept = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
