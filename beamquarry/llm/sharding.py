@@ -43,6 +43,34 @@ def pack_items(sizes: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def refine(sizes: np.ndarray, to: np.ndarray, shards: int, weights: tuple[float, ...] = (1.0, 8.0, 1.0), steps: int = 500) -> np.ndarray:
+    """Even out what placing largest items first has left, bytes above all: exchange items between the fullest and emptiest shard.
+
+    Each step makes the exchange (of one item against one or none) that most lowers the weighted squares of the
+    shards' loads, and steps end when none does.
+    """
+    need = sizes / np.maximum(sizes.sum(axis=0) / shards, 1e-300)
+    w, to = np.array(weights), to.copy()
+    load = np.array([need[to == s].sum(axis=0) for s in range(shards)]).reshape(shards, -1)
+    for _ in range(steps):
+        high, low = int(load[:, 1].argmax()), int(load[:, 1].argmin())
+        give, take = np.flatnonzero(to == high), np.concatenate([[-1], np.flatnonzero(to == low)])
+        if not len(give) or high == low:
+            break
+        back = np.where(take[:, None] >= 0, need[take], 0.0)
+        shift = need[give][:, None, :] - back[None, :, :]
+        gain = 2 * (w * shift * (load[high] - load[low] - shift)).sum(axis=2)
+        i, j = np.unravel_index(int(gain.argmax()), gain.shape)
+        if gain[i, j] <= 1e-9:
+            break
+        to[give[i]] = low
+        if take[j] >= 0:
+            to[take[j]] = high
+        load[high] -= shift[i, j]
+        load[low] += shift[i, j]
+    return to
+
+
 def assign(docs: DataFrame, shards: int = 16, split: int = 2, fine: int = 64, bundles: int = 8192) -> DataFrame:
     """One row per document: doc_id, size (bytes + 1), text_crc32, tokens, group, shard, slot."""
     octets = F.col("text").cast("binary")
@@ -70,7 +98,8 @@ def assign(docs: DataFrame, shards: int = 16, split: int = 2, fine: int = 64, bu
     )
     placed = rows.join(F.broadcast(numbered), "group", "left").withColumn("item", item.cast("int")).drop("first", "parts")
     found = placed.groupBy("item").agg(*sums).orderBy("item").collect()
-    to = pack_items(np.array([[r[c] for c in SIZES] for r in found], np.float64).reshape(-1, 3), shards)
+    sizes = np.array([[r[c] for c in SIZES] for r in found], np.float64).reshape(-1, 3)
+    to = refine(sizes, pack_items(sizes, shards), shards)
     table = spark.createDataFrame([(r["item"], int(s)) for r, s in zip(found, to, strict=True)] or [(0, 0)], "item int, shard int")
     return with_slots(placed.join(F.broadcast(table), "item"), whole[0], shards)
 
