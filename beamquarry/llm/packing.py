@@ -20,6 +20,8 @@ queues by hash.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,33 +37,59 @@ PARTS = "round long, queue int, place long, doc_id long, start long, doc_tokens
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, source_queue int, ids binary"
 
 
-class WordIds:
-    """Token ids of texts, one cached entry for each word.
+#: Fixed values of the word vocabulary: its pre-tokenizer's pieces, here for lower-case Latin-1 text.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \t\n\r\f\va-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: What the fast way does not cover: characters outside of this, and strings of special tokens.
+UNCOMMON = re.compile(r"[^ \t\n\r\f\v!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]|<\|")
 
-    The vocabulary's pre-tokenizer drops white space and never joins across it, so a text's ids are
-    its words' ids in order.
+
+class Byte(dict):
+    """The byte-level alphabet: bytes with a visible Latin-1 character stand for it, the others for 256, 257, ..."""
+
+    def __init__(self):
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        super().__init__({b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)})
+
+
+class Pieces(dict):
+    """Packed ids of pieces, found by the tokenizer's model when first asked for; emptied when it holds `limit`."""
+
+    def __init__(self, model, code: str, limit: int):
+        super().__init__()
+        self.model, self.code, self.limit, self.byte = model, code, limit, Byte()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        seen = piece if piece.isascii() else "".join(map(self.byte.__getitem__, piece.encode()))
+        found = self[piece] = array(self.code, [k.id for k in self.model.tokenize(seen)]).tobytes()
+        return found
+
+
+class PieceIds:
+    """Token ids of texts, one cached entry for each piece that the pre-tokenizer makes.
+
+    The vocabulary drops white space, lowers case and never joins pieces, so a text's ids are its pieces'
+    ids in order. Texts of common characters are cut into pieces here; any other text is cut at
+    white space only, and its words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.entries, self.known = entries, {}
+        self.pieces = Pieces(self.tokenizer.model, "H" if self.kind == "<u2" else "I", limit)
+
+    def uncommon(self, text: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in text.encode().split()], add_special_tokens=False)
+        return array(self.pieces.code, [i for e in found for i in e.ids]).tobytes()
 
     def of(self, texts: list[str | None], end: int) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        if len(self.known) > self.entries:
-            self.known = {}
-        new = list(set().union(*split).difference(self.known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(part, found, strict=True))
-        tail = np.array([end], self.kind).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + tail for words in split]
+        tail, ids = array(self.pieces.code, [end]).tobytes(), self.pieces.__getitem__
+        return [(self.uncommon(t) if UNCOMMON.search(t) else b"".join(map(ids, PIECE.findall(t.lower())))) + tail for t in (t or "" for t in texts)]
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
@@ -70,7 +98,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = WordIds(tokenizer)
+        words = PieceIds(tokenizer)
         width, chunk = np.dtype(words.kind).itemsize, TaskContext.get().partitionId() << 24
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
@@ -283,7 +311,7 @@ def pack(
     else:
         rows = tokens.withColumn("queue", slot)
     placed = rows.join(bounded_broadcast(bases, sums), ["queue", "chunk"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("place"), "n", "ids")
-    kind = WordIds(tokenizer).kind
+    kind = PieceIds(tokenizer).kind
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return pack_round(part, service, window, round_windows, kind)
