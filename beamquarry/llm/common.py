@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +79,10 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int,
     here = rows.join(F.broadcast(hot), key)
     there = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return here.unionByName(there)
+
+
+def sliced(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches of texts in slices, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)

@@ -8,7 +8,7 @@ unique in both are tied by a longest increasing sequence, then the gaps between
 way), and aligned blocks that hold a line of `min_chars` are deleted from the later document. A
 line of more than `rare` documents is deleted from all but the first of them without an alignment: it
 is a block by itself, whatever stands around it. Each line is judged on the input, so order of work
-does not matter.
+does not matter. Lines are compared by their 64-bit hashes, so pairs carry a few bytes a line and no text.
 
 Defined cases: null text stays null and has no lines; a document that repeats a line keeps the repeats
 unless the line is shared; rows with the same doc_id are one document and are not compared with each
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamquarry.llm.common import WORD, bounded_broadcast, lookup, stored
+from beamquarry.llm.common import WORD, bounded_broadcast, lookup, sliced, stored
 
 LAST = (1 << 63) - 1
 
@@ -72,14 +72,14 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[str], b: list[str], min_chars: int) -> list[int]:
-    """Lines of b in blocks aligned with a, of those blocks that hold a line of min_chars."""
+def common_blocks(a: list, b: list, seed: list[bool]) -> list[int]:
+    """Lines of b in blocks aligned with a, of those blocks that hold a seed line of b."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
     for i, j in [*patience(a, b), (-9, -9)]:
         if (i - 1, j - 1) != last:
-            if any(len(b[x]) >= min_chars for x in block):
+            if any(seed[x] for x in block):
                 out += block
             block = []
         block.append(j)
@@ -100,19 +100,21 @@ def deletions(docs: DataFrame, min_chars: int, rare: int) -> DataFrame:
     often = later.where(F.col("df") > rare).groupBy("doc_id").agg(F.collect_set("h").alias("gone_hashes"))
     pairs = stored(later.where(F.col("df") <= rare).select("first", "doc_id").distinct(), "line-pairs")
     wanted = stored(pairs.select(F.explode(F.array("first", "doc_id")).alias("doc_id")).distinct(), "line-wanted")
-    texts = stored(text.join(bounded_broadcast(wanted, wanted), "doc_id", "left_semi"), "line-texts")
+    split = F.split("text", "\n")
+    hashed = text.join(bounded_broadcast(wanted, wanted), "doc_id", "left_semi").select(
+        "doc_id", F.transform(split, lambda x: F.xxhash64(x)).alias("h"), F.transform(split, lambda x: F.length(x) >= min_chars).alias("seed")
+    )
+    hashed = stored(hashed, "line-sequences")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone = [
-                common_blocks((x or "").split("\n"), (y or "").split("\n"), min_chars)
-                for x, y in zip(batch["early"].to_pylist(), batch["late"].to_pylist(), strict=True)
-            ]
+        for batch in sliced(batches):
+            sides = (batch[c].to_pylist() for c in ("early", "late", "seed"))
+            gone = [common_blocks(x, y, seed) for x, y, seed in zip(*sides, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
 
-    early = texts.select(F.col("doc_id").alias("first"), F.col("text").alias("early"))
-    late = texts.select("doc_id", F.col("text").alias("late"))
-    found = pairs.join(late, "doc_id").join(early, "first").select("doc_id", "early", "late").mapInArrow(align, "doc_id long, gone array<int>")
+    early = hashed.select(F.col("doc_id").alias("first"), F.col("h").alias("early"))
+    late = hashed.select("doc_id", F.col("h").alias("late"), "seed")
+    found = pairs.join(late, "doc_id").join(early, "first").select("doc_id", "early", "late", "seed").mapInArrow(align, "doc_id long, gone array<int>")
     by_place = found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     return by_place.join(often, "doc_id", "full")
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamquarry.llm.common import bounded_broadcast, stored
+from beamquarry.llm.common import bounded_broadcast, sliced, stored
 
 #: Blocks beyond the most elements in which partners can differ.
 SPARE = 2
@@ -96,7 +96,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """64-bit hashes of words, kept while they fit."""
 
-    LIMIT = 500_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh64_intdigest(word)
@@ -156,22 +156,20 @@ def signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, known = Plan(percent), Words()
-        for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                sets = [shingles(t, k, known) for t in part["text"].to_pylist()]
-                keys = [keys_of(s, plan).view(np.int64) for s in sets]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part["doc_id"],
-                        pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.array([sketch_of(s) for s in sets], pa.list_(pa.int64())),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else [], pa.int64())),
-                    ],
-                    ["doc_id", "n", "digest", "sketch", "keys"],
-                )
+        for batch in sliced(batches):
+            sets = [shingles(t, k, known) for t in batch["text"].to_pylist()]
+            keys = [keys_of(s, plan).view(np.int64) for s in sets]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["doc_id"],
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([sketch_of(s) for s in sets], pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else [], pa.int64())),
+                ],
+                ["doc_id", "n", "digest", "sketch", "keys"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
 
@@ -182,7 +180,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [shingles(t, k, known).tobytes() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], ["doc_id", "elements"])
 
@@ -190,7 +188,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     held = stored(texts.mapInArrow(sets, "doc_id long, elements binary"), "join-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             good = []
             for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -1,13 +1,12 @@
 """Substring deduplication with prefix-partitioned suffix trees.
 
-Suffixes start at words and are cut after `window` words, the depth that matters. A suffix is held as
-three hashed word blocks (its first 16 words, the next 16, the rest), so the tree's possible branching
-depths are 16, 32 and `window`. Variable-length prefixes divide the suffixes into groups that fit in
-memory: a prefix of one block, of two where one is too frequent, of all three where two are.
-Each group's subtrees are built as a sorted suffix array with common-prefix depths; nodes at full
-depth with several leaves are the repeats, and their leaves in documents other than the first are
-removed with all the words they cover. A suffix that is too frequent even at full depth is one node,
-whose first document is found by aggregation.
+Suffixes start at words and are cut after `window` words, the depth that matters. A suffix is held by
+two hashes, of its first 16 words and of all of them, so the tree branches at depth 16 and at full
+depth. Variable-length prefixes divide the suffixes into groups that fit in memory: 16 words, or all
+where 16 are too frequent. Each group's subtrees are built as a sorted suffix array with common-prefix
+depths; nodes at full depth with several leaves are the repeats, and their leaves in documents other
+than the first are removed with all the words they cover. A suffix that is too frequent even at full
+depth is one node, whose first document is found by aggregation.
 
 Not all suffixes are sorted. In every run of `window` words the 16-gram with the least hash is its anchor;
 equal runs have equal anchors. So first only anchors (about one for 18 words) are counted, and suffixes
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamquarry.llm.common import bounded_broadcast, lookup, stored
+from beamquarry.llm.common import bounded_broadcast, lookup, sliced, stored
 from beamquarry.llm.ngram_join import Words, mixed
 
 LAST = (1 << 63) - 1
@@ -73,87 +72,78 @@ def anchor_table(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                ids, hashes, places = [], [], []
-                for i, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    words = (text or "").encode().split()
-                    if len(words) >= window:
-                        at, grams = Rolling(words, known).anchors(window)
-                        at = np.unique(at)
-                        ids.append(i)
-                        places.append(at.astype(np.int32))
-                        hashes.append(grams[at].view(np.int64))
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in places])]), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.int64()),
-                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *hashes]), pa.int64())),
-                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *places]), pa.int32())),
-                    ],
-                    ["doc_id", "anchors", "places"],
-                )
+        for batch in sliced(batches):
+            ids, hashes, places = [], [], []
+            for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                words = (text or "").encode().split()
+                if len(words) >= window:
+                    at, grams = Rolling(words, known).anchors(window)
+                    at = np.unique(at)
+                    ids.append(i)
+                    places.append(at.astype(np.int32))
+                    hashes.append(grams[at].view(np.int64))
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in places])]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()),
+                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *hashes]), pa.int64())),
+                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *places]), pa.int32())),
+                ],
+                ["doc_id", "anchors", "places"],
+            )
 
     return docs.mapInArrow(run, "doc_id long, anchors array<long>, places array<int>")
 
 
 def suffixes(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, start, s1, s2, s3) of the suffixes whose anchor is among the document's `places`."""
-    second = (window - ANCHOR) // 2
+    """(doc, start, s1, s2) of the suffixes whose anchor is among the document's `places`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for batch in batches:
+        for batch in sliced(batches):
             for i, text, places in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["places"].to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 if len(words) < window:
                     continue
                 rolling = Rolling(words, known)
                 at = np.flatnonzero(np.isin(rolling.anchors(window)[0], places))
-                blocks = (rolling.of(at, ANCHOR), rolling.of(at + ANCHOR, second), rolling.of(at + ANCHOR + second, window - ANCHOR - second))
+                hashes = (rolling.of(at, ANCHOR), rolling.of(at, window))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), i, np.int64)), pa.array(at.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in blocks]], ["doc", "start", "s1", "s2", "s3"]
+                    [pa.array(np.full(len(at), i, np.int64)), pa.array(at.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in hashes]], ["doc", "start", "s1", "s2"]
                 )
 
-    return docs.mapInArrow(run, "doc long, start int, s1 long, s2 long, s3 long")
+    return docs.mapInArrow(run, "doc long, start int, s1 long, s2 long")
 
 
 def deep_leaves(group: np.ndarray) -> np.ndarray:
-    """Of a group's suffixes (columns doc, start, s1, s2, s3): the leaves of full-depth nodes that are not in the node's first document.
+    """Of a group's suffixes (columns doc, start, s1, s2): the leaves of full-depth nodes that are not in the node's first document.
 
-    Sorted by blocks and document, neighbours' common depth is 0 to 3 blocks; a node of depth 3 is a run of 3s.
+    Sorted by prefix, whole and document, neighbours have 0, 1 (prefix) or 2 (all words) in common; a node of full
+    depth is a run of 2s.
     """
-    order = np.lexsort((group["doc"], group["s3"], group["s2"], group["s1"]))
-    group = group[order]
-    same = [group[s][1:] == group[s][:-1] for s in ("s1", "s2", "s3")]
-    depth = np.concatenate([[0], np.where(same[0], 1 + np.where(same[1], 1 + same[2], 0), 0)])
-    node = np.cumsum(depth < 3) - 1
-    first = group["doc"][np.flatnonzero(depth < 3)]
+    group = group[np.lexsort((group["doc"], group["s2"], group["s1"]))]
+    prefix, whole = (group[s][1:] == group[s][:-1] for s in ("s1", "s2"))
+    depth = np.concatenate([[0], np.where(prefix, 1 + whole, 0)])
+    node = np.cumsum(depth < 2) - 1
+    first = group["doc"][np.flatnonzero(depth < 2)]
     return group[group["doc"] > first[node]]
 
 
 def repeats(rows: DataFrame, memory_rows: int) -> DataFrame:
     """(doc, start) of all suffixes that an earlier document has too. `rows` is stored."""
     total = rows.count()
-    limit = max(memory_rows, total // 1000)  # so at most 1000 prefixes of any length are too frequent
-    prefix, direct, frequent = F.xxhash64("s1"), None, None
-    for blocks in (["s1"], ["s1", "s2"], ["s1", "s2", "s3"]):
-        within = rows if frequent is None else rows.join(F.broadcast(frequent), blocks[:-1], "left_semi")
-        counted = stored(within.groupBy(*blocks).agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("_first")).where(F.col("_n") > limit), "tree-prefixes")
-        if not counted.limit(1).count():
-            break
-        frequent = counted.select(*blocks)
-        if len(blocks) == 3:
-            direct = rows.join(F.broadcast(counted.drop("_n")), blocks).where("doc > _first").select("doc", "start")
-            rows = rows.join(F.broadcast(frequent), blocks, "left_anti")
-        else:
-            flag = f"_long{len(blocks)}"
-            rows = rows.join(F.broadcast(frequent.withColumn(flag, F.lit(True))), blocks, "left")
-            prefix = F.when(F.col(flag), F.xxhash64(*["s1", "s2", "s3"][: len(blocks) + 1])).otherwise(prefix)
+    limit = max(memory_rows, total // 1000)  # so at most 1000 prefixes of either length are too frequent
+    prefix, direct = F.xxhash64("s1"), None
+    short = stored(rows.groupBy("s1").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("s1"), "tree-prefixes")
+    if short.limit(1).count():
+        inside = rows.join(F.broadcast(short), "s1", "left_semi").groupBy("s1", "s2")
+        long = stored(inside.agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("_first")).where(F.col("_n") > limit).drop("_n"), "tree-prefixes")
+        direct = rows.join(F.broadcast(long), ["s1", "s2"]).where("doc > _first").select("doc", "start")
+        rows = rows.join(F.broadcast(long), ["s1", "s2"], "left_anti").join(F.broadcast(short.withColumn("_long", F.lit(True))), "s1", "left")
+        prefix = F.when(F.col("_long"), F.xxhash64("s1", "s2")).otherwise(prefix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ("doc", "start", "s1", "s2", "s3")
+        columns = ("doc", "start", "s1", "s2")
         parts = [np.rec.fromarrays([batch[c].to_numpy() for c in columns], names=columns) for batch in batches]
         if parts:
             leaves = deep_leaves(np.concatenate(parts))
@@ -162,7 +152,7 @@ def repeats(rows: DataFrame, memory_rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in columns[:2]], list(columns[:2]))
 
     groups = max(1, -(-2 * total // memory_rows))
-    found = rows.select("doc", "start", "s1", "s2", "s3").repartition(groups, prefix).mapInArrow(run, "doc long, start int")
+    found = rows.select("doc", "start", "s1", "s2").repartition(groups, prefix).mapInArrow(run, "doc long, start int")
     return found if direct is None else found.unionByName(direct)
 
 
@@ -170,10 +160,10 @@ def runs_of(found: DataFrame, window: int) -> DataFrame:
     """(doc_id, low array<int>, high array<int>): the covered runs of words of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             lows, highs = [], []
-            for starts in batch["starts"].to_pylist():
-                at = np.unique(np.array(starts, np.int64))
+            for starts in batch["starts"]:
+                at = np.unique(starts.values.to_numpy()).astype(np.int64)
                 new = np.flatnonzero(np.concatenate([[True], np.diff(at) > window]))
                 lows.append(at[new])
                 highs.append(at[np.concatenate([new[1:] - 1, [len(at) - 1]])] + window)
@@ -198,7 +188,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, memory_rows: int = 500_000
     covered = stored(runs_of(repeats(rows, memory_rows), window), "tree-runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, removed, kept = [], [], []
             for text, low, high in zip(batch["text"].to_pylist(), batch["low"].to_pylist(), batch["high"].to_pylist(), strict=True):
                 words = (text or "").encode().split()

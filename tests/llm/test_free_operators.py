@@ -167,7 +167,7 @@ def test_repeats_empty(spark):
 
 
 def test_deep_leaves():
-    names = ("doc", "start", "s1", "s2", "s3")
-    rows = [(4, 0, 1, 1, 1), (2, 7, 1, 1, 1), (2, 9, 1, 1, 1), (3, 0, 1, 1, 2), (1, 0, 1, 2, 1), (9, 9, 5, 5, 5)]
+    names = ("doc", "start", "s1", "s2")
+    rows = [(4, 0, 1, 1), (2, 7, 1, 1), (2, 9, 1, 1), (3, 0, 1, 2), (1, 0, 2, 1), (9, 9, 5, 5)]
     group = np.rec.fromarrays(np.array(rows, np.int64).T, names=names)
     assert [(r["doc"], r["start"]) for r in substring_dedup.deep_leaves(group)] == [(4, 0)]
