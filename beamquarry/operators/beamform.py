@@ -64,11 +64,14 @@ def apply_loss_mask(frames: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def integrate(power: DataFrame, spectra: int, keys: tuple[str, ...] = ("f", "b"), value: str = "power") -> DataFrame:
-    """Sum over windows of `spectra` samples; a partial last window is kept, and `spectra_summed` says how full each is."""
+    """Sum over windows of `spectra` samples; a partial last window is kept, and `spectra_summed` says how full each is.
+
+    A place has one row at most, so spectra are counted by rows, in the same shuffle as the sum.
+    """
     if spectra <= 0:
         raise ValueError("integration count must be positive")
     window = F.floor(F.col("t") / spectra).cast("long").alias("w")
-    return power.groupBy(window, *keys).agg(F.sum(value).alias(value), F.countDistinct("t").alias("spectra_summed"))
+    return power.groupBy(window, *keys).agg(F.sum(value).alias(value), F.count(F.lit(1)).alias("spectra_summed"))
 
 
 # --- frame form

@@ -115,7 +115,7 @@ def dedisperse(waterfall: DataFrame, shift: DataFrame, n_time: int, wrap: bool =
 def profile(dedispersed: DataFrame, n_time: int) -> DataFrame:
     """(trial, t, power): summed over channels, with zeros where nothing arrived."""
     sums = dedispersed.groupBy("trial", "t").agg(F.sum("power").alias("power"))
-    axis = sums.select("trial").distinct().select("trial", F.explode(F.sequence(F.lit(0), F.lit(n_time - 1))).cast("long").alias("t"))
+    axis = sums.select("trial").distinct().select("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_time - 1).cast("long"))).alias("t"))
     return axis.join(sums, ["trial", "t"], "left").select("trial", "t", F.coalesce("power", F.lit(0)).alias("power"))
 
 

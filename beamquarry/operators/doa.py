@@ -6,6 +6,7 @@ runs through a shard's windows in order, because a window is searched around the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,18 +39,23 @@ def covariance_relational(samples: DataFrame, spectra: int) -> DataFrame:
 def rls_fold(values: DataFrame, key: str, order: str, value: str, forgetting: float) -> DataFrame:
     """R_w = forgetting R_(w-1) + (1 - forgetting) B_w in order; the first window, or a factor of 1, replaces R.
 
-    The recursion has a closed form, a weighted sum over earlier windows, so it needs a running sum and no loop:
-    R_w / forgetting^w is a cumulative sum. Powers stay in range for some thousand windows; beyond, use the stream.
+    R_w / forgetting^w is a running sum, so no loop is needed. It is taken in blocks within which powers keep in
+    range (down to 1e-200); a block adds the end of the one before, and what is older weighs less than rounding.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy(order)
     if forgetting >= 1:
         return values.select(key, order, F.col(value).alias("folded"))
-    n = (F.row_number().over(w) - 1).cast("double")
-    scaled = F.when(n == 0, F.col(value)).otherwise(F.col(value) * (1 - forgetting)) / F.pow(F.lit(forgetting), n)
-    rows = values.withColumn("_n", n).withColumn("_s", scaled)
-    return rows.select(key, order, (F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(forgetting), F.col("_n"))).alias("folded"))
+    length = max(1, int(200 * math.log(10) / -math.log(forgetting)))
+    n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    rows = values.select(key, order, value, n.alias("_n")).withColumn("_block", F.floor(F.col("_n") / length)).withColumn("_i", (F.col("_n") % length).cast("double"))
+    share = F.when(F.col("_n") == 0, F.col(value).cast("double")).otherwise(F.col(value) * (1 - forgetting))
+    power = F.pow(F.lit(forgetting), F.col("_i"))
+    inside = Window.partitionBy(key, "_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("_l", F.sum(share / power).over(inside) * power)
+    ends = local.where(F.col("_i") == length - 1).select(key, (F.col("_block") + 1).alias("_block"), F.col("_l").alias("_end"))
+    carried = local.join(ends, [key, "_block"], "left")
+    return carried.select(key, order, (F.col("_l") + F.coalesce("_end", F.lit(0.0)) * power * forgetting).alias("folded"))
 
 
 # --- NumPy kernels

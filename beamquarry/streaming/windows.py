@@ -1,7 +1,7 @@
 """Streams keyed by sample index: tumbling windows, and the stateful direction tracker.
 
 The sample period is 10/3 microseconds, so real time stamps cannot hold it. A stream's clock is the sample
-index itself, written as microseconds: a window of N samples is a window of N microseconds.
+index itself, written as milliseconds, in which Spark keeps watermarks: a window of N samples is a window of N milliseconds.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ from beamquarry.operators import doa
 
 
 def with_clock(samples: DataFrame) -> DataFrame:
-    return samples.withColumn("clock", F.timestamp_micros(F.col("t")))
+    return samples.withColumn("clock", F.timestamp_millis(F.col("t")))
 
 
 def tumbling(samples: DataFrame, spectra: int, keys: tuple[str, ...], value: str = "power", late_samples: int = 0) -> DataFrame:
     """(w, keys, value, n): window sums in append mode; samples later than `late_samples` behind the newest are dropped."""
-    clocked = with_clock(samples).withWatermark("clock", f"{late_samples} microseconds")
-    summed = clocked.groupBy(F.window("clock", f"{spectra} microseconds"), *keys).agg(F.sum(value).alias(value), F.count(F.lit(1)).alias("n"))
-    w = F.floor(F.unix_micros(F.col("window.start")) / spectra).cast("long")
+    clocked = with_clock(samples).withWatermark("clock", f"{late_samples} milliseconds")
+    summed = clocked.groupBy(F.window("clock", f"{spectra} milliseconds"), *keys).agg(F.sum(value).alias(value), F.count(F.lit(1)).alias("n"))
+    w = F.floor(F.unix_millis(F.col("window.start")) / spectra).cast("long")
     return summed.select(w.alias("w"), *keys, value, "n")
 
 
