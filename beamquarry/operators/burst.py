@@ -72,6 +72,12 @@ def synthesize(channels: DataFrame, burst: tuple, n_time: int, rate_hz: float =
     return channels.select("f", "hz").repartition(spread).mapInPandas(run, "t long, f int, power double")
 
 
+def with_noise(waterfall: DataFrame, level: float, seed: int = 1) -> DataFrame:
+    """Add uniform noise up to `level`, by (seed, t, f) alone; without any, a baseline has no spread and S/N is 0."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), "t", "f"), F.lit(1 << 20)) / float(1 << 20)
+    return waterfall.withColumn("power", F.col("power") + draw * level)
+
+
 def voltages(waterfall: DataFrame, channels: DataFrame, positions: np.ndarray, direction: tuple[float, float], snr: float, peak: float, seed: int = 42, sign: int = 1, ref_ant: int = 64) -> DataFrame:
     """(t, f, payload): sqrt of power with the source's phases, Gaussian noise, rounded half to even and clipped to [-7, 7].
 

@@ -486,7 +486,7 @@ def pulse_fit(spark, sf_dir):
     shape = (burst.CATALOG[0][0], 50.0, *burst.CATALOG[0][2:])
     channels = V.burst_channels(spark)
     trials = spark.createDataFrame([(0, shape[1])], "trial int, dm double")
-    moved = burst.dedisperse(burst.synthesize(channels, shape, BURST_TIME), burst.shifts(channels, trials), BURST_TIME)
+    moved = burst.dedisperse(burst.with_noise(burst.synthesize(channels, shape, BURST_TIME), 0.05), burst.shifts(channels, trials), BURST_TIME)
     profiles = burst.profile(moved, BURST_TIME)
     snrs = burst.profile_snr(profiles, BURST_TIME)
     return burst.recovery(burst.fit_profiles(profiles, snrs, shape[3], shape[4]), snrs, shape)
