@@ -132,7 +132,7 @@ def deep_leaves(group: np.ndarray) -> np.ndarray:
 def repeats(rows: DataFrame, memory_rows: int) -> DataFrame:
     """(doc, start) of all suffixes that an earlier document has too. `rows` is stored."""
     total = rows.count()
-    limit = max(memory_rows, total // 1000)  # so at most 1000 prefixes of either length are too frequent
+    limit = max(memory_rows, total // 200_000)  # so at most 200,000 prefixes of either length are too frequent
     prefix, direct = F.xxhash64("s1"), None
     short = stored(rows.groupBy("s1").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("s1"), "tree-prefixes")
     if short.limit(1).count():
