@@ -68,13 +68,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, hot_share: int = 1000) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, hot_share: int = 1000, least: int = 2) -> DataFrame:
     """Inner join of stored rows with a table of distinct keys that says how many rows each key has.
 
     Keys of more than one in hot_share of all rows are fewer than hot_share, so they are broadcast and their
     rows stay where they are; the rest is shuffled, and no key of it is large.
     """
-    least = max(2, total // hot_share)
+    least = max(2, least, total // hot_share)
     hot, cold = table.where(F.col(count) >= least), table.where(F.col(count) < least)
     here = rows.join(F.broadcast(hot), key)
     there = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)

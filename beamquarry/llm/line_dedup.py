@@ -1,14 +1,16 @@
-"""Line deduplication by pairwise alignment.
-
-A line of at least `min_chars` characters that several documents share points to the first of
-them (smallest doc_id), and each later document is paired with the firsts of its shared lines: so
-there is at most one pair for each line of a document, never all pairs of a group. Pairs come from rare
-lines, those in up to `rare` documents. Both documents of a pair are aligned with patience diff (lines
-unique in both are tied by a longest increasing sequence, then the gaps between them in the same
-way), and aligned blocks that hold a line of `min_chars` are deleted from the later document. A
-line of more than `rare` documents is deleted from all but the first of them without an alignment: it
-is a block by itself, whatever stands around it. Each line is judged on the input, so order of work
-does not matter. Lines are compared by their 64-bit hashes, so pairs carry a few bytes a line and no text.
+"""Line deduplication by blocks: runs of lines that an earlier document has too are deleted.
+
+A block is a run of neighbouring lines with at least `min_chars` characters in all (line ends do not count).
+A block that a document shares with one of smaller doc_id is deleted from it, wherever it stands in the two
+and however many documents hold it. Not all blocks are compared: for each line there are the shortest
+block that begins with it and the shortest that ends with it. A line of a shared block lies in one of
+these that is inside of the shared block (the one from the line, the one up to the line, or the one up to the shared
+block's end), so their union is all that is shared, and a document of n lines has at most 2 n of them. Each
+block is judged on the input, so order of work does not matter. Blocks are compared by 64-bit hashes, and text is not moved.
+
+This stands in place of an alignment of pairs of documents, which ties only what two documents have in the
+same order, and only with those partners that are tried. What any alignment ties in blocks is deleted
+here too. `patience` is kept as the measure that the tests compare with.
 
 Defined cases: null text stays null and has no lines; a document that repeats a line keeps the repeats
 unless the line is shared; rows with the same doc_id are one document and are not compared with each
@@ -22,11 +24,14 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beamquarry.llm.common import WORD, bounded_broadcast, lookup, sliced, stored
+from beamquarry.llm.ngram_join import Words
+from beamquarry.llm.substring_dedup import Rolling
 
 LAST = (1 << 63) - 1
 
@@ -87,48 +92,72 @@ def common_blocks(a: list, b: list, seed: list[bool]) -> list[int]:
     return out
 
 
+def blocks_of(lengths: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) of the shortest blocks from each line and up to each line, high not included."""
+    n = len(lengths)
+    sums = np.concatenate([[0], np.cumsum(lengths)])
+    ends = np.searchsorted(sums, sums[:n] + min_chars)
+    starts = np.searchsorted(sums, sums[1:] - min_chars, side="right") - 1
+    fits, holds = ends <= n, starts >= 0
+    low = np.concatenate([np.flatnonzero(fits), starts[holds]])
+    high = np.concatenate([ends[fits], np.flatnonzero(holds) + 1])
+    each = np.unique(low * (n + 1) + high)
+    return each // (n + 1), each % (n + 1)
+
+
+def block_table(texts: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, sign, h, low, high): the blocks of all texts. `sign` tells texts of one doc_id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in sliced(batches):
+            columns = [[np.empty(0, k)] for k in (np.int64, np.int64, np.int64, np.int32, np.int32)]
+            for i, sign, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "sign", "text")), strict=True):
+                lines = text.split("\n")
+                low, high = blocks_of(np.fromiter(map(len, lines), np.int64, len(lines)), max(1, min_chars))
+                if len(low):
+                    h = Rolling([x.encode() for x in lines], known).of(low, high - low).view(np.int64)
+                    for column, x in zip(columns, (np.full(len(low), i), np.full(len(low), sign), h, low.astype(np.int32), high.astype(np.int32)), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["doc_id", "sign", "h", "low", "high"])
+
+    return texts.where("text IS NOT NULL").mapInArrow(run, "doc_id long, sign long, h long, low int, high int")
+
+
 def deletions(docs: DataFrame, min_chars: int, rare: int) -> DataFrame:
-    """(doc_id, gone array<int>, gone_hashes array<bigint>): lines to delete, by number or by content."""
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
-    seeds = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= min_chars), lambda x: F.xxhash64(x)))
-    lines = stored(text.select("doc_id", F.explode(seeds).alias("h")).where("h IS NOT NULL"), "line-hashes")
-    groups = stored(
-        lines.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).where("first < _last").drop("_last"),
-        "line-groups",
-    )
-    later = stored(lookup(lines, groups, "h", "df", lines.count()).where("first < doc_id"), "line-shared")
-    often = later.where(F.col("df") > rare).groupBy("doc_id").agg(F.collect_set("h").alias("gone_hashes"))
-    pairs = stored(later.where(F.col("df") <= rare).select("first", "doc_id").distinct(), "line-pairs")
-    wanted = stored(pairs.select(F.explode(F.array("first", "doc_id")).alias("doc_id")).distinct(), "line-wanted")
-    split = F.split("text", "\n")
-    hashed = text.join(bounded_broadcast(wanted, wanted), "doc_id", "left_semi").select(
-        "doc_id", F.transform(split, lambda x: F.xxhash64(x)).alias("h"), F.transform(split, lambda x: F.length(x) >= min_chars).alias("seed")
-    )
-    hashed = stored(hashed, "line-sequences")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, sign, gone array<boolean>): for each line up to the last that goes, whether it goes."""
+    blocks = stored(block_table(docs.select("doc_id", "sign", "text"), min_chars), "line-blocks")
+    groups = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"))
+    groups = stored(groups.where("first < _last").drop("_last"), "line-groups")
+    later = lookup(blocks, groups, "h", "df", blocks.count(), least=rare).where("first < doc_id")
+    found = later.groupBy("doc_id", "sign").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sides = (batch[c].to_pylist() for c in ("early", "late", "seed"))
-            gone = [common_blocks(x, y, seed) for x, y, seed in zip(*sides, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
+            gone = []
+            for runs in batch["runs"]:
+                low, high = (runs.values.field(k).to_numpy() for k in (0, 1))
+                change = np.zeros(high.max() + 1, np.int64)
+                np.add.at(change, low, 1)
+                np.add.at(change, high, -1)
+                gone.append(np.cumsum(change)[:-1] > 0)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sign"], pa.array(gone, pa.list_(pa.bool_()))], ["doc_id", "sign", "gone"])
 
-    early = hashed.select(F.col("doc_id").alias("first"), F.col("h").alias("early"))
-    late = hashed.select("doc_id", F.col("h").alias("late"), "seed")
-    found = pairs.join(late, "doc_id").join(early, "first").select("doc_id", "early", "late", "seed").mapInArrow(align, "doc_id long, gone array<int>")
-    by_place = found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    return by_place.join(often, "doc_id", "full")
+    return found.mapInArrow(run, "doc_id long, sign long, gone array<boolean>")
 
 
 def aligned(docs: DataFrame, min_chars: int = 20, rare: int = 64) -> DataFrame:
-    """All columns of docs with `text` after deletion, and n_lines, n_deleted."""
-    gone = stored(deletions(docs, min_chars, rare), "line-gone")
-    named = gone.select(F.col("doc_id").alias("_id"), F.struct("gone", "gone_hashes").alias("_gone"))
-    rows = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.struct(*docs.columns).alias("_doc"))
-    keep = F.expr(
-        """filter(split(text, '\n'), (x, i) -> NOT array_contains(coalesce(_gone.gone, array()), i)
-                                           AND NOT array_contains(coalesce(_gone.gone_hashes, array()), xxhash64(x)))"""
-    )
-    rows = rows.join(bounded_broadcast(named, gone), "_id", "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), keep))
+    """All columns of docs with `text` after deletion, and n_lines, n_deleted.
+
+    `rare` steers the join only: blocks in more places than that may be broadcast. The result is the same for any.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    sign = F.xxhash64("text")
+    gone = stored(deletions(docs.select(key.alias("doc_id"), sign.alias("sign"), "text"), min_chars, rare), "line-gone")
+    named = gone.select(F.col("doc_id").alias("_id"), F.col("sign").alias("_sign"), F.col("gone").alias("_gone"))
+    rows = docs.select("text", key.alias("_id"), sign.alias("_sign"), F.struct(*docs.columns).alias("_doc"))
+    keep = F.expr("filter(split(text, '\n'), (x, i) -> NOT coalesce(get(_gone, i), false))")
+    rows = rows.join(bounded_broadcast(named, gone), ["_id", "_sign"], "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), keep))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     left = F.when(F.col("_gone").isNull(), lines).otherwise(F.size("_kept"))

@@ -57,7 +57,7 @@ class Rolling:
         h = np.fromiter(map(known.__getitem__, words), np.uint64, self.n)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * Powers.up[: self.n])])
 
-    def of(self, starts: np.ndarray, length: int) -> np.ndarray:
+    def of(self, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         return mixed((self.sums[starts + length] - self.sums[starts]) * Powers.down[starts] + np.uint64(length))
 
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
