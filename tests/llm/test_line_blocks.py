@@ -49,6 +49,11 @@ def test_a_block_goes_whole_at_any_count(spark, copies):
     assert {r["doc_id"] for r in line_dedup.clean(texts(spark, rows)).collect()} == {0, *range(1000, 1000 + copies)}
 
 
+def test_no_overlap_is_lost_that_is_not_in_the_first_holders_order(spark):
+    got = left(texts(spark, [(1, f"{X}\n{Y}"), (2, f"{Y}\nshort\n{X}"), (3, f"{Y}\nshort\n{X}")]))
+    assert got == {1: f"{X}\n{Y}", 2: "short", 3: ""}
+
+
 def test_blocks_match_brute_force(spark):
     rng = random.Random(4)
     pool = ["", "", "a", "bb", "ccc", "dddd", "eeeee", "f" * 8, "g" * 9, "h" * 12]
