@@ -54,6 +54,11 @@ def test_no_overlap_is_lost_that_is_not_in_the_first_holders_order(spark):
     assert got == {1: f"{X}\n{Y}", 2: "short", 3: ""}
 
 
+def test_repeated_lines_go(spark):
+    rows = [(1, f"pppp\n{X}\n{X}\nqqqq"), (2, f"rrrr\n{X}\n{X}\nssss"), (3, f"{X}\ntttt\n{X}\nqqqq")]
+    assert left(texts(spark, rows)) == {1: rows[0][1], 2: "rrrr\nssss", 3: "tttt"}
+
+
 def test_blocks_match_brute_force(spark):
     rng = random.Random(4)
     pool = ["", "", "a", "bb", "ccc", "dddd", "eeeee", "f" * 8, "g" * 9, "h" * 12]
