@@ -6,7 +6,7 @@ shard the blocks come from the documents in a seeded order. A source that is sho
 target is passed over several times, never more often than `max_repeats`.
 
 Defined cases: null or blank text has size 0 and takes 0; a null source is a source of its
-own and sorts last; repeated rows count one by one; an empty table gives an empty result;
+own and sorts last; repeated rows count one by one, under a null or shared doc_id too; an empty table gives an empty result;
 other columns of the input are not read.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beamquarry.llm.common import SPACES, stored, word_count
@@ -83,6 +83,15 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, m
     )
 
 
+def source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("a"), F.col("source")), F.lit("b"))
+
+
+def row_sign() -> Column:
+    """Tells rows of one doc_id apart; rows that agree in it and in doc_id are taken alike."""
+    return F.xxhash64(source_key(), F.col("text"))
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -91,23 +100,23 @@ def mix(
     block_words: int = 8,
     seed: int = 17,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target and taken words (repeats counted)."""
-    key = F.coalesce(F.concat(F.lit("a"), F.col("source")), F.lit("b"))
-    sized = stored(docs.select("doc_id", key.alias("_source"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    """One row per document: doc_id, row_sign, size, source_size, target and taken words (repeats counted)."""
+    sized = stored(docs.select("doc_id", row_sign().alias("row_sign"), source_key().alias("_source"), word_count(F.col("text")).alias("size")), "mix-sizes")
     sources = sized.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     targets = source_targets(sources, weights, share, max_repeats).withColumn("_seats", F.round(F.col("_budget") / block_words).cast("long"))
     plan = stored(sainte_lague(targets, [], "_source", "target", "_seats", "_blocks"), "mix-sources")
 
     spread = F.greatest(F.lit(1), F.ceil(F.col("_docs") / SHARD_ROWS))
+    drawn = F.coalesce(F.col("doc_id").cast("long"), F.col("row_sign"))
     placed = (
         sized.join(plan.select("_source", "_docs"), "_source")
-        .withColumn("_draw", F.xxhash64(F.lit(seed), F.col("doc_id")))
-        .withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), spread))
-        .select("doc_id", "_source", "size", "_draw", "_shard")
+        .withColumn("_draw", F.xxhash64(F.lit(seed), drawn))
+        .withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), drawn), spread))
+        .select("doc_id", "row_sign", "_source", "size", "_draw", "_shard")
     )
     shards = placed.groupBy("_source", "_shard").agg(F.sum("size").alias("_shard_size"))
     quotas = sainte_lague(shards.join(plan, "_source"), ["_source"], "_shard", "_shard_size", "_blocks", "_quota")
-    run = Window.partitionBy("_source", "_shard").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("_source", "_shard").orderBy("_draw", "doc_id", "row_sign", "size").rowsBetween(Window.unboundedPreceding, -1)
     words = F.col("_quota") * block_words
     passes = F.when(F.col("_shard_size") > 0, F.least(F.lit(max_repeats).cast("long"), F.floor(words / F.col("_shard_size")))).otherwise(F.lit(0))
     extra = F.when(F.col("_passes") < max_repeats, words - F.col("_passes") * F.col("_shard_size")).otherwise(F.lit(0))
@@ -118,6 +127,7 @@ def mix(
         .withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), extra - F.col("_at"))))
         .select(
             "doc_id",
+            "row_sign",
             "size",
             F.col("source_size").cast("long").alias("source_size"),
             F.col("target").cast("double").alias("target"),
@@ -129,16 +139,32 @@ def mix(
 def apply_mix(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """Documents as the mix takes them: a row for each whole pass, and the first words of the last part.
 
-    Documents of which nothing is taken go. `taken` has doc_id, size and taken; doc_id is unique in both.
+    Documents of which nothing is taken go. `taken` is what mix() gives for docs. Rows with the same doc_id,
+    source and text lie side by side in the mix, so what each of them gets follows from their number and sum.
     """
     columns = docs.columns
-    parts = taken.where(F.col("taken") > 0).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    same = ("_none", "_id", "_sign")
+    by_row = (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    parts = (
+        taken.groupBy(by_row[0].alias("_none"), by_row[1].alias("_id"), F.col("row_sign").alias("_sign"))
+        .agg(F.max("size").alias("_size"), F.count(F.lit(1)).alias("_rows"), F.sum("taken").alias("_sum"))
+        .where("_sum > 0")
+    )
+    rows = docs.select(F.struct(*columns).alias("_doc"), by_row[0].alias("_none"), by_row[1].alias("_id"), row_sign().alias("_sign"))
+    at = F.row_number().over(Window.partitionBy(*same).orderBy("_sign")) - 1
+    whole = F.floor(F.col("_sum") / (F.col("_rows") * F.col("_size")))
+    rest = F.col("_sum") - F.col("_whole") * F.col("_rows") * F.col("_size") - F.col("_at") * F.col("_size")
     ends = rf"(?<=[^{SPACES}])(?=[{SPACES}])"
     left = F.col("_taken") - F.col("_pass") * F.col("_size")
-    cut = F.array_join(F.slice(F.split(F.col("text"), ends), F.lit(1), left.cast("int")), "")
+    text = F.col("_doc.text")
+    cut = F.array_join(F.slice(F.split(text, ends), F.lit(1), left.cast("int")), "")
+    new = {"text": F.when(left >= F.col("_size"), text).otherwise(cut)}
     return (
-        docs.join(parts, docs["doc_id"] == parts["_id"])
+        rows.join(parts, list(same))
+        .withColumn("_at", at)
+        .withColumn("_whole", whole)
+        .withColumn("_taken", F.col("_whole") * F.col("_size") + F.greatest(F.lit(0), F.least(F.col("_size"), rest)))
+        .where("_taken > 0")
         .withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_size")))))
-        .withColumn("text", F.when(left >= F.col("_size"), F.col("text")).otherwise(cut))
-        .select(*columns)
+        .select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in columns])
     )

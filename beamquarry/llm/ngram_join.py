@@ -263,6 +263,13 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that have their component's smallest doc_id, in the columns of docs."""
+    """The documents that have their component's smallest doc_id, in the columns of docs.
+
+    Of rows that share a doc_id one stays, that of the smallest text; each row with a null doc_id stays.
+    """
     gone = stored(join(docs, k, percent).where("component_id < doc_id").select("doc_id"), "join-gone")
-    return docs.join(bounded_broadcast(gone, gone), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(bounded_broadcast(gone, gone), "doc_id", "left_anti").select(*docs.columns)
+    many = stored(kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("doc_id"), "join-repeated")
+    row = F.struct(*docs.columns)
+    one = kept.join(bounded_broadcast(many, many), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.xxhash64(*docs.columns))).alias("_row"))
+    return kept.join(bounded_broadcast(many, many), "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("_row.*"))

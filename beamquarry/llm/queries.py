@@ -24,7 +24,7 @@ def query(name, sql=None):
 
 @query("op1_mixing")
 def op1_mixing(spark, sf_dir):
-    return mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixing.mix(read_table(spark, sf_dir, "documents")).drop("row_sign")
 
 
 @query(
