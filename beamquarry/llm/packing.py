@@ -13,8 +13,8 @@ the sizes of sources and documents, and is one group of one task.
 
 Defined cases: null text is empty and packs as its end token alone; a null source is a queue
 of its own; rows count one by one, so repeated rows are packed as often as they occur; an empty
-table gives no sequence; other columns are not read. More than `max_queues` sources share
-queues by hash.
+table gives no sequence; other columns are not read. Every source has its own queue, however many there
+are; the driver and the tasks hold two numbers for each. More than `max_queues` are numbered by a join.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beamquarry.llm.common import bounded_broadcast, stored
@@ -123,13 +123,15 @@ def tokenise(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
 class Service:
     """What each queue has served when a number of tokens has been packed.
 
-    Queue s has n_s tokens and weight w_s; its token i is due at virtual time (i + 1/2) / w_s.
+    Queue s has n_s tokens and weight w_s; its token i is due at virtual time (i + p_s) / w_s.
+    The phases p_s are spread over 0 to 1, so that many small queues do not all come due at once.
     """
 
     def __init__(self, totals: list[int], weights: list[float] | None = None):
         self.n = np.array(totals, np.int64)
         self.w = np.array(weights if weights else totals, np.float64)
         self.w = np.maximum(self.w, 1e-9) / max(self.w.sum(), 1e-9)
+        self.phase = (np.arange(1, len(self.n) + 1) * 0.6180339887498949) % 1.0
 
     def level(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Virtual time at which tokens that could be divided would sum to `packed`, and the weight still served then.
@@ -150,71 +152,84 @@ class Service:
     def at(self, packed: np.ndarray) -> np.ndarray:
         """Whole tokens served: of all tokens by (due time, queue), the first `packed`. So it never falls as `packed` grows."""
         time, rate = self.level(packed)
-        slack = (len(self.n) / 2 + 2) / rate
-        low = np.clip(np.floor(self.w * (time - slack)[:, None] + 0.5), 0, self.n).astype(np.int64)
-        high = np.clip(np.floor(self.w * (time + slack)[:, None] + 0.5) + 1, 0, self.n).astype(np.int64)
+        slack = (len(self.n) + 2) / rate
+        low = np.clip(np.floor(self.w * (time - slack)[:, None] + 1 - self.phase), 0, self.n).astype(np.int64)
+        high = np.clip(np.floor(self.w * (time + slack)[:, None] + 1 - self.phase) + 1, 0, self.n).astype(np.int64)
         for row, top, want in zip(low, high, packed, strict=True):
             q = np.repeat(np.arange(len(row)), top - row)
             i = np.arange(len(q)) - np.repeat(np.cumsum(top - row) - (top - row), top - row) + row[q]
-            first = np.lexsort((q, (i + 0.5) / self.w[q]))[: int(want - row.sum())]
+            first = np.lexsort((q, (i + self.phase[q]) / self.w[q]))[: int(want - row.sum())]
             row += np.bincount(q[first], minlength=len(row))
         return low
 
+    def last(self, packed: int) -> tuple[float, int]:
+        """(due time, queue) of the last of the first `packed` tokens."""
+        served = self.at(np.array([packed], np.int64))[0]
+        some = np.flatnonzero(served)
+        due = (served[some] - 1 + self.phase[some]) / self.w[some]
+        return float(due.max()), int(some[due == due.max()].max())
+
+    def until(self, q: int, border: tuple[float, int]) -> int:
+        """Tokens of queue q that are due no later than the border, a (due time, queue)."""
+        n, w, phase = int(self.n[q]), float(self.w[q]), float(self.phase[q])
+        i = min(n, int(border[0] * w))
+        while i < n and ((i + phase) / w, q) <= border:
+            i += 1
+        while i and ((i - 1 + phase) / w, q) > border:
+            i -= 1
+        return i
+
+
+def round_borders(spark: SparkSession, service: Service, round_tokens: int) -> list[tuple[float, int]]:
+    """(due time, queue) of each round's last token, found by tasks: each looks at all queues."""
+    total = int(service.n.sum())
+    rounds = -(-total // round_tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [service.last(min(total, (k + 1) * round_tokens)) for k in batch["id"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int32())], ["id", "due", "queue"])
+
+    parts = max(1, min(rounds, spark.sparkContext.defaultParallelism))
+    return [(r["due"], r["queue"]) for r in sorted(spark.range(0, rounds, 1, parts).mapInArrow(run, "id long, due double, queue int").collect())]
+
 
 def split_rounds(rows: DataFrame, service: Service, round_tokens: int) -> DataFrame:
     """Cut each document's tokens at the rounds' borders."""
-    total = int(service.n.sum())
-    rounds = -(-total // round_tokens)
+    borders = round_borders(rows.sparkSession, service, round_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from bisect import bisect_right
+        from bisect import bisect_left
 
         for batch in batches:
-            queue, place, n = (batch[c].to_numpy(zero_copy_only=False) for c in ("queue", "place", "n"))
-            doc, ids = batch["doc_id"].to_pylist(), batch["ids"].to_pylist()
-            for q in np.unique(queue):
-                mine = np.flatnonzero(queue == q)
-                low = _round_of(service, round_tokens, q, int(place[mine].min()))
-                high = _round_of(service, round_tokens, q, int((place[mine] + n[mine]).max()))
-                out = [[] for _ in range(7)]
-                first, last = max(0, low - 1), min(rounds, high + 2)
-                borders = service.at(np.minimum(np.arange(first, last + 1, dtype=np.int64) * round_tokens, total))[:, q].tolist()
-                for i in mine.tolist():
-                    width, start, left, p = len(ids[i]) // int(n[i]), 0, int(n[i]), int(place[i])
-                    while left:
-                        k = bisect_right(borders, p) - 1
-                        take = min(left, borders[k + 1] - p)
-                        for column, x in zip(out, (first + k, int(q), p, doc[i], start, int(n[i]), ids[i][start * width : (start + take) * width]), strict=True):
+            out = [[] for _ in range(7)]
+            for doc, q, p, n, ids in zip(*(batch[c].to_pylist() for c in ("doc_id", "queue", "place", "n", "ids")), strict=True):
+                width, start, left = len(ids) // n, 0, n
+                k = bisect_left(borders, ((p + float(service.phase[q])) / float(service.w[q]), q))
+                while left:
+                    take = min(left, service.until(q, borders[k]) - p)
+                    if take > 0:
+                        for column, x in zip(out, (k, q, p, doc, start, n, ids[start * width : (start + take) * width]), strict=True):
                             column.append(x)
                         start, left, p = start + take, left - take, p + take
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["round", "queue", "place", "doc_id", "start", "doc_tokens", "ids"])
+                    k += 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["round", "queue", "place", "doc_id", "start", "doc_tokens", "ids"])
 
     return rows.mapInArrow(run, PARTS)
 
 
-def _round_of(service: Service, round_tokens: int, q: int, place: int) -> int:
-    """About the round in which the queue's token at `place` is served; never off by more than one."""
-    low, high = 0, -(-int(service.n.sum()) // round_tokens)
-    while high - low > 1:
-        middle = (low + high) // 2
-        if service.ideal(np.array([middle * round_tokens]))[0, q] <= place:
-            low = middle
-        else:
-            high = middle
-    return low
+def windows_in_turn(left: np.ndarray, weights: np.ndarray, deficit: np.ndarray, window: int, later: np.ndarray | bool = False, idle: float = 0.0) -> Iterator[np.ndarray]:
+    """Tokens that each queue serves in each window, until the queues are empty.
 
-
-def deficit_round_robin(left: np.ndarray, weights: np.ndarray, deficit: np.ndarray, window: int) -> np.ndarray:
-    """Tokens that each queue serves in each window, windows x queues, until the queues are empty.
-
-    `deficit` is what the queues are owed at the start (it sums to 0).
+    `deficit` is what the queues are owed at the start. Queues that do not end before `later`, and `idle` (the weight of
+    those without tokens now), keep their share of the room.
     """
-    left, deficit, rows = left.astype(np.int64).copy(), deficit.astype(np.float64).copy(), []
+    left, deficit = left.astype(np.int64).copy(), deficit.astype(np.float64).copy()
     while (total := int(left.sum())) > 0:
         room = min(window, total)
         active = left > 0
-        deficit += np.where(active, weights, 0) * (room / weights[active].sum())
+        deficit += np.where(active, weights, 0) * (room / (weights[active | later].sum() + idle))
         serve = np.clip(np.floor(deficit + 1e-6).astype(np.int64), 0, left)
         while (off := room - int(serve.sum())) != 0:
             can = (serve < left) if off > 0 else (serve > 0)
@@ -226,36 +241,40 @@ def deficit_round_robin(left: np.ndarray, weights: np.ndarray, deficit: np.ndarr
                 serve[order] += np.sign(off) * np.minimum(each, (left - serve)[order] if off > 0 else serve[order])
         deficit -= serve
         left -= serve
-        rows.append(serve)
+        yield serve
+
+
+def deficit_round_robin(left: np.ndarray, weights: np.ndarray, deficit: np.ndarray, window: int) -> np.ndarray:
+    """All windows in turn, windows x queues."""
+    rows = list(windows_in_turn(left, weights, deficit, window))
     return np.array(rows).reshape(len(rows), len(left))
 
 
 def pack_round(part: pd.DataFrame, service: Service, window: int, round_windows: int, kind: str) -> pd.DataFrame:
     """One round: its windows by deficit round-robin, its documents cut at the windows."""
-    number, queues = int(part["round"].iloc[0]), len(service.n)
+    number = int(part["round"].iloc[0])
     part = part.sort_values(["queue", "place"], kind="stable")
     width = np.dtype(kind).itemsize
     length = part["ids"].str.len().to_numpy() // width
-    queue = part["queue"].to_numpy()
-    have = np.bincount(queue, weights=length, minlength=queues).astype(np.int64)
+    present, queue = np.unique(part["queue"].to_numpy(), return_inverse=True)  # queues without tokens here have no turn
+    have = np.bincount(queue, weights=length).astype(np.int64)
     begun = np.array([number * round_windows * window], np.int64)
-    owed = service.ideal(begun)[0] - service.at(begun)[0]
-    plan = deficit_round_robin(have, service.w, owed, window)
-    # all tokens of the round lie in one row, queue after queue; cuts are the parts' and the windows' borders in it
+    owed = (service.ideal(begun)[0] - service.at(begun)[0])[present]
+    going = service.n / service.w >= service.level(np.minimum(begun + round_windows * window, service.n.sum()))[0] * (1 - 1e-9)
+    idle = max(0.0, float(service.w[going].sum() - service.w[present][going[present]].sum()))
+    # turns with tokens only, of which there are no more than tokens: window, queue, tokens
+    turns = [(np.full(np.count_nonzero(x), t), np.flatnonzero(x), x[x > 0]) for t, x in enumerate(windows_in_turn(have, service.w[present], owed, window, going[present], idle))]
+    turn, q, count = (np.concatenate(x) for x in zip(*turns, strict=True))
+    before = np.cumsum(count) - count - turn * window  # all windows are full but the very last
+    order = np.lexsort((turn, q))
+    turn, q, before, stops = turn[order], q[order], before[order], np.cumsum(count[order])
+    # all tokens of the round lie in one row, queue after queue; cuts are the parts' and the turns' borders in it
     ids = np.frombuffer(b"".join(part["ids"]), kind).astype("<u4")
     ends = np.cumsum(length)
-    bases = np.concatenate([[0], np.cumsum(have)])[:-1]
-    stops = bases + np.cumsum(plan, axis=0)  # windows x queues
-    cuts = np.unique(np.concatenate([[0], ends, stops.ravel(), bases]))
+    cuts = np.unique(np.concatenate([[0], ends, stops]))
     low, size = cuts[:-1], np.diff(cuts)
-    low, size = low[size > 0], size[size > 0]
-    row = np.searchsorted(ends, low, side="right")
-    q = queue[row]
-    turn = np.empty(len(low), np.int64)
-    for k in np.unique(q):
-        turn[q == k] = np.searchsorted(stops[:, k], low[q == k], side="right")
-    before = np.cumsum(plan, axis=1) - plan  # where a queue's tokens begin in a window
-    offset = before[turn, q] + low - (stops - plan)[turn, q]
+    row, at = np.searchsorted(ends, low, side="right"), np.searchsorted(stops, low, side="right")
+    offset = before[at] + low - (stops - count[order])[at]
     raw = ids.tobytes()
     return pd.DataFrame(
         {
@@ -263,9 +282,9 @@ def pack_round(part: pd.DataFrame, service: Service, window: int, round_windows:
             "start": part["start"].to_numpy()[row] + low - (ends - length)[row],
             "length": size,
             "doc_tokens": part["doc_tokens"].to_numpy()[row],
-            "sequence_id": number * round_windows + turn,
+            "sequence_id": number * round_windows + turn[at],
             "offset": offset,
-            "source_queue": q.astype(np.int32),
+            "source_queue": present[q[at]].astype(np.int32),
             "ids": [raw[4 * a : 4 * (a + n)] for a, n in zip(low.tolist(), size.tolist(), strict=True)],
         }
     )
@@ -286,30 +305,23 @@ def pack(
     to the end. A queue that ends leaves its share to the others.
     """
     tokens = stored(tokenise(docs, tokenizer, end), "pack-tokens", compression="zstd")
-    names = [r[0] for r in tokens.select("queue").distinct().limit(max_queues + 1).collect()]
+    spark = docs.sparkSession
+    names = sorted(r[0] for r in tokens.select("queue").distinct().collect())
+    many = max(1, len(names))
+    shares = [float((weights or {}).get(name[1:] if name[0] == "a" else None, 0.0)) for name in names] if weights else None
     if len(names) > max_queues:
-        slot = F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("int")
-        many, shares = max_queues, None
+        numbers = stored(spark.createDataFrame(pd.DataFrame({"queue": names, "_number": np.arange(many, dtype=np.int32)}), "queue string, _number int"), "pack-queues")
+        rows = tokens.join(bounded_broadcast(numbers, numbers), "queue").drop("queue").withColumnRenamed("_number", "queue")
     else:
-        names.sort()
         at = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.lit(i))]) if names else None
-        slot = at[F.col("queue")] if names else F.lit(0)
-        many = max(1, len(names))
-        shares = [float((weights or {}).get(name[1:] if name[0] == "a" else None, 0.0)) for name in names] if weights else None
-    sums = stored(tokens.groupBy(slot.alias("queue"), "chunk").agg(F.sum("n").alias("n")), "pack-chunks")
+        rows = tokens.withColumn("queue", at[F.col("queue")] if names else F.lit(0))
+    sums = stored(rows.groupBy("queue", "chunk").agg(F.sum("n").alias("n")), "pack-chunks")
     totals = [0] * many
     for q, n in sums.groupBy("queue").agg(F.sum("n")).collect():
         totals[q] = n
     service = Service(totals, shares)
     before = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("queue", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # documents that share a queue by hash lie in one chunk side by side: their places count from the chunk's rows
-    if len(names) > max_queues:
-        inside = Window.partitionBy("queue", "chunk").orderBy("_queue", "at").rowsBetween(Window.unboundedPreceding, -1)
-        rows = tokens.withColumnRenamed("queue", "_queue").withColumn("queue", F.pmod(F.xxhash64("_queue"), F.lit(max_queues)).cast("int"))
-        rows = rows.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    else:
-        rows = tokens.withColumn("queue", slot)
     placed = rows.join(bounded_broadcast(bases, sums), ["queue", "chunk"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("place"), "n", "ids")
     kind = PieceIds(tokenizer).kind
 
