@@ -68,40 +68,42 @@ class Rolling:
 
 
 def anchor_table(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, anchors array<bigint>, places array<int>)."""
+    """(doc_id, sign, anchors array<bigint>, places array<int>). `sign` tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in sliced(batches):
-            ids, hashes, places = [], [], []
-            for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            ids, signs, hashes, places = [], [], [], []
+            for i, sign, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "sign", "text")), strict=True):
                 words = (text or "").encode().split()
                 if len(words) >= window:
                     at, grams = Rolling(words, known).anchors(window)
                     at = np.unique(at)
                     ids.append(i)
+                    signs.append(sign)
                     places.append(at.astype(np.int32))
                     hashes.append(grams[at].view(np.int64))
             ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in places])]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
+                    pa.array(signs, pa.int64()),
                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *hashes]), pa.int64())),
                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *places]), pa.int32())),
                 ],
-                ["doc_id", "anchors", "places"],
+                ["doc_id", "sign", "anchors", "places"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, anchors array<long>, places array<int>")
+    return docs.mapInArrow(run, "doc_id long, sign long, anchors array<long>, places array<int>")
 
 
 def suffixes(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, start, s1, s2) of the suffixes whose anchor is among the document's `places`."""
+    """(doc, sign, start, s1, s2) of the suffixes whose anchor is among the document's `places`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in sliced(batches):
-            for i, text, places in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["places"].to_pylist(), strict=True):
+            for i, sign, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "sign", "text", "places")), strict=True):
                 words = (text or "").encode().split()
                 if len(words) < window:
                     continue
@@ -109,10 +111,11 @@ def suffixes(docs: DataFrame, window: int) -> DataFrame:
                 at = np.flatnonzero(np.isin(rolling.anchors(window)[0], places))
                 hashes = (rolling.of(at, ANCHOR), rolling.of(at, window))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), i, np.int64)), pa.array(at.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in hashes]], ["doc", "start", "s1", "s2"]
+                    [*[pa.array(np.full(len(at), x, np.int64)) for x in (i, sign)], pa.array(at.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in hashes]],
+                    ["doc", "sign", "start", "s1", "s2"],
                 )
 
-    return docs.mapInArrow(run, "doc long, start int, s1 long, s2 long")
+    return docs.mapInArrow(run, "doc long, sign long, start int, s1 long, s2 long")
 
 
 def deep_leaves(group: np.ndarray) -> np.ndarray:
@@ -130,7 +133,7 @@ def deep_leaves(group: np.ndarray) -> np.ndarray:
 
 
 def repeats(rows: DataFrame, memory_rows: int) -> DataFrame:
-    """(doc, start) of all suffixes that an earlier document has too. `rows` is stored."""
+    """(doc, sign, start) of all suffixes that an earlier document has too. `rows` is stored."""
     total = rows.count()
     limit = max(memory_rows, total // 200_000)  # so at most 200,000 prefixes of either length are too frequent
     prefix, direct = F.xxhash64("s1"), None
@@ -138,26 +141,26 @@ def repeats(rows: DataFrame, memory_rows: int) -> DataFrame:
     if short.limit(1).count():
         inside = rows.join(F.broadcast(short), "s1", "left_semi").groupBy("s1", "s2")
         long = stored(inside.agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("_first")).where(F.col("_n") > limit).drop("_n"), "tree-prefixes")
-        direct = rows.join(F.broadcast(long), ["s1", "s2"]).where("doc > _first").select("doc", "start")
+        direct = rows.join(F.broadcast(long), ["s1", "s2"]).where("doc > _first").select("doc", "sign", "start")
         rows = rows.join(F.broadcast(long), ["s1", "s2"], "left_anti").join(F.broadcast(short.withColumn("_long", F.lit(True))), "s1", "left")
         prefix = F.when(F.col("_long"), F.xxhash64("s1", "s2")).otherwise(prefix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ("doc", "start", "s1", "s2")
+        columns = ("doc", "sign", "start", "s1", "s2")
         parts = [np.rec.fromarrays([batch[c].to_numpy() for c in columns], names=columns) for batch in batches]
         if parts:
             leaves = deep_leaves(np.concatenate(parts))
             for low in range(0, len(leaves), 100_000):
                 part = leaves[low : low + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in columns[:2]], list(columns[:2]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in columns[:3]], list(columns[:3]))
 
     groups = max(1, -(-2 * total // memory_rows))
-    found = rows.select("doc", "start", "s1", "s2").repartition(groups, prefix).mapInArrow(run, "doc long, start int")
+    found = rows.select("doc", "sign", "start", "s1", "s2").repartition(groups, prefix).mapInArrow(run, "doc long, sign long, start int")
     return found if direct is None else found.unionByName(direct)
 
 
 def runs_of(found: DataFrame, window: int) -> DataFrame:
-    """(doc_id, low array<int>, high array<int>): the covered runs of words of each document."""
+    """(doc_id, sign, low array<int>, high array<int>): the covered runs of words of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -167,24 +170,24 @@ def runs_of(found: DataFrame, window: int) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], np.diff(at) > window]))
                 lows.append(at[new])
                 highs.append(at[np.concatenate([new[1:] - 1, [len(at) - 1]])] + window)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(lows, pa.list_(pa.int32())), pa.array(highs, pa.list_(pa.int32()))], ["doc_id", "low", "high"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sign"], pa.array(lows, pa.list_(pa.int32())), pa.array(highs, pa.list_(pa.int32()))], ["doc_id", "sign", "low", "high"])
 
-    gathered = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("start").alias("starts"))
-    return gathered.mapInArrow(run, "doc_id long, low array<int>, high array<int>")
+    gathered = found.groupBy(F.col("doc").alias("doc_id"), "sign").agg(F.collect_list("start").alias("starts"))
+    return gathered.mapInArrow(run, "doc_id long, sign long, low array<int>, high array<int>")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, memory_rows: int = 500_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
     if window < 2 * ANCHOR:
         raise ValueError(f"a window has at least {2 * ANCHOR} words")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("sign"), "text")
     table = stored(anchor_table(texts, window), "tree-anchors")
-    each = table.select("doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("_x")).select("doc_id", F.col("_x.anchors").alias("anchor"), F.col("_x.places").alias("place"))
+    each = table.select("doc_id", "sign", F.explode(F.arrays_zip("anchors", "places")).alias("_x")).select("doc_id", "sign", F.col("_x.anchors").alias("anchor"), F.col("_x.places").alias("place"))
     shared = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).where("_low < _high")
     shared = stored(shared.select("anchor", "_n"), "tree-shared")
     total = table.agg(F.sum(F.size("places"))).first()[0] or 0
-    places = stored(lookup(each, shared, "anchor", "_n", total).groupBy("doc_id").agg(F.collect_set("place").alias("places")), "tree-places")
-    rows = stored(suffixes(texts.join(bounded_broadcast(places, places), "doc_id"), window), "tree-suffixes")
+    places = stored(lookup(each, shared, "anchor", "_n", total).groupBy("doc_id", "sign").agg(F.collect_set("place").alias("places")), "tree-places")
+    rows = stored(suffixes(texts.join(bounded_broadcast(places, places), ["doc_id", "sign"]), window), "tree-suffixes")
     covered = stored(runs_of(repeats(rows, memory_rows), window), "tree-runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +205,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, memory_rows: int = 500_000
                 kept.append(b" ".join(left).decode())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    joined = texts.join(bounded_broadcast(covered, covered), "doc_id", "left")
+    joined = texts.join(bounded_broadcast(covered, covered), ["doc_id", "sign"], "left")
     out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
