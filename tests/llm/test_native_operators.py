@@ -194,6 +194,40 @@ def test_quality_counts(which, request):
     assert quality.clean(df).columns == df.columns
 
 
+def line_kept(line):
+    """The line rules, word by word."""
+    n = len(words := WORD.findall(line))
+    end = line.rstrip(" \t\n\v\f\r" + quality.CLOSERS)[-1:]
+    share = [sum(line.count(c) for c in kind) for kind in ("!", quality.RAILS, quality.SYMBOLS)]
+    notice = any(x in line.lower() for group in quality.NOTICES.values() for x in group)
+    ends = (end != "" and end in quality.ENDS) or n >= 30
+    return ends and 2 * share[0] <= n and 4 * share[1] < n and 5 * share[2] < n and not notice and not (n >= 10 and 3 * len(set(words)) < n)
+
+
+def cleaned(text):
+    lines = [x for x in (text or "").split("\n") if not WORD.search(x) or line_kept(x)]
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("which", ["docs", "corpus"])
+def test_quality_verdicts_by_brute_force(which, request):
+    df = request.getfixturevalue(which)
+    got = rows_of(quality.assess(df))
+    rows = rows_of(quality.clean(df))
+    rejected = 0
+    for r in df.collect():
+        want, mine = base_counts(r["text"] or ""), got[r["doc_id"]]
+        failed = want["n_words"] < 50 or 100 * want["n_repeat_words"] > 50 * want["n_words"]
+        left = cleaned(r["text"])
+        kept = not failed and 2 * sum(map(len, WORD.findall(left))) >= want["word_chars"]
+        assert (mine["kept"], mine["clean_text"]) == (kept, None if failed else left)
+        assert (r["doc_id"] in rows) == kept
+        if kept:
+            assert rows[r["doc_id"]] == r.asDict() | {"text": left, "n_chars": len(left)}
+        rejected += not failed and not kept
+    assert rejected or which == "docs"
+
+
 def test_quality_keeps_good_documents(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
