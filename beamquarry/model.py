@@ -96,6 +96,8 @@ class ShardDescriptor:
             raise ValueError("there are two shards, 0 and 1")
         if self.local_frequency_count != LOCAL_CHANNELS:
             raise ValueError(f"a shard has {LOCAL_CHANNELS} channels")
+        if not 0 <= self.absolute_frequency_start <= (self.shard_count - 1) * LOCAL_CHANNELS:
+            raise ValueError("a shard lies inside the full band")
         if self.timestamp_step <= 0:
             raise ValueError("timestamp_step must be positive")
         if not self.loss_mask_independent:
@@ -161,14 +163,21 @@ class SearchConfig:
         return self
 
 
-def resolve_channels(buffer: str) -> tuple[int, int]:
-    """(channels, first absolute channel) of a named buffer: nic0, nic1 or both."""
-    known = {"nic0": (LOCAL_CHANNELS, 0), "nic1": (LOCAL_CHANNELS, LOCAL_CHANNELS), "both": (2 * LOCAL_CHANNELS, 0)}
-    if buffer not in known:
-        raise ValueError(f"buffer is one of {', '.join(known)}")
-    return known[buffer]
+def resolve_channels(buffer: str | None = None, n_freq: int | None = None) -> tuple[str, int, int]:
+    """(buffer, channels, first absolute channel) of buffer 0, 1 or both; without one, the channel count tells (336: buffer 0, 672: both)."""
+    counts = {"0": LOCAL_CHANNELS, "1": LOCAL_CHANNELS, "both": 2 * LOCAL_CHANNELS}
+    if buffer is None:
+        by_count = {None: "0", LOCAL_CHANNELS: "0", 2 * LOCAL_CHANNELS: "both"}
+        if n_freq not in by_count:
+            raise ValueError(f"n_freq is {LOCAL_CHANNELS} or {2 * LOCAL_CHANNELS}")
+        buffer = by_count[n_freq]
+    if buffer not in counts:
+        raise ValueError(f"buffer is one of {', '.join(counts)}")
+    if n_freq not in (None, counts[buffer]):
+        raise ValueError(f"buffer {buffer} has {counts[buffer]} channels, not {n_freq}")
+    return buffer, counts[buffer], LOCAL_CHANNELS if buffer == "1" else 0
 
 
 def buffer_label(buffer: str) -> str:
-    channels, first = resolve_channels(buffer)
-    return f"{buffer}: channels {first} to {first + channels - 1}"
+    name, channels, first = resolve_channels(buffer)
+    return f"buffer {name}: channels {first} to {first + channels - 1}"

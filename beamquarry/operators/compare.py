@@ -178,3 +178,15 @@ def falls_monotonically(points: DataFrame, order: str, value: str, first: int =
     norm = F.col(value) / F.greatest(F.first(value).over(w), F.lit(1e-6))
     rows = points.withColumn("_n", norm).withColumn("_i", F.row_number().over(w)).withColumn("_d", F.col("_n") - F.lag("_n").over(w))
     return rows.where(F.col("_i") <= first).agg(F.coalesce(F.bool_and(F.col("_d") <= slack), F.lit(True)).alias("monotonic"))
+
+
+def records_for(records: DataFrame, **wanted) -> DataFrame:
+    """Records whose columns have the wanted values: of one engine and kernel, or of one antenna count."""
+    for column, value in wanted.items():
+        records = records.where(F.col(column) == value)
+    return records
+
+
+def mean_measurement(records: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Mean of each field over repetitions."""
+    return records.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in fields])

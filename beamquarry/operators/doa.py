@@ -58,6 +58,22 @@ def rls_fold(values: DataFrame, key: str, order: str, value: str, forgetting: fl
     return carried.select(key, order, (F.col("_l") + F.coalesce("_end", F.lit(0.0)) * power * forgetting).alias("folded"))
 
 
+def bartlett_relational(samples: DataFrame, cells: DataFrame, channels: DataFrame, antennas: DataFrame, spectra: int) -> DataFrame:
+    """(w, cell, power) over a fixed grid (cell, l, m, n): a^H R a is the mean over spectra of |sum of a* x|^2, summed over channels.
+
+    Windows are independent, as no centre is carried. For checking: a row for each sample and cell.
+    """
+    from beamquarry.functions import scalars as S
+
+    placed = samples.join(F.broadcast(channels), "f").join(F.broadcast(antennas), "a").crossJoin(F.broadcast(cells))  # bounded by the dimensions and the grid
+    angle = S.phase(*(F.col(c) for c in ("hz", "x", "y", "z", "l", "m", "n")))
+    sums = placed.withColumn("_phase", angle).groupBy("t", "f", "cell").agg(
+        F.sum(F.cos("_phase") * F.col("re") - F.sin("_phase") * F.col("im")).alias("sr"), F.sum(F.cos("_phase") * F.col("im") + F.sin("_phase") * F.col("re")).alias("si")
+    )
+    by_channel = sums.groupBy(F.floor(F.col("t") / spectra).cast("long").alias("w"), "f", "cell").agg(F.avg(S.power(F.col("sr"), F.col("si"))).alias("power"))
+    return by_channel.groupBy("w", "cell").agg(F.sum("power").alias("power"))
+
+
 # --- NumPy kernels
 
 
@@ -221,6 +237,25 @@ def estimate(covs: DataFrame, hz: np.ndarray, positions: np.ndarray, config: Sea
     return shards.mapInPandas(run, ESTIMATE)
 
 
+def grid_powers(covs: DataFrame, hz: np.ndarray, positions: np.ndarray, look: np.ndarray, estimator: str = "bartlett", load: float = 1e-2) -> DataFrame:
+    """(shard_id, w, cell, power): spectra over a fixed grid look[cell], without a carried centre: windows and channels are all parallel."""
+    hz, positions, look = (np.asarray(x, float) for x in (hz, positions, look))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [spectrum(_matrix(r)[None], steering(hz[[f]], positions, look), estimator, load) for f, r in zip(part["f"], part["r"], strict=True)]
+            yield pd.DataFrame({"shard_id": part["shard_id"], "w": part["w"], "power": found})
+
+    rows = covs.mapInPandas(run, "shard_id int, w long, power array<double>").select("shard_id", "w", F.posexplode("power").alias("cell", "power"))
+    return rows.groupBy("shard_id", "w", "cell").agg(F.sum("power").alias("power"))
+
+
+def strongest_cell(powers: DataFrame, cells: DataFrame) -> DataFrame:
+    """(shard_id, w, l, m, n, power): the first of the strongest cells of each window."""
+    best = powers.groupBy("shard_id", "w").agg(F.max(F.struct("power", (-F.col("cell")).alias("minus"))).alias("_m"))
+    return best.select("shard_id", "w", (-F.col("_m.minus")).alias("cell"), F.col("_m.power").alias("power")).join(F.broadcast(cells), "cell").drop("cell")
+
+
 def emit(frames: DataFrame, estimates: DataFrame, hz: np.ndarray, positions: np.ndarray, spectra: int) -> DataFrame:
     """(shard_id, t, f, power): the beam at each window's estimate; estimates are joined by (shard, window)."""
     hz, positions = np.asarray(hz, float), np.asarray(positions, float)

@@ -62,8 +62,11 @@ def track_packed(voltage: DataFrame, *rest) -> DataFrame:
     return track(beamform.decode(voltage), *rest)
 
 
-def track_frames(frames: DataFrame, path: Trajectory, hz, positions, spectra: int) -> DataFrame:
-    """(t, f, power) in frame form: hz[f] and positions[a] (x, y, z) as arrays; steering once for each window and channel of a batch."""
+def track_frames(frames: DataFrame, path: Trajectory, hz, positions, spectra: int, precise: bool = False) -> DataFrame:
+    """(t, f, power) in frame form: hz[f] and positions[a] (x, y, z) as arrays; steering once for each window and channel of a batch.
+
+    Weights and sums are in single precision; `precise` takes double.
+    """
     from collections.abc import Iterator
 
     import numpy as np
@@ -72,6 +75,7 @@ def track_frames(frames: DataFrame, path: Trajectory, hz, positions, spectra: in
     from beamquarry.model import LIGHT_M_S
 
     hz, positions = np.asarray(hz, float), np.asarray(positions, float)
+    kind = np.complex128 if precise else np.complex64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,17 +84,34 @@ def track_frames(frames: DataFrame, path: Trajectory, hz, positions, spectra: in
             key, inverse = np.unique(np.stack([t // spectra, f]), axis=1, return_inverse=True)
             look = np.array([path.at(w * spectra) for w in key[0]]).reshape(-1, 3)
             angle = 2 * np.pi / LIGHT_M_S * hz[key[1]][:, None] * (look @ positions.T)
-            y = np.einsum("ra,ra->r", x, np.exp(1j * angle).astype(np.complex64)[inverse.ravel()])
-            yield pa.RecordBatch.from_arrays([batch["t"], batch["f"], pa.array((y.real * y.real + y.imag * y.imag).astype(np.float32))], ["t", "f", "power"])
+            y = np.einsum("ra,ra->r", x.astype(kind), np.exp(1j * angle).astype(kind)[inverse.ravel()])
+            power = y.real * y.real + y.imag * y.imag
+            yield pa.RecordBatch.from_arrays([batch["t"], batch["f"], pa.array(power, pa.float64() if precise else pa.float32())], ["t", "f", "power"])
+
+    return frames.select("t", "f", "payload").mapInArrow(run, f"t long, f int, power {'double' if precise else 'float'}")
+
+
+def _relational(frames: DataFrame, path: Trajectory, channels: DataFrame, antennas: DataFrame, spectra: int) -> DataFrame:
+    from beamquarry.sources.tensors import decoded
+
+    samples = decoded(frames, antennas.count())
+    return track(samples, window_directions(samples, path, spectra), channels, antennas, spectra)
+
+
+def _frame(precise: bool):
+    def run(frames: DataFrame, path: Trajectory, channels: DataFrame, antennas: DataFrame, spectra: int) -> DataFrame:
+        hz = [r["hz"] for r in channels.orderBy("f").collect()]  # a few hundred channels and antennas
+        positions = [(r["x"], r["y"], r["z"]) for r in antennas.orderBy("a").collect()]
+        return track_frames(frames, path, hz, positions, spectra, precise)
 
-    return frames.select("t", "f", "payload").mapInArrow(run, "t long, f int, power float")
+    return run
 
 
-ENGINES = {"relational": track_packed, "frame": track_frames}
+ENGINES = {"relational": _relational, "frame": _frame(False), "frame_precise": _frame(True)}
 
 
-def run_engine(name: str, *args) -> DataFrame:
-    """One logical operator, two physical forms."""
+def run_engine(name: str, frames: DataFrame, path: Trajectory, channels: DataFrame, antennas: DataFrame, spectra: int) -> DataFrame:
+    """(t, f, power) of packed frames by the named engine: one logical operator, whose physical form the name picks."""
     if name not in ENGINES:
         raise ValueError(f"engine is one of {', '.join(ENGINES)}")
-    return ENGINES[name](*args)
+    return ENGINES[name](frames, path, channels, antennas, spectra)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beamquarry.functions import scalars as S
-from beamquarry.model import INVALID_CODE, TILE, Dimensions
+from beamquarry.model import INVALID_CODE, LOCAL_CHANNELS, TILE, Dimensions
 
 QUANTIZED_FORMAT, SHARD_FORMAT, PARAMETERS_FORMAT = "quantized-int8-v1", "packed-shard-v1", "little-endian-float32[offset,scale]"
 
@@ -79,6 +80,61 @@ def read_quantization_parameters(spark: SparkSession, path: str, dims: Dimension
     return _read_values(spark, path, "<f4", shape, ["w", "ft", "bt"], ["offset", "scale"])
 
 
+def write_raw(rows: DataFrame, path: str, order: list[str], values: list[str], kind: str | None, size: int) -> None:
+    """A dense row-major tensor as one file: rows sorted by `order`, `values` of each as little-endian `kind` (None: bytes as they are).
+
+    Tasks pack their rows; the chunks then pass through the driver one partition at a time, as one file has one
+    writer. Another size than expected is an error, and no file is left. For storage by many writers use Parquet.
+    """
+    spark = rows.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if kind is None:
+                chunk = b"".join(batch[values[0]].to_pylist())
+            else:
+                chunk = np.stack([batch[v].to_numpy(zero_copy_only=False) for v in values], axis=1).astype(kind).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.binary())], ["chunk"])
+
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, written = fs.create(target, True), 0
+    try:
+        for row in rows.orderBy(*order).select(*values).mapInArrow(run, "chunk binary").toLocalIterator():
+            out.write(bytearray(row["chunk"]))
+            written += len(row["chunk"])
+    finally:
+        out.close()
+    if written != size:
+        fs.delete(target, False)
+        raise ValueError(f"{path} would have {written} bytes; expected {size}")
+
+
+def write_packed_voltage(frames: DataFrame, path: str, dims: Dimensions) -> None:
+    write_raw(frames, path, ["t", "f"], ["payload"], None, dims.voltage_bytes)
+
+
+def write_weights(weights: DataFrame, path: str, dims: Dimensions) -> None:
+    write_raw(weights, path, ["b", "f", "a"], ["wr", "wi"], "<f4", 8 * dims.weight_values)
+
+
+def write_tiled_weights(weights: DataFrame, path: str, dims: Dimensions) -> None:
+    write_raw(weights, path, ["f", "tile", "a", "lane"], ["wr", "wi"], "<f4", 8 * dims.tiled_weight_values)
+
+
+def write_intensity(power: DataFrame, path: str, dims: Dimensions) -> None:
+    write_raw(power, path, ["t", "f", "b"], ["power"], "<f4", 4 * dims.intensity_values)
+
+
+def write_quantized(codes: DataFrame, path: str, dims: Dimensions) -> None:
+    write_raw(codes, path, ["w", "f", "b"], ["code"], "i1", dims.intensity_values)
+
+
+def write_quantization_parameters(tiles: DataFrame, path: str, dims: Dimensions) -> None:
+    count = int(np.prod([-(-n // s) for n, s in zip((dims.n_time, dims.n_freq, dims.n_beams), TILE, strict=True)]))
+    write_raw(tiles, path, ["w", "ft", "bt"], ["offset", "scale"], "<f4", 8 * count)
+
+
 def read_two_shards(spark: SparkSession, paths: list[str], dims: Dimensions) -> DataFrame:
     """Intensity of two buffers side by side: the second's channels follow the first's."""
     parts = [read_intensity(spark, p, dims).withColumn("f", F.col("f") + k * dims.n_freq) for k, p in enumerate(paths)]
@@ -172,30 +228,43 @@ def write_packed_shards(payload: DataFrame, mask: DataFrame, shards: DataFrame,
     shards.coalesce(1).write.mode("overwrite").parquet(f"{path}/shards")
 
 
-def read_packed_shards(spark: SparkSession, path: str, shard_id: int | None = None) -> DataFrame:
-    """Frames with their shard's descriptor and their validity; reading one shard prunes the other's files."""
+def read_packed_shards(spark: SparkSession, path: str, shard_id: int | None = None, dims: Dimensions | None = None) -> DataFrame:
+    """Frames with their shard's descriptor and their validity; reading one shard prunes the other's files.
+
+    With dimensions given, sizes, masks and descriptors are checked before any row is returned.
+    """
     payload, mask, shards = (spark.read.parquet(f"{path}/{x}") for x in ("payload", "mask", "shards"))
+    if dims is not None and (faults := shard_faults(payload, mask, shards, dims).collect()):  # six kinds at most
+        raise ValueError(f"{path}: {', '.join(sorted(r['fault'] for r in faults))}")
     if shard_id is not None:
         payload, mask = payload.where(F.col("shard_id") == shard_id), mask.where(F.col("shard_id") == shard_id)
     return payload.join(mask, ["shard_id", "t", "f"]).join(F.broadcast(shards), "shard_id")  # two rows
 
 
 def shard_faults(payload: DataFrame, mask: DataFrame, shards: DataFrame, dims: Dimensions) -> DataFrame:
-    """(fault, n): what breaks the rules of a shard set; no rows if nothing does."""
+    """(fault, n): what breaks the rules of a shard set, and in how many shards or descriptors; no rows if nothing does.
+
+    A shard without any payload or mask has the wrong size too.
+    """
     frames = dims.n_time * dims.n_freq
-    short = payload.groupBy("shard_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.octet_length("payload") != dims.n_ant).alias("_bad"))
-    faults = [
-        short.where((F.col("_n") != frames) | (F.col("_bad") > 0)).select(F.lit("payload size").alias("fault")),
-        mask.groupBy("shard_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") != frames).select(F.lit("mask size").alias("fault")),
-        mask.where("valid IS NULL").select(F.lit("mask value").alias("fault")),
-        shards.groupBy("absolute_frequency_start").count().where("count > 1").select(F.lit("frequency origin").alias("fault")),
-        shards.groupBy("loss_mask_id").count().where("count > 1").select(F.lit("mask id").alias("fault")),
-        shards.where("NOT loss_mask_independent OR timestamp_step <= 0 OR shard_id >= shard_count").select(F.lit("descriptor").alias("fault")),
-    ]
-    all_faults = faults[0]
-    for x in faults[1:]:
-        all_faults = all_faults.unionByName(x)
-    return all_faults.groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+    names = shards.select("shard_id")
+    held = payload.groupBy("shard_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.octet_length("payload") != dims.n_ant).alias("_bad"))
+    masked = mask.groupBy("shard_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("valid").isNull()).alias("_bad"))
+    held, masked = (names.join(x, "shard_id", "left").fillna(0, ["_n", "_bad"]) for x in (held, masked))
+    descriptor = (
+        ~F.col("loss_mask_independent") | (F.col("timestamp_step") <= 0) | (F.col("shard_id") >= F.col("shard_count")) | (F.col("shard_count") != 2)
+        | (F.col("absolute_frequency_start") < 0) | (F.col("absolute_frequency_start") > LOCAL_CHANNELS) | (F.col("local_frequency_count") != dims.n_freq)
+    )
+    faults = {
+        "payload size": held.where((F.col("_n") != frames) | (F.col("_bad") > 0)),
+        "mask size": masked.where(F.col("_n") != frames),
+        "mask value": masked.where(F.col("_bad") > 0),
+        "frequency origin": shards.groupBy("absolute_frequency_start").count().where("count > 1"),
+        "mask id": shards.groupBy("loss_mask_id").count().where("count > 1"),
+        "descriptor": shards.where(descriptor),
+    }
+    named = [rows.select(F.lit(fault).alias("fault")) for fault, rows in faults.items()]
+    return reduce(DataFrame.unionByName, named).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
 
 
 def decoded(frames: DataFrame, n_ant: int) -> DataFrame:

@@ -59,15 +59,19 @@ def tracked(covs: DataFrame, hz: np.ndarray, positions: np.ndarray, config: Sear
     return covs.groupBy("shard_id").applyInPandasWithState(run, doa.ESTIMATE, "memory binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def batched_windows(power: DataFrame, spectra: int, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Whole windows of each micro-batch, numbered from the stream's start, to a sink; returns the query's writer."""
+def batched_windows(power: DataFrame, spectra: int, sink: Callable[[DataFrame, int], None], checkpoint: str, late_samples: int = 0):
+    """Whole windows (w, f, power, n), numbered from the stream's start, to a sink, each once; returns the query's writer.
+
+    A window that is not full at the end of a micro-batch stays in the state with what it has, and goes to the sink with the
+    batch that fills it. A place (t, f) has one row. What is later than `late_samples` is dropped; the query's progress
+    counts it (numRowsDroppedByWatermark).
+    """
+    sums = tumbling(power, spectra, ("f",), late_samples=late_samples)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        w = F.floor(F.col("t") / spectra).cast("long")
-        counted = batch.withColumn("w", w).groupBy("w", "f").agg(F.sum("power").alias("power"), F.countDistinct("t").alias("n"))
-        sink(counted.where(F.col("n") == spectra), batch_id)
+        sink(batch.where(F.col("n") == spectra), batch_id)
 
-    return power.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return sums.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
 def frame_matches(frames: DataFrame, expected: DataFrame, keys: tuple[str, ...] = ("frame_id", "shard_id", "dtype", "shape")) -> DataFrame:
