@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beamquarry.functions import scalars as S
@@ -20,6 +22,8 @@ ORACLE = {}
 SPECTRA, FRAME_SPECTRA = 320, 64
 PATH = Trajectory(0.02, -0.03, 1e-5, -2e-6)
 LOOK = 2 * math.pi / LIGHT_M_S
+#: A slow path for vectors, whose numbers go on beyond a cube.
+STILL = Trajectory(0.02, -0.03, 1e-8, -2e-9)
 
 
 def query(name, columns, sql=None):
@@ -152,15 +156,19 @@ def steering_weights(spark, sf_dir):
 
 # --- tracker
 
-TRACK_SQL = f"""
+def track_sql(path, spectra, samples):
+    return f"""
     SELECT t, f, sr * sr + si * si AS power FROM (
         SELECT t, f, sum(cos(phi) * re - sin(phi) * im) AS sr, sum(cos(phi) * im + sin(phi) * re) AS si FROM (
             SELECT t, f, re, im, 2 * pi() / 299792458.0::DOUBLE * hz * (x * l + y * m + z * sqrt(1.0 - l * l - m * m)) AS phi FROM (
-                SELECT *, {PATH.l0}::DOUBLE + ((t // 320) * 320) * {PATH.l_rate}::DOUBLE AS l, {PATH.m0}::DOUBLE + ((t // 320) * 320) * ({PATH.m_rate}::DOUBLE) AS m
-                FROM cube_samples JOIN channels USING (f) JOIN antennas USING (a)))
+                SELECT *, {path.l0}::DOUBLE + ((t // {spectra}) * {spectra}) * {path.l_rate}::DOUBLE AS l, {path.m0}::DOUBLE + ((t // {spectra}) * {spectra}) * ({path.m_rate}::DOUBLE) AS m
+                FROM {samples} JOIN channels USING (f) JOIN antennas USING (a)))
         GROUP BY t, f)"""
 
 
+TRACK_SQL = track_sql(PATH, SPECTRA, "cube_samples")
+
+
 @query("tracker_power", "t long, f long, power d4", TRACK_SQL)
 def tracker_power(spark, sf_dir):
     samples = V.cube_samples(spark, sf_dir)
@@ -178,11 +186,11 @@ def tracker_directions(spark, sf_dir):
     return tracker.all_windows(spark, PATH, SPECTRA, V.CUBE_TIME)
 
 
-@query("tracker_frames", "t long, f long, power d0")
+@query("tracker_frames", "t long, f long, power d3", track_sql(STILL, FRAME_SPECTRA, "frame_samples"))
 def tracker_frames(spark, sf_dir):
-    """Frame form of the tracker; its parity with the relational form is a test."""
-    hz = 300e6 + np.arange(V.FRAME_CHANNELS) * 0.3e6
-    return tracker.track_frames(V.frames(spark, sf_dir).withColumn("t", F.col("t") % V.CUBE_TIME), PATH, hz, positions(), FRAME_SPECTRA)
+    """Frame form of the tracker in double precision; several frames of a place are told apart by their vector, so each is one output."""
+    frames = V.frames(spark, sf_dir)
+    return tracker.run_engine("frame_precise", frames, STILL, geometry.channels(spark, V.FRAME_CHANNELS), geometry.antennas(spark, V.ANTENNAS), FRAME_SPECTRA)
 
 
 def positions():
@@ -199,10 +207,11 @@ def positions():
     "SELECT t // 320 AS w, f, b, sum(power) AS two_stage, sum(power) AS one_stage FROM integer_power GROUP BY 1, 2, 3",
 )
 def two_stage_integration(spark, sf_dir):
-    power = integer_power(spark, sf_dir)
-    short = beamform.integrate(power, 32).withColumnRenamed("w", "t")
-    two = beamform.integrate(short, 10).select("w", "f", "b", F.col("power").alias("two_stage"))
-    return two.join(beamform.integrate(power, SPECTRA).select("w", "f", "b", F.col("power").alias("one_stage")), ["w", "f", "b"], "full")
+    """Power is made once and grouped by both lengths in one shuffle; only the short sums are summed again."""
+    power = integer_power(spark, sf_dir).select(F.floor(F.col("t") / SPECTRA).cast("long").alias("w"), F.floor(F.col("t") / 32).cast("long").alias("short"), "f", "b", "power")
+    sums = power.groupingSets([["w", "short", "f", "b"], ["w", "f", "b"]], "w", "short", "f", "b").agg(F.sum("power").alias("power"), F.grouping("short").alias("whole"))
+    one, two = (F.sum(F.when(F.col("whole") == k, F.col("power"))).alias(name) for k, name in ((1, "one_stage"), (0, "two_stage")))
+    return sums.groupBy("w", "f", "b").agg(two, one)
 
 
 @query("peak_beam", "b long, total long", "SELECT b, sum(power) AS total FROM integer_power GROUP BY b ORDER BY total DESC, b LIMIT 1")
@@ -269,21 +278,29 @@ def shard_union_marginals(spark, sf_dir):
     return shards[0].unionByName(shards[1]).groupBy("f").agg(F.sum("power").alias("power"), F.count(F.lit(1)).alias("samples"))
 
 
-@query(
-    "shard_faults",
-    "fault string, n long",
-    """SELECT 'payload size' AS fault, 2 AS n UNION ALL SELECT 'frequency origin', 1""",
-)
+#: Frames of two shards, by even and odd vectors; planted faults: vectors divisible by 7 lose a byte, those divisible by 11 have no mask value.
+FAULT_SQL = """
+    , held AS (SELECT vec_id % 2 AS shard_id, count(*) AS n, count(*) FILTER (vec_id % 7 = 0) AS short, count(*) FILTER (vec_id % 11 = 0) AS unset FROM embeddings GROUP BY 1),
+    frames AS (SELECT (SELECT max(n) FROM held) AS want)
+    SELECT 'payload size' AS fault, count(*) AS n FROM held, frames WHERE n <> want OR short > 0 HAVING count(*) > 0 UNION ALL
+    SELECT 'mask size', count(*) FROM held, frames WHERE n <> want HAVING count(*) > 0 UNION ALL
+    SELECT 'mask value', count(*) FROM held WHERE unset > 0 HAVING count(*) > 0 UNION ALL
+    SELECT 'frequency origin', 1 UNION ALL SELECT 'descriptor', 2
+"""
+
+
+@query("shard_faults", "fault string, n long", FAULT_SQL)
 def shard_faults(spark, sf_dir):
-    """Two shards that hold fewer frames than they declare and begin at the same channel."""
+    """Two shards of real frames with planted faults: short payloads, masks without value, one origin for both, channels that are not the set's."""
     from beamquarry.model import Dimensions
     from beamquarry.sources import synthetic, tensors
 
-    dims = Dimensions(1 << 40, V.FRAME_CHANNELS, V.ANTENNAS, 1)
-    payload = V.frames(spark, sf_dir).withColumn("shard_id", (F.col("t") % 2).cast("int"))
+    frames = V.frames(spark, sf_dir).withColumn("shard_id", (F.col("t") % 2).cast("int"))
+    most = frames.groupBy("shard_id").count().agg(F.max("count")).first()[0]
+    payload = frames.withColumn("payload", F.when(F.col("t") % 7 == 0, F.expr("substring(payload, 1, octet_length(payload) - 1)")).otherwise(F.col("payload")))
     shards = synthetic.shard_table(spark).withColumn("absolute_frequency_start", F.lit(0))
-    mask = payload.select("shard_id", "t", "f", F.lit(True).alias("valid")).where("t < 0")
-    return tensors.shard_faults(payload, mask, shards, dims)
+    mask = frames.select("shard_id", "t", "f", F.when(F.col("t") % 11 != 0, True).alias("valid"))
+    return tensors.shard_faults(payload, mask, shards, Dimensions(most, 1, V.ANTENNAS, 1))
 
 
 # --- geometry
@@ -332,7 +349,16 @@ def beam_grid_rectangular(spark, sf_dir):
     return geometry.rectangular_beams(spark, 64)
 
 
-@query("beam_grid_hex", "b long, l d9, m d9")
+HEX_SQL = """
+    WITH tries AS (SELECT range AS k, sqrt(2 * pi() / (sqrt(3.0::DOUBLE) * 128)) * pow(0.9::DOUBLE, range) AS d FROM range(10)),
+    points AS (SELECT k, x, y FROM (SELECT k, i.range * d + CASE WHEN j.range % 2 = 0 THEN 0.0 ELSE d / 2 END AS x, j.range * (d * sqrt(3.0::DOUBLE) / 2) AS y
+        FROM tries, range(-60, 61) i, range(-60, 61) j) WHERE x * x + y * y <= 1),
+    enough AS (SELECT min(k) AS k FROM (SELECT k FROM points GROUP BY k HAVING count(*) >= 128))
+    SELECT row_number() OVER (ORDER BY round(l * l + m * m, 12), l, m) - 1 AS b, l, m FROM (SELECT x * 0.8::DOUBLE AS l, y * 0.6::DOUBLE AS m FROM points JOIN enough USING (k)) QUALIFY b < 128
+"""
+
+
+@query("beam_grid_hex", "b long, l d9, m d9", HEX_SQL.strip().replace("WITH tries", ", tries", 1))
 def beam_grid_hex(spark, sf_dir):
     return geometry.hex_targets(spark, 128, 0.8, 0.6)
 
@@ -378,9 +404,28 @@ def beam_coverage(spark, sf_dir):
     return geometry.coverage(gains(spark))
 
 
-@query("band_average_gain", "pixel long, gain_dbi d4", GAIN_SQL + "SELECT pixel, 10 * log10(max(gain)) AS gain_dbi FROM g GROUP BY pixel")
+#: Antenna widths (degrees) and gain (dBi) at a frequency, on straight lines between and beyond the three anchors.
+BAND_SQL = """
+    WITH c AS (SELECT 300e6 + range * 12e6 AS hz FROM range(32)),
+    s AS (SELECT hz, radians(CASE WHEN hz < 400e6 THEN 92.0::DOUBLE + (hz - 300e6) * (16.0::DOUBLE / 100e6) ELSE 108.0::DOUBLE + (hz - 400e6) * (12.0::DOUBLE / 100e6) END) / (2 * sqrt(2 * ln(2.0::DOUBLE))) AS se,
+        radians(CASE WHEN hz < 400e6 THEN 66.0::DOUBLE + (hz - 300e6) * (8.0::DOUBLE / 100e6) ELSE 74.0::DOUBLE + (hz - 400e6) * (13.0::DOUBLE / 100e6) END) / (2 * sqrt(2 * ln(2.0::DOUBLE))) AS sh,
+        (CASE WHEN hz < 400e6 THEN 8.7::DOUBLE + (hz - 300e6) * (-0.95::DOUBLE / 100e6) ELSE 7.75::DOUBLE + (hz - 400e6) * (-0.75::DOUBLE / 100e6) END) / 10 AS g10 FROM c),
+    p AS (SELECT range AS pixel, (range % 21 - 10) / 10.0::DOUBLE AS l, (range // 21 - 10) / 10.0::DOUBLE AS m FROM range(441)),
+    k AS (SELECT *, pi() * 0.6::DOUBLE / 299792458.0::DOUBLE * hz AS k FROM (SELECT b, l AS bl, m AS bm FROM beams), p, s),
+    g AS (SELECT b, pixel, hz, 32 * pow(10.0::DOUBLE, g10) * exp(-(l * l / (2 * sh * sh) + m * m / (2 * se * se)))
+        * CASE WHEN abs(sin(k * (l - bl))) < 1e-12 THEN 1.0 ELSE pow(sin(8 * k * (l - bl)) / (8 * sin(k * (l - bl))), 2) END
+        * CASE WHEN abs(sin(k * (m - bm))) < 1e-12 THEN 1.0 ELSE pow(sin(4 * k * (m - bm)) / (4 * sin(k * (m - bm))), 2) END AS gain FROM k WHERE l * l + m * m <= 1)
+    SELECT pixel, 10 * log10(max(mean)) AS gain_dbi FROM (SELECT b, pixel, avg(gain) AS mean FROM g GROUP BY 1, 2) GROUP BY pixel
+"""
+
+
+@query("band_average_gain", "pixel long, gain_dbi d4", BAND_SQL.strip().replace("WITH c AS", ", c AS", 1))
 def band_average_gain(spark, sf_dir):
-    return geometry.band_average(gains(spark))
+    """Mean over 32 channels from 300 to 672 MHz, beyond the last anchor of the antenna's widths and gain."""
+    i = F.col("id")
+    pixels = spark.range(0, 441, 1, 1).select(i.alias("pixel"), ((i % 21 - 10) / 10.0).alias("l"), ((F.floor(i / 21) - 10) / 10.0).alias("m"))
+    band = geometry.channels(spark, 32, 300e6, 12e6)
+    return geometry.band_average(geometry.beam_power(V.beams(spark), pixels.crossJoin(F.broadcast(band)), 32, F.col("hz")))
 
 
 # --- covariance and search
@@ -452,10 +497,10 @@ def dispersion_delays(spark, sf_dir):
     return V.burst_channels(spark).withColumn("delay_s", S.dispersion_delay(F.lit(TRIAL_DM), F.col("hz")))
 
 
-@query("dedisperse_profile", "trial long, t long, power long", SWEEP_SQL + "SELECT * FROM profile WHERE trial % 25 = 0")
+@query("dedisperse_profile", "trial long, t long, power long", SWEEP_SQL + "SELECT * FROM profile")
 def dedisperse_profile(spark, sf_dir):
-    """Profiles of the first, the middle and the last trial."""
-    trials = burst.trial_table(spark, TRIAL_DM, TRIALS).where("trial % 25 = 0")
+    """Profiles of all trials."""
+    trials = burst.trial_table(spark, TRIAL_DM, TRIALS)
     moved = burst.dedisperse(V.waterfall(spark, sf_dir), burst.shifts(V.burst_channels(spark), trials), V.BINS)
     return burst.profile(moved, V.BINS)
 
@@ -477,22 +522,31 @@ def best_dm(spark, sf_dir):
     return burst.best_trial(burst.sweep(V.waterfall(spark, sf_dir), V.burst_channels(spark), burst.trial_table(spark, TRIAL_DM, TRIALS), V.BINS))
 
 
-BURST_TIME = 16384
+BURST_TIME, BURST_RATE = 16384, 952.381
 
 
-@query("pulse_fit", "trial long, err_t0_ms d1, err_sigma_ms d1, passed boolean")
+@query("pulse_fit", "trial long, err_t0_ms d1, err_sigma_ms d1, err_gamma d1, passed boolean")
 def pulse_fit(spark, sf_dir):
-    """A catalogued burst, drawn, dedispersed at its own measure and fitted."""
-    shape = (burst.CATALOG[0][0], 50.0, *burst.CATALOG[0][2:])
-    channels = V.burst_channels(spark)
-    trials = spark.createDataFrame([(0, shape[1])], "trial int, dm double")
-    moved = burst.dedisperse(burst.with_noise(burst.synthesize(channels, shape, BURST_TIME), 0.05), burst.shifts(channels, trials), BURST_TIME)
-    profiles = burst.profile(moved, BURST_TIME)
-    snrs = burst.profile_snr(profiles, BURST_TIME)
-    return burst.recovery(burst.fit_profiles(profiles, snrs, shape[3], shape[4]), snrs, shape)
-
-
-@query("burst_catalog", "name string, dm d2, width_s d6, target_snr d2")
+    """Every catalogued burst, drawn with noise for its own S/N, dedispersed at its own measure and fitted, spectral index included."""
+    channels, found = V.burst_channels(spark), []
+    for number, shape in enumerate(burst.CATALOG):
+        # uniform noise of width u in each of C channels spreads a profile by u sqrt(C / 12); the profile's top is near C
+        level = (12 * V.BURST_CHANNELS) ** 0.5 / shape[7]
+        trials = spark.createDataFrame([(number, shape[1])], "trial int, dm double")
+        moved = burst.dedisperse(burst.with_noise(burst.synthesize(channels, shape, BURST_TIME), level), burst.shifts(channels, trials), BURST_TIME)
+        profiles = burst.profile(moved, BURST_TIME)
+        snrs = burst.profile_snr(profiles, BURST_TIME)
+        at = snrs.first()
+        index = burst.spectral_index(burst.channel_powers(moved, at["peak_t"], at["baseline_mean"], BURST_TIME, V.BURST_CHANNELS), channels)
+        found.append(burst.recovery(burst.fit_profiles(profiles, snrs, shape[3], shape[4]), snrs, shape, index))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    "burst_catalog",
+    "name string, dm d2, width_s d6, target_snr d2",
+    f"SELECT * FROM (VALUES {', '.join(str((x[0], x[1], x[3], x[7])) for x in burst.CATALOG)}) catalog(name, dm, width_s, target_snr)",
+)
 def burst_catalog(spark, sf_dir):
     return burst.catalog(spark)
 
@@ -635,14 +689,15 @@ def positive_limits(spark, sf_dir):
 @query(
     "direction_errors",
     "mean_prior_error d9, mean_error d9, mean_error_arcmin d6",
-    """SELECT avg(sqrt(pow(l - 0.0, 2) + pow(m - 0.0, 2))) AS mean_prior_error, avg(sqrt(pow(l - le, 2) + pow(m - me, 2))) AS mean_error,
+    """SELECT avg(sqrt(pow(l - lp, 2) + pow(m - mp, 2))) AS mean_prior_error, avg(sqrt(pow(l - le, 2) + pow(m - me, 2))) AS mean_error,
     avg(degrees(sqrt(pow(l - le, 2) + pow(m - me, 2))) * 60) AS mean_error_arcmin FROM
-    (SELECT (vec_id % 100) / 1000.0::DOUBLE AS l, (vec_id % 37) / 1000.0::DOUBLE AS m, (vec_id % 99) / 1000.0::DOUBLE AS le, (vec_id % 36) / 1000.0::DOUBLE AS me FROM embeddings)""",
+    (SELECT (vec_id % 100) / 1000.0::DOUBLE AS l, (vec_id % 37) / 1000.0::DOUBLE AS m, (vec_id % 99) / 1000.0::DOUBLE AS le, (vec_id % 36) / 1000.0::DOUBLE AS me,
+    (vec_id % 90) / 1000.0::DOUBLE AS lp, (vec_id % 31) / 1000.0::DOUBLE AS mp FROM embeddings)""",
 )
 def direction_errors(spark, sf_dir):
     k = F.col("vec_id")
     looks = V.table(spark, sf_dir, "embeddings").select(
-        *[((k % n) / 1000.0).alias(c) for c, n in (("l", 100), ("m", 37), ("l_est", 99), ("m_est", 36))], F.lit(0.0).alias("l_prior"), F.lit(0.0).alias("m_prior")
+        *[((k % n) / 1000.0).alias(c) for c, n in (("l", 100), ("m", 37), ("l_est", 99), ("m_est", 36), ("l_prior", 90), ("m_prior", 31))]
     )
     return compare.direction_errors(looks)
 
@@ -693,3 +748,6 @@ def stream_tracker_state(spark, sf_dir):
     covs.write.parquet(path)
     hz = 300e6 + np.arange(V.FRAME_CHANNELS) * 0.3e6
     return streamed(windows.tracked(spark.readStream.schema(covs.schema).parquet(path), hz, positions(), config))
+
+
+from beamquarry.plans import products  # noqa: E402,F401  registers its queries here
