@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from beamquarry.llm import chat, exact_dedup, line_dedup, mixing, ngram_join, packing, quality, sharding, substring_dedup, url_filter
+from beamquarry.llm import chat, exact_dedup, line_dedup, mixing, ngram_join, oracles, packing, quality, sharding, substring_dedup, url_filter
 from beamquarry.llm.common import read_table
 
 QUERIES = {}
@@ -41,7 +41,7 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
-@query("op5_chat")
+@query("op5_chat", oracles.OP5)
 def op5_chat(spark, sf_dir):
     return chat.digests(chat.prefix_targets(chat.with_planted(read_table(spark, sf_dir, "conversations"))))
 
@@ -51,7 +51,7 @@ def op6_url_filter(spark, sf_dir):
     return url_filter.judge(read_table(spark, sf_dir, "pages"))
 
 
-@query("op8_quality")
+@query("op8_quality", oracles.OP8)
 def op8_quality(spark, sf_dir):
     judged = quality.assess(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -63,12 +63,12 @@ def op3_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source_queue")
 
 
-@query("op4_ngram_join")
+@query("op4_ngram_join", oracles.OP4)
 def op4_ngram_join(spark, sf_dir):
     return ngram_join.join(read_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-@query("op7_line_dedup")
+@query("op7_line_dedup", oracles.OP7)
 def op7_line_dedup(spark, sf_dir):
     return line_dedup.aligned(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
 
@@ -79,7 +79,7 @@ def op9_sharding(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
-@query("op10_substring_dedup")
+@query("op10_substring_dedup", oracles.OP10)
 def op10_substring_dedup(spark, sf_dir):
     kept = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
