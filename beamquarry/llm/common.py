@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space and \t \n \v \f \r.
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
-#: A side of a join is broadcast only if its stored size was measured to be no larger.
-BROADCAST_BYTES = 32 << 20
+#: A side of a join is broadcast only if its stored size was measured to be no larger; in memory that is about eight times as much.
+BROADCAST_BYTES = 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -35,15 +35,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/beamquarry/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark drops the shuffle files of a write when it ends with this set: nothing reads them again.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, and lost executors don't matter."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
     back.scratch_path = path
     return back
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by stored() that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of a table made by stored(), by the file system's own count."""
     spark = df.sparkSession

@@ -5,28 +5,28 @@ class from the start. For a threshold t:
 
 * Small sets (up to the boundary) enumerate their subsets of each fixed size that a partner can
   share (t n to n elements). Two small sets that reach t share one of them whole.
-* Large sets are cut into blocks by hash range, more blocks than a partner at t can differ in
-  elements (and two to spare), so partners agree on whole blocks. An inverted list is kept for
-  each block's content, by size class, and lists with several sets are scanned.
-* The boundary is where enumerating a set's subsets becomes dearer than listing its blocks and
-  reading the set itself for a check; as costs add up over sets, it is best for any mix of sizes.
-
-A list is not expanded into all its pairs. First every member is compared with the list's most
-connected member, which ties a group of copies together in linear work. Then only members that
-are still in different components are compared. A parity sketch (its Hamming distance never
-exceeds the symmetric difference) drops hopeless pairs inside the join, and what is left is
-checked on the full sets, so links are exact up to 64-bit hash collisions.
+* Large sets are found by scanning inverted lists of elements. A set of n enters the lists of its first
+  (1 - t) n + c elements in the order of their hashes; partners share c of these lists or more. So, once the
+  lists' lengths are known, each set leaves its c - 1 longest lists, and partners still share one. c grows with
+  n, so sets that merely share passages with others have too few lists in common and leave all of them. Small sets that can
+  have a large partner are in the lists too.
+* The boundary is the size up to which enumerating subsets costs less than the lists, by the lists' measured lengths.
+
+A list is not expanded into all its pairs. First every set is compared with the most connected member of all its
+lists, which ties a group of copies together in linear work; then, where components still differ, with the most connected
+member of each list. Only members that are in different components even then are compared with each other, long lists in
+salted parts. A parity sketch (its Hamming distance never exceeds the symmetric difference) drops hopeless pairs inside
+the join, and what is left is checked on the full sets, so links are exact up to 64-bit hash collisions.
 
 Defined cases: null or blank text has an empty set and links with nothing; fewer than k words are
-one shingle; a doc_id names one document, so rows that share it share its component; an empty
+one shingle; rows are compared one by one, so texts that share a doc_id are apart unless they link; a null doc_id is never the
+smallest, so rows linked to nothing but null doc_ids have a null component; an empty
 table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
 from math import comb
 
@@ -36,54 +36,37 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamquarry.llm.common import bounded_broadcast, sliced, stored
+from beamquarry.llm.common import bounded_broadcast, forget, sliced, stored
 
-#: Blocks beyond the most elements in which partners can differ.
-SPARE = 2
-SKETCH_LONGS = 4
-SIGNED = "doc_id long, n int, digest binary, sketch array<long>, keys array<long>"
+#: Sets up to this size keep all elements beside their row, so that their subsets can be made.
+SMALL = 12
+SKETCH_LONGS = 8
+#: Members of one salted part of a list.
+PART = 64
+SIGNED = "doc_id long, n int, node long, sketch array<long>, prefix array<long>, small array<long>"
 
 
-class Plan:
-    """Size classes, blocks and the boundary for links of 100 |A n B| >= percent |A u B|."""
+def least(n: int, percent: int) -> int:
+    """Elements that a partner of a set of n must share, and so its own least size."""
+    return -(-percent * n // 100)
 
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.starts = [1]
-        self.boundary = 0
-        while self.small_cost(self.boundary + 1) <= self.large_cost(self.boundary + 1):
-            self.boundary += 1
 
-    def least(self, n: int) -> int:
-        """Elements that a partner of a set of n must share, and so its own least size."""
-        return -(-self.percent * n // 100)
+def shared_lists(n: int, percent: int) -> int:
+    """c: the lists that a set of n and a partner of its size have in common at least. It never falls as n grows."""
+    return 1 + (100 - percent) * n // 200
 
-    def level(self, n: int) -> int:
-        while self.starts[-1] <= n:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        return bisect_right(self.starts, n) - 1
 
-    def largest(self, level: int) -> int:
-        self.level(self.starts[-1])
-        while len(self.starts) <= level + 1:
-            self.level(self.starts[-1])
-        return self.starts[level + 1] - 1
+def prefix_length(n: int, percent: int) -> int:
+    return min(n, n - least(n, percent) + shared_lists(n, percent))
 
-    def blocks(self, level: int) -> int:
-        return 2 * self.largest(level) * (100 - self.percent) // (100 + self.percent) + 1 + SPARE
 
-    def levels(self, n: int) -> list[int]:
-        """Classes whose largest member can be a partner of a set of n: its own and, for its upper part, the next."""
-        own = self.level(n)
-        reach = [own] if self.least(self.largest(own) + 1) > n else [own, own + 1]
-        return [x for x in reach if self.largest(x) > self.boundary]
+def dropped(n: int, percent: int) -> int:
+    """The longest lists that a set of n may leave: one fewer than it shares with its smallest partner."""
+    return shared_lists(least(n, percent), percent) - 1
 
-    def small_cost(self, n: int) -> int:
-        return sum(comb(n, c) for c in range(self.least(n), n + 1))
 
-    def large_cost(self, n: int) -> int:
-        own = self.level(n)
-        return self.blocks(own) + self.blocks(own + 1) + n
+def subset_count(n: int, percent: int) -> int:
+    return sum(comb(n, c) for c in range(least(n, percent), n + 1))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -119,31 +102,20 @@ def shingles(text: str | None, k: int, known: Words) -> np.ndarray:
     return np.unique(out)
 
 
-def keys_of(elements: np.ndarray, plan: Plan) -> np.ndarray:
-    """The set's subsets (if small) and blocks, as 64-bit keys."""
-    n, found = len(elements), []
-    spread = mixed(elements + np.uint64(1))
-    if 0 < n <= plan.boundary:
-        whole, parts = int(spread.sum()), spread.tolist()
-        for c in range(plan.least(n), n + 1):
-            sums = [whole - sum(gone) for gone in combinations(parts, n - c)]
-            found.append(mixed(np.array([s & (2**64 - 1) for s in sums], np.uint64) + np.uint64(c << 48)))
-    if n:
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread)])
-        for level in plan.levels(n):
-            blocks = plan.blocks(level)
-            ends = _block_ends(blocks)
-            cut = np.concatenate([[0], np.searchsorted(elements, ends), [n]])
-            empty = cut[1:] == cut[:-1]
-            key = mixed(sums[cut[1:]] - sums[cut[:-1]] + mixed(np.arange(blocks, dtype=np.uint64) + np.uint64(level << 32 | 1 << 20)))
-            # partners agree on SPARE + 1 blocks; only if all of them may be empty do empty ones count
-            found.append(key if empty.sum() > SPARE else key[~empty])
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+def node_of(elements: np.ndarray) -> int:
+    """The set's own number, equal for equal sets."""
+    return int(xxhash.xxh64_intdigest(elements.tobytes())) - (1 << 63)
 
 
-@cache
-def _block_ends(blocks: int) -> np.ndarray:
-    return np.array([(i << 64) // blocks for i in range(1, blocks)], np.uint64)
+def subset_keys(elements: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the subsets that a partner can share, of a small set."""
+    spread, n = mixed(elements + np.uint64(1)), len(elements)
+    whole, parts = int(spread.sum()), spread.tolist()
+    found = []
+    for c in range(max(1, least(n, percent)), n + 1):
+        sums = [whole - sum(gone) for gone in combinations(parts, n - c)]
+        found.append(mixed(np.array([s & (2**64 - 1) for s in sums], np.uint64) + np.uint64(c << 48)))
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
 def sketch_of(elements: np.ndarray) -> np.ndarray:
@@ -151,41 +123,92 @@ def sketch_of(elements: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in arrays])]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *(x.view(np.int64) for x in arrays)]), pa.int64()))
+
+
 def signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """One narrow row per document: set size, digest, sketch and keys."""
+    """One narrow row per document: set size, number of the set, sketch, first elements, and all elements if they are few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, known = Plan(percent), Words()
+        known = Words()
         for batch in sliced(batches):
             sets = [shingles(t, k, known) for t in batch["text"].to_pylist()]
-            keys = [keys_of(s, plan).view(np.int64) for s in sets]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
                     pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([node_of(s) for s in sets], pa.int64()),
                     pa.array([sketch_of(s) for s in sets], pa.list_(pa.int64())),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else [], pa.int64())),
+                    lists_of([s[: prefix_length(len(s), percent)] for s in sets]),
+                    lists_of([s if len(s) <= SMALL else s[:0] for s in sets]),
                 ],
-                ["doc_id", "n", "digest", "sketch", "keys"],
+                ["doc_id", "n", "node", "sketch", "prefix", "small"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the stored pairs (a, b) that reach the threshold on their full sets."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "join-wanted")
+def boundary_of(nodes: DataFrame, lists: DataFrame, percent: int) -> int:
+    """The size up to which subsets are cheaper than lists, by what the lists of small sets hold.
+
+    At most SMALL rows come to the driver.
+    """
+    few = nodes.where(F.col("n") <= SMALL)
+    sets = {r["n"]: r["count"] for r in few.groupBy("n").count().collect()}
+    read = few.select("node", "n").join(lists, "node").groupBy("n").agg(F.sum("many").alias("read")).collect()
+    read = {r["n"]: r["read"] for r in read}
+    best, at, gain = 0, 0, 0
+    for n in range(1, SMALL + 1):
+        gain += sets.get(n, 0) * (prefix_length(n, percent) - subset_count(n, percent)) + read.get(n, 0)
+        if gain >= best:
+            best, at = gain, n
+    return at
+
+
+def members(nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, node, many): the lists, of elements and of subsets, that the sets `nodes` stay in, and how long the lists were."""
+    entries = nodes.select(F.explode("prefix").alias("key"), "node")
+    lengths = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    lists = stored(entries.join(lengths, "key").select("key", "node", "many"), "join-lists")
+    boundary = boundary_of(nodes, lists, percent)
+
+    def enumerated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            keys = [subset_keys(x.values.to_numpy().view(np.uint64), percent) for x in batch["small"]]
+            yield pa.RecordBatch.from_arrays([batch["node"], lists_of(keys)], ["node", "keys"])
+
+    subsets = nodes.where(F.col("n") <= boundary).select("node", "small").mapInArrow(enumerated, "node long, keys array<long>")
+    subsets = subsets.select(F.explode("keys").alias("key"), "node")
+    shared = subsets.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    smallest = F.floor((percent * F.col("n") + 99) / 100)
+    leaves = F.floor((100 - percent) * smallest / 200).cast("int")  # dropped(n)
+    sizes = nodes.where(F.col("n") >= least(boundary + 1, percent)).select("node", leaves.alias("leaves"))
+    by_length = F.sort_array(F.collect_list(F.struct("many", "key")))
+    of_node = lists.join(sizes, "node").groupBy("node").agg(by_length.alias("all"), F.first("leaves").alias("leaves"))
+    kept = of_node.select("node", F.explode(F.slice("all", F.lit(1), F.greatest(F.lit(0), F.size("all") - F.col("leaves")))).alias("x"))
+    found = kept.select("x.key", "node", "x.many").unionByName(subsets.join(shared, "key").select("key", "node", "many"))
+    out = stored(found, "join-members")
+    forget(lists)
+    return out
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the stored pairs (a, b) of nodes that reach the threshold on their full sets."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stored(nodes.select("node", "doc_id").join(named, "node"), "join-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in sliced(batches):
-            found = [shingles(t, k, known).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], ["doc_id", "elements"])
+            found = [shingles(t, k, known) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "elements"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(bounded_broadcast(wanted, wanted), "doc_id", "left_semi")
-    held = stored(texts.mapInArrow(sets, "doc_id long, elements binary"), "join-sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    ids = bounded_broadcast(wanted.select("doc_id").distinct(), wanted)
+    rows = texts.join(ids, F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi").select("text").mapInArrow(sets, "node long, elements binary")
+    held = stored(rows.join(bounded_broadcast(wanted.select("node"), wanted), "node", "left_semi").dropDuplicates(["node"]), "join-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -198,67 +221,95 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
                 good.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    first = held.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    second = held.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    first = held.select(F.col("node").alias("a"), F.col("elements").alias("x"))
+    second = held.select(F.col("node").alias("b"), F.col("elements").alias("y"))
+    out = stored(pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "join-links")
+    forget(wanted, held)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc, component): the smallest node reachable, by neighbours' labels and jumps to the label's label."""
+    """(doc, component): the smallest node reachable, by neighbours' labels and jumps to the label's label. Stored."""
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "join-edges")
     labels = stored(both.groupBy(F.col("a").alias("doc")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "join-labels")
     while True:
-        near = both.join(labels, both["b"] == labels["doc"]).groupBy("a").agg(F.min("component").alias("_near"))
+        at = bounded_broadcast(labels.select(F.col("doc").alias("b"), "component"), labels)
+        near = both.join(at, "b").groupBy("a").agg(F.min("component").alias("_near"))
         hop = labels.join(near, labels["doc"] == near["a"]).select("doc", F.col("component").alias("_old"), F.least("component", "_near").alias("component"))
-        top = labels.select(F.col("doc").alias("_at"), F.col("component").alias("_top"))
-        new = hop.join(top, hop["component"] == top["_at"], "left").select("doc", "_old", F.least("component", "_top").alias("component"))
-        new = stored(new, "join-labels")
+        top = bounded_broadcast(labels.select(F.col("doc").alias("_at"), F.col("component").alias("_top")), labels)
+        new = stored(hop.join(top, hop["component"] == top["_at"], "left").select("doc", "_old", F.least("component", "_top").alias("component")), "join-labels")
+        forget(labels)
         labels = new.select("doc", "component")
         labels.scratch_path = new.scratch_path
         if not new.where(F.col("_old") != F.col("component")).limit(1).count():
+            forget(both)
             return labels
 
 
 def may_link(percent: int) -> Column:
     """On rows with (n, sketch) and (n2, sketch2): sizes and sketches allow the threshold."""
-    ratio = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    ratio = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
     return ratio & (apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n2")))
 
 
+def apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    for end in ("a", "b"):
+        at = part.select(F.col("doc").alias(end), F.col("component").alias(f"_{end}"))
+        pairs = pairs.join(bounded_broadcast(at, part), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    return pairs.where("_a <> _b").select("a", "b")
+
+
+def open_pairs(member: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of every list's members in different components that may link. A list is met part by part, at most PART members by all."""
+    at = part.select(F.col("doc").alias("node"), "component")
+    placed = member.join(bounded_broadcast(at, part), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lists = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_size")).where("_low < _high")
+    parts = F.ceil(F.col("_size") / PART).cast("int")
+    left = placed.join(lists.select("key", parts.alias("_parts")), "key").select("key", "node", "n", "sketch", "component", "_parts")
+    one = left.select("key", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int").alias("_part"), F.col("node").alias("a"), "n", "sketch", "component")
+    other = left.select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("component").alias("component2")
+    )
+    return one.join(other, ["key", "_part"]).where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component2")) & may_link(percent)).select("a", "b").distinct()
+
+
+def linked(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc, component) of all nodes that have a link; stored."""
+    lists = members(nodes, percent)
+    links = lists.groupBy("node").agg(F.sum("many").alias("links"))
+    traits = stored(nodes.select("node", "n", "sketch").join(links, "node"), "join-traits")
+    member = lists.select("key", "node").join(bounded_broadcast(traits, traits), "node")
+    hubs = member.groupBy("key").agg(F.max(F.struct("links", "node", "n", "sketch")).alias("_m"))
+    hubs = hubs.select("key", F.col("_m.node").alias("a"), F.col("_m.links").alias("links2"), F.col("_m.n").alias("n2"), F.col("_m.sketch").alias("sketch2"))
+    stars = member.join(hubs, "key").where((F.col("node") != F.col("a")) & may_link(percent)).select("a", F.col("node").alias("b"), "links2").distinct()
+    stars = stored(stars, "join-stars")
+    first = stored(stars.groupBy("b").agg(F.max(F.struct("links2", "a")).alias("_m")).select(F.col("_m.a").alias("a"), "b"), "join-first")
+    edges = [verified(docs, nodes, first, k, percent)]
+    part = components(edges[0])
+    for more in (lambda: apart(stars, part), lambda: open_pairs(member, part, percent)):
+        pairs = stored(more(), "join-pairs")
+        edges.append(verified(docs, nodes, pairs, k, percent))
+        old, part = part, components(edges[0].unionByName(edges[1]) if len(edges) == 2 else edges[0].unionByName(edges[1]).unionByName(edges[2]))
+        forget(pairs, old)
+    forget(lists, traits, stars, first, *edges)
+    return part
+
+
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    signs = stored(signed(docs, k, percent), "join-signs")
-    classes = stored(
-        signs.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1"), "join-classes"
-    )
-    named = signs.join(bounded_broadcast(classes.select("digest", "rep"), classes), "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    reps = named.where("doc_id = rep AND n > 0")
-    lists = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
-    long_lists = lists.groupBy("key").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1")
-    shared = stored(lists.join(long_lists, "key"), "join-lists")
-
-    traits = signs.select(F.col("doc_id").alias("doc"), "n", "sketch")
-    busy = stored(shared.groupBy("doc").agg(F.sum("_many").alias("_links")), "join-busy")
-    known = stored(traits.join(bounded_broadcast(busy, busy), "doc").groupBy("doc").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("_links").alias("_links")), "join-traits")
-    member = shared.select("key", "doc").distinct().join(bounded_broadcast(known, known), "doc")
-    middle = member.groupBy("key").agg(F.max(F.struct("_links", (-F.col("doc")).alias("_minus"), "n", "sketch")).alias("_m"))
-    middle = middle.select("key", (-F.col("_m._minus")).alias("a"), F.col("_m.n").alias("n2"), F.col("_m.sketch").alias("sketch2"))
-    stars = member.join(middle, "key").where((F.col("doc") != F.col("a")) & may_link(percent)).select("a", F.col("doc").alias("b")).distinct()
-    links = stored(verified(docs, stored(stars, "join-stars"), k, percent), "join-links")
-
-    part = components(links)
-    placed = member.join(bounded_broadcast(part, part), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_lists = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key")
-    left = stored(placed.join(open_lists, "key").select("key", "doc", "n", "sketch", "component"), "join-open")
-    other = left.select("key", F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("component").alias("component2"))
-    rest = left.join(other, "key").where((F.col("doc") < F.col("b")) & (F.col("component") != F.col("component2")) & may_link(percent))
-    rest = stored(rest.select(F.col("doc").alias("a"), "b").distinct(), "join-rest")
-    more = verified(docs, rest, k, percent)
-    part = components(stored(links.union(more), "join-links"))
-    final = part.select(F.col("doc").alias("rep"), "component")
-    return named.join(bounded_broadcast(final, part), "rep", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
+    signs = stored(signed(docs, k, percent).withColumn("row", F.monotonically_increasing_id()), "join-signs")
+    classes = stored(signs.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("_copies"), F.min("row").alias("_first")).where("_copies > 1"), "join-classes")
+    named = signs.join(bounded_broadcast(classes.select("node", "_first"), classes), "node", "left")
+    nodes = named.where("n > 0 AND (_first IS NULL OR _first = row)")
+    part = linked(docs, nodes, k, percent)
+    at = part.select(F.col("doc").alias("node"), "component")
+    rows = named.select("doc_id", "n", "node", F.col("_first").isNotNull().alias("_copied")).join(bounded_broadcast(at, part), "node", "left")
+    rows = rows.withColumn("_group", F.when(F.col("component").isNotNull() | F.col("_copied"), F.coalesce("component", "node")))
+    lowest = stored(rows.where("_group IS NOT NULL").groupBy("_group").agg(F.min("doc_id").alias("_low")), "join-lowest")
+    return rows.join(bounded_broadcast(lowest, lowest), "_group", "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("_low", "doc_id").alias("component_id")
     )
 
 

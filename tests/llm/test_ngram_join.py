@@ -72,21 +72,39 @@ def test_empty(spark):
     assert nj.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_keys_keep_every_partner():
-    """Random pairs at or above the threshold always share a key, whatever their sizes."""
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_lists_keep_every_partner(percent):
+    """Random pairs at or above the threshold share a list that both stay in, however long the lists are; small ones a subset."""
     rng = np.random.default_rng(5)
-    for percent in (60, 80, 90):
-        plan = nj.Plan(percent)
-        assert plan.boundary >= 5
-        for _ in range(3000):
-            n = int(rng.integers(1, 200))
-            a = rng.integers(0, 2**63, n).astype(np.uint64)
-            gone = int(rng.integers(0, n * (100 - percent) // 100 + 1))
-            new = int(rng.integers(0, n * (100 - percent) // 100 + 2))
-            b = np.concatenate([a[gone:], rng.integers(0, 2**63, new).astype(np.uint64)])
-            a, b = np.unique(a), np.unique(b)
-            common = len(np.intersect1d(a, b))
-            if common and 100 * common >= percent * (len(a) + len(b) - common):
-                assert len(np.intersect1d(nj.keys_of(a, plan), nj.keys_of(b, plan)))
-                apart = sum(bin(x).count("1") for x in (nj.sketch_of(a) ^ nj.sketch_of(b)).view(np.uint64).tolist())
-                assert apart * (100 + percent) <= (100 - percent) * (len(a) + len(b))
+
+    def stays(elements, length):
+        first = elements[: nj.prefix_length(len(elements), percent)]
+        by_length = sorted(first.tolist(), key=lambda x: (length(x), x))
+        return set(by_length[: max(0, len(first) - nj.dropped(len(elements), percent))])
+
+    met = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 300))
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        gone = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+        new = int(rng.integers(0, n * (100 - percent) // 100 + 2))
+        b = np.concatenate([a[gone:], rng.integers(0, 2**63, new).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        common = len(np.intersect1d(a, b))
+        if not common or 100 * common < percent * (len(a) + len(b) - common):
+            continue
+        met += 1
+        salt = int(rng.integers(1, 2**31))
+        assert stays(a, lambda x, s=salt: x * s % 7) & stays(b, lambda x, s=salt: x * s % 7)
+        if max(len(a), len(b)) <= nj.SMALL:
+            assert len(np.intersect1d(nj.subset_keys(a, percent), nj.subset_keys(b, percent)))
+        bits = sum(bin(x).count("1") for x in (nj.sketch_of(a) ^ nj.sketch_of(b)).view(np.uint64).tolist())
+        assert bits * (100 + percent) <= (100 - percent) * (len(a) + len(b))
+    assert met > 500
+
+
+def test_rows_of_one_doc_id_are_apart(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, long), (5, "another text"), (None, long), (None, "alone here"), (3, "another text"), (9, None), (7, " ".join(f"v{i}" for i in range(20_000)))]
+    got = nj.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(5, 36, 5), (5, 1, 3), (None, 36, 5), (None, 1, None), (3, 1, 3), (9, 0, 9), (7, 19_996, 7)], key=str)
