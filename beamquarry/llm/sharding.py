@@ -3,9 +3,10 @@
 Groups of equal texts stay together. A group that would fill more than 1 / `fine` of a shard in any
 of the three sizes is an item of its own (there can be no more than 3 x shards x fine of them), and
 one that would fill more than 1 / `split` of a shard is cut into parts by doc_id, so that even a
-group of a third of all rows leaves the shards even. All other groups are bundled by hash into a fixed
-number of items. So the items are few whatever the input, and are placed on the driver, largest
-first, each where the dot product of its sizes with the shard's residual capacity is highest.
+group of a third of all rows leaves the shards even. All other groups share a fixed number of items, to which they
+go by hash; while groups are no more than that, most have an item of their own. So the items are bounded whatever the
+input, and are placed on the driver, largest first, each where the dot product of its sizes with the shard's residual
+capacity is highest. The many small items that come last even the shards out.
 
 Rows are numbered within a shard in two steps (blocks of rows by hash, then places in a block), so no
 shard's rows meet in one task.
@@ -25,53 +26,25 @@ from beamquarry.llm.common import stored, word_count
 SIZES = ("rows", "bytes", "tokens")
 
 
-def pack_items(sizes: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item (rows of `sizes`): largest first, to the highest dot product with what is left.
+def pack_items(sizes: np.ndarray, shards: int, weights: tuple[float, ...] = (1.0, 8.0, 1.0)) -> np.ndarray:
+    """The shard of each item (rows of `sizes`): largest first, to the highest dot product of its sizes with what is left.
 
-    Of the shards with room in every size; where none has room, the one that ends least full.
+    Residuals are weighed by size, bytes most, as their law must hold. Of the shards with room in every size; where
+    none has room, the one with most left. Equal products go to the smaller shard.
     """
     capacity = np.maximum(sizes.sum(axis=0) / shards, 1e-300)
-    need = sizes / capacity
+    need, w = sizes / capacity, np.array(weights)
     left = np.ones((shards, need.shape[1]))
     out = np.zeros(len(need), np.int64)
     for i in np.argsort(-need.max(axis=1), kind="stable"):
-        after = (left - need[i]).min(axis=1)
-        score = np.where(after >= 0, left @ need[i], -np.inf)
-        best = int(score.argmax()) if np.isfinite(score.max()) else int(after.argmax())
-        out[i] = best
-        left[best] -= need[i]
+        room = (left >= need[i]).all(axis=1)
+        score = np.where(room, left @ (w * need[i]), -np.inf) if room.any() else (left - need[i]) @ w
+        out[i] = int(score.argmax())
+        left[out[i]] -= need[i]
     return out
 
 
-def refine(sizes: np.ndarray, to: np.ndarray, shards: int, weights: tuple[float, ...] = (1.0, 8.0, 1.0), steps: int = 500) -> np.ndarray:
-    """Even out what placing largest items first has left, bytes above all: exchange items between the fullest and emptiest shard.
-
-    Each step makes the exchange (of one item against one or none) that most lowers the weighted squares of the
-    shards' loads, and steps end when none does.
-    """
-    need = sizes / np.maximum(sizes.sum(axis=0) / shards, 1e-300)
-    w, to = np.array(weights), to.copy()
-    load = np.array([need[to == s].sum(axis=0) for s in range(shards)]).reshape(shards, -1)
-    for _ in range(steps):
-        high, low = int(load[:, 1].argmax()), int(load[:, 1].argmin())
-        give, take = np.flatnonzero(to == high), np.concatenate([[-1], np.flatnonzero(to == low)])
-        if not len(give) or high == low:
-            break
-        back = np.where(take[:, None] >= 0, need[take], 0.0)
-        shift = need[give][:, None, :] - back[None, :, :]
-        gain = 2 * (w * shift * (load[high] - load[low] - shift)).sum(axis=2)
-        i, j = np.unravel_index(int(gain.argmax()), gain.shape)
-        if gain[i, j] <= 1e-9:
-            break
-        to[give[i]] = low
-        if take[j] >= 0:
-            to[take[j]] = high
-        load[high] -= shift[i, j]
-        load[low] += shift[i, j]
-    return to
-
-
-def assign(docs: DataFrame, shards: int = 16, split: int = 2, fine: int = 64, bundles: int = 8192) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 16, split: int = 2, fine: int = 64, bundles: int = 32768) -> DataFrame:
     """One row per document: doc_id, size (bytes + 1), text_crc32, tokens, group, shard, slot."""
     octets = F.col("text").cast("binary")
     rows = stored(
@@ -99,7 +72,7 @@ def assign(docs: DataFrame, shards: int = 16, split: int = 2, fine: int = 64, bu
     placed = rows.join(F.broadcast(numbered), "group", "left").withColumn("item", item.cast("int")).drop("first", "parts")
     found = placed.groupBy("item").agg(*sums).orderBy("item").collect()
     sizes = np.array([[r[c] for c in SIZES] for r in found], np.float64).reshape(-1, 3)
-    to = refine(sizes, pack_items(sizes, shards), shards)
+    to = pack_items(sizes, shards)
     table = spark.createDataFrame([(r["item"], int(s)) for r, s in zip(found, to, strict=True)] or [(0, 0)], "item int, shard int")
     return with_slots(placed.join(F.broadcast(table), "item"), whole[0], shards)
 

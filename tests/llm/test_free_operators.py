@@ -112,6 +112,38 @@ def test_shards_are_even(spark, hot):
     assert out == sharding.assign(df, shards=16).collect() or sorted(map(tuple, out)) == sorted(map(tuple, sharding.assign(df, shards=16).collect()))
 
 
+def placed_by_rule(sizes, shards):
+    """The placement rule in plain loops."""
+    total = [sum(x[d] for x in sizes) / shards or 1e-300 for d in range(3)]
+    need = [[x[d] / total[d] for d in range(3)] for x in sizes]
+    left, out = [[1.0] * 3 for _ in range(shards)], [0] * len(sizes)
+    for i in sorted(range(len(need)), key=lambda i: -max(need[i])):
+        roomy = [s for s in range(shards) if all(left[s][d] >= need[i][d] for d in range(3))]
+        if roomy:
+            score = {s: sum(w * left[s][d] * need[i][d] for d, w in enumerate((1, 8, 1))) for s in roomy}
+        else:
+            score = {s: sum(w * (left[s][d] - need[i][d]) for d, w in enumerate((1, 8, 1))) for s in range(shards)}
+        out[i] = max(score, key=lambda s: (round(score[s], 9), -s))
+        left[out[i]] = [a - b for a, b in zip(left[out[i]], need[i], strict=True)]
+    return out
+
+
+def test_items_go_where_the_dot_product_is_highest():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 300):
+        sizes = np.stack([rng.integers(1, 9, n), rng.pareto(1.5, n) * 500 + 1, rng.pareto(1.5, n) * 90], axis=1)
+        got = sharding.pack_items(sizes, 16)
+        assert got.tolist() == placed_by_rule(sizes.tolist(), 16)
+
+
+def test_shards_of_the_corpus_are_near_equal(spark):
+    out = sharding.assign(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), shards=16)
+    rows = out.groupBy("shard").agg({"size": "sum", "tokens": "sum", "doc_id": "count"}).collect()
+    for column, slack in (("sum(size)", 0.01), ("sum(tokens)", 0.05), ("count(doc_id)", 0.05)):
+        loads = [r[column] for r in rows]
+        assert max(loads) <= (1 + slack) * sum(loads) / 16 and min(loads) >= (1 - slack) * sum(loads) / 16
+
+
 def test_sharding_empty(spark):
     assert sharding.assign(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
