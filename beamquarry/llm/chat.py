@@ -43,11 +43,11 @@ def unescape_role(role: Column) -> Column:
 
 def with_planted(turns: DataFrame) -> DataFrame:
     """The table's turns and conversation -1, whose texts imitate the template."""
-    spark, kinds = turns.sparkSession, dict(turns.dtypes)
-    rows = [(PLANTED_ID, 0, "user", PLANTED_TEXT), (PLANTED_ID, 1, "assistant", PLANTED_TEXT)]
+    kinds = dict(turns.dtypes)
     names = ["conv_id", "turn", "role", "text"]
-    planted = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    return turns.select(*names).unionByName(planted.select(*[F.col(n).cast(kinds[n]).alias(n) for n in names]))
+    pair = F.array(*[F.struct(F.lit(PLANTED_ID).alias("conv_id"), F.lit(k).alias("turn"), F.lit(role).alias("role"), F.lit(PLANTED_TEXT).alias("text")) for k, role in enumerate(("user", "assistant"))])
+    planted = turns.sparkSession.range(1).select(F.explode(pair).alias("t")).select(*[F.col(f"t.{n}").cast(kinds[n]).alias(n) for n in names])
+    return turns.select(*names).unionByName(planted)
 
 
 def prefix_targets(turns: DataFrame) -> DataFrame:

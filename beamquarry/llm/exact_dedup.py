@@ -1,9 +1,10 @@
 """Exact deduplication with a log-structured merge index over text digests.
 
-Writing: each input task is a memtable that is flushed as one digest-sorted run, with
-min/max statistics and a Bloom filter on the digest in its Parquet footer. Compaction
-merges the runs by digest and keeps one identifier and a count for each. Reading: a digest
-that occurs more than once is a hit, and the bytes of all its texts are compared (smallest
+Writing: each input task is a memtable that is flushed as one run, sorted by digest. Compaction merges the runs in
+digest order (the shuffle sorts them, and neighbours are folded as they stream by) into a level that keeps
+one identifier and a count for each digest; digests that occur once are dropped from it, so a level holds hits only. A level has a
+Bloom filter. Reading: rows of the runs, and texts, are probed with the filter first; what it rejects is in no
+group and goes on without a join. The bytes of all texts of a hit are compared (smallest
 text = largest text), so equal digests alone never decide.
 
 Defined cases: null text counts as empty; repeated rows are copies of each other, and where
@@ -13,14 +14,18 @@ result; other columns of the input are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from beamquarry.llm.bloom import Bloom
 from beamquarry.llm.common import bounded_broadcast, stored
 
 #: A digest that holds more than one in HOT_SHARE rows is hot; so there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
-BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
+#: The filter's rate of false positives, and the most keys for which it is made: 20 MB. Beyond, everything is probed by the join.
+RATE, MOST_KEYS = 0.01, 16_000_000
 
 
 def body(text: Column) -> Column:
@@ -34,7 +39,7 @@ def digest(text: Column) -> Column:
 def flush(docs: DataFrame) -> DataFrame:
     """Runs of (digest, doc_id), one sorted file for each task, without a shuffle."""
     runs = docs.select(digest(F.col("text")).alias("digest"), "doc_id")
-    return stored(runs.sortWithinPartitions("digest", "doc_id"), "lsm-run", **BLOOM)
+    return stored(runs.sortWithinPartitions("digest", "doc_id"), "lsm-run")
 
 
 def level_of(runs: DataFrame) -> DataFrame:
@@ -51,12 +56,20 @@ def compact(*levels: DataFrame, keep: str = "smallest") -> DataFrame:
     return merged.groupBy("digest").agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
-def verify(docs: DataFrame, hits: DataFrame) -> DataFrame:
+def filter_of(level: DataFrame) -> Callable[[Column], Column]:
+    """The level's Bloom filter, as an expression that tells whether a digest may be in it."""
+    keys = level.count()
+    if keys > MOST_KEYS:
+        return lambda _: F.lit(True)
+    return Bloom.sized(1, max(1, keys), RATE).build(level.select(F.col("digest").alias("key"))).accepts
+
+
+def verify(docs: DataFrame, hits: DataFrame, may_hit: Callable[[Column], Column] = lambda _: F.lit(True)) -> DataFrame:
     """(digest, same): whether a hit's texts are the same bytes.
 
-    Only texts of hits are moved, and each task sends one smallest and one largest text for a digest.
+    Only texts of hits are moved, and each task sends one smallest and one largest text for a digest. `may_hit` is the level's filter.
     """
-    texts = docs.select(digest(F.col("text")).alias("digest"), body(F.col("text")).alias("_bytes"))
+    texts = docs.select(digest(F.col("text")).alias("digest"), body(F.col("text")).alias("_bytes")).where(may_hit(F.col("digest")))
     hit = bounded_broadcast(hits.select("digest"), hits)
     return texts.join(hit, "digest", "left_semi").groupBy("digest").agg((F.min("_bytes") == F.max("_bytes")).alias("same"))
 
@@ -64,8 +77,9 @@ def verify(docs: DataFrame, hits: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     runs = flush(docs)
-    level = stored(compact(level_of(runs), keep=keep).where("group_size > 1"), "lsm-level", **BLOOM)
-    hits = stored(level.join(verify(docs, level), "digest"), "lsm-hits")
+    level = stored(compact(level_of(runs), keep=keep).where("group_size > 1"), "lsm-level")
+    may_hit = filter_of(level)
+    hits = stored(level.join(verify(docs, level, may_hit), "digest"), "lsm-hits")
     if hits.where("NOT same").limit(1).count():
         return by_bytes(docs, keep)
     least = max(2, runs.count() // HOT_SHARE)
@@ -73,10 +87,12 @@ def dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     cold = hits.where(F.col("group_size") < least).select(F.col("digest").alias("_key"), "keep_id", "group_size")
     # rows of hot digests are done after the first join; for the second they get keys of their own and spread
     own = F.unhex(F.sha1(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    probed = runs.withColumn("_may", may_hit(F.col("digest")))
     found = (
-        runs.join(F.broadcast(hot), "digest", "left")
+        probed.where("_may").join(F.broadcast(hot), "digest", "left")
         .withColumn("_key", F.when(F.col("_hot_n").isNull(), F.col("digest")).otherwise(own))
         .join(bounded_broadcast(cold, hits), "_key", "left")
+        .unionByName(probed.where("NOT _may"), allowMissingColumns=True)
     )
     keep_id = F.coalesce("_hot_id", "keep_id", "doc_id")
     return found.select(

@@ -43,6 +43,10 @@ PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0
 UNCOMMON = re.compile(r"[^ \t\n\r\f\v!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]|<\|")
 
 
+#: Texts on which the two ways are compared, so that a vocabulary of other rules is told.
+PROBES = ("Two words, it's  12 o'clock!", "", " a\nb\tc ", "na\u00efve \u00c9t\u00e9 \u00df?!...", "x_y-z 3.14 (we'll) #$%")
+
+
 class Byte(dict):
     """The byte-level alphabet: bytes with a visible Latin-1 character stand for it, the others for 256, 257, ..."""
 
@@ -70,9 +74,10 @@ class Pieces(dict):
 class PieceIds:
     """Token ids of texts, one cached entry for each piece that the pre-tokenizer makes.
 
-    The vocabulary drops white space, lowers case and never joins pieces, so a text's ids are its pieces'
+    The word vocabulary drops white space, lowers case and never joins pieces, so a text's ids are its pieces'
     ids in order. Texts of common characters are cut into pieces here; any other text is cut at
-    white space only, and its words go through the whole tokenizer.
+    white space only, and its words go through the whole tokenizer. Another vocabulary, as told by a probe of both ways,
+    goes through the whole tokenizer text by text.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
@@ -82,12 +87,20 @@ class PieceIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.pieces = Pieces(self.tokenizer.model, "H" if self.kind == "<u2" else "I", limit)
+        self.fast = True
+        self.fast = all(self.of([t], 1) == self.whole([t], 1) for t in PROBES)
 
     def uncommon(self, text: str) -> bytes:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in text.encode().split()], add_special_tokens=False)
         return array(self.pieces.code, [i for e in found for i in e.ids]).tobytes()
 
+    def whole(self, texts: list[str | None], end: int) -> list[bytes]:
+        tail = array(self.pieces.code, [end]).tobytes()
+        return [array(self.pieces.code, e.ids).tobytes() + tail for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
     def of(self, texts: list[str | None], end: int) -> list[bytes]:
+        if not self.fast:
+            return self.whole(texts, end)
         tail, ids = array(self.pieces.code, [end]).tobytes(), self.pieces.__getitem__
         return [(self.uncommon(t) if UNCOMMON.search(t) else b"".join(map(ids, PIECE.findall(t.lower())))) + tail for t in (t or "" for t in texts)]
 

@@ -135,14 +135,15 @@ def deep_leaves(group: np.ndarray) -> np.ndarray:
 def repeats(rows: DataFrame, memory_rows: int) -> DataFrame:
     """(doc, sign, start) of all suffixes that an earlier document has too. `rows` is stored."""
     total = rows.count()
-    limit = max(memory_rows, total // 200_000)  # so at most 200,000 prefixes of either length are too frequent
+    limit = memory_rows // 2  # a prefix beyond it is split; the other prefixes of a group fill the rest of its memory
     prefix, direct = F.xxhash64("s1"), None
     short = stored(rows.groupBy("s1").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("s1"), "tree-prefixes")
     if short.limit(1).count():
-        inside = rows.join(F.broadcast(short), "s1", "left_semi").groupBy("s1", "s2")
+        few = bounded_broadcast(short, short)
+        inside = rows.join(few, "s1", "left_semi").groupBy("s1", "s2")
         long = stored(inside.agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("_first")).where(F.col("_n") > limit).drop("_n"), "tree-prefixes")
-        direct = rows.join(F.broadcast(long), ["s1", "s2"]).where("doc > _first").select("doc", "sign", "start")
-        rows = rows.join(F.broadcast(long), ["s1", "s2"], "left_anti").join(F.broadcast(short.withColumn("_long", F.lit(True))), "s1", "left")
+        direct = rows.join(bounded_broadcast(long, long), ["s1", "s2"]).where("doc > _first").select("doc", "sign", "start")
+        rows = rows.join(bounded_broadcast(long, long), ["s1", "s2"], "left_anti").join(bounded_broadcast(short.withColumn("_long", F.lit(True)), short), "s1", "left")
         prefix = F.when(F.col("_long"), F.xxhash64("s1", "s2")).otherwise(prefix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,7 @@ def repeats(rows: DataFrame, memory_rows: int) -> DataFrame:
                 part = leaves[low : low + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in columns[:3]], list(columns[:3]))
 
-    groups = max(1, -(-2 * total // memory_rows))
+    groups = max(1, -(-4 * total // memory_rows))
     found = rows.select("doc", "sign", "start", "s1", "s2").repartition(groups, prefix).mapInArrow(run, "doc long, sign long, start int")
     return found if direct is None else found.unionByName(direct)
 
@@ -176,7 +177,7 @@ def runs_of(found: DataFrame, window: int) -> DataFrame:
     return gathered.mapInArrow(run, "doc_id long, sign long, low array<int>, high array<int>")
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, memory_rows: int = 500_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, memory_rows: int = 200_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
     if window < 2 * ANCHOR:
         raise ValueError(f"a window has at least {2 * ANCHOR} words")

@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamquarry.llm.common import stored
+from beamquarry.llm.bloom import Bloom
+from beamquarry.llm.common import bounded_broadcast, stored
 
 #: Fixed values: (verdict, host, path) rules, and the hosts listed as unwanted.
 RULES = (
@@ -32,8 +34,8 @@ RULES = (
     ("block", "org", "/es/"),
 )
 UNWANTED = tuple(f"{name}.example.{top}" for name, top in product(("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"), ("com", "net", "org")))
-#: Bits of one bitmap that bitmap_construct_agg makes, and the bytes that all levels may take as literals.
-BUCKET_BITS, MAX_LITERAL_BYTES = 32768, 64 << 20
+#: Listed keys of one segment: some 16 MB of literals at the lowest rate of the first level.
+SEGMENT_KEYS = 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,56 +64,26 @@ def domain_keys(host: Column, labels: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.reverse(F.slice(parts, F.lit(1), i)), "."))
 
 
-class Level:
-    """One Bloom filter: its bits as a binary literal."""
-
-    def __init__(self, number: int, buckets: int, hashes: int):
-        self.number, self.buckets, self.hashes, self.bits = number, buckets, hashes, b""
-
-    def places(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(self.number), F.lit(j)), F.lit(self.buckets * BUCKET_BITS)) for j in range(self.hashes)]
-
-    def build(self, keys: DataFrame) -> Level:
-        """Bitmaps by aggregation over the keys; only `buckets` of them come to the driver."""
-        at = keys.select(F.explode(F.array(*self.places(F.col("key")))).alias("at"))
-        rows = at.groupBy(F.floor(F.col("at") / BUCKET_BITS).alias("b")).agg(F.bitmap_construct_agg(F.col("at") % BUCKET_BITS).alias("bits"))
-        whole = bytearray(self.buckets * BUCKET_BITS // 8)
-        for b, bits in rows.collect():
-            whole[b * (BUCKET_BITS // 8) : (b + 1) * (BUCKET_BITS // 8)] = bits
-        self.bits = bytes(whole)
-        return self
-
-    def accepts(self, key: Column) -> Column:
-        found = F.lit(True)
-        for at in self.places(key):
-            byte = F.conv(F.hex(F.substring(F.lit(self.bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-            found = found & (F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1)
-        return found
-
-
-def _level(number: int, keys: int, rate: float) -> Level:
-    bits = max(1.0, keys * math.log2(1 / rate) / math.log(2))
-    return Level(number, math.ceil(bits / BUCKET_BITS), max(1, round(math.log2(1 / rate))))
+def _level(number: int, keys: int, rate: float) -> Bloom:
+    return Bloom.sized(number, keys, rate)
 
 
 class Cascade:
     """Exact membership of universe keys in the list, as an expression."""
 
-    def __init__(self, levels: list[Level]):
+    def __init__(self, levels: list[Bloom]):
         self.levels = levels
 
     @classmethod
-    def build(cls, universe: DataFrame, max_bytes: int = MAX_LITERAL_BYTES) -> Cascade | None:
-        """From (key, listed) with distinct keys; None if the levels would take more than max_bytes."""
+    def build(cls, universe: DataFrame) -> Cascade:
+        """From (key, listed) with distinct keys."""
         listed, every = universe.agg(F.count_if("listed"), F.count(F.lit(1))).first()
-        levels: list[Level] = []
+        levels: list[Bloom] = []
         wrong, side = listed, True  # keys that the next level must hold, and whether these are the listed ones
         left = universe
         while wrong:
             rate = min(0.5, max(1e-6, math.sqrt(0.5) * listed / max(1, every - listed))) if not levels else 0.5
             level = _level(len(levels) + 1, wrong, rate)
-            if sum(x.buckets for x in [*levels, level]) * BUCKET_BITS // 8 > max_bytes:
-                return None
             levels.append(level.build(left.where(F.col("listed") == side)))
             # keys of the other side that this level accepts are wrong; of this side, all stay in question
             left = left.where((F.col("listed") == side) | level.accepts(F.col("key")))
@@ -126,28 +98,44 @@ class Cascade:
         return found
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, unwanted: Sequence[str] = UNWANTED) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict.
+def cascades(universe: DataFrame, segment_keys: int) -> list[Cascade]:
+    """One cascade for each segment of the keys, by hash, with about so many listed keys in each."""
+    listed = universe.agg(F.count_if("listed")).first()[0]
+    segments = max(1, -(-listed // segment_keys))
+    return [Cascade.build(universe.where(segment_of(F.col("key"), segments) == s)) for s in range(segments)]
+
+
+def segment_of(key: Column, segments: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(segments))
+
+
+def judge(
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, unwanted: Sequence[str] | DataFrame = UNWANTED, segment_keys: int = SEGMENT_KEYS
+) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict. `unwanted` lists hosts, in a column `key` if it is a table.
 
-    Listed hosts are bounded by being an argument. If the levels outgrow their bound, the listed
-    keys are found by a shuffled join instead, with the same rows.
+    A cascade's levels are literals of the plan, so keys are cut into segments of at most about `segment_keys` listed
+    ones. One segment is judged in place; more are judged one after the other over the distinct hosts.
     """
     spark = pages.sparkSession
-    labels = max([1, *(x.count(".") + 1 for x in unwanted)])
+    if not isinstance(unwanted, DataFrame):
+        names = sorted(set(unwanted))
+        unwanted = spark.range(1).select(F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("key"))
+    listing = unwanted.select("key").distinct().withColumn("_on", F.lit(True))
+    labels = max(1, (listing.agg(F.max(F.length("key") - F.length(F.replace("key", F.lit("."), F.lit(""))))).first()[0] or 0) + 1)
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     hosts = split.select("host").distinct()
     keys = hosts.select(F.explode(domain_keys(F.col("host"), labels)).alias("key")).distinct()
-    listing = spark.createDataFrame([(x,) for x in sorted(set(unwanted))] or [(None,)], "key string").withColumn("_on", F.lit(True))
     universe = stored(keys.join(listing, "key", "left").select("key", F.coalesce("_on", F.lit(False)).alias("listed")), "url-keys")
-    cascade = Cascade.build(universe)
+    built = cascades(universe, segment_keys)
     host, path = F.col("host"), F.col("path")
-    if cascade is None:
-        on = universe.where("listed").select("key")
-        hits = hosts.select("host", F.explode(domain_keys(host, labels)).alias("key")).join(on, "key", "left_semi").select("host").distinct()
-        split = split.join(hits.withColumn("_hit", F.lit(True)), "host", "left")
-        blocked = F.col("_hit").isNotNull()
+    if len(built) == 1:
+        blocked = F.exists(domain_keys(host, labels), built[0].holds)
     else:
-        blocked = F.exists(domain_keys(host, labels), cascade.holds)
+        of_host = hosts.select("host", F.explode(domain_keys(host, labels)).alias("key"))
+        hits = [of_host.where((segment_of(F.col("key"), len(built)) == s) & cascade.holds(F.col("key"))).select("host") for s, cascade in enumerate(built)]
+        hits = stored(reduce(DataFrame.unionByName, hits).distinct().withColumn("_hit", F.lit(True)), "url-hits")
+        split, blocked = split.join(bounded_broadcast(hits, hits), "host", "left"), F.col("_hit").isNotNull()
     return split.select(
         "page_id",
         "host",

@@ -159,12 +159,25 @@ def test_url_rules_and_cascade(spark):
 
 def test_cascade_is_exact_with_crowded_filters(spark, monkeypatch):
     """Filters too small for their keys make false positives at many levels, and none at the end."""
-    monkeypatch.setattr(url_filter, "_level", lambda number, keys, rate: url_filter.Level(number, 1, 1))
+    monkeypatch.setattr(url_filter, "_level", lambda number, keys, rate: url_filter.Bloom(number, 1, 1))
     universe = spark.range(60000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 3 == 0).alias("listed"))
     cascade = url_filter.Cascade.build(universe)
     assert len(cascade.levels) > 3
     assert universe.where(cascade.holds(F.col("key")) != F.col("listed")).count() == 0
-    assert url_filter.Cascade.build(universe, max_bytes=1) is None
+
+
+def test_urls_by_one_and_by_many_segments(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("key")).distinct()
+    listing = hosts.where(F.pmod(F.xxhash64("key"), F.lit(3)) == 0)
+    one = url_filter.judge(pages, rules=(), unwanted=listing)
+    many = url_filter.judge(pages, rules=(), unwanted=listing, segment_keys=7)
+    assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr)
+    listed = {r["key"] for r in listing.collect()}
+    assert len(listed) > 14
+    for r in one.collect():
+        labels = r["host"].split(".")
+        assert (r["verdict"] == "block") == any(".".join(labels[i:]) in listed for i in range(len(labels)))
 
 
 def base_counts(text):

@@ -94,3 +94,13 @@ def test_deficit_round_robin_carries():
     assert plan.sum() == 1507 and (plan.sum(axis=1)[:-1] == 64).all()
     share = np.cumsum(plan, axis=0)[:10] - np.arange(1, 11)[:, None] * 64 * np.array([2.0, 1.0, 0.014]) / 3.014
     assert (np.abs(share) < 2).all()
+
+
+def test_another_vocabulary_is_used_whole():
+    """A vocabulary that keeps case and white space has ids of its own rules."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two words,  it's 12 o'clock!\n\tIndented Line", "", None, "caf\u00e9 \u65e5\u672c <|x|> END", " lead and trail "]
+    words, direct = packing.PieceIds(path), Tokenizer.from_file(path)
+    got = [np.frombuffer(x, words.kind).tolist() for x in words.of(texts, 1)]
+    assert got == [[*direct.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert not words.fast and packing.PieceIds(PATH).fast
