@@ -101,13 +101,13 @@ def to_frames(voltage: DataFrame, n_ant: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for samples in batch["_s"].to_pylist():
-                row = np.zeros(n_ant, np.uint8)
-                for s in samples:
-                    row[s["a"]] = s["byte"]
-                out.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([batch["t"], batch["f"], pa.array(out, pa.binary())], ["t", "f", "payload"])
+            lists = batch["_s"]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            a, byte = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            cube = np.zeros((batch.num_rows, n_ant), np.uint8)
+            cube[row, a] = byte
+            payload = pa.FixedSizeBinaryArray.from_buffers(pa.binary(n_ant), batch.num_rows, [None, pa.py_buffer(cube)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["t"], batch["f"], payload], ["t", "f", "payload"])
 
     return packed.mapInArrow(run, "t long, f int, payload binary")
 

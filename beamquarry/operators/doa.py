@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,14 +185,19 @@ class Memory:
 
 
 def covariances(frames: DataFrame, n_ant: int, spectra: int, subarray: int = 0) -> DataFrame:
-    """(shard_id, w, f, snapshots, r): one group of at most `spectra` frames for each window and channel, so groups are bounded."""
+    """(shard_id, w, f, snapshots, r): at most `spectra` frames for each window and channel, so lists are bounded; many keys in a batch."""
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x = unpack_frames(np.frombuffer(b"".join(part["payload"]), np.uint8).reshape(len(part), n_ant))
-        return pd.DataFrame([[*key, len(part), covariance(x, subarray).astype(np.complex64).tobytes()]], columns=["shard_id", "w", "f", "snapshots", "r"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["frames"]
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            x = unpack_frames(payload_matrix(lists.flatten(), n_ant))
+            found = [covariance(x[a:b], subarray).astype(np.complex64).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            columns = [batch["shard_id"], batch["w"], batch["f"], pa.array(np.diff(ends).astype(np.int64)), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard_id", "w", "f", "snapshots", "r"])
 
     keyed = frames.withColumn("w", F.floor(F.col("t") / spectra).cast("long"))
-    return keyed.groupBy("shard_id", "w", "f").applyInPandas(run, COVARIANCE)
+    return keyed.groupBy("shard_id", "w", "f").agg(F.collect_list("payload").alias("frames")).mapInArrow(run, COVARIANCE)
 
 
 def _matrix(raw: bytes) -> np.ndarray:

@@ -71,6 +71,17 @@ def test_engines_agree(spark):
         tracker.run_engine("gpu", frames, path, channels, antennas, 2)
 
 
+def test_whole_spectra_equal_frames(spark):
+    dims = Dimensions(9, 3, 32, 1)
+    frames = beamform.to_frames(synthetic.noise(spark, dims, 5), 32)
+    rows = frames.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("f", "payload"))).alias("s")).select("t", F.expr("reduce(s, X'', (a, x) -> concat(a, x.payload))").alias("payload"))
+    path, hz = Trajectory(0.02, -0.03, 1e-4, -2e-4), [300e6, 300.3e6, 300.6e6]
+    want = {(r["t"], r["f"]): r["power"] for r in tracker.track_frames(frames, path, hz, catalog.positions(), 4).collect()}
+    got = tracker.track_spectra(rows, path, hz, catalog.positions(), 4, slice_rows=2).select("t", F.posexplode("power").alias("f", "power")).collect()
+    assert len(got) == len(want) == 27
+    assert all(abs(r["power"] - want[r["t"], r["f"]]) <= 1e-2 + 1e-4 * r["power"] for r in got)
+
+
 def test_search_without_a_grid_tracks_the_prior(spark):
     antennas, channels = geometry.antennas(spark, 32), geometry.channels(spark, 4)
     frames = beamform.to_frames(synthetic.point_source(spark, 4, channels, antennas, 0.0, 0.0, 4.0), 32).withColumn("shard_id", F.lit(0))
