@@ -103,6 +103,20 @@ def test_lists_keep_every_partner(percent):
     assert met > 500
 
 
+def test_links_in_blocks_of_long_lists(spark, monkeypatch):
+    """Chains whose ends are too far apart for one hub, with lists cut into blocks of three."""
+    monkeypatch.setattr(nj, "BLOCK", 3)
+    rng = random.Random(11)
+    rows, words = [], [f"w{i}" for i in range(60)]
+    for i in range(70):
+        words = list(words)
+        for _ in range(rng.choice((1, 2, 3))):
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.join(df, 1, 90).collect()} == brute(rows, 1, 90)
+
+
 def test_rows_of_one_doc_id_are_apart(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(5, long), (5, "another text"), (None, long), (None, "alone here"), (3, "another text"), (9, None), (7, " ".join(f"v{i}" for i in range(20_000)))]
