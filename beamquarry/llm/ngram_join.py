@@ -15,7 +15,7 @@ class from the start. For a threshold t:
 A list is not expanded into all its pairs. First every set is compared with the most connected member of all its
 lists, which ties a group of copies together in linear work; then, where components still differ, with the most connected
 member of each list. Only members that are in different components even then are compared with each other, long lists in
-salted parts. A parity sketch (its Hamming distance never exceeds the symmetric difference) drops hopeless pairs inside
+blocks. A parity sketch (its Hamming distance never exceeds the symmetric difference) drops hopeless pairs inside
 the join, and what is left is checked on the full sets, so links are exact up to 64-bit hash collisions.
 
 Defined cases: null or blank text has an empty set and links with nothing; fewer than k words are
@@ -41,8 +41,8 @@ from beamquarry.llm.common import bounded_broadcast, forget, sliced, stored
 #: Sets up to this size keep all elements beside their row, so that their subsets can be made.
 SMALL = 12
 SKETCH_LONGS = 8
-#: Members of one salted part of a list.
-PART = 64
+#: Members of a list that are met with as many others in one go.
+BLOCK = 2048
 SIGNED = "doc_id long, n int, node long, sketch array<long>, prefix array<long>, small array<long>"
 
 
@@ -262,17 +262,27 @@ def apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def open_pairs(member: DataFrame, part: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of every list's members in different components that may link. A list is met part by part, at most PART members by all."""
+    """(a, b) of every list's members in different components that may link.
+
+    Only members outside of a list's largest component are met with the others, as a group of copies is one component by
+    now. Lists beyond BLOCK are met block by block, so that no task holds more than a block of either side.
+    """
     at = part.select(F.col("doc").alias("node"), "component")
     placed = member.join(bounded_broadcast(at, part), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lists = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_size")).where("_low < _high")
-    parts = F.ceil(F.col("_size") / PART).cast("int")
-    left = placed.join(lists.select("key", parts.alias("_parts")), "key").select("key", "node", "n", "sketch", "component", "_parts")
-    one = left.select("key", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int").alias("_part"), F.col("node").alias("a"), "n", "sketch", "component")
-    other = left.select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("component").alias("component2")
-    )
-    return one.join(other, ["key", "_part"]).where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component2")) & may_link(percent)).select("a", "b").distinct()
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"))
+    lists = sizes.groupBy("key").agg(F.max(F.struct("_n", "component")).alias("_m"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1")
+    blocks = [F.ceil(x / BLOCK).cast("int").alias(name) for x, name in ((F.col("_all") - F.col("_m._n"), "_p"), (F.col("_all"), "_q"))]
+    lists = lists.select("key", F.col("_m.component").alias("_main"), *blocks)
+    held = placed.join(lists, "key").select("key", "node", "n", "sketch", "component", "_p", "_q", (F.col("component") == F.col("_main")).alias("_inside"))
+
+    def dealt(rows: DataFrame, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
+        here = F.pmod(F.xxhash64("node"), F.col(own_count)).cast("int")
+        return rows.withColumn(own, here).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
+
+    one = dealt(held.where("NOT _inside"), "_i", "_p", "_j", "_q").select("key", "_i", "_j", F.col("node").alias("a"), "n", "sketch", "component")
+    other = dealt(held, "_j", "_q", "_i", "_p").select("key", "_i", "_j", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("component").alias("component2"), "_inside")
+    met = one.join(other, ["key", "_i", "_j"]).where((F.col("_inside") | (F.col("a") < F.col("b"))) & (F.col("component") != F.col("component2")) & may_link(percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
