@@ -1,16 +1,15 @@
 """Substring deduplication with prefix-partitioned suffix trees.
 
-Suffixes start at words and are cut after `window` words, the depth that matters. A suffix is held by
-two hashes, of its first 16 words and of all of them, so the tree branches at depth 16 and at full
-depth. Variable-length prefixes divide the suffixes into groups that fit in memory: 16 words, or all
-where 16 are too frequent. Each group's subtrees are built as a sorted suffix array with common-prefix
-depths; nodes at full depth with several leaves are the repeats, and their leaves in documents other
-than the first are removed with all the words they cover. A suffix that is too frequent even at full
-depth is one node, whose first document is found by aggregation.
-
-Not all suffixes are sorted. In every run of `window` words the 16-gram with the least hash is its anchor;
-equal runs have equal anchors. So first only anchors (about one for 18 words) are counted, and suffixes
-are made only where the anchor occurs in two documents or more. This loses no repeat.
+Suffixes start at words and are cut after `window` words, the depth that matters. They are divided into groups that
+fit in memory by a prefix each: the 16-gram with the least hash in the suffix's window, its anchor, which equal suffixes share
+wherever it lies. Neighbouring suffixes under one anchor travel as one segment of words. In each group a subtree is built over
+the words themselves: a suffix array by doubling, with the depth that neighbours have in common. Internal nodes of full depth with leaves
+in several documents are the repeats; joined in a text, where they overlap, they are its maximal repeats, and all
+but those of the first document are removed. Prefixes too frequent for a group are taken at full length instead: each whole
+suffix is a node, whose first document is found by aggregation.
+
+Not all suffixes are made. First only anchors (about one for 18 words) are counted, and suffixes
+are made only where the anchor occurs in two documents or more. This loses no repeat. Words are compared by 64-bit hashes.
 
 Defined cases: null text has no words; texts of fewer than `window` words keep all; rows with the same
 doc_id are one document and do not repeat each other; a null doc_id counts as later than all; an empty
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamquarry.llm.common import bounded_broadcast, lookup, sliced, stored
+from beamquarry.llm.common import bounded_broadcast, forget, lookup, sliced, stored
 from beamquarry.llm.ngram_join import Words, mixed
 
 LAST = (1 << 63) - 1
@@ -54,8 +53,8 @@ class Rolling:
     def __init__(self, words: list[bytes], known: Words):
         self.n = len(words)
         Powers.grow(self.n + 1)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, self.n)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * Powers.up[: self.n])])
+        self.codes = np.fromiter(map(known.__getitem__, words), np.uint64, self.n)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.codes * Powers.up[: self.n])])
 
     def of(self, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         return mixed((self.sums[starts + length] - self.sums[starts]) * Powers.down[starts] + np.uint64(length))
@@ -97,67 +96,136 @@ def anchor_table(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sign long, anchors array<long>, places array<int>")
 
 
-def suffixes(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, sign, start, s1, s2) of the suffixes whose anchor is among the document's `places`."""
+def spans(rolling: Rolling, window: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor's hash, low, high) of the runs of window starts, high not included, that share one of the anchors at `places`."""
+    at, grams = rolling.anchors(window)
+    change = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    low, high = change, np.concatenate([change[1:], [len(at)]])
+    inside = np.isin(at[low], places)
+    return grams[at[low[inside]]].view(np.int64), low[inside], high[inside]
+
+
+def segments(docs: DataFrame, window: int) -> DataFrame:
+    """(prefix, doc, sign, start, words): neighbouring suffixes under one anchor, with the hashes of all their words to full depth.
+
+    The anchor is the prefix that the group is chosen by: equal windows have equal anchors, so they meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in sliced(batches):
             for i, sign, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "sign", "text", "places")), strict=True):
                 words = (text or "").encode().split()
-                if len(words) < window:
+                if len(words) < window or not places:
+                    continue
+                rolling = Rolling(words, known)
+                prefix, low, high = spans(rolling, window, np.array(places))
+                codes = rolling.codes.tobytes()
+                cut = [codes[8 * a : 8 * (b + window - 1)] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                columns = [pa.array(prefix), *[pa.array(np.full(len(low), x, np.int64)) for x in (i, sign)], pa.array(low.astype(np.int32)), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["prefix", "doc", "sign", "start", "words"])
+
+    return docs.mapInArrow(run, "prefix long, doc long, sign long, start int, words binary")
+
+
+def whole_suffixes(docs: DataFrame, window: int) -> DataFrame:
+    """(doc, sign, start, node) of the suffixes under anchors at `places`: `node` is the hash of a suffix at full depth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in sliced(batches):
+            for i, sign, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "sign", "text", "places")), strict=True):
+                words = (text or "").encode().split()
+                if len(words) < window or not places:
                     continue
                 rolling = Rolling(words, known)
                 at = np.flatnonzero(np.isin(rolling.anchors(window)[0], places))
-                hashes = (rolling.of(at, ANCHOR), rolling.of(at, window))
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(np.full(len(at), x, np.int64)) for x in (i, sign)], pa.array(at.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in hashes]],
-                    ["doc", "sign", "start", "s1", "s2"],
-                )
+                columns = [*[pa.array(np.full(len(at), x, np.int64)) for x in (i, sign)], pa.array(at.astype(np.int32)), pa.array(rolling.of(at, window).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "sign", "start", "node"])
 
-    return docs.mapInArrow(run, "doc long, sign long, start int, s1 long, s2 long")
+    return docs.mapInArrow(run, "doc long, sign long, start int, node long")
 
 
-def deep_leaves(group: np.ndarray) -> np.ndarray:
-    """Of a group's suffixes (columns doc, start, s1, s2): the leaves of full-depth nodes that are not in the node's first document.
+class Subtree:
+    """The suffix tree of a group's segments down to `window` words, as a suffix array with common-prefix depths.
 
-    Sorted by prefix, whole and document, neighbours have 0, 1 (prefix) or 2 (all words) in common; a node of full
-    depth is a run of 2s.
+    `ranks[k]` numbers the runs of 2^k words in lexicographic order, each from the one before by doubling, and two overlapping runs rank
+    a suffix at full depth. An internal node is a run of neighbours in the array; its depth is the least of `depths` in it.
     """
-    group = group[np.lexsort((group["doc"], group["s2"], group["s1"]))]
-    prefix, whole = (group[s][1:] == group[s][:-1] for s in ("s1", "s2"))
-    depth = np.concatenate([[0], np.where(prefix, 1 + whole, 0)])
-    node = np.cumsum(depth < 2) - 1
-    first = group["doc"][np.flatnonzero(depth < 2)]
-    return group[group["doc"] > first[node]]
-
-
-def repeats(rows: DataFrame, memory_rows: int) -> DataFrame:
-    """(doc, sign, start) of all suffixes that an earlier document has too. `rows` is stored."""
-    total = rows.count()
-    limit = memory_rows // 2  # a prefix beyond it is split; the other prefixes of a group fill the rest of its memory
-    prefix, direct = F.xxhash64("s1"), None
-    short = stored(rows.groupBy("s1").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("s1"), "tree-prefixes")
-    if short.limit(1).count():
-        few = bounded_broadcast(short, short)
-        inside = rows.join(few, "s1", "left_semi").groupBy("s1", "s2")
-        long = stored(inside.agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("_first")).where(F.col("_n") > limit).drop("_n"), "tree-prefixes")
-        direct = rows.join(bounded_broadcast(long, long), ["s1", "s2"]).where("doc > _first").select("doc", "sign", "start")
-        rows = rows.join(bounded_broadcast(long, long), ["s1", "s2"], "left_anti").join(bounded_broadcast(short.withColumn("_long", F.lit(True)), short), "s1", "left")
-        prefix = F.when(F.col("_long"), F.xxhash64("s1", "s2")).otherwise(prefix)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ("doc", "sign", "start", "s1", "s2")
-        parts = [np.rec.fromarrays([batch[c].to_numpy() for c in columns], names=columns) for batch in batches]
-        if parts:
-            leaves = deep_leaves(np.concatenate(parts))
-            for low in range(0, len(leaves), 100_000):
-                part = leaves[low : low + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in columns[:3]], list(columns[:3]))
+    def __init__(self, codes: np.ndarray, starts: np.ndarray, window: int):
+        self.window = window
+        self.ranks = [np.unique(codes, return_inverse=True)[1]]
+        while 2 << (len(self.ranks) - 1) <= window:
+            last, step = self.ranks[-1], 1 << (len(self.ranks) - 1)
+            pair = last.copy().astype(np.int64) * (len(codes) + 1)
+            pair[:-step] += last[step:] + 1
+            self.ranks.append(np.unique(pair, return_inverse=True)[1])
+        top = self.ranks[-1]
+        rest = window - (1 << (len(self.ranks) - 1))
+        self.order = np.lexsort((top[starts + rest], top[starts]))
+        self.suffixes = starts[self.order]
+        self.depths = self._depths()
+
+    def _depths(self) -> np.ndarray:
+        """Words in common with the suffix before, `window` at most; 0 for the first."""
+        one, two = self.suffixes[:-1], self.suffixes[1:]
+        depth = np.zeros(len(one), np.int64)
+        same = np.ones(len(one), bool)
+        for k in reversed(range(len(self.ranks))):
+            for _ in range(2 if k == len(self.ranks) - 1 else 1):
+                fits = same & (depth + (1 << k) <= self.window)
+                at = np.where(fits, depth, 0)
+                equal = fits & (self.ranks[k][one + at] == self.ranks[k][two + at])
+                depth += np.where(equal, 1 << k, 0)
+        return np.concatenate([[0], depth]) if len(self.suffixes) else depth
+
+    def deep_nodes(self) -> np.ndarray:
+        """The number of each suffix's node of full depth, in the order of the array."""
+        return np.cumsum(self.depths < self.window) - 1
+
+
+def deep_leaves(doc: np.ndarray, sign: np.ndarray, start: np.ndarray, words: list[bytes], window: int) -> tuple[np.ndarray, ...]:
+    """(doc, sign, start) of a group's leaves under nodes of full depth that are not in the node's first document."""
+    size = np.array([len(x) // 8 for x in words], np.int64)
+    row = np.repeat(np.arange(len(size)), size - window + 1)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(size - window + 1) - (size - window + 1), size - window + 1)
+    tree = Subtree(np.frombuffer(b"".join(words), np.uint64), (np.cumsum(size) - size)[row] + inside, window)
+    leaf, node = tree.order, tree.deep_nodes()
+    first = np.full(node[-1] + 1, LAST)
+    np.minimum.at(first, node, doc[row[leaf]])
+    late = leaf[doc[row[leaf]] > first[node]]
+    return doc[row[late]], sign[row[late]], (start[row[late]] + inside[late]).astype(np.int32)
+
+
+def repeats(texts: DataFrame, cold: DataFrame, hot: DataFrame, suffixes: int, window: int, memory_rows: int) -> DataFrame:
+    """(doc, sign, start) of all suffixes that an earlier document has too.
+
+    `cold` and `hot` are stored (doc_id, sign, places) of anchors that fit a group, and of those that are too frequent. A cold
+    anchor's suffixes meet in one group; a hot one's are split at full depth: each node's first document is found by aggregation.
+    """
 
-    groups = max(1, -(-4 * total // memory_rows))
-    found = rows.select("doc", "sign", "start", "s1", "s2").repartition(groups, prefix).mapInArrow(run, "doc long, sign long, start int")
-    return found if direct is None else found.unionByName(direct)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, words = [[], [], []], []
+        for batch in batches:
+            for column, name in zip(columns, ("doc", "sign", "start"), strict=True):
+                column.append(batch[name].to_numpy())
+            words += batch["words"].to_pylist()
+        if words:
+            found = deep_leaves(*[np.concatenate(x) for x in columns], words, window)
+            for low in range(0, len(found[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[low : low + 100_000])) for x in found], ["doc", "sign", "start"])
+
+    schema = "doc long, sign long, start int"
+    groups = max(1, -(-4 * suffixes // memory_rows))
+    inside = segments(texts.join(bounded_broadcast(cold, cold), ["doc_id", "sign"]), window)
+    found = inside.repartition(groups, F.xxhash64("prefix")).mapInArrow(run, schema)
+    if not hot.limit(1).count():
+        return found
+    rows = stored(whole_suffixes(texts.join(bounded_broadcast(hot, hot), ["doc_id", "sign"]), window), "tree-hot")
+    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("_first"), F.max("doc").alias("_last"))
+    nodes = stored(nodes.where("_first < _last").drop("_last"), "tree-nodes")
+    return found.unionByName(lookup(rows, nodes, "node", "_n", rows.count()).where("doc > _first").select("doc", "sign", "start"))
 
 
 def runs_of(found: DataFrame, window: int) -> DataFrame:
@@ -187,9 +255,17 @@ def remove_repeats(docs: DataFrame, window: int = 50, memory_rows: int = 200_000
     shared = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).where("_low < _high")
     shared = stored(shared.select("anchor", "_n"), "tree-shared")
     total = table.agg(F.sum(F.size("places"))).first()[0] or 0
-    places = stored(lookup(each, shared, "anchor", "_n", total).groupBy("doc_id", "sign").agg(F.collect_set("place").alias("places")), "tree-places")
-    rows = stored(suffixes(texts.join(bounded_broadcast(places, places), ["doc_id", "sign"]), window), "tree-suffixes")
-    covered = stored(runs_of(repeats(rows, memory_rows), window), "tree-runs")
+    # an anchor has about window - ANCHOR + 1 suffixes over two, and at most all of them
+    often = max(1, memory_rows // (window - ANCHOR + 1))
+    held = lookup(each, shared, "anchor", "_n", total).groupBy("doc_id", "sign").agg(
+        F.collect_set(F.when(F.col("_n") <= often, F.col("place"))).alias("cold"), F.collect_set(F.when(F.col("_n") > often, F.col("place"))).alias("hot")
+    )
+    held = stored(held, "tree-places")
+    cold, hot = (held.where(F.size(c) > 0).select("doc_id", "sign", F.col(c).alias("places")) for c in ("cold", "hot"))
+    cold.scratch_path = hot.scratch_path = held.scratch_path
+    suffixes = (held.agg(F.sum(F.size("cold"))).first()[0] or 0) * (window - ANCHOR + 1) // 2
+    covered = stored(runs_of(repeats(texts, cold, hot, suffixes, window, memory_rows), window), "tree-runs")
+    forget(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

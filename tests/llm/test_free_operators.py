@@ -198,8 +198,25 @@ def test_repeats_empty(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_subtree_depths_by_brute_force():
+    rng = np.random.default_rng(6)
+    for window in (32, 33, 50):
+        base = rng.integers(1, 4, 300)
+        parts = [base[a : a + n] for a, n in zip(rng.integers(0, 150, 30), rng.integers(window, 140, 30), strict=True)]
+        codes = np.concatenate(parts).astype(np.uint64)
+        begin = np.cumsum([0, *map(len, parts)])[:-1]
+        starts = np.concatenate([b + np.arange(len(x) - window + 1) for b, x in zip(begin, parts, strict=True)])
+        tree = substring_dedup.Subtree(codes, starts, window)
+        whole = [tuple(codes[a : a + window]) for a in tree.suffixes]
+        assert whole == sorted(tuple(codes[a : a + window]) for a in starts)
+        for depth, x, y in zip(tree.depths[1:], whole, whole[1:], strict=False):
+            common = next((k for k in range(window) if x[k] != y[k]), window)
+            assert depth == common
+        assert len(set(tree.deep_nodes().tolist())) == len(set(whole))
+
+
 def test_deep_leaves():
-    names = ("doc", "start", "s1", "s2")
-    rows = [(4, 0, 1, 1), (2, 7, 1, 1), (2, 9, 1, 1), (3, 0, 1, 2), (1, 0, 2, 1), (9, 9, 5, 5)]
-    group = np.rec.fromarrays(np.array(rows, np.int64).T, names=names)
-    assert [(r["doc"], r["start"]) for r in substring_dedup.deep_leaves(group)] == [(4, 0)]
+    """Of nodes with leaves in several documents, those of all but the first."""
+    words = [np.arange(40, dtype=np.uint64), np.arange(41, dtype=np.uint64), np.arange(5, 45, dtype=np.uint64), np.arange(900, 940, dtype=np.uint64)]
+    got = substring_dedup.deep_leaves(np.array([4, 2, 2, 3]), np.array([1, 1, 1, 1]), np.array([0, 7, 60, 0]), [x.tobytes() for x in words], 40)
+    assert [x.tolist() for x in got] == [[4], [1], [0]]
