@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from beamquarry.operators.percentiles import BUFFERED, percentiles
+from beamquarry.session import kept
+
 
 def paired(reference: DataFrame, candidate: DataFrame, keys: list[str], value: str = "power") -> DataFrame:
     """Both cubes side by side as `r` and `c`. Rows that only one has stay, with a null on the other side."""
@@ -20,35 +23,37 @@ def _difference() -> tuple[Column, Column, Column]:
     return r, c, F.abs(c - r)
 
 
-def metrics(pairs: DataFrame, absolute: float, relative: float) -> DataFrame:
+def metrics(pairs: DataFrame, absolute: float, relative: float, buffered: int = BUFFERED) -> DataFrame:
     """Largest absolute error; mean, 99th percentile (linear) and largest relative error; correlation; values outside tolerance."""
     r, c, error = _difference()
     rel = F.when(F.abs(r) > absolute, error / F.abs(r))
     flat = (F.stddev_pop(r) == 0) | (F.stddev_pop(c) == 0)
-    return pairs.agg(
+    rows = kept(pairs.select("r", "c", rel.alias("_rel")), "metrics")
+    rel = F.col("_rel")
+    sums = rows.agg(
         F.max(error).alias("max_absolute_error"),
         F.coalesce(F.avg(rel), F.lit(0.0)).alias("mean_relative_error"),
-        F.coalesce(F.percentile(rel, 0.99), F.lit(0.0)).alias("p99_relative_error"),
         F.coalesce(F.max(rel), F.lit(0.0)).alias("max_relative_error"),
         F.when(flat, F.when(F.max(error) == 0, 1.0).otherwise(F.lit(float("nan")))).otherwise(F.corr(r, c)).alias("correlation"),
         F.count_if((error > absolute) & (rel.isNull() | (rel > relative))).alias("outside_tolerance"),
         F.count(F.lit(1)).alias("total_values"),
     )
+    p99 = percentiles(rows, [], {"_p99": ("_rel", 0.99, "linear")}, buffered)
+    return sums.crossJoin(p99).withColumn("p99_relative_error", F.coalesce("_p99", F.lit(0.0))).drop("_p99")  # one row each
 
 
-def output_stats(pairs: DataFrame, absolute: float, relative: float) -> DataFrame:
+def output_stats(pairs: DataFrame, absolute: float, relative: float, buffered: int = BUFFERED) -> DataFrame:
     """Validation of outputs: tolerance is absolute + relative |r|, the 99th percentile is the nearest rank of all values."""
     r, c, error = _difference()
     rel = F.when(F.abs(r) > absolute, error / F.abs(r))
-    nearest = F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY _rel)")
+    rows = kept(pairs.select("r", "c", rel.alias("_rel")), "outputs")
+    p99 = percentiles(rows, [], {"_p99": ("_rel", 0.99, "nearest")}, buffered)
     return (
-        pairs.withColumn("_rel", rel)
-        .agg(
+        rows.agg(
             F.max(error).alias("max_absolute_error"),
             F.avg(error).alias("mean_absolute_error"),
             F.coalesce(F.max("_rel"), F.lit(0.0)).alias("max_relative_error"),
             F.coalesce(F.avg("_rel"), F.lit(0.0)).alias("mean_relative_error"),
-            F.coalesce(nearest, F.lit(0.0)).alias("p99_relative_error"),
             F.sum(error * error).alias("_d2"),
             F.sum(r * r).alias("_r2"),
             F.count(F.lit(1)).alias("output_count"),
@@ -56,7 +61,9 @@ def output_stats(pairs: DataFrame, absolute: float, relative: float) -> DataFram
             F.when(F.stddev_pop(r) * F.stddev_pop(c) > 0, F.corr(r, c)).when(F.max(error) == 0, 1.0).otherwise(0.0).alias("correlation"),
         )
         .withColumn("nrmse", F.sqrt(F.col("_d2") / F.when(F.col("_r2") > 0, F.col("_r2")).otherwise(F.col("output_count").cast("double"))))
-        .drop("_d2", "_r2")
+        .crossJoin(p99)  # one row each
+        .withColumn("p99_relative_error", F.coalesce("_p99", F.lit(0.0)))
+        .drop("_d2", "_r2", "_p99")
     )
 
 
@@ -98,30 +105,37 @@ def marginals(power: DataFrame) -> DataFrame:
     return sets.select(axis.alias("axis"), F.coalesce(F.col("t").cast("long"), F.col("f").cast("long"), F.col("b").cast("long")).alias("at"), "power")
 
 
-def latency_summary(latencies: DataFrame, keys: list[str]) -> DataFrame:
+def latency_summary(latencies: DataFrame, keys: list[str], buffered: int = BUFFERED) -> DataFrame:
     """Smallest, mean, median, 95th percentile (nearest rank) and largest latency."""
     x = F.col("latency_ms")
-    return latencies.groupBy(*keys).agg(
-        F.min(x).alias("min_ms"), F.avg(x).alias("mean_ms"), F.median(x).alias("median_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p95_ms"), F.max(x).alias("max_ms")
-    )
+    sums = latencies.groupBy(*keys).agg(F.min(x).alias("min_ms"), F.avg(x).alias("mean_ms"), F.max(x).alias("max_ms"))
+    return _with(sums, percentiles(latencies, keys, {"median_ms": ("latency_ms", 0.5, "linear"), "p95_ms": ("latency_ms", 0.95, "nearest")}, buffered), keys)
+
+
+def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Both summaries of the same groups side by side."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    return left.join(renamed, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]).drop(*[f"_r_{k}" for k in keys])
 
 
-def engine_ratios(latencies: DataFrame, baselines: dict[str, str]) -> DataFrame:
+def engine_ratios(latencies: DataFrame, baselines: dict[str, str], buffered: int = BUFFERED) -> DataFrame:
     """Latency of each engine (95th percentile linear), and how many times faster than each baseline its median is."""
     x = F.col("latency_ms")
-    table = latencies.groupBy("engine").agg(F.min(x).alias("min_ms"), F.median(x).alias("median_ms"), F.percentile(x, 0.95).alias("p95_ms"), F.max(x).alias("max_ms"))
+    sums = latencies.groupBy("engine").agg(F.min(x).alias("min_ms"), F.max(x).alias("max_ms"))
+    ranks = percentiles(latencies, ["engine"], {"median_ms": ("latency_ms", 0.5, "linear"), "p95_ms": ("latency_ms", 0.95, "linear")}, buffered)
+    table = kept(_with(sums, ranks, ["engine"]), "engines")
     for name, engine in baselines.items():
         one = table.where(F.col("engine") == engine).select(F.col("median_ms").alias("_base"))  # one row
         table = table.crossJoin(F.broadcast(one)).withColumn(f"speedup_vs_{name}", F.when(F.col("engine") != engine, F.try_divide("_base", "median_ms"))).drop("_base")
     return table
 
 
-def timing_groups(timings: DataFrame, fields: list[str]) -> DataFrame:
+def timing_groups(timings: DataFrame, fields: list[str], buffered: int = BUFFERED) -> DataFrame:
     """Median and quartiles by problem size, with speedups over the CPU and rates where those fields exist."""
     keys = ["n_ant", "n_freq", "n_beams", "n_time"]
-    kept = [F.first(c).alias(c) for c in ("n_outputs", "n_cmac", "estimated_flop")]
-    shares = [F.percentile(c, p).alias(f"{c}_{name}") for c in fields for name, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))]
-    out = timings.groupBy(*keys).agg(*kept, F.count(F.lit(1)).alias("repetitions"), *shares)
+    sums = timings.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("n_outputs", "n_cmac", "estimated_flop")], F.count(F.lit(1)).alias("repetitions"))
+    shares = {f"{c}_{name}": (c, p, "linear") for c in fields for name, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))}
+    out = _with(sums, percentiles(timings, keys, shares, buffered), keys)
     if "cpu_ms" in fields:
         out = out.withColumn("speedup_kernel", F.try_divide("cpu_ms_median", "gpu_kernel_ms_median")).withColumn("speedup_pipeline", F.try_divide("cpu_ms_median", "gpu_pipeline_wall_ms_median"))
     for label, field in (("cpu", "cpu_ms"), ("gpu_kernel", "gpu_kernel_ms"), ("gpu_pipeline", "gpu_pipeline_wall_ms")):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "beamquarry", **conf: str) -> SparkSession:
@@ -39,3 +39,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         found = tempfile.mkdtemp(prefix="beamquarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/beamquarry/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A table that is read more than once, written to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,18 +7,13 @@ from pyspark.sql import functions as F
 from beamquarry.model import Dimensions, SearchConfig, ShardDescriptor, Trajectory, resolve_channels
 from beamquarry.operators import beamform, burst, compare, doa, geometry, tracker
 from beamquarry.plans import catalog, views
-from beamquarry.session import scratch_path
+from beamquarry.operators.percentiles import percentiles
+from beamquarry.session import kept
 from beamquarry.sources import records, synthetic, tensors
 
 SHAPE = ("x", 30.0, 0.8, 0.004, 0.002, -1.0, 0.0, 25.0)
 
 
-def kept(df, name):
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 @pytest.fixture(scope="module")
 def bench(spark):
     return burst.Bench(geometry.channels(spark, 16, 400e6, 25e6), 2048, kept, n_ant=64)
@@ -149,6 +144,23 @@ def test_refusals(spark, tmp_path):
         tensors.read_quantized_metadata(spark, str(tmp_path / "m.txt"))
 
 
+def test_percentiles_by_two_passes(spark):
+    rng = np.random.default_rng(3)
+    groups = {"many": rng.normal(0, 50, 3000).round(1), "few": np.array([4.0]), "ties": np.repeat([1.0, 7.0, 1e12], [500, 3, 4]), None: rng.exponential(9, 77)}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("few", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    wanted = {"a": ("v", 0.5, "linear"), "b": ("v", 0.99, "nearest"), "c": ("v", 0.95, "linear"), "d": ("v", 0.0, "nearest"), "e": ("v", 1.0, "linear")}
+    for buffered in (0, 10**9):
+        got = {r["k"]: r for r in percentiles(df, ["k"], wanted, buffered, bins=64).collect()}
+        assert set(got) == {*groups, "none"} and got["none"]["a"] is None
+        for k, v in groups.items():
+            v = np.sort(v)
+            assert np.allclose([got[k][x] for x in "ace"], [np.percentile(v, q) for q in (50, 95, 100)])
+            assert got[k]["b"] == v[int(np.ceil(len(v) * 0.99)) - 1] and got[k]["d"] == v[0]
+    whole = percentiles(df, [], {"m": ("v", 0.5, "linear")}, 0).first()["m"]
+    assert np.isclose(whole, np.median(np.concatenate(list(groups.values()))))
+
+
 def test_report_drops_private_fields_at_any_depth(spark):
     rows = spark.sql("SELECT 1 AS a, 2 AS _b, named_struct('c', 3, '_d', 4, 'e', array(named_struct('_f', 5, 'g', 6))) AS s, map('x', 1, '_y', 2) AS m")
     assert records.report_json(rows).first()[0] == '{"a":1,"s":{"c":3,"e":[{"g":6}]},"m":{"x":1}}'
