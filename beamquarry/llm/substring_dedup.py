@@ -32,6 +32,8 @@ LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 ANCHOR = 16
+#: A node that holds more than one in HOT_NODES leaves is among the busiest; so there are fewer than HOT_NODES of them.
+HOT_NODES = 1000
 
 
 class Powers:
@@ -129,21 +131,58 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
 
 
 def whole_suffixes(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, sign, start, node) of the suffixes under anchors at `places`: `node` is the hash of a suffix at full depth."""
+    """(node, n, low, high): of the suffixes under anchors at `places`, the hash at full depth; a task's batch counts its own leaves and their
+    least and greatest document first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in sliced(batches):
-            for i, sign, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "sign", "text", "places")), strict=True):
-                words = (text or "").encode().split()
-                if len(words) < window or not places:
-                    continue
-                rolling = Rolling(words, known)
-                at = np.flatnonzero(np.isin(rolling.anchors(window)[0], places))
-                columns = [*[pa.array(np.full(len(at), x, np.int64)) for x in (i, sign)], pa.array(at.astype(np.int32)), pa.array(rolling.of(at, window).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "sign", "start", "node"])
+            nodes, docs_ = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "places")), strict=True):
+                found = suffixes_at(text, window, places, known)[1]
+                nodes.append(found)
+                docs_.append(np.full(len(found), i, np.int64))
+            node, place, n = np.unique(np.concatenate(nodes), return_inverse=True, return_counts=True)
+            doc, low, high = np.concatenate(docs_), np.full(len(node), LAST), np.full(len(node), -LAST)
+            np.minimum.at(low, place, doc)
+            np.maximum.at(high, place, doc)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, n, low, high)], ["node", "n", "low", "high"])
+
+    return docs.mapInArrow(run, "node long, n long, low long, high long")
+
+
+def suffixes_at(text: str | None, window: int, places: list[int], known: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes at full depth) of a text's suffixes under the anchors at `places`."""
+    words = (text or "").encode().split()
+    if len(words) < window or not places:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    rolling = Rolling(words, known)
+    at = np.flatnonzero(np.isin(rolling.anchors(window)[0], places))
+    return at, rolling.of(at, window).view(np.int64)
+
+
+def hot_leaves(docs: DataFrame, window: int, busiest: dict[int, int]) -> DataFrame:
+    """(doc, sign, starts, open_starts, open_nodes): a text's leaves under the busiest nodes that are not in their first document, and
+    its leaves under other nodes, which are open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        name = np.array(sorted(busiest), np.int64)
+        first = np.array([busiest[x] for x in name.tolist()], np.int64)
+        for batch in sliced(batches):
+            out = [[], [], []]
+            for i, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "places")), strict=True):
+                at, node = suffixes_at(text, window, places, known)
+                k = np.minimum(np.searchsorted(name, node), max(0, len(name) - 1))
+                is_busy = (name[k] == node) if len(name) else np.zeros(len(node), bool)
+                late = is_busy & (first[k] < i) if len(name) else is_busy
+                for column, x in zip(out, (at[late], at[~is_busy], node[~is_busy]), strict=True):
+                    column.append(x)
+            kinds = (pa.int32(), pa.int32(), pa.int64())
+            lists = [pa.array([x.astype(k.to_pandas_dtype()) for x in column], pa.list_(k)) for column, k in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sign"], *lists], ["doc", "sign", "starts", "open_starts", "open_nodes"])
 
-    return docs.mapInArrow(run, "doc long, sign long, start int, node long")
+    return docs.mapInArrow(run, "doc long, sign long, starts array<int>, open_starts array<int>, open_nodes array<long>")
 
 
 class Subtree:
@@ -199,10 +238,11 @@ def deep_leaves(doc: np.ndarray, sign: np.ndarray, start: np.ndarray, words: lis
 
 
 def repeats(texts: DataFrame, cold: DataFrame, hot: DataFrame, suffixes: int, window: int, memory_rows: int) -> DataFrame:
-    """(doc, sign, start) of all suffixes that an earlier document has too.
+    """(doc, sign, starts) of all suffixes that an earlier document has too; a text may have several rows.
 
     `cold` and `hot` are stored (doc_id, sign, places) of anchors that fit a group, and of those that are too frequent. A cold
-    anchor's suffixes meet in one group; a hot one's are split at full depth: each node's first document is found by aggregation.
+    anchor's suffixes meet in one group; a hot one's are split at full depth: each node's first document is found by aggregation,
+    and is told to the leaves of the busiest nodes (fewer than HOT_NODES) by value, to the others by a join.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,20 +252,32 @@ def repeats(texts: DataFrame, cold: DataFrame, hot: DataFrame, suffixes: int, wi
                 column.append(batch[name].to_numpy())
             words += batch["words"].to_pylist()
         if words:
-            found = deep_leaves(*[np.concatenate(x) for x in columns], words, window)
-            for low in range(0, len(found[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[low : low + 100_000])) for x in found], ["doc", "sign", "start"])
+            doc, sign, start = deep_leaves(*[np.concatenate(x) for x in columns], words, window)
+            order = np.lexsort((start, sign, doc))
+            doc, sign, start = doc[order], sign[order], start[order]
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (sign[1:] != sign[:-1])])) if len(doc) else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)), pa.int32()), pa.array(np.ascontiguousarray(start), pa.int32()))
+            found = pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(sign[new]), lists], ["doc", "sign", "starts"])
+            for low in range(0, found.num_rows, 10_000):
+                yield found.slice(low, 10_000)
 
-    schema = "doc long, sign long, start int"
     groups = max(1, -(-4 * suffixes // memory_rows))
     inside = segments(texts.join(bounded_broadcast(cold, cold), ["doc_id", "sign"]), window)
-    found = inside.repartition(groups, F.xxhash64("prefix")).mapInArrow(run, schema)
+    found = inside.repartition(groups, F.xxhash64("prefix")).mapInArrow(run, "doc long, sign long, starts array<int>")
     if not hot.limit(1).count():
         return found
-    rows = stored(whole_suffixes(texts.join(bounded_broadcast(hot, hot), ["doc_id", "sign"]), window), "tree-hot")
-    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("_first"), F.max("doc").alias("_last"))
-    nodes = stored(nodes.where("_first < _last").drop("_last"), "tree-nodes")
-    return found.unionByName(lookup(rows, nodes, "node", "_n", rows.count()).where("doc > _first").select("doc", "sign", "start"))
+    frequent = texts.join(bounded_broadcast(hot, hot), ["doc_id", "sign"])
+    nodes = whole_suffixes(frequent, window).groupBy("node").agg(F.sum("n").alias("_n"), F.min("low").alias("_first"), F.max("high").alias("_last"))
+    nodes = stored(nodes, "tree-nodes")
+    total = nodes.agg(F.sum("_n")).first()[0] or 0
+    repeated = nodes.where("_first < _last").select("node", "_first", "_n")
+    is_busy = F.col("_n") > max(1, total // HOT_NODES)
+    busiest = {r["node"]: r["_first"] for r in repeated.where(is_busy).collect()}  # fewer than HOT_NODES
+    leaves = stored(hot_leaves(frequent, window, busiest), "tree-leaves")
+    pair = F.explode(F.arrays_zip(F.col("open_starts").alias("start"), F.col("open_nodes").alias("node"))).alias("x")
+    others = leaves.where("size(open_starts) > 0").select("doc", "sign", pair).select("doc", "sign", "x.start", "x.node")
+    late = others.join(repeated.where(~is_busy), "node").where("doc > _first").groupBy("doc", "sign").agg(F.collect_list("start").alias("starts"))
+    return found.unionByName(leaves.where("size(starts) > 0").select("doc", "sign", "starts")).unionByName(late)
 
 
 def runs_of(found: DataFrame, window: int) -> DataFrame:
@@ -241,11 +293,11 @@ def runs_of(found: DataFrame, window: int) -> DataFrame:
                 highs.append(at[np.concatenate([new[1:] - 1, [len(at) - 1]])] + window)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sign"], pa.array(lows, pa.list_(pa.int32())), pa.array(highs, pa.list_(pa.int32()))], ["doc_id", "sign", "low", "high"])
 
-    gathered = found.groupBy(F.col("doc").alias("doc_id"), "sign").agg(F.collect_list("start").alias("starts"))
+    gathered = found.groupBy(F.col("doc").alias("doc_id"), "sign").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     return gathered.mapInArrow(run, "doc_id long, sign long, low array<int>, high array<int>")
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, memory_rows: int = 200_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, memory_rows: int = 400_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
     if window < 2 * ANCHOR:
         raise ValueError(f"a window has at least {2 * ANCHOR} words")

@@ -188,6 +188,14 @@ def test_repeats_match_brute_force(spark, window, memory_rows):
     assert any(r["n_removed"] for r in out)
 
 
+def test_repeats_with_few_busy_nodes(spark, monkeypatch):
+    """Too frequent prefixes whose nodes are told by value and by a join."""
+    monkeypatch.setattr(substring_dedup, "HOT_NODES", 40)
+    rows = corpus(random.Random(1)) + [(2000 + i, "x " * 70) for i in range(30)]
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50, 80).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in out} == brute_repeats(rows, 50)
+
+
 def test_repeats_on_corpus(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = substring_dedup.remove_repeats(df).collect()
