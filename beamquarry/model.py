@@ -11,6 +11,8 @@ LOCAL_CHANNELS, BLOCK_ANTENNAS, ANTENNA_COUNTS, MAX_BEAMS = 336, 32, (32, 64, 12
 FIRST_HZ, STEP_HZ, PITCH_M, LIGHT_M_S = 300e6, 0.3e6, 0.6, 299792458.0
 #: Spectra summed after the upchannelizer, and directly; beams of a weight tile.
 POST_CHANNELIZER_SPECTRA, DIRECT_SPECTRA, BEAM_TILE = 10, 320, 32
+#: Fixed value: how far a start direction's square may be from 1.
+UNIT_SLACK = 1e-3
 #: Quantizer tile (windows, channels, beams) and codes.
 TILE, INVALID_CODE, MIN_CODE, MAX_CODE = (1, 16, 16), -128, -127, 127
 
@@ -121,14 +123,36 @@ class Trajectory:
             raise ValueError(f"direction ({l}, {m}) at sample {t} is outside the unit disk")
         return l, m, math.sqrt(inside)
 
+    @classmethod
+    def from_direction(cls, start: tuple[float, float, float], rate: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> Trajectory:
+        """From a start (l, m, n), a unit vector to 1e-3, and a finite rate; n follows from l and m."""
+        square = sum(x * x for x in start)
+        if not math.isfinite(square) or abs(square - 1) > UNIT_SLACK:
+            raise ValueError("the start direction must be a finite unit vector")
+        if not all(map(math.isfinite, rate)):
+            raise ValueError("the rate must be finite")
+        return cls(start[0], start[1], rate[0], rate[1])
+
     def check(self, n_time: int, spectra: int) -> Trajectory:
         """The path is a straight line, so its ends decide whether all windows stay in the disk."""
+        if spectra <= 0:
+            raise ValueError("integration count must be positive")
+        if not all(map(math.isfinite, (self.l_rate, self.m_rate))):
+            raise ValueError("the rate must be finite")
         last = (max(1, window_count(n_time, spectra)) - 1) * spectra
         self.at(0)
         self.at(last)
         return self
 
 
+def check_tracker(dims: Dimensions, path: Trajectory, spectra: int, channels: int | None = LOCAL_CHANNELS) -> None:
+    """What a tracker's run must meet before any work: valid dimensions, one beam, a window, and a path in the disk to its end."""
+    dims.check(channels)
+    if dims.n_beams != 1:
+        raise ValueError("a tracker has one beam")
+    path.check(dims.n_time, spectra)
+
+
 @dataclass(frozen=True)
 class SearchConfig:
     """Direction-of-arrival search: grid, refinement, estimator and covariance memory."""

@@ -256,6 +256,12 @@ def grid_powers(covs: DataFrame, hz: np.ndarray, positions: np.ndarray, look: np
     return rows.groupBy("shard_id", "w", "cell").agg(F.sum("power").alias("power"))
 
 
+def dump(covs: DataFrame, cells: DataFrame, powers: DataFrame, path: str) -> None:
+    """What a search saw, for a look at it afterwards: covariances, cells and powers as tables under one folder."""
+    for name, table in (("covariances", covs), ("cells", cells), ("powers", powers)):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def strongest_cell(powers: DataFrame, cells: DataFrame) -> DataFrame:
     """(shard_id, w, l, m, n, power): the first of the strongest cells of each window."""
     best = powers.groupBy("shard_id", "w").agg(F.max(F.struct("power", (-F.col("cell")).alias("minus"))).alias("_m"))

@@ -59,6 +59,16 @@ def file_voltage(spark, sf_dir):
     return rows.select("t", "f", "a", F.conv(F.substring("h", 2 * F.col("a") + 1, F.lit(2)), 16, 10).alias("byte"))
 
 
+@query("file_spectra", "t long, bytes long, total long", "SELECT t, 4 * 32 AS bytes, sum(byte) AS total FROM dense GROUP BY t")
+def file_spectra(spark, sf_dir):
+    """The same file by spectra, as records of fixed length."""
+    path = scratch_path(spark, "spectra.bin")
+    tensors.write_packed_voltage(payloads(spark, sf_dir), path, DENSE)
+    rows = tensors.read_packed_spectra(spark, path, DENSE).withColumn("h", F.hex("payload"))
+    byte = F.transform(F.sequence(F.lit(0), F.lit(4 * 32 - 1)), lambda i: F.conv(F.substring("h", 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
+    return rows.select("t", F.octet_length("payload").alias("bytes"), F.aggregate(byte, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 @query("file_weights", "b long, f long, a long, wr long, wi long", "SELECT * FROM integer_weights")
 def file_weights(spark, sf_dir):
     path, dims = scratch_path(spark, "weights.bin"), Dimensions(1, V.CHANNELS, V.ANTENNAS, 8)
@@ -382,6 +392,21 @@ def bartlett_peaks(spark, sf_dir):
     return peaks.select("w", (F.round("l", 6) + zero).alias("l"), (F.round("m", 6) + zero).alias("m"))
 
 
+@query(
+    "search_dump",
+    "name string, n long",
+    f"""SELECT 'cells' AS name, 25 AS n UNION ALL SELECT 'powers', 25 * count(DISTINCT vec_id // {FRAME_SPECTRA}) FROM embeddings UNION ALL
+    SELECT 'covariances', count(*) FROM (SELECT DISTINCT vec_id // {FRAME_SPECTRA}, vec_id % 16 FROM embeddings)""",
+)
+def search_dump(spark, sf_dir):
+    path, cells = scratch_path(spark, "dump"), geometry.centred_grid(spark, 0.0, 0.0, 5, 0.2, 0.2)
+    look = np.array([(r["l"], r["m"], r["n"]) for r in cells.orderBy("cell").collect()])
+    covs = doa.covariances(V.frames(spark, sf_dir), V.ANTENNAS, FRAME_SPECTRA)
+    doa.dump(covs, cells, doa.grid_powers(covs, 300e6 + np.arange(V.FRAME_CHANNELS) * 0.3e6, positions(), look), path)
+    counts = [spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name)) for name in ("cells", "powers", "covariances")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 # --- bursts
 
 

@@ -40,6 +40,19 @@ def read_packed_voltage(spark: SparkSession, path: str, dims: Dimensions, shard_
     return frames.select(F.lit(shard_id).alias("shard_id"), "t", "f", "payload")
 
 
+def read_packed_spectra(spark: SparkSession, path: str, dims: Dimensions) -> DataFrame:
+    """(t, payload): one row for each spectrum of a file of [t][f][element] bytes, for the tracker over whole spectra.
+
+    Records of fixed length are the one way to split a single large file over tasks; Spark offers it for RDDs only.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).getLen()
+    if size != dims.voltage_bytes:
+        raise ValueError(f"{path} has {size} bytes; expected {dims.voltage_bytes}")
+    records = spark.sparkContext.binaryRecords(path, dims.n_freq * dims.n_ant).zipWithIndex()
+    return spark.createDataFrame(records.map(lambda x: (x[1], bytearray(x[0]))), "t long, payload binary")
+
+
 def _read_values(spark: SparkSession, path: str, kind: str, shape: tuple[int, ...], names: list[str], values: list[str]) -> DataFrame:
     """A row for each place of a dense row-major tensor of `shape`, with its index columns and its values."""
     size, width = int(np.prod(shape)), np.dtype(kind).itemsize * len(values)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from beamquarry.model import Dimensions, SearchConfig, ShardDescriptor, Trajectory, resolve_channels
+from beamquarry.model import Dimensions, SearchConfig, ShardDescriptor, Trajectory, check_tracker, resolve_channels
 from beamquarry.operators import beamform, burst, compare, doa, geometry, tracker
 from beamquarry.plans import catalog, views
 from beamquarry.operators.percentiles import percentiles
@@ -117,6 +117,13 @@ def test_refusals(spark, tmp_path):
     for buffer, n in ((None, 400), ("2", None), ("both", 336)):
         with pytest.raises(ValueError):
             resolve_channels(buffer, n)
+    check_tracker(Dimensions(640, 336, 64, 1), Trajectory.from_direction((0.0, 0.0, 1.0), (1e-6, 0.0, 0.0)), 320)
+    for dims, path, spectra in ((Dimensions(640, 336, 64, 2), Trajectory(), 320), (Dimensions(640, 336, 64, 1), Trajectory(), 0), (Dimensions(640, 336, 64, 1), Trajectory(l_rate=float("nan")), 320)):
+        with pytest.raises(ValueError):
+            check_tracker(dims, path, spectra)
+    for start, rate in (((0.5, 0.5, 0.5), (0.0,) * 3), ((0.0, 0.0, 1.0), (float("inf"), 0.0, 0.0))):
+        with pytest.raises(ValueError):
+            Trajectory.from_direction(start, rate)
     for bad in (SearchConfig(estimator="music"), SearchConfig(forgetting=0), SearchConfig(subarray=99), SearchConfig(grid=-1), SearchConfig(fov_l=0.0)):
         with pytest.raises(ValueError):
             bad.check(32)
