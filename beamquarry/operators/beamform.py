@@ -19,6 +19,8 @@ from beamquarry.model import BEAM_TILE, MAX_BEAMS
 
 #: Weights of a full cube: 128 beams x 336 channels x 256 antennas; the bound under which they travel to all tasks.
 MAX_WEIGHTS = MAX_BEAMS * 336 * 256
+#: Rows of a weight table up to which a join broadcasts it: some 40 MB.
+BROADCAST_WEIGHTS = 1_000_000
 
 
 def steering_weights(beams: DataFrame, channels: DataFrame, antennas: DataFrame) -> DataFrame:
@@ -42,9 +44,10 @@ def decode(voltage: DataFrame) -> DataFrame:
 
 
 def complex_sums(samples: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("t", "f", "b"), on: tuple[str, ...] = ("f", "a")) -> DataFrame:
-    """Sum of w x over antennas (no conjugate) by keys. Weights are bounded by the dimensions, so they are broadcast."""
+    """Sum of w x over antennas (no conjugate) by keys. Weights are broadcast if they are counted to be few; a full cube is shuffled."""
     wr, wi, re, im = (F.col(c) for c in ("wr", "wi", "re", "im"))
-    joined = samples.join(F.broadcast(weights), list(on))
+    few = weights.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS
+    joined = samples.join(F.broadcast(weights) if few else weights, list(on))
     return joined.groupBy(*keys).agg(F.sum(wr * re - wi * im).alias("sr"), F.sum(wr * im + wi * re).alias("si"))
 
 
