@@ -32,6 +32,25 @@ def steer(windows: DataFrame, path: Trajectory, spectra: int) -> DataFrame:
     return lm.withColumn("n", S.unit_n(F.col("l"), F.col("m")))
 
 
+def kinematics(spark, path: Trajectory, spectra: int, n_time: int) -> DataFrame:
+    """(t, l, m, steered_l, steered_m, error_arcmin): where the source is at each sample, where its window looks, and how far apart they are."""
+    path.check(n_time, spectra)
+    t = F.col("t")
+    begin = F.floor(t / spectra) * spectra
+    at = {f"{a}{c}": start + x * rate for a, x in (("", t), ("steered_", begin)) for c, start, rate in (("l", path.l0, path.l_rate), ("m", path.m0, path.m_rate))}
+    rows = spark.range(n_time).select(F.col("id").alias("t")).select("t", *[v.alias(k) for k, v in at.items()])
+    return rows.withColumn("error_arcmin", S.pointing_error_arcmin(*(F.col(c) for c in ("l", "m", "steered_l", "steered_m"))))
+
+
+def transit(spark, half_deg: float, points: int, apertures: dict[int, float], wave_m: float, floor: float = 1e-4) -> DataFrame:
+    """(n_ant, i, deg, power, db) of a source that crosses a beam: the sinc^2 of each array's aperture, decibels down to a floor."""
+    table = F.explode(F.create_map(*[F.lit(x) for pair in apertures.items() for x in pair])).alias("n_ant", "aperture")
+    deg = -half_deg + F.col("id") * (2 * half_deg / (points - 1))
+    rows = spark.range(0, points, 1, 1).select(F.col("id").alias("i"), deg.alias("deg"), table)
+    power = S.sinc2(F.col("aperture") / wave_m * F.sin(F.radians("deg")))
+    return rows.withColumn("power", power).withColumn("db", 10 * F.log10(F.greatest("power", F.lit(floor)))).drop("aperture")
+
+
 def overlap_series(windows: DataFrame, path: Trajectory, spectra: int, stride: int, limit: int) -> DataFrame:
     """Every stride-th window of the path, `limit` of them at most: the frames of a report."""
     return steer(windows.where(F.col("w") % stride == 0).orderBy("w").limit(limit), path, spectra)

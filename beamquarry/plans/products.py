@@ -11,7 +11,7 @@ from beamquarry.functions import scalars as S
 from beamquarry.model import Dimensions, SearchConfig, Trajectory, buffer_label, integrated_count, resolve_channels, window_count
 from beamquarry.operators import burst, compare, doa, geometry, quantize, tracker
 from beamquarry.plans import views as V
-from beamquarry.plans.catalog import FRAME_SPECTRA, TRACK_SQL, is_folder, positions, query, streamed  # noqa: F401
+from beamquarry.plans.catalog import FRAME_SPECTRA, TRACK_SQL, positions, query
 from beamquarry.session import scratch_path
 from beamquarry.sources import records, synthetic, tensors
 from beamquarry.streaming import windows
@@ -325,16 +325,16 @@ def search_cells(spark, sf_dir):
 
 @query(
     "sizes",
-    "n_time long, windows long, steered long, samples long, weights long, tiled long, outputs long, tiles long",
-    """SELECT n AS n_time, (n + 319) // 320 AS windows, (n + 319) // 320 AS steered, n * 336 * 64 AS samples, 40 * 336 * 64 AS weights, 64 * 336 * 64 AS tiled, n * 336 * 40 AS outputs, n * 21 * 3 AS tiles
+    "n_time long, windows long, steered long, samples long, weights long, tiled long, outputs long, tiles long, mask long",
+    """SELECT n * 336 AS mask, n AS n_time, (n + 319) // 320 AS windows, (n + 319) // 320 AS steered, n * 336 * 64 AS samples, 40 * 336 * 64 AS weights, 64 * 336 * 64 AS tiled, n * 336 * 40 AS outputs, n * 21 * 3 AS tiles
     FROM (SELECT 100 * range + 1 AS n FROM range(20))""",
 )
 def sizes(spark, sf_dir):
     rows = []
     for n in range(1, 2001, 100):
         d = Dimensions(n, 336, 64, 40)
-        rows.append((n, integrated_count(n, 320), window_count(n, 320), d.samples, d.weight_values, d.tiled_weight_values, d.intensity_values, math.prod(quantize.layout(n, 336, 40))))
-    return spark.createDataFrame(rows, "n_time long, windows long, steered long, samples long, weights long, tiled long, outputs long, tiles long")
+        rows.append((n, integrated_count(n, 320), window_count(n, 320), d.samples, d.weight_values, d.tiled_weight_values, d.intensity_values, math.prod(quantize.layout(n, 336, 40)), d.mask_bytes))
+    return spark.createDataFrame(rows, "n_time long, windows long, steered long, samples long, weights long, tiled long, outputs long, tiles long, mask long")
 
 
 @query(
@@ -358,6 +358,27 @@ def overlap_frames(spark, sf_dir):
     return tracker.overlap_series(spark.range(48).select(F.col("id").alias("w")), Trajectory(0.02, -0.03, 1e-5, -2e-6), 320, 8, 5)
 
 
+@query(
+    "tracker_kinematics",
+    "t long, l d9, m d9, steered_l d9, steered_m d9, error_arcmin d6",
+    """SELECT *, degrees(sqrt(pow(l - steered_l, 2) + pow(m - steered_m, 2))) * 60 AS error_arcmin FROM (SELECT range AS t, -0.15::DOUBLE + range * 2e-5::DOUBLE AS l, -0.1::DOUBLE + range * 1.3e-5::DOUBLE AS m,
+    -0.15::DOUBLE + (range // 320) * 320 * 2e-5::DOUBLE AS steered_l, -0.1::DOUBLE + (range // 320) * 320 * 1.3e-5::DOUBLE AS steered_m FROM range(15360))""",
+)
+def tracker_kinematics(spark, sf_dir):
+    return tracker.kinematics(spark, Trajectory(-0.15, -0.1, 2e-5, 1.3e-5), 320, V.CUBE_TIME)
+
+
+@query(
+    "transit_response",
+    "n_ant long, i long, deg d6, power d9, db d6",
+    """SELECT n_ant, i, deg, power, 10 * log10(greatest(power, 1e-4)) AS db FROM (SELECT n_ant, i, deg, CASE WHEN x = 0 THEN 1.0 ELSE pow(sin(pi() * x) / (pi() * x), 2) END AS power FROM
+    (SELECT n_ant, i.range AS i, -3.0::DOUBLE + i.range * (6.0::DOUBLE / 500) AS deg, d / 0.5::DOUBLE * sin(radians(-3.0::DOUBLE + i.range * (6.0::DOUBLE / 500))) AS x
+    FROM range(501) i, (VALUES (64, 4.2::DOUBLE), (128, 6.0::DOUBLE), (256, 9.0::DOUBLE)) a(n_ant, d)))""",
+)
+def transit_response(spark, sf_dir):
+    return tracker.transit(spark, 3.0, 501, {64: 4.2, 128: 6.0, 256: 9.0}, 0.5)
+
+
 @query("window_slice", "t long, f long, power d4", f"SELECT * FROM ({TRACK_SQL.replace('cube_samples', '(SELECT * FROM cube_samples WHERE t // 320 = 7)')})")
 def window_slice(spark, sf_dir):
     """One window by itself: its samples alone, and a path that stands still where the window looks."""
