@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beamquarry.llm.common import WORD, bounded_broadcast, lookup, sliced, stored
-from beamquarry.llm.ngram_join import Words
 from beamquarry.llm.substring_dedup import Rolling
 
 LAST = (1 << 63) - 1
@@ -109,14 +108,13 @@ def block_table(texts: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, sign, h, low, high): the blocks of all texts. `sign` tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in sliced(batches):
             columns = [[np.empty(0, k)] for k in (np.int64, np.int64, np.int64, np.int32, np.int32)]
             for i, sign, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "sign", "text")), strict=True):
                 lines = text.split("\n")
                 low, high = blocks_of(np.fromiter(map(len, lines), np.int64, len(lines)), max(1, min_chars))
                 if len(low):
-                    h = Rolling([x.encode() for x in lines], known).of(low, high - low).view(np.int64)
+                    h = Rolling([x.encode() for x in lines]).of(low, high - low).view(np.int64)
                     for column, x in zip(columns, (np.full(len(low), i), np.full(len(low), sign), h, low.astype(np.int32), high.astype(np.int32)), strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["doc_id", "sign", "h", "low", "high"])

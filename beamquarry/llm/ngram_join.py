@@ -76,25 +76,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words(dict):
-    """64-bit hashes of words, kept while they fit."""
+def word_codes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words. A table of hashes met before would be slower: most of its entries lie out of cache."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
-    LIMIT = 100_000
 
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh64_intdigest(word)
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = found
-        return found
-
-
-def shingles(text: str | None, k: int, known: Words) -> np.ndarray:
+def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of a lower-cased (A-Z) text."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = word_codes(words)
     size = min(k, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
     for j in range(size):
@@ -132,9 +124,8 @@ def signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """One narrow row per document: set size, number of the set, sketch, first elements, and all elements if they are few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in sliced(batches):
-            sets = [shingles(t, k, known) for t in batch["text"].to_pylist()]
+            sets = [shingles(t, k) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
@@ -200,9 +191,8 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percen
     wanted = stored(nodes.select("node", "doc_id").join(named, "node"), "join-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in sliced(batches):
-            found = [shingles(t, k, known) for t in batch["text"].to_pylist()]
+            found = [shingles(t, k) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "elements"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beamquarry.llm.common import bounded_broadcast, forget, lookup, sliced, stored
-from beamquarry.llm.ngram_join import Words, mixed
+from beamquarry.llm.ngram_join import mixed, word_codes
 
 LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15
@@ -52,10 +52,10 @@ class Powers:
 class Rolling:
     """Hashes of all runs of a text's words, by prefix sums of a polynomial modulo 2^64."""
 
-    def __init__(self, words: list[bytes], known: Words):
+    def __init__(self, words: list[bytes]):
         self.n = len(words)
         Powers.grow(self.n + 1)
-        self.codes = np.fromiter(map(known.__getitem__, words), np.uint64, self.n)
+        self.codes = word_codes(words)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.codes * Powers.up[: self.n])])
 
     def of(self, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
@@ -72,13 +72,12 @@ def anchor_table(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, sign, anchors array<bigint>, places array<int>). `sign` tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in sliced(batches):
             ids, signs, hashes, places = [], [], [], []
             for i, sign, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "sign", "text")), strict=True):
                 words = (text or "").encode().split()
                 if len(words) >= window:
-                    at, grams = Rolling(words, known).anchors(window)
+                    at, grams = Rolling(words).anchors(window)
                     at = np.unique(at)
                     ids.append(i)
                     signs.append(sign)
@@ -114,13 +113,12 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in sliced(batches):
             for i, sign, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "sign", "text", "places")), strict=True):
                 words = (text or "").encode().split()
                 if len(words) < window or not places:
                     continue
-                rolling = Rolling(words, known)
+                rolling = Rolling(words)
                 prefix, low, high = spans(rolling, window, np.array(places))
                 codes = rolling.codes.tobytes()
                 cut = [codes[8 * a : 8 * (b + window - 1)] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
@@ -135,11 +133,10 @@ def whole_suffixes(docs: DataFrame, window: int) -> DataFrame:
     least and greatest document first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in sliced(batches):
             nodes, docs_ = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "places")), strict=True):
-                found = suffixes_at(text, window, places, known)[1]
+                found = suffixes_at(text, window, places)[1]
                 nodes.append(found)
                 docs_.append(np.full(len(found), i, np.int64))
             node, place, n = np.unique(np.concatenate(nodes), return_inverse=True, return_counts=True)
@@ -151,12 +148,12 @@ def whole_suffixes(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, n long, low long, high long")
 
 
-def suffixes_at(text: str | None, window: int, places: list[int], known: Words) -> tuple[np.ndarray, np.ndarray]:
+def suffixes_at(text: str | None, window: int, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(starts, hashes at full depth) of a text's suffixes under the anchors at `places`."""
     words = (text or "").encode().split()
     if len(words) < window or not places:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    rolling = Rolling(words, known)
+    rolling = Rolling(words)
     at = np.flatnonzero(np.isin(rolling.anchors(window)[0], places))
     return at, rolling.of(at, window).view(np.int64)
 
@@ -166,13 +163,12 @@ def hot_leaves(docs: DataFrame, window: int, busiest: dict[int, int]) -> DataFra
     its leaves under other nodes, which are open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         name = np.array(sorted(busiest), np.int64)
         first = np.array([busiest[x] for x in name.tolist()], np.int64)
         for batch in sliced(batches):
             out = [[], [], []]
             for i, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "places")), strict=True):
-                at, node = suffixes_at(text, window, places, known)
+                at, node = suffixes_at(text, window, places)
                 k = np.minimum(np.searchsorted(name, node), max(0, len(name) - 1))
                 is_busy = (name[k] == node) if len(name) else np.zeros(len(node), bool)
                 late = is_busy & (first[k] < i) if len(name) else is_busy
