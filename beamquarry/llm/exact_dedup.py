@@ -56,22 +56,24 @@ def compact(*levels: DataFrame, keep: str = "smallest") -> DataFrame:
     return merged.groupBy("digest").agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
-def filter_of(level: DataFrame) -> Callable[[Column], Column]:
-    """The level's Bloom filter, as an expression that tells whether a digest may be in it."""
+def filter_of(level: DataFrame) -> Callable[[Column], Column] | None:
+    """The level's Bloom filter, as an expression that tells whether a digest may be in it; None if it would be too large."""
     keys = level.count()
-    if keys > MOST_KEYS:
-        return lambda _: F.lit(True)
-    return Bloom.sized(1, max(1, keys), RATE).build(level.select(F.col("digest").alias("key"))).accepts
+    return None if keys > MOST_KEYS else Bloom.sized(1, max(1, keys), RATE).build(level.select(F.col("digest").alias("key"))).accepts
 
 
-def verify(docs: DataFrame, hits: DataFrame, may_hit: Callable[[Column], Column] = lambda _: F.lit(True)) -> DataFrame:
+def verify(docs: DataFrame, hits: DataFrame, may_hit: Callable[[Column], Column] | None = None) -> DataFrame:
     """(digest, same): whether a hit's texts are the same bytes.
 
-    Only texts of hits are moved, and each task sends one smallest and one largest text for a digest. `may_hit` is the level's filter.
+    Texts that the level's filter rejects stay where they are (without a filter, those that a join rejects). Of the others each task
+    sends one smallest and one largest text for a digest, so the copies of a hot text don't meet.
     """
-    texts = docs.select(digest(F.col("text")).alias("digest"), body(F.col("text")).alias("_bytes")).where(may_hit(F.col("digest")))
-    hit = bounded_broadcast(hits.select("digest"), hits)
-    return texts.join(hit, "digest", "left_semi").groupBy("digest").agg((F.min("_bytes") == F.max("_bytes")).alias("same"))
+    texts = docs.select(digest(F.col("text")).alias("digest"), body(F.col("text")).alias("_bytes"))
+    if may_hit is None:
+        texts = texts.join(bounded_broadcast(hits.select("digest"), hits), "digest", "left_semi")
+    else:
+        texts = texts.where(may_hit(F.col("digest")))
+    return texts.groupBy("digest").agg((F.min("_bytes") == F.max("_bytes")).alias("same"))
 
 
 def dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
@@ -87,7 +89,7 @@ def dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     cold = hits.where(F.col("group_size") < least).select(F.col("digest").alias("_key"), "keep_id", "group_size")
     # rows of hot digests are done after the first join; for the second they get keys of their own and spread
     own = F.unhex(F.sha1(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    probed = runs.withColumn("_may", may_hit(F.col("digest")))
+    probed = runs.withColumn("_may", may_hit(F.col("digest")) if may_hit else F.lit(True))
     found = (
         probed.where("_may").join(F.broadcast(hot), "digest", "left")
         .withColumn("_key", F.when(F.col("_hot_n").isNull(), F.col("digest")).otherwise(own))

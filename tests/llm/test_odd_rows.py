@@ -24,7 +24,9 @@ def test_exact_dedup_of_odd_rows(odd):
     assert digests == {hashlib.sha256(t.encode()).hexdigest() for t in (LONG, LONG + " x", "", "tie")}
 
 
-def test_filter_never_rejects_a_hit(spark):
+@pytest.mark.parametrize("most", [16_000_000, 0])
+def test_filter_never_rejects_a_hit(spark, monkeypatch, most):
+    monkeypatch.setattr(exact_dedup, "MOST_KEYS", most)
     df = spark.range(4000).selectExpr("id AS doc_id", "concat('t', cast(id % 1500 AS string)) AS text")
     got = exact_dedup.dedup(df).collect()
     assert all((r["keep_id"], r["group_size"]) == (r["doc_id"] % 1500, 3 if r["doc_id"] % 1500 < 1000 else 2) for r in got)
