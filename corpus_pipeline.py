@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the
 last return the columns of documents.
+
+Defined cases: a null or blank text fails the quality rules; a null doc_id counts as later than all and each such row stays
+one; of rows that share a doc_id, the near-duplicate stage leaves one; repeated rows are copies; a null source is a source of its
+own; very long texts are taken whole; ties go to the smaller doc_id; further columns, whatever their names, are passed
+through to the mix; an empty table gives no piece.
 """
 
 from __future__ import annotations
