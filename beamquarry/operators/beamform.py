@@ -21,6 +21,8 @@ from beamquarry.model import BEAM_TILE, MAX_BEAMS
 MAX_WEIGHTS = MAX_BEAMS * 336 * 256
 #: Rows of a weight table up to which a join broadcasts it: some 40 MB.
 BROADCAST_WEIGHTS = 1_000_000
+#: The sample of each byte.
+SAMPLES = np.array([((b & 15) ^ 8) - 8 + 1j * (((b >> 4) ^ 8) - 8) for b in range(256)], np.complex64)
 
 
 def steering_weights(beams: DataFrame, channels: DataFrame, antennas: DataFrame) -> DataFrame:
@@ -82,8 +84,7 @@ def integrate(power: DataFrame, spectra: int, keys: tuple[str, ...] = ("f", "b")
 
 def unpack_frames(payload: np.ndarray) -> np.ndarray:
     """complex64 samples of packed bytes."""
-    table = np.array([((b & 15) ^ 8) - 8 + 1j * (((b >> 4) ^ 8) - 8) for b in range(256)], np.complex64)
-    return table[payload]
+    return np.take(SAMPLES, payload)
 
 
 def weight_cube(weights: DataFrame, n_beams: int, n_freq: int, n_ant: int) -> np.ndarray:

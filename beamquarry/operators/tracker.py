@@ -110,10 +110,11 @@ def track_frames(frames: DataFrame, path: Trajectory, hz, positions, spectra: in
     return frames.select("t", "f", "payload").mapInArrow(run, f"t long, f int, power {'double' if precise else 'float'}")
 
 
-def track_spectra(rows: DataFrame, path: Trajectory, hz, positions, spectra: int, slice_rows: int = 64) -> DataFrame:
+def track_spectra(rows: DataFrame, path: Trajectory, hz, positions, spectra: int, slice_rows: int = 16) -> DataFrame:
     """(t, power array<float>) of whole spectra (t, payload of all channels' elements in turn): one row for each spectrum.
 
-    Steering is computed once for each window of a batch, and each window's spectra are multiplied a slice at a time.
+    Steering is computed once for each window of a batch, and each window's spectra are multiplied a slice at a time, small
+    enough for its samples to stay in cache.
     """
     from collections.abc import Iterator
 
@@ -132,12 +133,12 @@ def track_spectra(rows: DataFrame, path: Trajectory, hz, positions, spectra: int
             power = np.empty((len(t), n_freq), np.float32)
             for w in np.unique(t // spectra):
                 angle = 2 * np.pi / LIGHT_M_S * hz[:, None] * (positions @ np.array(path.at(w * spectra)))
-                weights = np.exp(1j * angle).astype(np.complex64)
+                weights = np.exp(1j * angle).astype(np.complex64)[:, :, None]
                 here = np.flatnonzero(t // spectra == w)
                 for low in range(0, len(here), slice_rows):
                     at = here[low : low + slice_rows]
-                    x = beamform.unpack_frames(payload[at]).reshape(len(at), n_freq, n_ant)
-                    y = np.einsum("tfa,fa->tf", x, weights)
+                    x = beamform.unpack_frames(payload[at]).reshape(len(at), n_freq, n_ant).transpose(1, 0, 2)
+                    y = np.matmul(x, weights)[:, :, 0].T
                     power[at] = y.real * y.real + y.imag * y.imag
             flat = pa.FixedSizeListArray.from_arrays(pa.array(power.ravel()), n_freq).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch["t"], flat], ["t", "power"])
