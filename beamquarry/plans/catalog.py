@@ -13,7 +13,7 @@ from beamquarry.functions import scalars as S
 from beamquarry.model import LIGHT_M_S, SearchConfig, Trajectory
 from beamquarry.operators import beamform, burst, compare, doa, geometry, quantize, tracker
 from beamquarry.plans import views as V
-from beamquarry.session import scratch_path
+from beamquarry.session import kept, scratch_path
 from beamquarry.streaming import windows
 
 QUERIES = {}
@@ -530,10 +530,12 @@ def pulse_fit(spark, sf_dir):
     """Every catalogued burst, drawn with noise for its own S/N, dedispersed at its own measure and fitted, spectral index included."""
     channels, found = V.burst_channels(spark), []
     for number, shape in enumerate(burst.CATALOG):
-        # uniform noise of width u in each of C channels spreads a profile by u sqrt(C / 12); the profile's top is near C
-        level = (12 * V.BURST_CHANNELS) ** 0.5 / shape[7]
         trials = spark.createDataFrame([(number, shape[1])], "trial int, dm double")
-        moved = burst.dedisperse(burst.with_noise(burst.synthesize(channels, shape, BURST_TIME), level), burst.shifts(channels, trials), BURST_TIME)
+        light, shift = kept(burst.synthesize(channels, shape, BURST_TIME), "burst"), burst.shifts(channels, trials)
+        top = burst.profile(burst.dedisperse(light, shift, BURST_TIME), BURST_TIME).agg(F.max("power")).first()[0]
+        # uniform noise of width u in each of C channels spreads a profile by u sqrt(C / 12)
+        level = top / shape[7] * (12 / V.BURST_CHANNELS) ** 0.5
+        moved = burst.dedisperse(burst.with_noise(light, level), shift, BURST_TIME)
         profiles = burst.profile(moved, BURST_TIME)
         snrs = burst.profile_snr(profiles, BURST_TIME)
         at = snrs.first()
