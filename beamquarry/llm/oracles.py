@@ -79,3 +79,114 @@ OP8 = rf"""
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words,
            n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * left_chars >= word_chars AS kept FROM base
 """
+
+#: CRC-32 of the decimal doc_id, unsigned, bit by bit.
+CRC = """xor(list_reduce([4294967295] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: CAST(ord((doc_id::VARCHAR)[i]) AS BIGINT)),
+    lambda a, b: list_reduce([xor(a, b)] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295)"""
+OP11 = rf"""
+    WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{W}') AS v, {CRC} AS h FROM documents),
+    a AS (SELECT *, len(v) AS n, (h // 10) % nullif(len(v), 0) AS a, h // 10 AS g FROM c),
+    p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+    t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: v[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE v END AS w FROM p),
+    g AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 6], ' ') AS e FROM (SELECT doc_id, w, unnest(range(0, n - 5)) AS i FROM t WHERE n >= 12)),
+    m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.e = y.e AND x.i < y.i),
+    isles AS (SELECT doc_id, q, min(i) AS s, max(i) + 6 + q - min(i) AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m) GROUP BY doc_id, q, k),
+    r AS (SELECT doc_id, s, l, min(q) AS q FROM isles WHERE l >= greatest(12, 2 * q) GROUP BY doc_id, s, l),
+    best AS (SELECT doc_id, count(*) AS n_runs, first(r ORDER BY l DESC, s, q) AS b, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+    kept AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.i) AS words FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM t) t
+             LEFT JOIN gone ON gone.doc_id = t.doc_id AND gone.i = t.i WHERE gone.i IS NULL GROUP BY t.doc_id)
+    SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli,
+           sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+    FROM t LEFT JOIN best ON best.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
+
+
+def merkle_tree(name: str, leaves: str, height: int) -> tuple[str, str]:
+    """Views of the levels over (g, pos, n, digest) and, for each leaf, joins of its nodes; levels above a root change nothing."""
+    views, joins = [f"{name}0 AS (SELECT g, pos, n, digest FROM {leaves})"], []
+    for k in range(height):
+        views.append(f"{name}{k + 1} AS (SELECT g, pos // 16 AS pos, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest FROM {name}{k} GROUP BY g, pos // 16, n)")
+        around = "PARTITION BY g, pos // 16 ORDER BY pos ROWS BETWEEN"
+        views.append(f"""{name}s{k} AS (SELECT g, pos, n, coalesce(string_agg(digest, '') OVER ({around} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lo,
+            coalesce(string_agg(digest, '') OVER ({around} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS hi FROM {name}{k})""")
+        joins.append(f"JOIN {name}s{k} ON {name}s{k}.g = x.{name}_g AND {name}s{k}.pos = x.{name}_pos // {16**k}")
+    return ", ".join(views), " ".join(joins)
+
+
+def merkle_sql(height: int = 5) -> str:
+    """Enough levels for 16 ** height rows a source, and as many sources."""
+
+    def field(x: str) -> str:
+        return f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    whole, changed = (" || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", t)) for t in ("text", low))
+    views, joins = merkle_tree("l", "a", height)
+    top_views, top_joins = merkle_tree("t", "subs", height)
+    steps = [f"{t}s{k}" for t in "lt" for k in range(height)]
+    folds = ", ".join(f"f{i + 1} AS (SELECT *, CASE WHEN {s}_n = 1 THEN node{i} ELSE sha256({s}_lo || node{i} || {s}_hi) END AS node{i + 1} FROM f{i})" for i, s in enumerate(steps))
+    columns = ", ".join(f"{s}.{c} AS {s}_{c}" for s in steps for c in ("n", "lo", "hi"))
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce('s' || source, '-') AS g, sha256({whole}) AS digest, CASE WHEN {CRC} % 5 = 0 THEN sha256({changed}) ELSE sha256({whole}) END AS shown FROM documents),
+    a AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+    {views},
+    subs AS (SELECT '' AS g, g AS name, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, digest FROM l{height}),
+    {top_views},
+    x AS (SELECT a.doc_id, a.digest AS leaf, shown, a.g AS l_g, a.pos AS l_pos, '' AS t_g, subs.pos AS t_pos, subs.digest AS subroot, top.digest AS root FROM a JOIN subs ON subs.name = a.g, t{height} top),
+    f0 AS (SELECT x.*, shown AS node0, {columns} FROM x {joins} {top_joins}),
+    {folds}
+    SELECT doc_id, leaf, subroot, root, sha256({" || ".join(f"{s}_lo || {s}_hi" for s in steps)}) AS proof_sha256, node{len(steps)} AS folded_root, node{len(steps)} = root AS verified FROM f{len(steps)}
+    """
+
+
+OP12 = merkle_sql()
+
+
+def pii_sql() -> str:
+    """The patterns as they are stated, without what keeps them from looking back."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"""list_sum(list_transform(range(1, length({digits}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN ord(reverse({digits})[k]) - 48
+        ELSE 2 * (ord(reverse({digits})[k]) - 48) - CASE WHEN ord(reverse({digits})[k]) > 52 THEN 9 ELSE 0 END END)) % 10 = 0"""
+    checks = {
+        "email": "true", "ip": "list_max(list_transform(string_split(v, '.'), lambda x: x::HUGEINT)) <= 255",
+        "card": f"length({digits}) BETWEEN 14 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 10 AND 15",
+    }
+    names = {"email": "lower(v)", "ip": "v", "card": digits, "phone": digits}
+    cuts = " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS kind, {r} AS rank, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS b FROM d" for r, (k, p) in enumerate(patterns.items())
+    )
+    found = " UNION ALL ".join(f"SELECT *, '{k}:' || {names[k]} AS e FROM s WHERE kind = '{k}' AND {checks[k]}" for k in patterns)
+    term = r"[\p{L}\p{M}]+"
+    spans = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in patterns)
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    cuts AS ({cuts}),
+    places AS (SELECT doc_id, kind, rank, m, b, unnest(range(1, len(m) + 1)) AS i FROM cuts WHERE len(m) > 0),
+    s AS (SELECT doc_id, kind, rank, m[i] AS v, b[i] AS before, b[i + 1] AS after, length(array_to_string(b[1 : i], '')) + length(array_to_string(m[1 : i - 1], '')) AS start FROM places),
+    found AS (SELECT *, start + length(v) AS stop FROM ({found})),
+    ctx AS (SELECT doc_id, e, list_sort(list_distinct(flatten(list(list_concat(x[greatest(1, len(x) - 7) : len(x)], y[1 : 8]))))) AS ts
+            FROM (SELECT doc_id, e, regexp_extract_all(lower(before), '{term}') AS x, regexp_extract_all(lower(after), '{term}') AS y FROM found) GROUP BY doc_id, e),
+    n_e AS (SELECT e, count(*) AS n_e FROM ctx GROUP BY e),
+    n_et AS (SELECT e, t, count(*) AS n_et FROM (SELECT e, ts, unnest(ts) AS t FROM ctx) GROUP BY e, t HAVING count(DISTINCT ts) >= 3),
+    n_t AS (SELECT t, count(*) AS n_t FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{term}')) AS t FROM d) GROUP BY t),
+    risk AS (SELECT e, t FROM n_et JOIN n_e USING (e) JOIN n_t USING (t), (SELECT count(*) AS total FROM d)
+             WHERE n_e < total AND 1 + log2(least(1.0, n_et / n_t)) / log2(total / n_e) >= 0.8),
+    owners AS (SELECT doc_id, e FROM ctx WHERE e IN (SELECT e FROM risk)),
+    plain AS (SELECT doc_id, array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] || coalesce(repeat(' ', length(m[i])), '')), '') AS text
+              FROM cuts WHERE kind = 'email' AND doc_id IN (SELECT doc_id FROM owners)),
+    tokens AS (SELECT doc_id, m, b, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{term}') AS m, string_split_regex(text, '{term}') AS b FROM plain)),
+    placed AS (SELECT doc_id, lower(m[i]) AS t, length(m[i]) AS size, length(array_to_string(b[1 : i], '')) + length(array_to_string(m[1 : i - 1], '')) AS start FROM tokens),
+    marked AS (SELECT DISTINCT doc_id, start, start + size AS stop FROM placed JOIN risk USING (t) JOIN owners USING (doc_id, e)),
+    spans AS (SELECT doc_id, kind, rank, start, stop, true AS base FROM found UNION ALL SELECT doc_id, 'term', 4, start, stop, false FROM marked),
+    per AS (SELECT doc_id, {counts}, {spans} FILTER (base) AS base, {spans} AS spans FROM spans GROUP BY doc_id)
+    SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in patterns)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (doc_id)
+    """
+
+
+OP13 = pii_sql()

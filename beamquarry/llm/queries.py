@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from beamquarry.llm import chat, exact_dedup, line_dedup, mixing, ngram_join, oracles, packing, quality, sharding, substring_dedup, url_filter
+from beamquarry.llm import chat, exact_dedup, line_dedup, merkle, mixing, ngram_join, oracles, packing, period_runs, pii, quality, sharding, substring_dedup, url_filter
 from beamquarry.llm.common import read_table
 
 QUERIES = {}
@@ -83,3 +83,19 @@ def op9_sharding(spark, sf_dir):
 def op10_substring_dedup(spark, sf_dir):
     kept = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op11_period_runs", oracles.OP11)
+def op11_period_runs(spark, sf_dir):
+    return period_runs.digests(period_runs.detect(period_runs.with_planted(read_table(spark, sf_dir, "documents"))))
+
+
+@query("op12_merkle_manifest", oracles.OP12)
+def op12_merkle_manifest(spark, sf_dir):
+    audited = merkle.audit(read_table(spark, sf_dir, "documents"), merkle.tampered(F.col("text"), F.col("doc_id")))
+    return audited.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op13_pii", oracles.OP13)
+def op13_pii(spark, sf_dir):
+    return pii.digests(pii.sanitise(read_table(spark, sf_dir, "documents")))
