@@ -29,6 +29,8 @@ from beamquarry.llm.quality import words
 
 #: Words that a run has at least.
 MIN_WORDS = 12
+#: Blocks up to this many words are not cut; first words that Z-functions compare for all places at once.
+LEAF, HEAD = 96, 4
 #: Odd multipliers for the hash of a stretch, which only chooses where to search.
 FACTORS = np.random.default_rng(11).integers(1, 1 << 62, MIN_WORDS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -65,40 +67,57 @@ def common(x: np.ndarray, raw: bytes, i: int, j: int, limit: int, width: int) ->
 def z_values(x: np.ndarray) -> np.ndarray:
     """For each place, how many words from there on are the first words again; 0 at the first."""
     n = len(x)
-    z = np.zeros(n, np.int64)
-    if n < 2:
-        return z
-    starts = x == x[0]
-    z[1:] = starts[1:]
-    pairs = np.flatnonzero(starts[1:-1] & (x[2:] == x[1])) + 1
+    z, same = np.zeros(n, np.int64), np.ones(n, bool)
+    for k in range(min(n, HEAD)):
+        same = same[: n - k] & (x[k:] == x[k])
+        z[: n - k] += same
     raw, width, low, high = x.tobytes(), x.itemsize, 0, 0
-    for i in pairs.tolist():
-        known = 0
+    for i in (np.flatnonzero(same[1:]) + 1).tolist() if n > HEAD else ():
+        known = HEAD
         if i < high:
             known = int(z[i - low])
             if known < high - i:
                 z[i] = known
                 continue
             known = high - i
-        known += common(x, raw, known, i + known, n - i - known, width)
+        if i + known < n:
+            known += common(x, raw, known, i + known, n - i - known, width)
         z[i], low, high = known, i, i + known
+    if n:
+        z[0] = 0
     return z
 
 
-def crossing(u: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(side, period, words before, words after): for each period the pairs that agree around the cut between u and v, if they make a repetition.
+def crossing(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(period, one, before, after): the places, counted from the cut between u and v, that make a repetition with the place one period later.
 
-    Side 0 compares the cut with the place one period before, side 1 with the place one period after.
+    The pair is the cut and the place one period before it, or one after. The words before and after a pair that are the same are told by the Z-functions; a repetition
+    has at least as many of them as its period.
     """
-    gap = np.array([-1], u.dtype)
-    for side, near, far in ((0, v, u), (1, u[::-1], v[::-1])):
+    gap, found = np.array([-1], u.dtype), []
+    for near, far in ((v, u), (u[::-1], v[::-1])):
         p = np.arange(1, len(far) + 1)
-        toward = z_values(np.concatenate([near, gap, far]))[len(near) + 1 :][len(far) - p]
-        mirror = z_values(far[::-1])
-        away = np.concatenate([mirror[1:], np.zeros(1, np.int64)])[: len(far)]
-        for k in np.flatnonzero(toward + away >= p).tolist():
-            one, two = int(toward[k]), int(away[k])
-            yield (side, k + 1, two, one) if side == 0 else (side, k + 1, one, two)
+        toward = z_values(np.concatenate([near, gap, far]))[len(near) + 1 :][::-1]
+        away = np.append(z_values(far[::-1])[1:], 0)
+        held = np.flatnonzero(toward + away >= p)
+        found.append((p[held], toward[held], away[held]))
+    (p, after, before), (q, left, right) = found
+    periods = np.concatenate([p, q])
+    order = np.argsort(periods, kind="stable")
+    return tuple(c[order] for c in (periods, np.concatenate([-p, 0 * q]), np.concatenate([before, left]), np.concatenate([after, right])))
+
+
+def within(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for a short block, by comparing all its places with each other."""
+    n = len(x)
+    grid = np.zeros((n // 2, n + 2), bool)
+    for p in range(1, n // 2 + 1):
+        grid[p - 1, 1 : n - p + 1] = x[: n - p] == x[p:]
+    turns = np.flatnonzero(grid.ravel()[1:] != grid.ravel()[:-1])
+    row, start = np.divmod(turns[::2], n + 2)
+    size = turns[1::2] - turns[::2]
+    held = size >= np.maximum(least - row - 1, row + 1)
+    return row[held] + 1, start[held], np.zeros(held.sum(), np.int64), size[held]
 
 
 def repetitions(ids: np.ndarray, least: int = MIN_WORDS) -> dict[tuple[int, int], int]:
@@ -108,20 +127,25 @@ def repetitions(ids: np.ndarray, least: int = MIN_WORDS) -> dict[tuple[int, int]
         low, high = blocks.pop()
         if high - low < least:
             continue
-        cut = (low + high) // 2
-        here: list[tuple[int, int, int]] = []
-        for side, p, before, after in crossing(ids[low:cut], ids[cut:high]):
-            one, two = (cut - p, cut) if side == 0 else (cut, cut + p)
-            a, b = one - before, two + after
-            known = last.get(p)
-            if known and known[0] <= a and b <= known[1] or any(p % q == 0 and s <= a and b <= e for s, e, q in here):
-                continue
-            s, e = one - line.behind(one, two), two + line.ahead(one, two)
-            last[p] = (s, e)
-            here.append((s, e, p))
-            if e - s >= max(least, 2 * p):
-                found[s, e] = min(p, found.get((s, e), p))
-        blocks += [(cut, high), (low, cut)]
+        if high - low <= LEAF:
+            cut, pairs = low, within(ids[low:high], least)
+        else:
+            cut = (low + high) // 2
+            pairs = crossing(ids[low:cut], ids[cut:high])
+            blocks += [(cut, high), (low, cut)]
+        periods, one, before, after = pairs
+        first, end = cut + one - before, cut + one + periods + after
+        while len(periods):
+            p, a, b, at = int(periods[0]), int(first[0]), int(end[0]), cut + int(one[0])
+            s, e = last.get(p, (0, -1))
+            if not (s <= a and b <= e):
+                s, e = at - line.behind(at, at + p), at + p + line.ahead(at, at + p)
+                last[p] = (s, e)
+                if e - s >= max(least, 2 * p):
+                    found[s, e] = min(p, found.get((s, e), p))
+            # of the others, what lies in this run with a multiple of its period is this run
+            new = (periods % p != 0) | (first < s) | (end > e)
+            periods, one, first, end = periods[new], one[new], first[new], end[new]
     return found
 
 
