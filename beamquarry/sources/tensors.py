@@ -1,151 +1,103 @@
-"""Raw tensor files, text tables and metadata: readers with the checks that a file must pass, and writers."""
+"""Raw tensors, text tables and metadata: readers with the checks that a file must pass, and writers."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beamquarry.functions import scalars as S
-from beamquarry.model import INVALID_CODE, LOCAL_CHANNELS, TILE, Dimensions
+from beamquarry.model import BEAM_TILE, INVALID_CODE, LOCAL_CHANNELS, TILE, Dimensions
+from beamquarry.sources import rawfile
+from beamquarry.sources.rawfile import Layout
 
 QUANTIZED_FORMAT, SHARD_FORMAT, PARAMETERS_FORMAT = "quantized-int8-v1", "packed-shard-v1", "little-endian-float32[offset,scale]"
 
 
-def _files(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """Whole files with their name; another size than expected is an error."""
-    files = spark.read.format("binaryFile").load(path)
-    wrong = F.concat(F.col("path"), F.lit(" has "), F.col("length").cast("string"), F.lit(f" bytes; expected {size}"))
-    return files.select("path", F.when(F.col("length") == size, F.col("content")).otherwise(F.raise_error(wrong).cast("binary")).alias("content"))
+def read_packed_voltage(spark: SparkSession, path: str, dims: Dimensions, shard_id: int = 0, **how: int) -> DataFrame:
+    """(shard_id, t, f, payload): a tensor of [t][f][element] bytes by frames."""
+    frames = rawfile.read(spark, path, _frames(dims), **how)
+    return frames.select(F.lit(shard_id).alias("shard_id"), "t", "f", "payload")
 
 
-def read_packed_voltage(spark: SparkSession, path: str, dims: Dimensions, shard_id: int = 0) -> DataFrame:
-    """(shard_id, t, f, payload): a file of [t][f][element] bytes, cut into frames as it is read."""
-    n_freq, n_ant = dims.n_freq, dims.n_ant
+def read_packed_spectra(spark: SparkSession, path: str, dims: Dimensions, **how: int) -> DataFrame:
+    """(t, payload): one row for each spectrum of a tensor of [t][f][element] bytes, for the tracker over whole spectra."""
+    return rawfile.read(spark, path, Layout((("t", "long", dims.n_time),), ("payload",), "bytes", dims.n_freq * dims.n_ant), **how)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch["content"].to_pylist():
-                frames = len(content) // n_ant
-                for low in range(0, frames, 8192):
-                    k = np.arange(low, min(frames, low + 8192))
-                    part = pa.FixedSizeBinaryArray.from_buffers(pa.binary(n_ant), len(k), [None, pa.py_buffer(content[low * n_ant : (low + len(k)) * n_ant])])
-                    yield pa.RecordBatch.from_arrays([pa.array(k // n_freq), pa.array((k % n_freq).astype(np.int32)), part.cast(pa.binary())], ["t", "f", "payload"])
 
-    frames = _files(spark, path, dims.voltage_bytes).select("content").mapInArrow(run, "t long, f int, payload binary")
-    return frames.select(F.lit(shard_id).alias("shard_id"), "t", "f", "payload")
+def _frames(dims: Dimensions) -> Layout:
+    return Layout((("t", "long", dims.n_time), ("f", "int", dims.n_freq)), ("payload",), "bytes", dims.n_ant)
 
 
-def read_packed_spectra(spark: SparkSession, path: str, dims: Dimensions) -> DataFrame:
-    """(t, payload): one row for each spectrum of a file of [t][f][element] bytes, for the tracker over whole spectra.
+def _values(kind: str, shape: tuple[int, ...], names: list[str], values: list[str]) -> Layout:
+    return Layout(tuple((n, "long", k) for n, k in zip(names, shape, strict=True)), tuple(values), kind)
 
-    Records of fixed length are the one way to split a single large file over tasks; Spark offers it for RDDs only.
-    """
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).getLen()
-    if size != dims.voltage_bytes:
-        raise ValueError(f"{path} has {size} bytes; expected {dims.voltage_bytes}")
-    records = spark.sparkContext.binaryRecords(path, dims.n_freq * dims.n_ant).zipWithIndex()
-    return spark.createDataFrame(records.map(lambda x: (x[1], bytearray(x[0]))), "t long, payload binary")
+
+def _weights(dims: Dimensions) -> Layout:
+    return _values("f4", (dims.n_beams, dims.n_freq, dims.n_ant), ["b", "f", "a"], ["wr", "wi"])
+
+
+def _tiled(dims: Dimensions, tile: int) -> Layout:
+    return _values("f4", (dims.n_freq, -(-dims.n_beams // tile), dims.n_ant, tile), ["f", "tile", "a", "lane"], ["wr", "wi"])
 
 
-def _read_values(spark: SparkSession, path: str, kind: str, shape: tuple[int, ...], names: list[str], values: list[str]) -> DataFrame:
-    """A row for each place of a dense row-major tensor of `shape`, with its index columns and its values."""
-    size, width = int(np.prod(shape)), np.dtype(kind).itemsize * len(values)
-    arrow = {"<f4": pa.float32(), "i1": pa.int8()}[kind]
-    schema = ", ".join([*(f"{n} long" for n in names), *(f"{v} {'float' if kind == '<f4' else 'tinyint'}" for v in values)])
+def _intensity(dims: Dimensions) -> Layout:
+    return _values("f4", (dims.n_time, dims.n_freq, dims.n_beams), ["t", "f", "b"], ["power"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch["content"].to_pylist():
-                data = np.frombuffer(content, kind).reshape(-1, len(values))
-                for low in range(0, size, 1 << 17):
-                    at = np.unravel_index(np.arange(low, min(size, low + (1 << 17))), shape)
-                    part = data[low : low + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in at), *(pa.array(np.ascontiguousarray(part[:, i]), arrow) for i in range(len(values)))], [*names, *values])
 
-    return _files(spark, path, size * width).select("content").mapInArrow(run, schema)
+def _quantized(dims: Dimensions) -> Layout:
+    return _values("i1", (dims.n_time, dims.n_freq, dims.n_beams), ["w", "f", "b"], ["code"])
+
+
+def _parameters(dims: Dimensions) -> Layout:
+    shape = tuple(-(-n // s) for n, s in zip((dims.n_time, dims.n_freq, dims.n_beams), TILE, strict=True))
+    return _values("f4", shape, ["w", "ft", "bt"], ["offset", "scale"])
 
 
 def read_weights(spark: SparkSession, path: str, dims: Dimensions) -> DataFrame:
-    return _read_values(spark, path, "<f4", (dims.n_beams, dims.n_freq, dims.n_ant), ["b", "f", "a"], ["wr", "wi"])
+    return rawfile.read(spark, path, _weights(dims))
 
 
-def read_tiled_weights(spark: SparkSession, path: str, dims: Dimensions, tile: int = 32) -> DataFrame:
-    shape = (dims.n_freq, -(-dims.n_beams // tile), dims.n_ant, tile)
-    return _read_values(spark, path, "<f4", shape, ["f", "tile", "a", "lane"], ["wr", "wi"])
+def read_tiled_weights(spark: SparkSession, path: str, dims: Dimensions, tile: int = BEAM_TILE) -> DataFrame:
+    return rawfile.read(spark, path, _tiled(dims, tile))
 
 
-def read_intensity(spark: SparkSession, path: str, dims: Dimensions) -> DataFrame:
-    return _read_values(spark, path, "<f4", (dims.n_time, dims.n_freq, dims.n_beams), ["t", "f", "b"], ["power"])
+def read_intensity(spark: SparkSession, path: str, dims: Dimensions, **how: int) -> DataFrame:
+    return rawfile.read(spark, path, _intensity(dims), **how)
 
 
-def read_quantized(spark: SparkSession, path: str, dims: Dimensions) -> DataFrame:
-    return _read_values(spark, path, "i1", (dims.n_time, dims.n_freq, dims.n_beams), ["w", "f", "b"], ["code"])
+def read_quantized(spark: SparkSession, path: str, dims: Dimensions, **how: int) -> DataFrame:
+    return rawfile.read(spark, path, _quantized(dims), **how)
 
 
 def read_quantization_parameters(spark: SparkSession, path: str, dims: Dimensions) -> DataFrame:
-    shape = tuple(-(-n // s) for n, s in zip((dims.n_time, dims.n_freq, dims.n_beams), TILE, strict=True))
-    return _read_values(spark, path, "<f4", shape, ["w", "ft", "bt"], ["offset", "scale"])
-
+    return rawfile.read(spark, path, _parameters(dims))
 
-def write_raw(rows: DataFrame, path: str, order: list[str], values: list[str], kind: str | None, size: int) -> None:
-    """A dense row-major tensor as one file: rows sorted by `order`, `values` of each as little-endian `kind` (None: bytes as they are).
 
-    Tasks pack their rows; the chunks then pass through the driver one partition at a time, as one file has one
-    writer. Another size than expected is an error, and no file is left. For storage by many writers use Parquet.
-    """
-    spark = rows.sparkSession
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if kind is None:
-                chunk = b"".join(batch[values[0]].to_pylist())
-            else:
-                chunk = np.stack([batch[v].to_numpy(zero_copy_only=False) for v in values], axis=1).astype(kind).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.binary())], ["chunk"])
-
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    out, written = fs.create(target, True), 0
-    try:
-        for row in rows.orderBy(*order).select(*values).mapInArrow(run, "chunk binary").toLocalIterator():
-            out.write(bytearray(row["chunk"]))
-            written += len(row["chunk"])
-    finally:
-        out.close()
-    if written != size:
-        fs.delete(target, False)
-        raise ValueError(f"{path} would have {written} bytes; expected {size}")
-
-
-def write_packed_voltage(frames: DataFrame, path: str, dims: Dimensions) -> None:
-    write_raw(frames, path, ["t", "f"], ["payload"], None, dims.voltage_bytes)
+def write_packed_voltage(frames: DataFrame, path: str, dims: Dimensions, **how: int) -> None:
+    rawfile.write(frames, path, _frames(dims), **how)
 
 
 def write_weights(weights: DataFrame, path: str, dims: Dimensions) -> None:
-    write_raw(weights, path, ["b", "f", "a"], ["wr", "wi"], "<f4", 8 * dims.weight_values)
+    rawfile.write(weights, path, _weights(dims))
 
 
-def write_tiled_weights(weights: DataFrame, path: str, dims: Dimensions) -> None:
-    write_raw(weights, path, ["f", "tile", "a", "lane"], ["wr", "wi"], "<f4", 8 * dims.tiled_weight_values)
+def write_tiled_weights(weights: DataFrame, path: str, dims: Dimensions, tile: int = BEAM_TILE) -> None:
+    rawfile.write(weights, path, _tiled(dims, tile))
 
 
-def write_intensity(power: DataFrame, path: str, dims: Dimensions) -> None:
-    write_raw(power, path, ["t", "f", "b"], ["power"], "<f4", 4 * dims.intensity_values)
+def write_intensity(power: DataFrame, path: str, dims: Dimensions, **how: int) -> None:
+    rawfile.write(power, path, _intensity(dims), **how)
 
 
-def write_quantized(codes: DataFrame, path: str, dims: Dimensions) -> None:
-    write_raw(codes, path, ["w", "f", "b"], ["code"], "i1", dims.intensity_values)
+def write_quantized(codes: DataFrame, path: str, dims: Dimensions, **how: int) -> None:
+    rawfile.write(codes, path, _quantized(dims), **how)
 
 
 def write_quantization_parameters(tiles: DataFrame, path: str, dims: Dimensions) -> None:
-    count = int(np.prod([-(-n // s) for n, s in zip((dims.n_time, dims.n_freq, dims.n_beams), TILE, strict=True)]))
-    write_raw(tiles, path, ["w", "ft", "bt"], ["offset", "scale"], "<f4", 8 * count)
+    rawfile.write(tiles, path, _parameters(dims))
 
 
 def read_two_shards(spark: SparkSession, paths: list[str], dims: Dimensions) -> DataFrame:
