@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from beamquarry.functions import scalars as S
 from beamquarry.model import Dimensions, SearchConfig, Trajectory, buffer_label, integrated_count, resolve_channels, window_count
-from beamquarry.operators import burst, compare, doa, geometry, quantize, tracker
+from beamquarry.operators import beamform, burst, compare, doa, geometry, quantize, tracker
 from beamquarry.plans import views as V
 from beamquarry.plans.catalog import FRAME_SPECTRA, TRACK_SQL, positions, query
-from beamquarry.session import scratch_path
+from beamquarry.session import kept, scratch_path
 from beamquarry.sources import records, synthetic, tensors
 from beamquarry.streaming import windows
 
@@ -83,8 +83,6 @@ def file_weights(spark, sf_dir):
     LEFT JOIN integer_weights w ON w.f = f_.f AND w.a = a_.a AND w.b = lane.range""",
 )
 def file_tiled_weights(spark, sf_dir):
-    from beamquarry.operators import beamform
-
     path, dims = scratch_path(spark, "tiled.bin"), Dimensions(1, V.CHANNELS, V.ANTENNAS, 8)
     tensors.write_tiled_weights(beamform.tiled(V.integer_weights(spark, 8)), path, dims)
     return tensors.read_tiled_weights(spark, path, dims)
@@ -115,6 +113,85 @@ def file_quantized(spark, sf_dir):
     return back.select("w", "f", "b", "code", S.dequantize(F.col("code"), F.col("offset").cast("double"), F.col("scale").cast("double")).alias("value"))
 
 
+# --- tensors that grow with the table: eight keys to a spectrum, 8 channels, 32 elements
+
+KEYS, BAND = 8, 8
+
+
+def long_dims(spark, sf_dir):
+    """One pass for the largest key: as many spectra as the keys need."""
+    last = V.table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0]
+    return Dimensions(1 + (last or 0) // KEYS, BAND, V.ANTENNAS, 8)
+
+
+def long_frames(spark, sf_dir, dims):
+    """(t, f, payload): bytes of a place added up; places without line items are zero."""
+    byte = (F.sum("byte") % 256).cast("int").alias("byte")
+    rows = V.voltage(spark, sf_dir).groupBy(F.floor(F.col("t") / KEYS).alias("t"), (F.col("f") % BAND).alias("f"), "a").agg(byte)
+    grid = spark.range(dims.n_time * dims.n_freq).select(F.floor(F.col("id") / BAND).alias("t"), (F.col("id") % BAND).cast("int").alias("f"))
+    there = grid.join(beamform.to_frames(rows, dims.n_ant), ["t", "f"], "left")
+    return there.select("t", "f", F.coalesce("payload", F.unhex(F.lit("00" * dims.n_ant))).alias("payload"))
+
+
+def long_power(spark, sf_dir, path):
+    """(dims, power): the raw tensor of the line items, written and read by ranges, through the weights of its channels."""
+    dims = long_dims(spark, sf_dir)
+    tensors.write_packed_voltage(long_frames(spark, sf_dir, dims), path, dims)
+    cube = beamform.weight_cube(V.integer_weights(spark, dims.n_beams, BAND), dims.n_beams, BAND, dims.n_ant)
+    return dims, beamform.frame_power(tensors.read_packed_voltage(spark, path, dims), cube)
+
+
+V.SQL |= {
+    "long_samples": f"""SELECT t, f, a, (((byte & 15) + 8) % 16) - 8 AS re, (((byte >> 4) + 8) % 16) - 8 AS im FROM
+        (SELECT t // {KEYS} AS t, f % {BAND} AS f, a, CAST(sum(byte) % 256 AS INTEGER) AS byte FROM voltage GROUP BY 1, 2, 3)""",
+    "long_sums": """SELECT t, f, b, CAST(sr * sr + si * si AS BIGINT) AS power FROM
+        (SELECT t, f, b, sum(wr * re - wi * im) AS sr, sum(wr * im + wi * re) AS si FROM long_samples JOIN integer_weights USING (f, a) GROUP BY t, f, b)""",
+    "long_grid": f"SELECT t.range AS t, f.range AS f, b.range AS b FROM (SELECT unnest(range(1 + max(l_orderkey) // {KEYS})) AS range FROM lineitem) t, range({BAND}) f, range(8) b",
+    "long_power": "SELECT g.t, g.f, g.b, coalesce(power, 0) AS power FROM long_grid g LEFT JOIN long_sums s ON s.t = g.t AND s.f = g.f AND s.b = g.b",
+    "long_windows": "SELECT t // 64 AS w, f, b, CAST(sum(power) AS DOUBLE) AS power FROM long_power GROUP BY 1, 2, 3",
+    "long_range": "SELECT w, f // 16 AS ft, b // 16 AS bt, min(power) AS low, max(power) AS high FROM long_windows GROUP BY 1, 2, 3",
+    "long_tiles": """SELECT w, CASE WHEN low = high THEN low ELSE low + 127.5::DOUBLE * ((high - low) / 255.0::DOUBLE) END AS "offset",
+        (high - low) / 255.0::DOUBLE AS scale FROM long_range""",
+}
+
+
+@query("tensor_beams", "w long, f long, b long, power long", "SELECT t // 64 AS w, f, b, sum(power) AS power FROM long_power GROUP BY 1, 2, 3")
+def tensor_beams(spark, sf_dir):
+    """A raw voltage tensor as long as the table, read by ranges of frames and integrated."""
+    dims, power = long_power(spark, sf_dir, scratch_path(spark, "long-voltage"))
+    summed = power.groupBy(F.floor(F.col("t") / 64).alias("w"), "f").agg(*[F.sum(F.col("power")[b].cast("double")).alias(f"b{b}") for b in range(dims.n_beams)])
+    return summed.select("w", "f", F.posexplode(F.array(*[f"b{b}" for b in range(dims.n_beams)])).alias("b", "power"))
+
+
+@query("tensor_intensity", "t long, f long, power long, beams long", "SELECT t, f, sum(power * (b + 1)) AS power, 8 AS beams FROM long_power GROUP BY t, f")
+def tensor_intensity(spark, sf_dir):
+    """The same tensor's power through a tensor of floats."""
+    dims, power = long_power(spark, sf_dir, scratch_path(spark, "long-voltage"))
+    path = scratch_path(spark, "long-intensity")
+    tensors.write_intensity(power.select("t", "f", F.posexplode("power").alias("b", "power")), path, dims)
+    back = tensors.read_intensity(spark, path, dims)
+    return back.groupBy("t", "f").agg(F.sum(F.col("power").cast("double") * (F.col("b") + 1)).alias("power"), F.count(F.lit(1)).alias("beams"))
+
+
+@query(
+    "tensor_quantized",
+    "w long, f long, b long, code long, value d2",
+    """SELECT w, f, b, code, CAST("offset" AS FLOAT)::DOUBLE + CAST(scale AS FLOAT)::DOUBLE * code AS value FROM
+    (SELECT w, f, b, "offset", scale, CASE WHEN scale = 0 THEN 0 ELSE greatest(-127, least(127, round_even((power - "offset") / scale, 0))) END AS code
+    FROM long_windows JOIN long_tiles USING (w))""",
+)
+def tensor_quantized(spark, sf_dir):
+    """Window sums as codes and parameters of their tiles, both through raw tensors, and back to values."""
+    dims, power = long_power(spark, sf_dir, scratch_path(spark, "long-voltage"))
+    each = power.select(F.floor(F.col("t") / 64).alias("w"), "f", F.posexplode("power").alias("b", "power"))
+    sums = kept(each.groupBy("w", "f", "b").agg(F.sum(F.col("power").cast("double")).alias("power")), "long-windows")
+    dims, codes, side = dims.integrated(64), scratch_path(spark, "long-codes"), scratch_path(spark, "long-parameters")
+    tensors.write_quantized(quantize.quantize(sums), codes, dims)
+    tensors.write_quantization_parameters(quantize.tile_parameters(sums), side, dims)
+    back = quantize.with_tile(tensors.read_quantized(spark, codes, dims)).join(tensors.read_quantization_parameters(spark, side, dims), ["w", "ft", "bt"])
+    return back.select("w", "f", "b", "code", S.dequantize(F.col("code"), F.col("offset").cast("double"), F.col("scale").cast("double")).alias("value"))
+
+
 @query(
     "file_metadata",
     "key string, value string",
