@@ -168,9 +168,11 @@ def risks(found: DataFrame, docs: DataFrame, total: int) -> DataFrame:
 def disclosing(docs: DataFrame, found: DataFrame, risky: DataFrame) -> DataFrame:
     """(_key, terms): the places of disclosing terms in the documents that hold their entity, as (start, rank, end, kind, share)."""
     owners = found.join(bounded_broadcast(risky.select("e").distinct(), risky), "e", "left_semi").select("_key", "e")
-    keys = owners.select("_key").distinct()
+    keys = stored(owners.select("_key").distinct(), "pii-keys")
     email = PATTERNS["email"]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row_key().alias("_key")).join(keys, "_key", "left_semi").dropDuplicates(["_key"])
+    # of texts without an entity none is shuffled, if the keys are too many to be broadcast
+    holders = find(docs).where(F.size("base") > 0).select(row_key().alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = holders.join(bounded_broadcast(keys, keys), "_key", "left_semi").dropDuplicates(["_key"])
     hidden = F.transform(F.regexp_extract_all("text", F.lit(email), F.lit(0)), lambda m: F.repeat(F.lit(" "), F.length(m)))
     plain = rows.select("_key", F.array_join(F.flatten(F.zip_with(F.split("text", email, -1), hidden, lambda b, m: F.array(b, F.coalesce(m, F.lit(""))))), "").alias("_plain"))
     tokens = plain.withColumn("_m", F.regexp_extract_all("_plain", F.lit(TERM), F.lit(0))).withColumn("_b", F.split("_plain", TERM, -1))
