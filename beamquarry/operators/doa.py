@@ -1,13 +1,15 @@
 """Direction of arrival: covariances by window and channel, Bartlett or Capon spectra, grid search with refinement.
 
-Covariances are independent and are made in parallel, one group of a window's spectra at a time. The search
+What a window's samples come to is independent and is made in parallel: for Bartlett on a regular planar array the sums of the
+covariance over pairs of elements with the same baseline (its lags), else the covariance. The search
 runs through a shard's windows in order, because a window is searched around the estimate of the one before.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,7 @@ from beamquarry.model import LIGHT_M_S, SearchConfig
 from beamquarry.operators.beamform import payload_matrix, unpack_frames  # noqa: F401
 
 COVARIANCE = "shard_id int, w long, f int, snapshots long, r binary"
+LAGS = "shard_id int, w long, f int, snapshots long, lags binary"
 ESTIMATE = "shard_id int, w long, l double, m double, n double, power double"
 
 
@@ -78,44 +81,150 @@ def bartlett_relational(samples: DataFrame, cells: DataFrame, channels: DataFram
 # --- NumPy kernels
 
 
-def covariance(x: np.ndarray, subarray: int = 0) -> np.ndarray:
+@dataclass(frozen=True)
+class Plane:
+    """A planar array on a lattice: element a stands in column x[a] and row y[a], with pitches dx and dy from an origin."""
+
+    x: tuple[int, ...]
+    y: tuple[int, ...]
+    nx: int
+    ny: int
+    dx: float
+    dy: float
+    origin: tuple[float, float, float]
+
+    @classmethod
+    def of(cls, positions: np.ndarray) -> Plane | None:
+        """None unless all elements lie in one plane of z, in evenly spaced columns and rows, one at a place."""
+        places = np.round(np.asarray(positions, float), 9)
+        if len(places) < 2 or np.ptp(places[:, 2]) > 0:
+            return None
+        (columns, x), (rows, y) = (np.unique(places[:, k], return_inverse=True) for k in (0, 1))
+        pitches = [np.diff(c) for c in (columns, rows)]
+        if any(len(d) and not np.allclose(d, d[0], rtol=0, atol=1e-8) for d in pitches) or len({*zip(x, y, strict=True)}) < len(places):
+            return None
+        dx, dy = (float(d[0]) if len(d) else 0.0 for d in pitches)
+        return cls(tuple(x.tolist()), tuple(y.tolist()), len(columns), len(rows), dx, dy, tuple(places.min(axis=0).tolist()))
+
+
+def covariance(x: np.ndarray, subarray: int = 0, kind: type = np.complex64) -> np.ndarray:
     """Mean of x x^H over spectra (rows of x); with a sub-array size, averaged over sub-arrays in index order, forward and backward."""
-    x = x.astype(np.complex64)
+    x, count = x.astype(kind), kind(len(x)).real
     if not subarray or subarray == x.shape[1]:
-        return x.T @ x.conj() / np.float32(len(x))
+        return x.T @ x.conj() / count
     parts = np.lib.stride_tricks.sliding_window_view(x, subarray, axis=1)
-    r = np.einsum("ksi,ksj->ij", parts, parts.conj()) / np.float32(len(x) * parts.shape[1])
-    return ((r + r[::-1, ::-1].conj()) / 2).astype(np.complex64)
+    r = np.einsum("ksi,ksj->ij", parts, parts.conj()) / (count * kind(parts.shape[1]).real)
+    return ((r + r[::-1, ::-1].conj()) / 2).astype(kind)
 
 
 def loaded(r: np.ndarray, load: float) -> np.ndarray:
     return r + np.eye(len(r), dtype=r.dtype) * (load * np.trace(r).real / len(r))
 
 
+def powers(base: np.ndarray, n: int) -> np.ndarray:
+    """1, base, base^2, ... up to n of them, along a new last axis: each is the one before times base."""
+    steps = np.repeat(base[..., None], n, axis=-1)
+    steps[..., 0] = 1
+    return steps.cumprod(axis=-1)
+
+
 def steering(hz: np.ndarray, positions: np.ndarray, look: np.ndarray) -> np.ndarray:
-    """[f][cell][a]: the phases that a source at each cell leaves on the elements (its conjugate steers)."""
-    reach = look @ positions.T
-    return np.exp(-2j * np.pi / LIGHT_M_S * hz[:, None, None] * reach[None]).astype(np.complex64)
+    """[f][cell][a]: the phases that a source at each cell leaves on the elements (its conjugate steers).
+
+    On a lattice an element's phase is a power of a column's times a power of a row's, so two exponentials a cell do; else
+    there is one for each element and cell.
+    """
+    k = -2 * np.pi / LIGHT_M_S * hz[:, None]
+    plane = Plane.of(positions)
+    if plane is None:
+        return np.exp(1j * k[..., None] * (look @ positions.T)).astype(np.complex64)
+    columns, rows = (powers(np.exp(1j * k * d * look[:, c]), n) for c, d, n in ((0, plane.dx, plane.nx), (1, plane.dy, plane.ny)))
+    start = np.exp(1j * k * (look @ np.array(plane.origin)))
+    return (start[..., None] * columns[..., plane.x] * rows[..., plane.y]).astype(np.complex64)
+
+
+def inverse_factors(r: np.ndarray, load: float) -> tuple[np.ndarray, np.ndarray]:
+    """Inverses of the Cholesky factors of loaded covariances [f][i][j], and which channels have one."""
+    out, good = np.zeros_like(r), np.zeros(len(r), bool)
+    for f, rf in enumerate(r):
+        try:
+            out[f] = np.linalg.inv(np.linalg.cholesky(loaded(rf, load)))
+            good[f] = True
+        except np.linalg.LinAlgError:
+            pass
+    return out, good
+
+
+def cell_powers(r: np.ndarray, a: np.ndarray, inverse: np.ndarray | None = None, good: np.ndarray | None = None) -> np.ndarray:
+    """[f][cell] of covariances [f][i][j] and steering [f][cell][a]; values that are not finite count as 0.
+
+    Bartlett is a^H R a. Capon is 1 / |L^-1 a|^2 with the inverse factors given, and falls back to Bartlett in channels where there is none.
+    """
+    found = np.empty(a.shape[:2])
+    plain = np.ones(len(r), bool) if inverse is None else ~good
+    if plain.any():
+        found[plain] = ((a[plain].conj() @ r[plain]) * a[plain]).sum(axis=-1).real
+    if not plain.all():
+        y = a[~plain] @ inverse[~plain].transpose(0, 2, 1)
+        with np.errstate(divide="ignore"):
+            found[~plain] = 1 / (y.real**2 + y.imag**2).sum(axis=-1)
+    return np.where(np.isfinite(found), found, 0)
 
 
 def spectrum(r: np.ndarray, a: np.ndarray, estimator: str, load: float) -> np.ndarray:
-    """Power of each cell, summed over channels; values that are not finite count as 0.
+    """Power of each cell, summed over channels."""
+    return cell_powers(r, a, *(inverse_factors(r, load) if estimator == "capon" else ())).sum(axis=0)
 
-    Bartlett is a^H R a. Capon is 1 / |L^-1 a|^2 of the loaded covariance's Cholesky factor L, and falls back to
-    Bartlett in channels where there is none.
-    """
-    total = np.zeros(a.shape[1])
-    for rf, af in zip(r, a, strict=True):
-        power = np.einsum("ci,ij,cj->c", af.conj(), rf, af).real
-        if estimator == "capon":
-            try:
-                y = np.linalg.solve(np.linalg.cholesky(loaded(rf, load)), af.T)
-                with np.errstate(divide="ignore"):
-                    power = 1 / np.einsum("ic,ic->c", y.conj(), y).real
-            except np.linalg.LinAlgError:
-                pass
-        total += np.where(np.isfinite(power), power, 0)
-    return total
+
+def lag_powers(lags: np.ndarray, hz: np.ndarray, plane: Plane, look: np.ndarray) -> np.ndarray:
+    """[f][cell] of lag sums [f][row lag][column lag]: a^H R a, in which pairs with one baseline share their phase."""
+    u, v = (lag_phases(hz, d, n, look[:, c]) for c, d, n in ((0, plane.dx, plane.nx), (1, plane.dy, plane.ny)))
+    return ((v @ lags) * u).sum(axis=-1).real
+
+
+def lag_phases(hz: np.ndarray, pitch: float, n: int, cosines: np.ndarray) -> np.ndarray:
+    """[f][cell][lag] for lags from 1 - n to n - 1."""
+    forward = powers(np.exp(2j * np.pi / LIGHT_M_S * hz[:, None] * pitch * cosines), n)
+    return np.concatenate([forward[..., :0:-1].conj(), forward], axis=-1)
+
+
+class MatrixScan:
+    """Power around one window's covariances [f][i][j]; what Capon needs of them is computed once for all cells."""
+
+    def __init__(self, r: np.ndarray, hz: np.ndarray, positions: np.ndarray, config: SearchConfig):
+        self.r, self.hz, self.positions = r, hz, positions[: r.shape[1]]
+        self.factors = inverse_factors(r, config.diagonal_load) if config.estimator == "capon" else ()
+
+    def grid(self, l_axis: np.ndarray, m_axis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Directions and powers of all pairs of cosines, l running fastest."""
+        look = in_disk(cells_of(l_axis, m_axis))
+        return look, cell_powers(self.r, steering(self.hz, self.positions, look), *self.factors).sum(axis=0)
+
+
+class LagScan:
+    """The same for lag sums [f][row lag][column lag] of a regular array. Where no cell is pulled into the disk, the sums over both axes are two matrix products."""
+
+    def __init__(self, lags: np.ndarray, hz: np.ndarray, positions: np.ndarray, config: SearchConfig):
+        self.lags, self.hz, self.plane = lags, hz, Plane.of(positions)
+
+    def grid(self, l_axis: np.ndarray, m_axis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cells = cells_of(l_axis, m_axis)
+        look, p = in_disk(cells), self.plane
+        if (look[:, :2] != cells).any():
+            power = lag_powers(self.lags, self.hz, p, look)
+        else:
+            u, v = lag_phases(self.hz, p.dx, p.nx, l_axis), lag_phases(self.hz, p.dy, p.ny, m_axis)
+            power = (v @ self.lags @ u.transpose(0, 2, 1)).real.reshape(len(self.hz), -1)
+        return look, np.where(np.isfinite(power), power, 0).sum(axis=0)
+
+
+def cells_of(l_axis: np.ndarray, m_axis: np.ndarray) -> np.ndarray:
+    return np.stack([np.tile(l_axis, len(m_axis)), np.repeat(m_axis, len(l_axis))], axis=1)
+
+
+def uses_lags(positions: np.ndarray, config: SearchConfig) -> bool:
+    """Whether a search needs no more than sums over pairs of one baseline."""
+    return config.estimator == "bartlett" and config.subarray in (0, len(positions)) and Plane.of(positions) is not None
 
 
 def in_disk(lm: np.ndarray) -> np.ndarray:
@@ -126,27 +235,19 @@ def in_disk(lm: np.ndarray) -> np.ndarray:
 
 
 def parabola(below: float, centre: float, above: float, kind: str) -> float:
-    """Offset of a 3-point extremum, within half a cell. "reference" moves only where the points are convex."""
+    """Offset towards the greater neighbour, within half a cell. "corrected" goes to the vertex of a peak (concave points); "reference" moves
+    by the same rule, but only where the points are convex."""
     curve = below - 2 * centre + above
     if (curve <= 0) if kind == "reference" else (curve >= 0):
         return 0.0
-    sign = 1 if kind == "reference" else -1
-    return float(np.clip(sign * 0.5 * (above - below) / abs(curve), -0.5, 0.5))
+    return float(np.clip(0.5 * (above - below) / abs(curve), -0.5, 0.5))
 
 
-def search(r: np.ndarray, hz: np.ndarray, positions: np.ndarray, centre: np.ndarray, config: SearchConfig) -> tuple[np.ndarray, float]:
+def search(scan: MatrixScan | LagScan, centre: np.ndarray, config: SearchConfig) -> tuple[np.ndarray, float]:
     """The direction of most power near a centre: coarse grid, then 3 x 3 neighbourhoods of half the pitch each time."""
     g, fov = config.grid, np.array([config.fov_l, config.fov_m])
-    kind, load, size = config.estimator, config.diagonal_load, r.shape[1]
-    at = positions[:size]
-
-    def scan(lm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        look = in_disk(lm)
-        return look, spectrum(r, steering(hz, at, look), kind, load)
-
     step = 2 * fov / (g - 1)
-    v, u = np.divmod(np.arange(g * g), g)
-    look, power = scan(centre[:2] - fov + np.stack([u, v], axis=1) * step)
+    look, power = scan.grid(*(centre[c] - fov[c] + np.arange(g) * step[c] for c in (0, 1)))
     best = int(power.argmax())
     here, peak, half = look[best], float(power[best]), fov / g
     if config.interpolate and config.levels == 0:
@@ -154,11 +255,9 @@ def search(r: np.ndarray, hz: np.ndarray, positions: np.ndarray, centre: np.ndar
         y, x = best // g + 1, best % g + 1
         move = [parabola(grid[y, x - 1], peak, grid[y, x + 1], config.interpolation), parabola(grid[y - 1, x], peak, grid[y + 1, x], config.interpolation)]
         return in_disk(here[:2] + np.array(move) * step), peak
-    v, u = np.divmod(np.arange(9), 3)
-    around = np.stack([u - 1, v - 1], axis=1)
     for _ in range(config.levels):
         half = half / 2
-        look, power = scan(here[:2] + around * half)
+        look, power = scan.grid(*(here[c] + np.arange(-1, 2) * half[c] for c in (0, 1)))
         best = int(power.argmax())
         here, peak = look[best], float(power[best])
         if config.interpolate:
@@ -184,7 +283,7 @@ class Memory:
 # --- frame form
 
 
-def covariances(frames: DataFrame, n_ant: int, spectra: int, subarray: int = 0) -> DataFrame:
+def covariances(frames: DataFrame, n_ant: int, spectra: int, subarray: int = 0, kind: type = np.complex64) -> DataFrame:
     """(shard_id, w, f, snapshots, r): at most `spectra` frames for each window and channel, so lists are bounded; many keys in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +291,7 @@ def covariances(frames: DataFrame, n_ant: int, spectra: int, subarray: int = 0)
             lists = batch["frames"]
             ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             x = unpack_frames(payload_matrix(lists.flatten(), n_ant))
-            found = [covariance(x[a:b], subarray).astype(np.complex64).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            found = [covariance(x[a:b], subarray, kind).astype(kind).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             columns = [batch["shard_id"], batch["w"], batch["f"], pa.array(np.diff(ends).astype(np.int64)), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["shard_id", "w", "f", "snapshots", "r"])
 
@@ -200,33 +299,93 @@ def covariances(frames: DataFrame, n_ant: int, spectra: int, subarray: int = 0)
     return keyed.groupBy("shard_id", "w", "f").agg(F.collect_list("payload").alias("frames")).mapInArrow(run, COVARIANCE)
 
 
-def _matrix(raw: bytes) -> np.ndarray:
-    size = int(np.sqrt(len(raw) // 8))
-    return np.frombuffer(raw, np.complex64).reshape(size, size)
+def lag_sums(frames: DataFrame, positions: np.ndarray, spectra: int, slice_rows: int = 2048) -> DataFrame:
+    """(shard_id, w, f, snapshots, lags) of a regular planar array: for each baseline the sum of mean x_i conj(x_j) over its pairs.
+
+    These are the autocorrelation of the array's samples on a lattice of twice its size, so |FFT|^2 is all that a spectrum
+    adds. Each task sums what it has of a window and channel before the shuffle, in which a key has a row for each batch at most.
+    """
+    plane = Plane.of(np.asarray(positions, float))
+    if plane is None:
+        raise ValueError("lags need a regular planar array")
+    shape = (2 * plane.ny, 2 * plane.nx)
+    names = ["shard_id", "w", "f", "snapshots", "power"]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, inverse, count = np.unique(np.stack([batch[c].to_numpy() for c in ("shard_id", "w", "f")]), axis=1, return_inverse=True, return_counts=True)
+            inverse, payload = inverse.ravel(), payload_matrix(batch["payload"], len(plane.x))
+            sums = np.zeros((key.shape[1], *shape))
+            for low in range(0, len(payload), slice_rows):
+                x = unpack_frames(payload[low : low + slice_rows])
+                grid = np.zeros((len(x), *shape), np.complex128)
+                grid[:, plane.y, plane.x] = x
+                seen = np.fft.fft2(grid)
+                np.add.at(sums, inverse[low : low + slice_rows], seen.real**2 + seen.imag**2)
+            columns = [pa.array(key[0].astype(np.int32)), pa.array(key[1].astype(np.int64)), pa.array(key[2].astype(np.int32)), pa.array(count.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in sums], pa.binary())], names)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, columns = np.arange(1 - plane.ny, plane.ny), np.arange(1 - plane.nx, plane.nx)
+        for batch in batches:
+            found = []
+            for parts, n in zip(batch["power"].to_pylist(), batch["snapshots"].to_pylist(), strict=True):
+                power = sum(np.frombuffer(x).reshape(shape) for x in parts) / n
+                found.append(np.fft.ifft2(power)[np.ix_(rows, columns)].tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:4]), pa.array(found, pa.binary())], [*names[:4], "lags"])
+
+    keyed = frames.select(F.col("shard_id").cast("int").alias("shard_id"), F.floor(F.col("t") / spectra).cast("long").alias("w"), F.col("f").cast("int").alias("f"), "payload")
+    parts = keyed.mapInArrow(partial, "shard_id int, w long, f int, snapshots long, power binary")
+    sums = parts.groupBy("shard_id", "w", "f").agg(F.sum("snapshots").alias("snapshots"), F.collect_list("power").alias("power"))
+    return sums.mapInArrow(total, LAGS)
 
 
-def estimate(covs: DataFrame, hz: np.ndarray, positions: np.ndarray, config: SearchConfig) -> DataFrame:
-    """(shard_id, w, l, m, n, power): a shard's windows in order, one window in memory at a time.
+def _matrix(raw: bytes, kind: type = np.complex64) -> np.ndarray:
+    size = math.isqrt(len(raw) // np.dtype(kind).itemsize)
+    return np.frombuffer(raw, kind).reshape(size, size)
+
+
+def scanner(column: str, positions: np.ndarray, config: SearchConfig) -> tuple[Callable, Callable]:
+    """How a value of the column `r` or `lags` is read, and what scans a window's values."""
+    if column == "r":
+        return _matrix, lambda values, hz: MatrixScan(values, hz, positions, config)
+    plane = Plane.of(positions)
+    return lambda raw: np.frombuffer(raw, np.complex128).reshape(2 * plane.ny - 1, 2 * plane.nx - 1), lambda values, hz: LagScan(values, hz, positions, config)
+
+
+def observed(frames: DataFrame, positions: np.ndarray, config: SearchConfig) -> DataFrame:
+    """What a search of these settings reads: lag sums where they are enough, else covariances."""
+    positions = np.asarray(positions, float)
+    if uses_lags(positions, config):
+        return lag_sums(frames, positions, config.spectra)
+    return covariances(frames, len(positions), config.spectra, config.subarray)
+
+
+def estimate(values: DataFrame, hz: np.ndarray, positions: np.ndarray, config: SearchConfig) -> DataFrame:
+    """(shard_id, w, l, m, n, power) of covariances or lag sums: a shard's windows in order, one window in memory at a time.
 
     Shards are the only parallel unit here, as in any search that starts from the last estimate; what it reads
-    is a matrix for each window and channel, not the samples.
+    is one value for each window and channel, not the samples.
     """
     hz, positions = np.asarray(hz, float), np.asarray(positions, float)
     config.check(len(positions))
+    column = "lags" if "lags" in values.columns else "r"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decode, scan = scanner(column, positions, config)
         shard, memory, centre, window, held = None, None, None, None, {}
 
         def close():
             nonlocal centre
             fs = sorted(held)
-            r = np.stack([memory.update(f, held[f]) for f in fs])
-            centre, power = search(r, hz[fs], positions, centre, config)
+            centre, power = search(scan(np.stack([memory.update(f, held[f]) for f in fs]), hz[fs]), centre, config)
             return [shard, window, *centre, power]
 
         for part in parts:
             out = []
-            for s, w, f, r in zip(part["shard_id"], part["w"], part["f"], part["r"], strict=True):
+            for s, w, f, raw in zip(part["shard_id"], part["w"], part["f"], part[column], strict=True):
                 if (s, w) != (shard, window):
                     if held:
                         out.append(close())
@@ -234,25 +393,37 @@ def estimate(covs: DataFrame, hz: np.ndarray, positions: np.ndarray, config: Sea
                         shard, memory = s, Memory(config.forgetting)
                         centre = np.array(config.prior.at(0))
                     window, held = w, {}
-                held[f] = _matrix(r)
+                held[f] = decode(raw)
             yield pd.DataFrame(out, columns=["shard_id", "w", "l", "m", "n", "power"])
         if held:
             yield pd.DataFrame([close()], columns=["shard_id", "w", "l", "m", "n", "power"])
 
-    shards = covs.repartition("shard_id").sortWithinPartitions("shard_id", "w", "f")
+    shards = values.repartition("shard_id").sortWithinPartitions("shard_id", "w", "f")
     return shards.mapInPandas(run, ESTIMATE)
 
 
-def grid_powers(covs: DataFrame, hz: np.ndarray, positions: np.ndarray, look: np.ndarray, estimator: str = "bartlett", load: float = 1e-2) -> DataFrame:
-    """(shard_id, w, cell, power): spectra over a fixed grid look[cell], without a carried centre: windows and channels are all parallel."""
+def grid_powers(values: DataFrame, hz: np.ndarray, positions: np.ndarray, look: np.ndarray, estimator: str = "bartlett", load: float = 1e-2, kind: type = np.complex64) -> DataFrame:
+    """(shard_id, w, cell, power): spectra of covariances or (Bartlett) lag sums over a fixed grid look[cell], without a carried centre: windows and channels are all parallel.
+
+    Steering is computed once for each channel of a batch.
+    """
     hz, positions, look = (np.asarray(x, float) for x in (hz, positions, look))
+    plane = Plane.of(positions) if "lags" in values.columns else None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = [spectrum(_matrix(r)[None], steering(hz[[f]], positions, look), estimator, load) for f, r in zip(part["f"], part["r"], strict=True)]
-            yield pd.DataFrame({"shard_id": part["shard_id"], "w": part["w"], "power": found})
-
-    rows = covs.mapInPandas(run, "shard_id int, w long, power array<double>").select("shard_id", "w", F.posexplode("power").alias("cell", "power"))
+            found = np.empty((len(part), len(look)))
+            for f, rows in part.groupby("f").indices.items():
+                if plane:
+                    lags = np.stack([np.frombuffer(x, np.complex128).reshape(2 * plane.ny - 1, 2 * plane.nx - 1) for x in part["lags"].iloc[rows]])
+                    found[rows] = lag_powers(lags, hz[[f]], plane, look)
+                else:
+                    r = np.stack([_matrix(x, kind) for x in part["r"].iloc[rows]])
+                    a = steering(hz[[f]], positions[: r.shape[1]], look)
+                    found[rows] = cell_powers(r, np.broadcast_to(a, (len(r), *a.shape[1:])), *(inverse_factors(r, load) if estimator == "capon" else ()))
+            yield pd.DataFrame({"shard_id": part["shard_id"], "w": part["w"], "power": list(found)})
+
+    rows = values.mapInPandas(run, "shard_id int, w long, power array<double>").select("shard_id", "w", F.posexplode("power").alias("cell", "power"))
     return rows.groupBy("shard_id", "w", "cell").agg(F.sum("power").alias("power"))
 
 
@@ -278,10 +449,10 @@ def emit(frames: DataFrame, estimates: DataFrame, hz: np.ndarray, positions: np.
             look = part[["l", "m", "n"]].to_numpy()
             angle = 2 * np.pi / LIGHT_M_S * hz[part["f"].to_numpy()][:, None] * (look @ positions.T)
             y = np.einsum("ra,ra->r", x, np.exp(1j * angle))
-            yield pd.DataFrame({"shard_id": part["shard_id"], "t": part["t"], "f": part["f"], "power": (y.real**2 + y.imag**2).astype(np.float32)})
+            yield pd.DataFrame({"shard_id": part["shard_id"], "t": part["t"], "f": part["f"], "power": y.real**2 + y.imag**2})
 
     keyed = frames.withColumn("w", F.floor(F.col("t") / spectra).cast("long")).join(estimates.select("shard_id", "w", "l", "m", "n"), ["shard_id", "w"])
-    return keyed.select("shard_id", "t", "f", "payload", "l", "m", "n").mapInPandas(run, "shard_id int, t long, f int, power float")
+    return keyed.select("shard_id", "t", "f", "payload", "l", "m", "n").mapInPandas(run, "shard_id int, t long, f int, power double")
 
 
 def run(frames: DataFrame, hz: np.ndarray, positions: np.ndarray, config: SearchConfig) -> tuple[DataFrame, DataFrame]:
@@ -292,5 +463,5 @@ def run(frames: DataFrame, hz: np.ndarray, positions: np.ndarray, config: Search
         windows = frames.select("shard_id", F.floor(F.col("t") / config.spectra).cast("long").alias("w")).distinct()
         steered = tracker.steer(windows, config.prior, config.spectra).withColumn("power", F.lit(None).cast("double"))
         return steered, emit(frames, steered, hz, positions, config.spectra)
-    found = estimate(covariances(frames, len(positions), config.spectra, config.subarray), hz, positions, config)
+    found = estimate(observed(frames, positions, config), hz, positions, config)
     return found, emit(frames, found, hz, positions, config.spectra)

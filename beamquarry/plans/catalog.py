@@ -455,25 +455,56 @@ def rls_fold(spark, sf_dir):
     return doa.rls_fold(power, "f", "w", "power", 0.9)
 
 
+def frame_hz():
+    return 300e6 + np.arange(V.FRAME_CHANNELS) * 0.3e6
+
+
 def searched(spark, sf_dir, config):
-    hz = 300e6 + np.arange(V.FRAME_CHANNELS) * 0.3e6
-    return doa.estimate(doa.covariances(V.frames(spark, sf_dir), V.ANTENNAS, config.spectra), hz, positions(), config)
+    return doa.estimate(doa.observed(V.frames(spark, sf_dir), positions(), config), frame_hz(), positions(), config)
 
 
-@query("doa_bartlett", "shard_id long, w long, l d4, m d4, n d4")
+@query("doa_bartlett", "shard_id long, w long, l d6, m d6, n d6, power d3", "SELECT * FROM found")
 def doa_bartlett(spark, sf_dir):
+    """Coarse grid and two refinements for each window of each observation, around the estimate before, over sums by baseline."""
     return searched(spark, sf_dir, SearchConfig(spectra=FRAME_SPECTRA))
 
 
+@query("doa_forgetting", "shard_id long, w long, l d6, m d6, n d6, power d3", "SELECT * FROM faded_found")
+def doa_forgetting(spark, sf_dir):
+    """The same with a memory that loses a tenth a window."""
+    return searched(spark, sf_dir, SearchConfig(spectra=FRAME_SPECTRA, forgetting=0.9))
+
+
 @query("doa_capon", "shard_id long, w long, l d4, m d4, n d4")
 def doa_capon(spark, sf_dir):
     return searched(spark, sf_dir, SearchConfig(spectra=FRAME_SPECTRA, estimator="capon", forgetting=0.9))
 
 
-@query("doa_emission", "shard_id long, t long, f long, power d0")
+@query(
+    "doa_emission",
+    "shard_id long, t long, f long, power d4",
+    """SELECT shard_id, t, f, pow(sum(cos(p) * re - sin(p) * im), 2) + pow(sum(cos(p) * im + sin(p) * re), 2) AS power FROM
+    (SELECT shard_id, t, f, re, im, 2 * pi() / 299792458.0::DOUBLE * (300e6 + f * 0.3e6) * 0.6::DOUBLE * (a % 8 * l + a // 8 * m) AS p FROM frame_samples JOIN found ON w = t // 64) GROUP BY 1, 2, 3""",
+)
 def doa_emission(spark, sf_dir):
-    hz = 300e6 + np.arange(V.FRAME_CHANNELS) * 0.3e6
-    return doa.run(V.frames(spark, sf_dir), hz, positions(), SearchConfig(spectra=FRAME_SPECTRA))[1]
+    """The beam of each frame at its window's estimate."""
+    return doa.run(V.frames(spark, sf_dir), frame_hz(), positions(), SearchConfig(spectra=FRAME_SPECTRA))[1]
+
+
+@query(
+    "capon_grid",
+    "w long, cell long, power d4",
+    """, x AS (SELECT p.t // 64 AS w, p.f AS f, (avg(p.re * p.re + p.im * p.im) + avg(q.re * q.re + q.im * q.im)) / 2 AS own,
+    avg(p.re * q.re + p.im * q.im) AS re, avg(p.im * q.re - p.re * q.im) AS im FROM frame_samples p JOIN frame_samples q ON p.t = q.t AND q.a = p.a + 1 GROUP BY 1, 2),
+    d AS (SELECT w, f, own * 1.01::DOUBLE AS d, re, im, 2 * pi() / 299792458.0::DOUBLE * (300e6 + f * 0.3e6) * 0.6::DOUBLE AS k FROM x)
+    SELECT w, cell.range AS cell, sum((d * d - re * re - im * im) / (2 * d - 2 * (re * cos(k * l) + im * sin(k * l)))) AS power FROM d, range(9) cell, LATERAL (SELECT -0.4::DOUBLE + cell.range * 0.1::DOUBLE AS l) GROUP BY 1, 2""",
+)
+def capon_grid(spark, sf_dir):
+    """Capon's spectrum over nine cells, of covariances smoothed over sub-arrays of two elements, forward and backward, for which there is a closed form."""
+    l_axis = -0.4 + np.arange(9) * 0.1
+    look = np.stack([l_axis, 0 * l_axis, np.sqrt(1 - l_axis**2)], axis=1)
+    covs = doa.covariances(V.frames(spark, sf_dir), V.ANTENNAS, FRAME_SPECTRA, subarray=2, kind=np.complex128)
+    return doa.grid_powers(covs, frame_hz(), positions(), look, "capon", kind=np.complex128)
 
 
 # --- bursts
@@ -741,15 +772,16 @@ def streamed(stream):
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-@query("stream_tracker_state", "shard_id long, w long, l d4, m d4, n d4")
+@query("stream_tracker_state", "shard_id long, w long, l d6, m d6, n d6, power d3", "SELECT * FROM faded_found")
 def stream_tracker_state(spark, sf_dir):
-    """Covariances as a stream; the shard's memory lasts from batch to batch."""
-    config = SearchConfig(spectra=FRAME_SPECTRA, forgetting=0.9)
-    path = scratch_path(spark, "covariances")
-    covs = doa.covariances(V.frames(spark, sf_dir), V.ANTENNAS, FRAME_SPECTRA)
-    covs.write.parquet(path)
-    hz = 300e6 + np.arange(V.FRAME_CHANNELS) * 0.3e6
-    return streamed(windows.tracked(spark.readStream.schema(covs.schema).parquet(path), hz, positions(), config))
+    """Windows as a stream in three micro-batches; each observation's memory and estimate last from batch to batch."""
+    config, path = SearchConfig(spectra=FRAME_SPECTRA, forgetting=0.9), scratch_path(spark, "lags")
+    lags = kept(doa.observed(V.frames(spark, sf_dir), positions(), config), "lags")
+    for k in range(3):
+        lags.where((F.col("w") % 4 == k) if k < 2 else (F.col("w") % 4 >= 2)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(lags.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with windows.keyed_state(spark):
+        return streamed(windows.tracked(stream, frame_hz(), positions(), config))
 
 
 from beamquarry.plans import products  # noqa: E402,F401  registers its queries here

@@ -484,7 +484,7 @@ def bartlett_peaks(spark, sf_dir):
     cells = geometry.centred_grid(spark, 0.0, 0.0, 5, 0.2, 0.2)
     look = np.array([(r["l"], r["m"], r["n"]) for r in cells.orderBy("cell").collect()])
     hz = 300e6 + np.arange(V.FRAME_CHANNELS) * 0.3e6
-    powers = doa.grid_powers(doa.covariances(V.frames(spark, sf_dir), V.ANTENNAS, FRAME_SPECTRA), hz, positions(), look)
+    powers = doa.grid_powers(doa.lag_sums(V.frames(spark, sf_dir), positions(), FRAME_SPECTRA), hz, positions(), look)
     peaks = doa.strongest_cell(powers, cells)
     zero = F.lit(0.0)
     return peaks.select("w", (F.round("l", 6) + zero).alias("l"), (F.round("m", 6) + zero).alias("m"))

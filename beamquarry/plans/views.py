@@ -11,6 +11,8 @@ from beamquarry.functions import scalars as S
 from beamquarry.operators import geometry
 
 CHANNELS, ANTENNAS, CUBE_TIME, FRAME_CHANNELS = 32, 32, 15360, 16
+#: Vectors of one observation, which is searched by itself: four windows of 64 frames.
+OBSERVATION = 256
 #: The burst views: ten-minute bins of 30 days, 16 channels from 400 MHz in steps of 25 MHz.
 BIN_S, BINS, BURST_CHANNELS, BURST_START_HZ, BURST_STEP_HZ = 600, 4320, 16, 400e6, 25e6
 
@@ -46,14 +48,14 @@ def sample_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(shard_id, t, f, payload): a frame for each vector, elements 0 to 31 real, 32 to 63 imaginary, in sixteenths."""
+    """(shard_id, t, f, payload): a frame for each vector, elements 0 to 31 real, 32 to 63 imaginary, in sixteenths; a shard is an observation."""
     x = F.col("embedding").cast("array<double>")
 
     def scaled(i: Column) -> Column:
         return S.pack_clipped(F.get(x, i) * 16, F.get(x, i + ANTENNAS) * 16)
 
     payload = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(ANTENNAS - 1)), lambda i: F.lpad(F.hex(scaled(i).cast("long")), 2, "0")), ""))
-    return table(spark, sf_dir, "embeddings").select(F.lit(0).alias("shard_id"), F.col("vec_id").alias("t"), (F.col("vec_id") % FRAME_CHANNELS).cast("int").alias("f"), payload.alias("payload"))
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / OBSERVATION).cast("int").alias("shard_id"), F.col("vec_id").alias("t"), (F.col("vec_id") % FRAME_CHANNELS).cast("int").alias("f"), payload.alias("payload"))
 
 
 def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +136,29 @@ SQL = {
         greatest(-7, least(7, round_even(embedding[a.range + 33]::DOUBLE * 16, 0))) AS im FROM embeddings, range({ANTENNAS}) a""",
     "frame_power": """SELECT t, f, b, CAST(sr * sr + si * si AS BIGINT) AS power FROM
         (SELECT t, f, b, sum(wr * re - wi * im) AS sr, sum(wr * im + wi * re) AS si FROM frame_samples JOIN integer_weights USING (f, a) GROUP BY t, f, b)""",
+    "window_lags": """SELECT w, f, dx, dy, sum(re) / any_value(k) AS re, sum(im) / any_value(k) AS im FROM
+        (SELECT p.t // 64 AS w, p.f AS f, p.a % 8 - q.a % 8 AS dx, p.a // 8 - q.a // 8 AS dy, sum(p.re * q.re + p.im * q.im) AS re, sum(p.im * q.re - p.re * q.im) AS im
+        FROM frame_samples p JOIN frame_samples q ON p.t = q.t GROUP BY 1, 2, 3, 4)
+        JOIN (SELECT vec_id // 64 AS w, vec_id % 16 AS f, count(*)::DOUBLE AS k FROM embeddings GROUP BY 1, 2) USING (w, f) GROUP BY w, f, dx, dy""",
+    "kept_lags": "SELECT w, f, dx, dy, re, im, w // 4 AS shard_id FROM window_lags",
+    "faded_lags": """SELECT n.w, n.f, n.dx, n.dy, n.w // 4 AS shard_id, sum(o.re * weight) AS re, sum(o.im * weight) AS im FROM (SELECT w, f, dx, dy FROM window_lags) n
+        JOIN (SELECT * FROM window_lags) o ON o.f = n.f AND o.dx = n.dx AND o.dy = n.dy AND o.w // 4 = n.w // 4 AND o.w <= n.w,
+        LATERAL (SELECT CASE WHEN o.w % 4 = 0 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END * pow(0.9::DOUBLE, n.w - o.w) AS weight) GROUP BY 1, 2, 3, 4""",
+    **{
+        walk: f"""SELECT w // 4 AS shard_id, min(w) AS w, 0 AS stage, 0.0::DOUBLE AS l, 0.0::DOUBLE AS m, 0.0::DOUBLE AS power FROM (SELECT vec_id // 64 AS w FROM embeddings) GROUP BY 1
+        UNION ALL SELECT shard_id, CASE WHEN stage = 2 THEN w + 1 ELSE w END, (stage + 1) % 3, best.l, best.m, best.power FROM
+        (SELECT shard_id, w, stage, arg_max({{'l': l, 'm': m, 'power': power}}, power) AS best FROM
+        (SELECT c.shard_id, c.w, stage, cell, l, m, sum(re * cos(k * (dx * l + dy * m)) - im * sin(k * (dx * l + dy * m))) AS power FROM
+        (SELECT shard_id, w, stage, cell, x * pull AS l, y * pull AS m FROM
+        (SELECT *, CASE WHEN x * x + y * y > 0.999 THEN sqrt(0.999::DOUBLE / (x * x + y * y)) ELSE 1.0::DOUBLE END AS pull FROM
+        (SELECT shard_id, w, stage, cell.range AS cell, CASE WHEN stage = 0 THEN l - 0.2::DOUBLE + (cell.range % 16) * (0.4::DOUBLE / 15) ELSE l + (cell.range % 3 - 1) * (0.0125::DOUBLE / pow(2, stage)) END AS x,
+        CASE WHEN stage = 0 THEN m - 0.2::DOUBLE + (cell.range // 16) * (0.4::DOUBLE / 15) ELSE m + (cell.range // 3 - 1) * (0.0125::DOUBLE / pow(2, stage)) END AS y
+        FROM {walk}, range(256) cell WHERE stage = 0 OR cell.range < 9))) c
+        JOIN (SELECT *, 2 * pi() / 299792458.0::DOUBLE * (300e6 + f * 0.3e6) * 0.6::DOUBLE AS k FROM {lags}) s ON s.shard_id = c.shard_id AND s.w = c.w GROUP BY 1, 2, 3, 4, 5, 6) GROUP BY 1, 2, 3)"""
+        for walk, lags in (("walk", "kept_lags"), ("faded_walk", "faded_lags"))
+    },
+    "found": "SELECT shard_id, w - 1 AS w, l, m, sqrt(1 - l * l - m * m) AS n, power FROM walk WHERE stage = 0 AND power <> 0",
+    "faded_found": "SELECT shard_id, w - 1 AS w, l, m, sqrt(1 - l * l - m * m) AS n, power FROM faded_walk WHERE stage = 0 AND power <> 0",
     "waterfall": f"""SELECT (epoch_us(ts) // {BIN_S * 1_000_000}) % {BINS} AS t, user_id % {BURST_CHANNELS} AS f,
         CAST(sum(CAST(round_even(value * 100, 0) AS BIGINT)) AS BIGINT) AS power FROM events GROUP BY 1, 2""",
     "burst_channels": f"SELECT range AS f, {BURST_START_HZ} + range * {BURST_STEP_HZ} AS hz FROM range({BURST_CHANNELS})",
@@ -166,7 +191,8 @@ def sql(columns: str, body: str) -> str:
             heads.append(f'CAST("{name}" AS {kinds[kind]}) AS "{name}"')
     views = ", ".join(f"{k} AS ({SQL[k]})" for k in needed(body))
     body = f"WITH {body.strip()[1:]}" if body.strip().startswith(",") else body
-    return f"WITH {views}{', ' if views else ''}answer AS ({body}) SELECT {', '.join(heads)} FROM answer"
+    with_ = "WITH RECURSIVE" if "walk" in views else "WITH"
+    return f"{with_} {views}{', ' if views else ''}answer AS ({body}) SELECT {', '.join(heads)} FROM answer"
 
 
 def shaped(df: DataFrame, columns: str) -> DataFrame:

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -247,11 +248,9 @@ class TensorWriter(DataSourceArrowWriter):
         parts, reached = sorted((m.first, m.size, m.name) for m in messages if m is not None and m.size), 0
         for first, size, _ in parts:
             if first != reached:
-                self.abort(messages)
                 raise ValueError(f"{self.path} would have a gap or an overlap at byte {reached}; expected {self.layout.bytes} bytes")
             reached += size
         if reached != self.layout.bytes:
-            self.abort(messages)
             raise ValueError(f"{self.path} would have {reached} bytes; expected {self.layout.bytes}")
         fs, at = place(self.path)
         with fs.open_output_stream(f"{at}/{self.job}/{MANIFEST}") as out:
@@ -269,7 +268,7 @@ class TensorWriter(DataSourceArrowWriter):
         fs, at = place(self.path)
         if fs.get_file_info(f"{at}/{self.job}").type == pyarrow.fs.FileType.Directory:
             fs.delete_dir(f"{at}/{self.job}")
-        if not fs.get_file_info(pyarrow.fs.FileSelector(at, allow_not_found=True)):
+        if fs.get_file_info(at).type == pyarrow.fs.FileType.Directory and not fs.get_file_info(pyarrow.fs.FileSelector(at)):
             fs.delete_dir(at)
 
 
@@ -314,4 +313,10 @@ def write(rows: DataFrame, path: str, layout: Layout, split: int = SPLIT_BYTES)
     parts = max(1, -(-layout.bytes // split))
     placed = rows.select(at.alias("_at"), *layout.values)
     dealt = placed.repartition(1) if parts == 1 else placed.repartitionByRange(parts, "_at")
-    dealt.sortWithinPartitions("_at").write.format(TensorSource.name()).mode("overwrite").options(path=path, layout=layout.option()).save()
+    job = dealt.sortWithinPartitions("_at").write.format(TensorSource.name()).mode("overwrite").options(path=path, layout=layout.option())
+    try:
+        job.save()
+    except PySparkException as e:  # a Python source's own errors arrive as text
+        if "ValueError" in str(e):
+            raise ValueError(str(e)) from e
+        raise

@@ -6,14 +6,14 @@ index itself, written as milliseconds, in which Spark keeps watermarks: a window
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from beamquarry.model import SearchConfig
 from beamquarry.operators import doa
@@ -31,32 +31,72 @@ def tumbling(samples: DataFrame, spectra: int, keys: tuple[str, ...], value: str
     return summed.select(w.alias("w"), *keys, value, "n")
 
 
-def tracked(covs: DataFrame, hz: np.ndarray, positions: np.ndarray, config: SearchConfig) -> DataFrame:
-    """(shard_id, w, l, m, n, power) of a stream of (shard_id, w, f, snapshots, r).
+#: Where keyed state with several variables lives.
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
-    A shard's state is the covariance of its channels and its last window. Covariance carries over from batch to
-    batch; the search centre starts again from the prior path at each batch. A window that is not newer than the last
-    one was late and is not searched again.
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which a processor with named state needs; the session's setting comes back."""
+    before = spark.conf.get(STATE_PROVIDER)
+    spark.conf.set(STATE_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_PROVIDER, before)
+
+
+class Tracker(StatefulProcessor):
+    """A shard's search: a map of channels to what their memory holds, and the last window with its estimate.
+
+    Of the map only the channels that a batch has are read and written; without forgetting none is.
     """
-    hz, positions = np.asarray(hz, float), np.asarray(positions, float)
-    config.check(len(positions))
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, r = pickle.loads(state.get[0]) if state.exists else (-1, {})
-        memory, out = doa.Memory(config.forgetting, r), []
-        rows = pd.concat(list(parts)).sort_values(["w", "f"])
-        rows = rows[rows["w"] > last]
-        centre = np.array(config.prior.at(int(rows["w"].min()) * config.spectra)) if len(rows) else None
-        for w, group in rows.groupby("w"):
+    def __init__(self, hz: np.ndarray, positions: np.ndarray, config: SearchConfig, column: str):
+        self.hz, self.positions, self.config, self.column = hz, positions, config, column
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.channels = handle.getMapState("channels", "f int", "held binary")
+        self.last = handle.getValueState("last", "w long, l double, m double, n double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
+        decode, scan = doa.scanner(self.column, self.positions, self.config)
+        seen, *centre = self.last.get() if self.last.exists() else (-1, None, None, None)
+        fresh = pd.concat(list(rows)).sort_values(["w", "f"])
+        fresh = fresh[fresh["w"] > seen]
+        if not len(fresh):
+            return
+        centre = np.array(self.config.prior.at(0) if seen < 0 else centre)
+        memory, out = doa.Memory(self.config.forgetting), []
+        if self.config.forgetting < 1:
+            for f in fresh["f"].unique().tolist():
+                if self.channels.containsKey((f,)):
+                    memory.r[f] = decode(self.channels.getValue((f,))[0])
+        for w, group in fresh.groupby("w"):
             fs = group["f"].tolist()
-            stack = np.stack([memory.update(f, doa._matrix(raw)) for f, raw in zip(fs, group["r"], strict=True)])
-            centre, power = doa.search(stack, hz[fs], positions, centre, config)
+            values = np.stack([memory.update(f, decode(raw)) for f, raw in zip(fs, group[self.column], strict=True)])
+            centre, power = doa.search(scan(values, self.hz[fs]), centre, self.config)
             out.append([int(key[0]), int(w), *map(float, centre), float(power)])
-            last = int(w)
-        state.update((pickle.dumps((last, memory.r)),))
+        if self.config.forgetting < 1:
+            for f, held in memory.r.items():
+                self.channels.updateValue((f,), (held.tobytes(),))
+        self.last.update((out[-1][1], *out[-1][2:5]))
         yield pd.DataFrame(out, columns=["shard_id", "w", "l", "m", "n", "power"])
 
-    return covs.groupBy("shard_id").applyInPandasWithState(run, doa.ESTIMATE, "memory binary", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def tracked(values: DataFrame, hz: np.ndarray, positions: np.ndarray, config: SearchConfig) -> DataFrame:
+    """(shard_id, w, l, m, n, power) of a stream of covariances or lag sums, to be started inside keyed_state().
+
+    Memory and estimate carry over from batch to batch and over a restart, so the rows are those of the search over all at once, if
+    windows arrive in order. A window that is not newer than the last one was late and is not searched again.
+    """
+    hz, positions = np.asarray(hz, float), np.asarray(positions, float)
+    config.check(len(positions))
+    processor = Tracker(hz, positions, config, "lags" if "lags" in values.columns else "r")
+    return values.groupBy("shard_id").transformWithStateInPandas(processor, doa.ESTIMATE, "append", "none")
 
 
 def batched_windows(power: DataFrame, spectra: int, sink: Callable[[DataFrame, int], None], checkpoint: str, late_samples: int = 0):
