@@ -126,11 +126,76 @@ def dedisperse(waterfall: DataFrame, shift: DataFrame, n_time: int, wrap: bool =
 
 def profile(dedispersed: DataFrame, n_time: int) -> DataFrame:
     """(trial, t, power): summed over channels, with zeros where nothing arrived."""
-    sums = dedispersed.groupBy("trial", "t").agg(F.sum("power").alias("power"))
+    return on_axis(dedispersed.groupBy("trial", "t").agg(F.sum("power").alias("power")), n_time)
+
+
+def on_axis(sums: DataFrame, n_time: int) -> DataFrame:
     axis = sums.select("trial").distinct().select("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_time - 1).cast("long"))).alias("t"))
     return axis.join(sums, ["trial", "t"], "left").select("trial", "t", F.coalesce("power", F.lit(0)).alias("power"))
 
 
+#: Shifts (trials times channels) up to which a tree of shared profiles is looked for, and the groups of channels that are tried.
+MOST_SHIFTS, FANOUTS = 4_000_000, (2, 4, 8, 16)
+
+
+def shift_tree(shift: np.ndarray, fanout: int) -> list[list[tuple[int, int, int, int, int]]]:
+    """Levels of (group, pattern, group above, pattern above, offset) of shifts [trial][channel]; the last level's pattern above is the trial.
+
+    Within a group of channels only the shifts relative to its first channel matter. Trials in which these are the same have one
+    pattern, and one partial profile; a group above puts those of its groups together, each moved by a constant.
+    """
+    n_trials, n = shift.shape
+    groups, pattern, levels = [[f] for f in range(n)], [np.zeros(n_trials, int)] * n, []
+    while len(groups) > fanout:
+        level, above, patterns = [], [], []
+        for number, low in enumerate(range(0, len(groups), fanout)):
+            members = range(low, min(low + fanout, len(groups)))
+            channels = [f for g in members for f in groups[g]]
+            anchor = channels[0]
+            _, first, kind = np.unique(shift[:, channels] - shift[:, [anchor]], axis=0, return_index=True, return_inverse=True)
+            level += [(g, int(pattern[g][t]), number, k, int(shift[t, groups[g][0]] - shift[t, anchor])) for k, t in enumerate(first) for g in members]
+            above.append(channels)
+            patterns.append(kind.ravel())
+        groups, pattern = above, patterns
+        levels.append(level)
+    levels.append([(g, int(pattern[g][t]), 0, t, int(shift[t, groups[g][0]])) for t in range(n_trials) for g in range(len(groups))])
+    return levels
+
+
+def best_tree(shift: np.ndarray, fanouts: tuple[int, ...] = FANOUTS) -> list[list[tuple[int, int, int, int, int]]]:
+    """The levels that move the fewest rows for a sample of time; one level is the sum over channels for each trial by itself."""
+    trees = [shift_tree(shift, shift.shape[1]), *(shift_tree(shift, k) for k in fanouts if k < shift.shape[1])]
+    return min(trees, key=lambda levels: sum(map(len, levels)))
+
+
+def shared_profiles(waterfall: DataFrame, shift: DataFrame, n_time: int, wrap: bool = True) -> DataFrame:
+    """(trial, t, power): the profiles of dedisperse(), exactly, from partial profiles that trials share.
+
+    The shifts come to the driver, trials times channels of them; each level's mapping is no larger and is broadcast.
+    """
+    table = shift.select("trial", "f", "shift").limit(MOST_SHIFTS + 1).toPandas()
+    if len(table) > MOST_SHIFTS:
+        return profile(dedisperse(waterfall, shift, n_time, wrap), n_time)
+    grid = table.pivot(index="trial", columns="f", values="shift")
+    trials, channels = grid.index.tolist(), grid.columns.tolist()
+    spark = waterfall.sparkSession
+    names = spark.createDataFrame([(f, g) for g, f in enumerate(channels)], "f int, _g int")
+    rows = waterfall.join(F.broadcast(names), "f").select("_g", F.lit(0).alias("_p"), "t", "power")
+    levels = best_tree(grid.to_numpy())
+    for number, level in enumerate(levels):
+        last = number == len(levels) - 1
+        moved = rows.join(F.broadcast(spark.createDataFrame(level, "_g int, _p int, _above int, _to int, _offset long")), ["_g", "_p"])
+        at = F.col("t") - F.col("_offset")
+        if wrap:
+            at = F.pmod(at, F.lit(n_time))
+        rows = moved.select(F.col("_above").alias("_g"), F.col("_to").alias("_p"), at.alias("t"), "power")
+        if last and not wrap:
+            rows = rows.where((F.col("t") >= 0) & (F.col("t") < n_time))
+        rows = rows.groupBy("_g", "_p", "t").agg(F.sum("power").alias("power"))
+    which = spark.createDataFrame(list(enumerate(trials)), "_p int, trial int")
+    return on_axis(rows.join(F.broadcast(which), "_p").select("trial", "t", "power"), n_time)
+
+
 def profile_snr(profiles: DataFrame, n_time: int) -> DataFrame:
     """(trial, peak_t, baseline_mean, baseline_std, snr): the first maximum over what lies outside of it and its surroundings.
 
@@ -157,9 +222,8 @@ def trial_table(spark: SparkSession, dm: float, steps: int = SWEEP_STEPS, reach:
 
 
 def sweep(waterfall: DataFrame, channels: DataFrame, trials: DataFrame, n_time: int, rate_hz: float = SAMPLE_RATE_HZ, ref_hz: float = 800e6, wrap: bool = True) -> DataFrame:
-    """(trial, dm, peak_t, snr) of all trials: one pass over the waterfall, summed by trial and time before the shuffle."""
-    shift = shifts(channels, trials, rate_hz, ref_hz)
-    found = profile_snr(profile(dedisperse(waterfall, shift, n_time, wrap), n_time), n_time)
+    """(trial, dm, peak_t, snr) of all trials: one pass over the waterfall, in which trials share what they have in common."""
+    found = profile_snr(shared_profiles(waterfall, shifts(channels, trials, rate_hz, ref_hz), n_time, wrap), n_time)
     return found.join(F.broadcast(trials), "trial").select("trial", "dm", "peak_t", "snr")
 
 

@@ -548,6 +548,16 @@ def dm_sweep(spark, sf_dir):
     return burst.sweep(V.waterfall(spark, sf_dir), V.burst_channels(spark), burst.trial_table(spark, TRIAL_DM, TRIALS), V.BINS)
 
 
+FINE = 160
+FINE_SQL = SWEEP_SQL.replace("60.0::DOUBLE + range * (80.0::DOUBLE / 50)", f"99.0::DOUBLE + range * (2.0::DOUBLE / {FINE - 1})").replace("range(51)", f"range({FINE})")
+
+
+@query("dm_sweep_fine", "trial long, dm d6, peak_t long, snr d4", FINE_SQL + "SELECT * FROM snrs")
+def dm_sweep_fine(spark, sf_dir):
+    """Trials closer than a sample's delay: most of their shifts are the same, and so are their partial profiles."""
+    return burst.sweep(V.waterfall(spark, sf_dir), V.burst_channels(spark), burst.trial_table(spark, TRIAL_DM, FINE, 0.01), V.BINS)
+
+
 @query("best_dm", "trial long, dm d6, snr d4", SWEEP_SQL + "SELECT * FROM snrs ORDER BY snr DESC, trial LIMIT 1")
 def best_dm(spark, sf_dir):
     return burst.best_trial(burst.sweep(V.waterfall(spark, sf_dir), V.burst_channels(spark), burst.trial_table(spark, TRIAL_DM, TRIALS), V.BINS))
