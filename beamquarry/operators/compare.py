@@ -166,6 +166,12 @@ def positive_limits(values: DataFrame, value: str) -> DataFrame:
     return lim.select(F.when(F.col("lower") == F.col("upper"), F.col("upper") / 10).otherwise(F.col("lower")).alias("lower"), "upper")
 
 
+def joined_directions(true: DataFrame, prior: DataFrame, estimate: DataFrame, keys: tuple[str, ...] = ("w",)) -> DataFrame:
+    """Where a source was, was thought to be and was found, side by side by window; windows that one of the three lacks are left out."""
+    named = [table.select(*keys, F.col("l").alias(f"l{end}"), F.col("m").alias(f"m{end}")) for table, end in ((true, ""), (prior, "_prior"), (estimate, "_est"))]
+    return named[0].join(named[1], list(keys)).join(named[2], list(keys))
+
+
 def direction_errors(directions: DataFrame) -> DataFrame:
     """Mean distance of prior and estimate from the true direction, and the estimate's in arcminutes."""
     from beamquarry.functions.scalars import lm_distance, pointing_error_arcmin

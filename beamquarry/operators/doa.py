@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from beamquarry.model import LIGHT_M_S, SearchConfig
 from beamquarry.operators.beamform import payload_matrix, unpack_frames  # noqa: F401
+from beamquarry.session import kept
 
 COVARIANCE = "shard_id int, w long, f int, snapshots long, r binary"
 LAGS = "shard_id int, w long, f int, snapshots long, lags binary"
@@ -40,26 +41,49 @@ def covariance_relational(samples: DataFrame, spectra: int) -> DataFrame:
     return sums.join(count, ["w", "f"]).select("w", "f", "r", "c", (F.col("re") / F.col("k")).alias("re"), (F.col("im") / F.col("k")).alias("im"))
 
 
-def rls_fold(values: DataFrame, key: str, order: str, value: str, forgetting: float) -> DataFrame:
+def rls_fold(values: DataFrame, key: str, order: str, value: str, forgetting: float, block: int = 4096) -> DataFrame:
     """R_w = forgetting R_(w-1) + (1 - forgetting) B_w in order; the first window, or a factor of 1, replaces R.
 
-    R_w / forgetting^w is a running sum, so no loop is needed. It is taken in blocks within which powers keep in
-    range (down to 1e-200); a block adds the end of the one before, and what is older weighs less than rounding.
+    In two levels, as a step is a pair (decay, value) and pairs compose: blocks of `block` window numbers are folded apart, all in
+    parallel, and what a block's last window leaves is carried over the blocks that follow, of which there are few. Windows may be missing.
     """
-    from pyspark.sql import Window
-
     if forgetting >= 1:
         return values.select(key, order, F.col(value).alias("folded"))
-    length = max(1, int(200 * math.log(10) / -math.log(forgetting)))
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    rows = values.select(key, order, value, n.alias("_n")).withColumn("_block", F.floor(F.col("_n") / length)).withColumn("_i", (F.col("_n") % length).cast("double"))
-    share = F.when(F.col("_n") == 0, F.col(value).cast("double")).otherwise(F.col(value) * (1 - forgetting))
-    power = F.pow(F.lit(forgetting), F.col("_i"))
-    inside = Window.partitionBy(key, "_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumn("_l", F.sum(share / power).over(inside) * power)
-    ends = local.where(F.col("_i") == length - 1).select(key, (F.col("_block") + 1).alias("_block"), F.col("_l").alias("_end"))
-    carried = local.join(ends, [key, "_block"], "left")
-    return carried.select(key, order, (F.col("_l") + F.coalesce("_end", F.lit(0.0)) * power * forgetting).alias("folded"))
+    kinds = dict(values.dtypes)
+    rows = values.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(value).cast("double").alias("_v")).withColumn("_b", F.floor(F.col("_o") / block))
+
+    def folds(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, n, empty, fresh = None, 0, 0.0, 0.0
+        for part in parts:
+            out = []
+            for k, b, v in zip(part["_k"].to_numpy(object), part["_b"].tolist(), part["_v"].tolist(), strict=True):
+                if (k, b) != at:
+                    at, n, empty, fresh = (k, b), 0, 0.0, v
+                else:
+                    fresh = forgetting * fresh + (1 - forgetting) * v
+                empty, n = forgetting * empty + (1 - forgetting) * v, n + 1
+                out.append((n, empty, fresh))
+            yield part.assign(**{c: [x[i] for x in out] for i, c in enumerate(("_n", "_empty", "_fresh"))})
+
+    def carries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, carry = object(), None
+        for part in parts:
+            out = []
+            for k, n, empty, fresh in zip(part["_k"].to_numpy(object), part["_n"], part["_empty"], part["_fresh"], strict=True):
+                if k != at:
+                    at, carry = k, None
+                out.append(carry)
+                carry = fresh if carry is None else forgetting**n * carry + empty
+            yield part[["_k", "_b"]].assign(_carry=pd.array(out, "Float64"))
+
+    ordered = rows.repartition("_k", "_b").sortWithinPartitions("_k", "_b", "_o")
+    local = kept(ordered.mapInPandas(folds, f"_k {kinds[key]}, _o {kinds[order]}, _v double, _b long, _n long, _empty double, _fresh double"), "folds")
+    ends = local.groupBy("_k", "_b").agg(*[F.max_by(c, "_n").alias(c) for c in ("_n", "_empty", "_fresh")])
+    carried = ends.repartition("_k").sortWithinPartitions("_k", "_b").mapInPandas(carries, f"_k {kinds[key]}, _b long, _carry double")
+    carried = carried.select(F.col("_k").alias("_kk"), F.col("_b").alias("_bb"), "_carry")
+    joined = local.join(carried, F.col("_k").eqNullSafe(F.col("_kk")) & (F.col("_b") == F.col("_bb")))
+    whole = F.when(F.col("_carry").isNull(), F.col("_fresh")).otherwise(F.col("_empty") + F.pow(F.lit(forgetting), F.col("_n").cast("double")) * F.col("_carry"))
+    return joined.select(F.col("_k").alias(key), F.col("_o").alias(order), whole.alias("folded"))
 
 
 def bartlett_relational(samples: DataFrame, cells: DataFrame, channels: DataFrame, antennas: DataFrame, spectra: int) -> DataFrame:

@@ -455,6 +455,20 @@ def rls_fold(spark, sf_dir):
     return doa.rls_fold(power, "f", "w", "power", 0.9)
 
 
+@query(
+    "rls_blocks",
+    "f long, w long, folded d6",
+    """, p AS (SELECT f, t // 64 AS w, CAST(sum(power) AS DOUBLE) AS power FROM sample_power GROUP BY 1, 2),
+    n AS (SELECT f, w, power, row_number() OVER (PARTITION BY f ORDER BY w) - 1 AS i FROM p)
+    SELECT a.f, a.w, sum(pow(0.875::DOUBLE, a.i - b.i) * CASE WHEN b.i = 0 THEN b.power ELSE 0.125::DOUBLE * b.power END) AS folded
+    FROM n a JOIN n b ON b.f = a.f AND b.i <= a.i AND a.i - b.i < 400 GROUP BY 1, 2""",
+)
+def rls_blocks(spark, sf_dir):
+    """A fold over many windows in blocks of 32, with a factor that binary numbers hold exactly; terms older than 400 windows are below rounding."""
+    power = beamform.integrate(V.sample_power(spark, sf_dir), 64, ("f",))
+    return doa.rls_fold(power, "f", "w", "power", 0.875, block=32)
+
+
 def frame_hz():
     return 300e6 + np.arange(V.FRAME_CHANNELS) * 0.3e6
 

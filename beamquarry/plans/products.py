@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from beamquarry.functions import scalars as S
 from beamquarry.model import Dimensions, SearchConfig, Trajectory, buffer_label, integrated_count, resolve_channels, window_count
-from beamquarry.operators import beamform, burst, compare, doa, geometry, quantize, tracker
+from beamquarry.operators import asof, beamform, burst, compare, doa, geometry, quantize, tracker
 from beamquarry.plans import views as V
-from beamquarry.plans.catalog import FRAME_SPECTRA, TRACK_SQL, positions, query
+from beamquarry.plans.catalog import FRAME_SPECTRA, STILL, TRACK_SQL, is_folder, positions, query, searched
 from beamquarry.session import kept, scratch_path
 from beamquarry.sources import records, synthetic, tensors
 from beamquarry.streaming import windows
@@ -700,11 +700,58 @@ def stream_whole_windows(spark, sf_dir):
     for k in range(4):
         rows.where(F.floor(F.col("t") / 100) == k).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    writer = windows.batched_windows(stream, 64, lambda batch, number: batch.write.mode("append").parquet(out), f"{out}-state", late_samples=400)
+    writer = windows.batched_windows(stream, 64, windows.by_batch(out), f"{out}-state", late_samples=400)
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
+@query("stream_vector_windows", "w long, f long, power long, n long", "SELECT vec_id // 64 AS w, 0 AS f, sum(vec_id * 7 % 11 + label) AS power, 64 AS n FROM embeddings GROUP BY 1 HAVING count(*) = 64")
+def stream_vector_windows(spark, sf_dir):
+    """The vectors as a stream of spectra: whole windows of 64, each batch in a folder of its own."""
+    out, path = scratch_path(spark, "vector-windows"), f"{sf_dir}/embeddings.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).format("parquet").load(path if is_folder(spark, path) else f"{sf_dir}/embeddings.parque[t]")
+    rows = stream.select(F.col("vec_id").alias("t"), F.lit(0).alias("f"), (F.col("vec_id") * 7 % 11 + F.col("label")).alias("power"))
+    windows.batched_windows(rows, 64, windows.by_batch(out), f"{out}-state", late_samples=1_000_000).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("w long, f int, power long, n long").parquet(out)
+
+
+# --- joins by nearness
+
+
+@query(
+    "channel_specifications",
+    "l_orderkey long, l_linenumber long, gain d4, width d4",
+    """, a AS (SELECT o_custkey::DOUBLE AS hz, max(o_totalprice)::DOUBLE AS gain, count(*)::DOUBLE AS width FROM orders GROUP BY o_custkey),
+    o AS (SELECT *, row_number() OVER (ORDER BY hz) AS i, count(*) OVER () AS n FROM a),
+    r AS (SELECT l_orderkey, l_linenumber, l_partkey::DOUBLE AS hz FROM lineitem),
+    k AS (SELECT r.*, least(greatest(coalesce(o.i, 1), 1), (SELECT max(n) - 1 FROM o)) AS i FROM r ASOF LEFT JOIN o ON r.hz >= o.hz)
+    SELECT l_orderkey, l_linenumber, p.gain + (k.hz - p.hz) * ((q.gain - p.gain) / (q.hz - p.hz)) AS gain, p.width + (k.hz - p.hz) * ((q.width - p.width) / (q.hz - p.hz)) AS width
+    FROM k JOIN o p ON p.i = k.i JOIN o q ON q.i = k.i + 1""",
+)
+def channel_specifications(spark, sf_dir):
+    """Channels (parts) between specified ones (customers): gain and width on straight lines, which go on beyond the ends."""
+    orders = V.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("double").alias("hz"))
+    anchors = orders.agg(F.max(F.col("o_totalprice").cast("double")).alias("gain"), F.count(F.lit(1)).cast("double").alias("width"))
+    channels = V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("double").alias("hz"))
+    return asof.interpolated(channels, anchors, "hz", ["gain", "width"])
+
+
+@query(
+    "direction_errors_by_window",
+    "mean_prior_error d9, mean_error d9, mean_error_arcmin d6",
+    """, t AS (SELECT f.l AS le, f.m AS me, 0.02::DOUBLE + 64 * w * 1e-8::DOUBLE AS l, -0.03::DOUBLE + 64 * w * -2e-9::DOUBLE AS m, 0.02::DOUBLE AS lp, -0.03::DOUBLE AS mp FROM found f)
+    SELECT avg(sqrt(pow(l - lp, 2) + pow(m - mp, 2))) AS mean_prior_error, avg(sqrt(pow(l - le, 2) + pow(m - me, 2))) AS mean_error,
+    avg(degrees(sqrt(pow(l - le, 2) + pow(m - me, 2))) * 60) AS mean_error_arcmin FROM t""",
+)
+def direction_errors_by_window(spark, sf_dir):
+    """Path, start and search of each window, from three tables."""
+    found = searched(spark, sf_dir, SearchConfig(spectra=FRAME_SPECTRA))
+    seen = V.frames(spark, sf_dir).select(F.floor(F.col("t") / FRAME_SPECTRA).cast("long").alias("w")).distinct()
+    still = Trajectory(STILL.l0, STILL.m0)
+    return compare.direction_errors(compare.joined_directions(tracker.steer(seen, STILL, FRAME_SPECTRA), tracker.steer(seen, still, FRAME_SPECTRA), found))
+
+
 @query("search_settings", "estimator string, grid long", "SELECT * FROM (VALUES ('bartlett', 16), ('capon', 1)) s(estimator, grid)")
 def search_settings(spark, sf_dir):
     """Settings that pass their check; the others are tests."""

@@ -114,6 +114,15 @@ def batched_windows(power: DataFrame, spectra: int, sink: Callable[[DataFrame, i
     return sums.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
 
 
+def by_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch that keeps each batch in a folder named by its number: a batch that is run again replaces what it wrote."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def frame_matches(frames: DataFrame, expected: DataFrame, keys: tuple[str, ...] = ("frame_id", "shard_id", "dtype", "shape")) -> DataFrame:
     """Frames whose metadata equals what was announced, nulls being equal to nulls."""
     condition = [frames[k].eqNullSafe(expected[k]) for k in keys]
