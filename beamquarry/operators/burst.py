@@ -68,14 +68,13 @@ def synthesize(channels: DataFrame, burst: tuple, n_time: int, rate_hz: float =
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = np.arange(n_time) * dt
         for part in parts:
-            for f, hz in zip(part["f"], part["hz"], strict=True):
-                delay = S.DISPERSION * dm * ((hz / 1e6) ** -2.0 - (ref_hz / 1e6) ** -2.0)
-                law = (hz / ref_hz) ** (index + running * np.log(hz / ref_hz))
+            for f, hz, law, delay in zip(part["f"], part["hz"], part["law"], part["delay"], strict=True):
                 power = law * pulse(t, arrival + delay, width, tau_400 * (hz / 4e8) ** -4.0, dt)
                 yield pd.DataFrame({"t": np.arange(n_time), "f": np.int32(f), "power": power})
 
     spread = channels.sparkSession.sparkContext.defaultParallelism
-    return channels.select("f", "hz").repartition(spread).mapInPandas(run, "t long, f int, power double")
+    laws = S.spectral_law(F.col("hz"), F.lit(index), F.lit(running), ref_hz), S.dispersion_delay(F.lit(dm), F.col("hz"), ref_hz)
+    return channels.select("f", "hz", laws[0].alias("law"), laws[1].alias("delay")).repartition(spread).mapInPandas(run, "t long, f int, power double")
 
 
 def with_noise(waterfall: DataFrame, level: float, seed: int = 1) -> DataFrame:

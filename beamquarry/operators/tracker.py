@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beamquarry.functions import scalars as S
-from beamquarry.model import Trajectory, window_count
+from beamquarry.model import LIGHT_M_S, Dimensions, Trajectory, window_count
 from beamquarry.operators import beamform
 
 
@@ -56,19 +60,20 @@ def overlap_series(windows: DataFrame, path: Trajectory, spectra: int, stride: i
     return steer(windows.where(F.col("w") % stride == 0).orderBy("w").limit(limit), path, spectra)
 
 
-def track(samples: DataFrame, directions: DataFrame, channels: DataFrame, antennas: DataFrame, spectra: int) -> DataFrame:
+def track(samples: DataFrame, directions: DataFrame | Trajectory, channels: DataFrame, antennas: DataFrame, spectra: int) -> DataFrame:
     """(t, f, power) of decoded samples: one output a spectrum.
 
     The phase is computed for each sample from its window's direction, which costs a sine and a cosine
     where a join with a table of all windows' weights would cost a row for each window, channel and
-    antenna. The antenna and channel tables are bounded by the dimensions; directions grow with time and are joined by window.
+    antenna. The antenna and channel tables are bounded by the dimensions. A path's directions are arithmetic on the window;
+    directions of another kind are a table that grows with time and is joined by window.
     """
     placed = (
         samples.withColumn("w", F.floor(F.col("t") / spectra).cast("long"))
         .join(F.broadcast(channels), "f")
         .join(F.broadcast(antennas), "a")
-        .join(directions, "w")
     )
+    placed = steer(placed, directions, spectra) if isinstance(directions, Trajectory) else placed.join(directions, "w")
     angle = S.phase(*(F.col(c) for c in ("hz", "x", "y", "z", "l", "m", "n")))
     wr, wi = F.cos("_phase"), F.sin("_phase")
     summed = placed.withColumn("_phase", angle).groupBy("t", "f").agg(
@@ -86,13 +91,6 @@ def track_frames(frames: DataFrame, path: Trajectory, hz, positions, spectra: in
 
     Weights and sums are in single precision; `precise` takes double.
     """
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pyarrow as pa
-
-    from beamquarry.model import LIGHT_M_S
-
     hz, positions = np.asarray(hz, float), np.asarray(positions, float)
     kind = np.complex128 if precise else np.complex64
 
@@ -110,47 +108,79 @@ def track_frames(frames: DataFrame, path: Trajectory, hz, positions, spectra: in
     return frames.select("t", "f", "payload").mapInArrow(run, f"t long, f int, power {'double' if precise else 'float'}")
 
 
-def track_spectra(rows: DataFrame, path: Trajectory, hz, positions, spectra: int, slice_rows: int = 16) -> DataFrame:
-    """(t, power array<float>) of whole spectra (t, payload of all channels' elements in turn): one row for each spectrum.
+def channel_weights(hz, positions, look) -> np.ndarray:
+    """[f][part][a][2] float32: what a sample's real (part 0) and imaginary part (1) add to the real and imaginary part of the beam."""
+    angle = 2 * np.pi / LIGHT_M_S * hz[:, None] * (positions @ np.array(look))
+    c, s = np.cos(angle), np.sin(angle)
+    return np.stack([np.stack([c, s], axis=-1), np.stack([-s, c], axis=-1)], axis=1).astype(np.float32)
+
+
+def window_power(payload: np.ndarray, weights: np.ndarray, slice_channels: int = 16) -> np.ndarray:
+    """[t][f] of one window's packed bytes [t][f][a]: some channels at a time, small enough to stay in cache, as two real products each."""
+    out = np.empty(payload.shape[:2], np.float32)
+    for low in range(0, payload.shape[1], slice_channels):
+        here = slice(low, low + slice_channels)
+        packed = np.ascontiguousarray(payload[:, here].transpose(1, 0, 2)).view(np.int8)
+        y = np.matmul((packed << 4 >> 4).astype(np.float32), weights[here, 0]) + np.matmul((packed >> 4).astype(np.float32), weights[here, 1])
+        out[:, here] = (y[..., 0] ** 2 + y[..., 1] ** 2).T
+    return out
+
+
+def spectra_power(t: np.ndarray, payload: np.ndarray, path: Trajectory, hz: np.ndarray, positions: np.ndarray, spectra: int, slice_rows: int = 512) -> np.ndarray:
+    """[t][f] of whole spectra [t][f][a]; steering is computed once for each window, and at most `slice_rows` spectra are multiplied at a time."""
+    power, window = np.empty(payload.shape[:2], np.float32), t // spectra
+    for w in np.unique(window):
+        weights, here = channel_weights(hz, positions, path.at(w * spectra)), np.flatnonzero(window == w)
+        for low in range(0, len(here), slice_rows):
+            at = here[low : low + slice_rows]
+            if at[-1] - at[0] + 1 == len(at):
+                at = slice(at[0], at[-1] + 1)  # no copy
+            power[at] = window_power(payload[at], weights)
+    return power
 
-    Steering is computed once for each window of a batch, and each window's spectra are multiplied a slice at a time, small
-    enough for its samples to stay in cache.
-    """
-    from collections.abc import Iterator
 
-    import numpy as np
-    import pyarrow as pa
+def _power_batch(t: np.ndarray, power: np.ndarray) -> pa.RecordBatch:
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(power.ravel()), power.shape[1]).cast(pa.list_(pa.float32()))
+    return pa.RecordBatch.from_arrays([pa.array(t), flat], ["t", "power"])
 
-    from beamquarry.model import LIGHT_M_S
 
+def track_spectra(rows: DataFrame, path: Trajectory, hz, positions, spectra: int, slice_rows: int = 512) -> DataFrame:
+    """(t, power array<float>) of whole spectra (t, payload of all channels' elements in turn): one row for each spectrum."""
     hz, positions = np.asarray(hz, float), np.asarray(positions, float)
-    n_freq, n_ant = len(hz), len(positions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = batch["t"].to_numpy()
-            payload = beamform.payload_matrix(batch["payload"], n_freq * n_ant)
-            power = np.empty((len(t), n_freq), np.float32)
-            for w in np.unique(t // spectra):
-                angle = 2 * np.pi / LIGHT_M_S * hz[:, None] * (positions @ np.array(path.at(w * spectra)))
-                weights = np.exp(1j * angle).astype(np.complex64)[:, :, None]
-                here = np.flatnonzero(t // spectra == w)
-                for low in range(0, len(here), slice_rows):
-                    at = here[low : low + slice_rows]
-                    x = beamform.unpack_frames(payload[at]).reshape(len(at), n_freq, n_ant).transpose(1, 0, 2)
-                    y = np.matmul(x, weights)[:, :, 0].T
-                    power[at] = y.real * y.real + y.imag * y.imag
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(power.ravel()), n_freq).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch["t"], flat], ["t", "power"])
+            t, payload = batch["t"].to_numpy(), beamform.payload_matrix(batch["payload"], len(hz) * len(positions))
+            yield _power_batch(t, spectra_power(t, payload.reshape(len(t), len(hz), len(positions)), path, hz, positions, spectra, slice_rows))
 
     return rows.select("t", "payload").mapInArrow(run, "t long, power array<float>")
 
 
+def track_tensor(spark, path_name: str, dims: Dimensions, path: Trajectory, hz, positions, spectra: int, windows: int = 1) -> DataFrame:
+    """The same for a raw tensor of [t][f][element] bytes: each task reads the byte ranges of its windows itself, so samples go from the file to the product."""
+    from beamquarry.sources import rawfile
+
+    hz, positions = np.asarray(hz, float), np.asarray(positions, float)
+    layout = rawfile.Layout((("t", "long", dims.n_time),), ("payload",), "bytes", dims.n_freq * dims.n_ant)
+    reader = rawfile.TensorReader(path_name, layout, spectra * windows * layout.width)
+    parts = reader.partitions()  # a number for each
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch["id"].to_pylist():
+                first, last = k * spectra * windows, min(dims.n_time, (k + 1) * spectra * windows)
+                raw = np.frombuffer(reader.bytes_of(first, last), np.uint8).reshape(last - first, dims.n_freq, dims.n_ant)
+                t = np.arange(first, last)
+                yield _power_batch(t, spectra_power(t, raw, path, hz, positions, spectra))
+
+    return spark.range(0, len(parts), 1, min(len(parts), 8 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "t long, power array<float>")
+
+
 def _relational(frames: DataFrame, path: Trajectory, channels: DataFrame, antennas: DataFrame, spectra: int) -> DataFrame:
     from beamquarry.sources.tensors import decoded
 
     samples = decoded(frames, antennas.count())
-    return track(samples, window_directions(samples, path, spectra), channels, antennas, spectra)
+    return track(samples, path, channels, antennas, spectra)
 
 
 def _frame(precise: bool):

@@ -171,9 +171,8 @@ TRACK_SQL = track_sql(PATH, SPECTRA, "cube_samples")
 
 @query("tracker_power", "t long, f long, power d4", TRACK_SQL)
 def tracker_power(spark, sf_dir):
-    samples = V.cube_samples(spark, sf_dir)
-    directions = tracker.all_windows(spark, PATH, SPECTRA, V.CUBE_TIME)
-    return tracker.track(samples, directions, geometry.channels(spark, V.CHANNELS), geometry.antennas(spark, V.ANTENNAS), SPECTRA)
+    PATH.check(V.CUBE_TIME, SPECTRA)
+    return tracker.track(V.cube_samples(spark, sf_dir), PATH, geometry.channels(spark, V.CHANNELS), geometry.antennas(spark, V.ANTENNAS), SPECTRA)
 
 
 @query(
@@ -241,8 +240,8 @@ def quantize_codes(spark, sf_dir):
 
 @query("dequantize", "w long, f long, b long, value d4", "SELECT w, f, b, c AS value FROM pairs")
 def dequantize(spark, sf_dir):
-    values = integrated(spark, sf_dir)
-    return quantize.dequantize(quantize.quantize(values), quantize.tile_parameters(values))
+    codes = quantize.quantize(integrated(spark, sf_dir))  # each with its tile's offset and scale
+    return codes.select("w", "f", "b", S.dequantize(F.col("code"), F.col("offset"), F.col("scale")).alias("value"))
 
 
 @query(

@@ -505,6 +505,16 @@ def search_dump(spark, sf_dir):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+@query("search_dump_powers", "w long, l d6, m d6, power d3", f"SELECT w, -0.2::DOUBLE + (cell % 5) * 0.1::DOUBLE AS l, -0.2::DOUBLE + (cell // 5) * 0.1::DOUBLE AS m, power FROM ({BARTLETT_SQL})")
+def search_dump_powers(spark, sf_dir):
+    """A dump read back: each window's power over the cells that were searched."""
+    path, cells = scratch_path(spark, "dump"), geometry.centred_grid(spark, 0.0, 0.0, 5, 0.2, 0.2)
+    look = np.array([(r["l"], r["m"], r["n"]) for r in cells.orderBy("cell").collect()])
+    lags = doa.lag_sums(V.frames(spark, sf_dir), positions(), FRAME_SPECTRA)
+    doa.dump(lags, cells, doa.grid_powers(lags, 300e6 + np.arange(V.FRAME_CHANNELS) * 0.3e6, positions(), look), path)
+    return spark.read.parquet(f"{path}/powers").join(F.broadcast(spark.read.parquet(f"{path}/cells")), "cell").select("w", (F.round("l", 6) + F.lit(0.0)).alias("l"), (F.round("m", 6) + F.lit(0.0)).alias("m"), "power")
+
+
 # --- bursts
 
 
@@ -590,10 +600,8 @@ def report_file(spark, sf_dir):
     sweep = F.struct(F.col("low").alias("injected_dm"), F.col("high").alias("recovered_dm"), (F.col("high") - F.col("low")).alias("dm_error"), F.col("n").alias("recovered_snr"), F.lit("x").alias("_profile"))
     one = F.struct(F.col("kernel").alias("burst"), F.lit(True).alias("burst_passed"), sweep.alias("test_1_dispersion_sweep"), F.lit(1).alias("_secret"))
     reports = bursts.groupBy("engine").agg(F.collect_list(one).alias("results")).withColumn("_top", F.lit("_"))
-    parts = reports.select("engine").collect()  # one report for each engine
-    for r in parts:
-        records.write_report(reports.where(F.col("engine") == r["engine"]), f"{path}/engine={r['engine']}x")
-    files = f"{path}/engine=*/part-*"
+    records.write_reports(reports, path, "engine")
+    files = f"{path}/*/part-*"
     hidden = spark.read.text(files, wholetext=True).agg(F.count_if(F.contains("value", F.lit('"_'))).alias("hidden"))
     return records.validation_reports(spark, files).crossJoin(hidden)
 

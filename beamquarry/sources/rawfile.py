@@ -116,6 +116,12 @@ def parts_of(path: str) -> list[tuple[int, int, str]]:
         return [(first, size, f"{at}/{name}") for first, size, name in json.loads(source.read())["parts"]]
 
 
+def close_all(files: dict) -> None:
+    for name, file in files.items():
+        if name:
+            file.close()
+
+
 class Records(InputPartition):
     """Records from `first` up to `last`."""
 
@@ -162,27 +168,35 @@ class TensorReader(DataSourceReader):
                 if len(run):
                     yield low + int(run[0]), low + int(run[-1]) + 1, run - run[0]
 
-    def read(self, part: Records) -> Iterator[pa.RecordBatch]:
+    def bytes_of(self, first: int, last: int, files: dict | None = None) -> bytes:
+        """The records from `first` up to `last` as they are; files that are opened stay in `files`, if given."""
         fs, _ = place(self.path)
-        width, files, parts = self.layout.width, {}, parts_of(self.path)
+        width, held, pieces = self.layout.width, {} if files is None else files, []
+        if "" not in held:
+            held[""] = parts_of(self.path)
+        try:
+            for start, size, name in held[""]:
+                a, b = max(start, first * width), min(start + size, last * width)
+                if a < b:
+                    if name not in held:
+                        held[name] = fs.open_input_file(name)
+                    pieces.append(held[name].read_at(b - a, a - start))
+        finally:
+            if files is None:
+                close_all(held)
+        return pieces[0] if len(pieces) == 1 else b"".join(pieces)
+
+    def read(self, part: Records) -> Iterator[pa.RecordBatch]:
+        files: dict = {}
         try:
             for first, last, kept in self.reads(part):
-                pieces = []
-                for start, size, name in parts:
-                    a, b = max(start, first * width), min(start + size, last * width)
-                    if a < b:
-                        if name not in files:
-                            files[name] = fs.open_input_file(name)
-                        pieces.append(files[name].read_at(b - a, a - start))
-                raw = b"".join(pieces)
-                places = np.arange(first, last)
+                raw, places = self.bytes_of(first, last, files), np.arange(first, last)
                 if kept is not None and len(kept) < len(places):
-                    raw = np.frombuffer(raw, np.uint8).reshape(-1, width)[kept].tobytes()
+                    raw = np.frombuffer(raw, np.uint8).reshape(-1, self.layout.width)[kept].tobytes()
                     places = places[kept]
                 yield self.layout.batch(places, raw)
         finally:
-            for file in files.values():
-                file.close()
+            close_all(files)
 
 
 class FilteredReader(TensorReader):
