@@ -1,16 +1,16 @@
-"""Line deduplication by blocks: runs of lines that an earlier document has too are deleted.
+"""Line deduplication by pairwise alignment: blocks of lines that an earlier document has too are deleted from the later one.
 
-A block is a run of neighbouring lines with at least `min_chars` characters in all (line ends do not count).
-A block that a document shares with one of smaller doc_id is deleted from it, wherever it stands in the two
-and however many documents hold it. Not all blocks are compared: for each line there are the shortest
-block that begins with it and the shortest that ends with it. A line of a shared block lies in one of
-these that is inside of the shared block (the one from the line, the one up to the line, or the one up to the shared
-block's end), so their union is all that is shared, and a document of n lines has at most 2 n of them. Each
-block is judged on the input, so order of work does not matter. Blocks are compared by 64-bit hashes, and text is not moved.
+Pairs are found through the hashes of rare lines. A line by itself may be short and anywhere, so what is hashed is a line with the
+neighbours that it needs for `min_chars` characters (line ends do not count), once with those after it and once with those
+before it; a document of n lines has at most 2 n of these. A document is paired with the first holder of each that it shares: one partner
+for all copies of a neighbourhood, so a line in very many documents makes one pair for each of them, and none is left unpaired.
 
-This stands in place of an alignment of pairs of documents, which ties only what two documents have in the
-same order, and only with those partners that are tried. What any alignment ties in blocks is deleted
-here too. `patience` is kept as the measure that the tests compare with.
+The two documents of a pair are aligned by patience diff on what they share: neighbourhoods that are unique in both and rise in
+both are ties, gaps between ties are aligned in the same way, and a gap without unique ones by an exact diff. What
+is left has been moved or repeated in the later document; it is cut into pieces that rise, each aligned by itself, so nothing is left. Aligned blocks, which have
+`min_chars` characters or more, are deleted from the later document. Each pair is judged on the input, so order of work does not
+matter, and every block that a document shares with one of smaller doc_id goes, wherever it stands in the two and however many documents
+hold it. Neighbourhoods are compared by 64-bit hashes, and text is not moved.
 
 Defined cases: null text stays null and has no lines; a document that repeats a line keeps the repeats
 unless the line is shared; rows with the same doc_id are one document and are not compared with each
@@ -21,7 +21,7 @@ passed through.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +50,16 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Aligned line numbers (i, j) of a and b."""
+def exact(a: list, b: list, low_a: int, high_a: int, low_b: int, high_b: int) -> list[tuple[int, int]]:
+    """The longest common subsequence of two stretches: the longest rise through all places that agree, later places of b first."""
+    places = defaultdict(list)
+    for j in range(high_b - 1, low_b - 1, -1):
+        places[b[j]].append(j)
+    return rising([(i, j) for i in range(low_a, high_a) for j in places.get(a[i], ())])
+
+
+def patience(a: list, b: list) -> list[tuple[int, int]]:
+    """Aligned places (i, j) of a and b."""
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -66,16 +74,33 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         once_a, once_b = Counter(a[a0:a1]), Counter(b[b0:b1])
         place = {b[j]: j for j in range(b0, b1) if once_b[b[j]] == 1}
         ties = rising([(i, place[a[i]]) for i in range(a0, a1) if once_a[a[i]] == 1 and a[i] in place])
-        if ties:
-            at, bt = a0, b0
-            for i, j in ties:
-                todo.append((at, i, bt, j))
-                out.append((i, j))
-                at, bt = i + 1, j + 1
-            todo.append((at, a1, bt, b1))
+        if not ties:
+            out += exact(a, b, a0, a1, b0, b1)
+            continue
+        at, bt = a0, b0
+        for i, j in ties:
+            todo.append((at, i, bt, j))
+            out.append((i, j))
+            at, bt = i + 1, j + 1
+        todo.append((at, a1, bt, b1))
     return sorted(out)
 
 
+def alignments(a: list, b: list) -> Iterator[list[tuple[int, int]]]:
+    """The alignment of b with a, whose entries are all different, and then one for each piece of b that it leaves: in such a piece the places in a rise."""
+    ties = patience(a, b)
+    yield ties
+    tied, place, piece = {j for _, j in ties}, {x: i for i, x in enumerate(a)}, []
+    for j in range(len(b)):
+        if j not in tied and b[j] in place:
+            if piece and place[b[j]] <= piece[-1][0]:
+                yield piece
+                piece = []
+            piece.append((place[b[j]], j))
+    if piece:
+        yield piece
+
+
 def common_blocks(a: list, b: list, seed: list[bool]) -> list[int]:
     """Lines of b in blocks aligned with a, of those blocks that hold a seed line of b."""
     out: list[int] = []
@@ -122,23 +147,34 @@ def block_table(texts: DataFrame, min_chars: int) -> DataFrame:
     return texts.where("text IS NOT NULL").mapInArrow(run, "doc_id long, sign long, h long, low int, high int")
 
 
+def aligned_lines(shared: list[dict]) -> np.ndarray:
+    """Which lines of a document go, up to the last that does, of what it shares: (first, place, h, low, high), the partner, the place there, and the lines here."""
+    partners = defaultdict(list)
+    for x in shared:
+        partners[x["first"]].append(x)
+    change = np.zeros(max(x["high"] for x in shared) + 1, np.int64)
+    for rows in partners.values():
+        rows.sort(key=lambda x: (x["low"], x["high"]))
+        places = {x["h"]: (x["place"], x["high"] - x["low"]) for x in rows}
+        for ties in alignments(sorted(places, key=lambda h: (*places[h], h)), [x["h"] for x in rows]):
+            for _, j in ties:
+                change[rows[j]["low"]] += 1
+                change[rows[j]["high"]] -= 1
+    return np.cumsum(change)[:-1] > 0
+
+
 def deletions(docs: DataFrame, min_chars: int, rare: int) -> DataFrame:
     """(doc_id, sign, gone array<boolean>): for each line up to the last that goes, whether it goes."""
     blocks = stored(block_table(docs.select("doc_id", "sign", "text"), min_chars), "line-blocks")
-    groups = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"))
-    groups = stored(groups.where("first < _last").drop("_last"), "line-groups")
+    start = F.min(F.struct("doc_id", "low"))  # the first holder and its first place
+    groups = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("df"), start.alias("_start"), F.max("doc_id").alias("_last")).where(F.col("_start.doc_id") < F.col("_last"))
+    groups = stored(groups.select("h", "df", F.col("_start.doc_id").alias("first"), F.col("_start.low").alias("place")), "line-groups")
     later = lookup(blocks, groups, "h", "df", blocks.count(), least=rare).where("first < doc_id")
-    found = later.groupBy("doc_id", "sign").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    found = later.groupBy("doc_id", "sign").agg(F.collect_set(F.struct("first", "place", "h", "low", "high")).alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            gone = []
-            for runs in batch["runs"]:
-                low, high = (runs.values.field(k).to_numpy() for k in (0, 1))
-                change = np.zeros(high.max() + 1, np.int64)
-                np.add.at(change, low, 1)
-                np.add.at(change, high, -1)
-                gone.append(np.cumsum(change)[:-1] > 0)
+            gone = [aligned_lines(shared.as_py()) for shared in batch["shared"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sign"], pa.array(gone, pa.list_(pa.bool_()))], ["doc_id", "sign", "gone"])
 
     return found.mapInArrow(run, "doc_id long, sign long, gone array<boolean>")
