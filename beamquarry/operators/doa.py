@@ -371,6 +371,20 @@ def _matrix(raw: bytes, kind: type = np.complex64) -> np.ndarray:
     return np.frombuffer(raw, kind).reshape(size, size)
 
 
+def covariance_rows(covs: DataFrame, kind: type = np.complex64) -> DataFrame:
+    """(shard_id, w, f, r, c, re, im): the entries of covariances as rows, n_ant squared for a window and channel, not for a spectrum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a batch of one matrix each
+                m = _matrix(batch["r"][i].as_py(), kind)
+                r, c = np.divmod(np.arange(m.size, dtype=np.int32), len(m))
+                keys = [pa.array(np.full(m.size, batch[k][i].as_py()), batch[k].type) for k in ("shard_id", "w", "f")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(r), pa.array(c), pa.array(m.real.ravel().astype(float)), pa.array(m.imag.ravel().astype(float))], ["shard_id", "w", "f", "r", "c", "re", "im"])
+
+    return covs.mapInArrow(run, "shard_id int, w long, f int, r int, c int, re double, im double")
+
+
 def scanner(column: str, positions: np.ndarray, config: SearchConfig) -> tuple[Callable, Callable]:
     """How a value of the column `r` or `lags` is read, and what scans a window's values."""
     if column == "r":

@@ -430,18 +430,25 @@ def band_average_gain(spark, sf_dir):
 # --- covariance and search
 
 
-@query(
-    "covariance_relational",
-    "w long, f long, r long, c long, re d6, im d6",
-    """SELECT p.t // 64 AS w, p.f AS f, p.a AS r, q.a AS c, sum(p.re * q.re + p.im * q.im) / count(*)::DOUBLE AS re, sum(p.im * q.re - p.re * q.im) / count(*)::DOUBLE + 0.0 AS im
-    FROM frame_samples p JOIN frame_samples q ON p.t = q.t AND p.f = q.f GROUP BY 1, 2, 3, 4""",
-)
+COVARIANCE_SQL = """SELECT p.t // 64 AS w, p.f AS f, p.a AS r, q.a AS c, sum(p.re * q.re + p.im * q.im) / count(*)::DOUBLE AS re, sum(p.im * q.re - p.re * q.im) / count(*)::DOUBLE + 0.0 AS im
+    FROM frame_samples p JOIN frame_samples q ON p.t = q.t AND p.f = q.f GROUP BY 1, 2, 3, 4"""
+
+
+@query("covariance_relational", "w long, f long, r long, c long, re d6, im d6", COVARIANCE_SQL)
 def covariance_relational(spark, sf_dir):
     from beamquarry.sources import tensors
 
     return doa.covariance_relational(tensors.decoded(V.frames(spark, sf_dir), V.ANTENNAS), FRAME_SPECTRA)
 
 
+@query("covariance_frames", "w long, f long, r long, c long, re d6, im d6", COVARIANCE_SQL)
+def covariance_frames(spark, sf_dir):
+    """The same from packed frames, a matrix product for each window and channel, without a join."""
+    covs = doa.covariances(V.frames(spark, sf_dir), V.ANTENNAS, FRAME_SPECTRA, kind=np.complex128)
+    rows = doa.covariance_rows(covs, np.complex128)
+    return rows.select("w", "f", "r", "c", "re", (F.col("im") + F.lit(0.0)).alias("im"))
+
+
 @query(
     "rls_fold",
     "f long, w long, folded d3",
@@ -488,6 +495,24 @@ def doa_forgetting(spark, sf_dir):
     return searched(spark, sf_dir, SearchConfig(spectra=FRAME_SPECTRA, forgetting=0.9))
 
 
+@query("doa_interpolated", "shard_id long, w long, l d6, m d6, n d6, power d3", "SELECT * FROM smooth_found")
+def doa_interpolated(spark, sf_dir):
+    """The coarse grid alone, and from its peak to the vertex of the parabolas through its neighbours."""
+    return searched(spark, sf_dir, SearchConfig(spectra=FRAME_SPECTRA, levels=0, interpolate=True, interpolation="corrected"))
+
+
+@query(
+    "doa_prior",
+    "shard_id long, t long, f long, power d4",
+    """SELECT shard_id, t, f, pow(sum(cos(p) * re - sin(p) * im), 2) + pow(sum(cos(p) * im + sin(p) * re), 2) AS power FROM
+    (SELECT t // 256 AS shard_id, t, f, re, im, 2 * pi() / 299792458.0::DOUBLE * (300e6 + f * 0.3e6) * 0.6::DOUBLE *
+    (a % 8 * (0.02::DOUBLE + 64 * (t // 64) * 1e-8::DOUBLE) + a // 8 * (-0.03::DOUBLE + 64 * (t // 64) * -2e-9::DOUBLE)) AS p FROM frame_samples) GROUP BY 1, 2, 3""",
+)
+def doa_prior(spark, sf_dir):
+    """Without a grid there is no search: the beam follows the path that was given."""
+    return doa.run(V.frames(spark, sf_dir), frame_hz(), positions(), SearchConfig(spectra=FRAME_SPECTRA, grid=1, prior=STILL))[1]
+
+
 @query("doa_capon", "shard_id long, w long, l d4, m d4, n d4")
 def doa_capon(spark, sf_dir):
     return searched(spark, sf_dir, SearchConfig(spectra=FRAME_SPECTRA, estimator="capon", forgetting=0.9))

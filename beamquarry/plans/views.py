@@ -157,6 +157,21 @@ SQL = {
         JOIN (SELECT *, 2 * pi() / 299792458.0::DOUBLE * (300e6 + f * 0.3e6) * 0.6::DOUBLE AS k FROM {lags}) s ON s.shard_id = c.shard_id AND s.w = c.w GROUP BY 1, 2, 3, 4, 5, 6) GROUP BY 1, 2, 3)"""
         for walk, lags in (("walk", "kept_lags"), ("faded_walk", "faded_lags"))
     },
+    "smooth_walk": """SELECT w // 4 AS shard_id, min(w) AS w, 0.0::DOUBLE AS l, 0.0::DOUBLE AS m, 0.0::DOUBLE AS power FROM (SELECT vec_id // 64 AS w FROM embeddings) GROUP BY 1
+        UNION ALL SELECT shard_id, w + 1, x * pull, y * pull, peak FROM
+        (SELECT *, CASE WHEN x * x + y * y > 0.999 THEN sqrt(0.999::DOUBLE / (x * x + y * y)) ELSE 1.0::DOUBLE END AS pull FROM
+        (SELECT shard_id, w, peak, l + (0.4::DOUBLE / 15) * CASE WHEN a - 2 * peak + b >= 0 THEN 0 ELSE greatest(-0.5, least(0.5, 0.5 * (b - a) / abs(a - 2 * peak + b))) END AS x,
+        m + (0.4::DOUBLE / 15) * CASE WHEN c - 2 * peak + d >= 0 THEN 0 ELSE greatest(-0.5, least(0.5, 0.5 * (d - c) / abs(c - 2 * peak + d))) END AS y FROM
+        (SELECT shard_id, w, ls[k + 1] AS l, ms[k + 1] AS m, p[k + 1] AS peak, CASE WHEN k % 16 > 0 THEN p[k] ELSE 0 END AS a, CASE WHEN k % 16 < 15 THEN p[k + 2] ELSE 0 END AS b,
+        CASE WHEN k >= 16 THEN p[k - 15] ELSE 0 END AS c, CASE WHEN k < 240 THEN p[k + 17] ELSE 0 END AS d FROM
+        (SELECT *, list_position(p, list_max(p)) - 1 AS k FROM
+        (SELECT shard_id, w, list(l ORDER BY cell) AS ls, list(m ORDER BY cell) AS ms, list(power ORDER BY cell) AS p FROM
+        (SELECT c.shard_id, c.w, cell, l, m, sum(re * cos(k * (dx * l + dy * m)) - im * sin(k * (dx * l + dy * m))) AS power FROM
+        (SELECT shard_id, w, cell, x * pull AS l, y * pull AS m FROM
+        (SELECT *, CASE WHEN x * x + y * y > 0.999 THEN sqrt(0.999::DOUBLE / (x * x + y * y)) ELSE 1.0::DOUBLE END AS pull FROM
+        (SELECT shard_id, w, cell.range AS cell, l - 0.2::DOUBLE + (cell.range % 16) * (0.4::DOUBLE / 15) AS x, m - 0.2::DOUBLE + (cell.range // 16) * (0.4::DOUBLE / 15) AS y FROM smooth_walk, range(256) cell))) c
+        JOIN (SELECT *, 2 * pi() / 299792458.0::DOUBLE * (300e6 + f * 0.3e6) * 0.6::DOUBLE AS k FROM kept_lags) s ON s.shard_id = c.shard_id AND s.w = c.w GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2)))))""",
+    "smooth_found": "SELECT shard_id, w - 1 AS w, l, m, sqrt(1 - l * l - m * m) AS n, power FROM smooth_walk WHERE power <> 0",
     "found": "SELECT shard_id, w - 1 AS w, l, m, sqrt(1 - l * l - m * m) AS n, power FROM walk WHERE stage = 0 AND power <> 0",
     "faded_found": "SELECT shard_id, w - 1 AS w, l, m, sqrt(1 - l * l - m * m) AS n, power FROM faded_walk WHERE stage = 0 AND power <> 0",
     "waterfall": f"""SELECT (epoch_us(ts) // {BIN_S * 1_000_000}) % {BINS} AS t, user_id % {BURST_CHANNELS} AS f,
