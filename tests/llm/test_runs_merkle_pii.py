@@ -287,3 +287,18 @@ def test_personal_data_of_odd_rows(spark):
     n = len(LONG) + 3
     assert got == sorted([(None, "email:0:5"), (None, "email:0:5"), (None, ""), (1, f"phone:{n}:{n + 17}"), (1, "ip:4:11"), (1, "ip:4:11")], key=repr)
     assert pii.digests(pii.sanitise(docs.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op11_period_runs", "op12_merkle_manifest", "op13_pii"])
+def test_query_equals_sql(spark, sf_dir, name):
+    import duckdb
+
+    from beamquarry.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.sql(queries.ORACLE[name])
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = got.select(*want.columns).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, want.fetchall()), key=repr) and len(rows) > 100
