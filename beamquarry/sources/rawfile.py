@@ -103,7 +103,7 @@ def place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """The file system of a path and the path within it."""
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
-    return (pyarrow.fs.LocalFileSystem(), path) if path.startswith("/") else pyarrow.fs.FileSystem.from_uri(path)
+    return (pyarrow.fs.LocalFileSystem(), path) if path.startswith("/") else pyarrow.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
 def parts_of(path: str) -> list[tuple[int, int, str]]:
