@@ -176,11 +176,13 @@ def shared_profiles(waterfall: DataFrame, shift: DataFrame, n_time: int, wrap: b
     if len(table) > MOST_SHIFTS:
         return profile(dedisperse(waterfall, shift, n_time, wrap), n_time)
     grid = table.pivot(index="trial", columns="f", values="shift")
+    levels = best_tree(grid.to_numpy())
+    if len(levels) == 1:  # nothing to share
+        return profile(dedisperse(waterfall, shift, n_time, wrap), n_time)
     trials, channels = grid.index.tolist(), grid.columns.tolist()
     spark = waterfall.sparkSession
     names = spark.createDataFrame([(f, g) for g, f in enumerate(channels)], "f int, _g int")
     rows = waterfall.join(F.broadcast(names), "f").select("_g", F.lit(0).alias("_p"), "t", "power")
-    levels = best_tree(grid.to_numpy())
     for number, level in enumerate(levels):
         last = number == len(levels) - 1
         moved = rows.join(F.broadcast(spark.createDataFrame(level, "_g int, _p int, _above int, _to int, _offset long")), ["_g", "_p"])
