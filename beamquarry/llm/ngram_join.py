@@ -8,8 +8,13 @@ class from the start. For a threshold t:
 * Large sets are found by scanning inverted lists of elements. A set of n enters the lists of its first
   (1 - t) n + c elements in the order of their hashes; partners share c of these lists or more. So, once the
   lists' lengths are known, each set leaves its c - 1 longest lists, and partners still share one. c grows with
-  n, so sets that merely share passages with others have too few lists in common and leave all of them. Small sets that can
+  n, so most sets that merely share passages with others leave the lists of these. Small sets that can
   have a large partner are in the lists too.
+* Lists that stay heavy (more than HEAVY members) are not met as they are. Partners that share one are both among its members,
+  so the members' whole sets are read, and each set is listed again under its rarest elements only, by their counts in
+  these sets: a set of n needs (1 - t) n + 1 of them, and of two partners the smaller one has a common element among its first
+  (1 - t) / (1 + t) n + 1, where it is marked `leads`. A passage that many sets share is not among the rarest
+  elements of any set that has enough of its own, so crowds that link with nothing leave their lists or lead none.
 * The boundary is the size up to which enumerating subsets costs less than the lists, by the lists' measured lengths.
 
 A list is not expanded into all its pairs. First every set is compared with the most connected member of all its
@@ -36,13 +41,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamquarry.llm.common import bounded_broadcast, forget, sliced, stored
+from beamquarry.llm.common import bounded_broadcast, forget, lookup, sliced, stored
 
 #: Sets up to this size keep all elements beside their row, so that their subsets can be made.
 SMALL = 12
 SKETCH_LONGS = 8
 #: Members of a list that are met with as many others in one go.
 BLOCK = 2048
+#: Lists with more members than that are replaced by lists of their members' rarest elements.
+HEAVY = 128
 SIGNED = "doc_id long, n int, node long, sketch array<long>, prefix array<long>, small array<long>"
 
 
@@ -65,6 +72,11 @@ def dropped(n: int, percent: int) -> int:
     return shared_lists(least(n, percent), percent) - 1
 
 
+def equal_share(n: int, percent: int) -> int:
+    """Elements that a set of n shares at least with a partner that is no smaller."""
+    return -(-2 * percent * n // (100 + percent))
+
+
 def subset_count(n: int, percent: int) -> int:
     return sum(comb(n, c) for c in range(least(n, percent), n + 1))
 
@@ -158,11 +170,15 @@ def boundary_of(nodes: DataFrame, lists: DataFrame, percent: int) -> int:
     return at
 
 
-def members(nodes: DataFrame, percent: int) -> DataFrame:
-    """(key, node, many): the lists, of elements and of subsets, that the sets `nodes` stay in, and how long the lists were."""
+def members(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, node, many, leads): the lists that the sets `nodes` stay in, how long the lists were, and whether the set may be the smaller of a pair there.
+
+    Stored. Of elements and of subsets, with heavy lists replaced.
+    """
     entries = nodes.select(F.explode("prefix").alias("key"), "node")
-    lengths = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    lists = stored(entries.join(lengths, "key").select("key", "node", "many"), "join-lists")
+    lengths = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "join-lengths")
+    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    lists = stored(lookup(entries, lengths, "key", "many", total).select("key", "node", "many"), "join-lists")
     boundary = boundary_of(nodes, lists, percent)
 
     def enumerated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,15 +195,43 @@ def members(nodes: DataFrame, percent: int) -> DataFrame:
     by_length = F.sort_array(F.collect_list(F.struct("many", "key")))
     of_node = lists.join(sizes, "node").groupBy("node").agg(by_length.alias("all"), F.first("leaves").alias("leaves"))
     kept = of_node.select("node", F.explode(F.slice("all", F.lit(1), F.greatest(F.lit(0), F.size("all") - F.col("leaves")))).alias("x"))
-    found = kept.select("x.key", "node", "x.many").unionByName(subsets.join(shared, "key").select("key", "node", "many"))
-    out = stored(found, "join-members")
-    forget(lists)
+    found = stored(kept.select("x.key", "node", "x.many").unionByName(subsets.join(shared, "key").select("key", "node", "many")), "join-found")
+    heavy = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("_stay")).where(F.col("_stay") > HEAVY).select("key"), "join-heavy")
+    at_heavy = bounded_broadcast(heavy, heavy)
+    light = found.join(at_heavy, "key", "left_anti").withColumn("leads", F.lit(True))
+    hot = stored(found.join(at_heavy, "key", "left_semi").select("node").distinct(), "join-hot")
+    rare, depths = rarest(docs, nodes, hot, k, percent)
+    out = stored(light.unionByName(rare), "join-members")
+    forget(lengths, lists, found, heavy, hot, *depths)
     return out
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the stored pairs (a, b) of nodes that reach the threshold on their full sets."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def rarest(docs: DataFrame, nodes: DataFrame, hot: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, node, many, leads) of the nodes `hot` under their rarest elements, by counts in these sets; and the stored tables it reads.
+
+    Elements that one set has alone come first in its order; they need no list.
+    """
+    held = full_sets(docs, nodes, hot, k)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in batch["elements"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["node"], lists_of(sets)], ["node", "keys"])
+
+    entries = held.mapInArrow(opened, "node long, keys array<long>").select(F.explode("keys").alias("key"), "node", F.size("keys").alias("n"))
+    depths = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "join-depths")
+    total = held.agg(F.sum(F.octet_length("elements") / 8)).first()[0] or 0
+    by_count = F.sort_array(F.collect_list(F.struct("many", "key")))
+    of_node = lookup(entries, depths, "key", "many", int(total)).groupBy("node", "n").agg(by_count.alias("all"))
+    n, alone = F.col("n"), F.col("n") - F.size("all")
+    enters = n - F.floor((percent * n + 99) / 100) + 1 - alone  # least(n)
+    leads = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1 - alone  # equal_share(n)
+    ranked = of_node.select("node", leads.alias("_leads"), F.posexplode(F.slice("all", F.lit(1), F.greatest(F.lit(0), enters.cast("int")))).alias("_at", "x"))
+    return ranked.select("x.key", "node", "x.many", (F.col("_at") < F.col("_leads")).alias("leads")), [held, depths]
+
+
+def full_sets(docs: DataFrame, nodes: DataFrame, named: DataFrame, k: int) -> DataFrame:
+    """(node, elements) of the nodes in `named`, read again from their texts. Stored."""
     wanted = stored(nodes.select("node", "doc_id").join(named, "node"), "join-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +243,13 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percen
     ids = bounded_broadcast(wanted.select("doc_id").distinct(), wanted)
     rows = texts.join(ids, F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi").select("text").mapInArrow(sets, "node long, elements binary")
     held = stored(rows.join(bounded_broadcast(wanted.select("node"), wanted), "node", "left_semi").dropDuplicates(["node"]), "join-sets")
+    forget(wanted)
+    return held
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the stored pairs (a, b) of nodes that reach the threshold on their full sets."""
+    held = full_sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -214,7 +265,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percen
     first = held.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     second = held.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     out = stored(pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "join-links")
-    forget(wanted, held)
+    forget(held)
     return out
 
 
@@ -244,56 +295,67 @@ def may_link(percent: int) -> Column:
 
 
 def apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends are in different components."""
+    """The pairs (a, b) whose ends are in different components. Stored."""
     for end in ("a", "b"):
         at = part.select(F.col("doc").alias(end), F.col("component").alias(f"_{end}"))
         pairs = pairs.join(bounded_broadcast(at, part), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
-    return pairs.where("_a <> _b").select("a", "b")
+    return stored(pairs.where("_a <> _b").select("a", "b"), "join-pairs")
 
 
 def open_pairs(member: DataFrame, part: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of every list's members in different components that may link.
+    """(a, b) of every list's members in different components that may link. Stored.
 
     Only members outside of a list's largest component are met with the others, as a group of copies is one component by
-    now. Lists beyond BLOCK are met block by block, so that no task holds more than a block of either side.
+    now, and one of the two must lead the list. Lists beyond BLOCK are met block by block, so that no task holds more than a
+    block of either side.
     """
     at = part.select(F.col("doc").alias("node"), "component")
     placed = member.join(bounded_broadcast(at, part), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"))
-    lists = sizes.groupBy("key").agg(F.max(F.struct("_n", "component")).alias("_m"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1")
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"), F.max("leads").alias("_led"))
+    lists = sizes.groupBy("key").agg(F.max(F.struct("_n", "component")).alias("_m"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_kinds"), F.max("_led").alias("_led"))
+    lists = lists.where("_kinds > 1 AND _led")
     blocks = [F.ceil(x / BLOCK).cast("int").alias(name) for x, name in ((F.col("_all") - F.col("_m._n"), "_p"), (F.col("_all"), "_q"))]
-    lists = lists.select("key", F.col("_m.component").alias("_main"), *blocks)
-    held = placed.join(lists, "key").select("key", "node", "n", "sketch", "component", "_p", "_q", (F.col("component") == F.col("_main")).alias("_inside"))
+    lists = stored(lists.select("key", "_all", F.col("_m.component").alias("_main"), *blocks), "join-open")
+    held = lookup(placed, lists, "key", "_all", member.count()).select("key", "node", "n", "sketch", "leads", "component", "_p", "_q", (F.col("component") == F.col("_main")).alias("_inside"))
 
     def dealt(rows: DataFrame, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
         here = F.pmod(F.xxhash64("node"), F.col(own_count)).cast("int")
         return rows.withColumn(own, here).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
 
-    one = dealt(held.where("NOT _inside"), "_i", "_p", "_j", "_q").select("key", "_i", "_j", F.col("node").alias("a"), "n", "sketch", "component")
-    other = dealt(held, "_j", "_q", "_i", "_p").select("key", "_i", "_j", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("component").alias("component2"), "_inside")
-    met = one.join(other, ["key", "_i", "_j"]).where((F.col("_inside") | (F.col("a") < F.col("b"))) & (F.col("component") != F.col("component2")) & may_link(percent))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # leading members meet all (meeting 0), the others meet leading ones (meeting 1)
+    one = dealt(held.where("NOT _inside"), "_i", "_p", "_j", "_q").withColumn("_meeting", F.when(F.col("leads"), 0).otherwise(1))
+    one = one.select("key", "_i", "_j", "_meeting", F.col("node").alias("a"), "n", "sketch", "leads", "component")
+    meetings = F.when(F.col("leads"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    other = dealt(held, "_j", "_q", "_i", "_p").withColumn("_meeting", F.explode(meetings))
+    other = other.select("key", "_i", "_j", "_meeting", F.col("node").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("n", "sketch", "leads", "component")], "_inside")
+    smaller_leads = F.when(F.col("n") < F.col("n2"), F.col("leads")).when(F.col("n") > F.col("n2"), F.col("leads2")).otherwise(F.col("leads") & F.col("leads2"))
+    differ = (F.col("_inside") | (F.col("a") < F.col("b"))) & (F.col("component") != F.col("component2"))
+    met = one.join(other, ["key", "_i", "_j", "_meeting"]).where(differ & smaller_leads & may_link(percent))
+    out = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
+    forget(lists)
+    return out
 
 
 def linked(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc, component) of all nodes that have a link; stored."""
-    lists = members(nodes, percent)
+    lists = members(docs, nodes, k, percent)
     links = lists.groupBy("node").agg(F.sum("many").alias("links"))
     traits = stored(nodes.select("node", "n", "sketch").join(links, "node"), "join-traits")
-    member = lists.select("key", "node").join(bounded_broadcast(traits, traits), "node")
-    hubs = member.groupBy("key").agg(F.max(F.struct("links", "node", "n", "sketch")).alias("_m"))
-    hubs = hubs.select("key", F.col("_m.node").alias("a"), F.col("_m.links").alias("links2"), F.col("_m.n").alias("n2"), F.col("_m.sketch").alias("sketch2"))
-    stars = member.join(hubs, "key").where((F.col("node") != F.col("a")) & may_link(percent)).select("a", F.col("node").alias("b"), "links2").distinct()
+    member = lists.select("key", "node", "leads").join(bounded_broadcast(traits, traits), "node")
+    hubs = member.groupBy("key").agg(F.max(F.struct("links", "node", "n", "sketch")).alias("_m"), F.count(F.lit(1)).alias("_members"))
+    hubs = hubs.where("_members > 1").select("key", "_members", F.col("_m.node").alias("a"), F.col("_m.links").alias("links2"), F.col("_m.n").alias("n2"), F.col("_m.sketch").alias("sketch2"))
+    hubs = stored(hubs, "join-hubs")
+    stars = lookup(member, hubs, "key", "_members", lists.count()).where((F.col("node") != F.col("a")) & may_link(percent)).select("a", F.col("node").alias("b"), "links2").distinct()
     stars = stored(stars, "join-stars")
     first = stored(stars.groupBy("b").agg(F.max(F.struct("links2", "a")).alias("_m")).select(F.col("_m.a").alias("a"), "b"), "join-first")
     edges = [verified(docs, nodes, first, k, percent)]
     part = components(edges[0])
     for more in (lambda: apart(stars, part), lambda: open_pairs(member, part, percent)):
-        pairs = stored(more(), "join-pairs")
+        pairs = more()
         edges.append(verified(docs, nodes, pairs, k, percent))
         old, part = part, components(edges[0].unionByName(edges[1]) if len(edges) == 2 else edges[0].unionByName(edges[1]).unionByName(edges[2]))
         forget(pairs, old)
-    forget(lists, traits, stars, first, *edges)
+    forget(lists, traits, hubs, stars, first, *edges)
     return part
 
 

@@ -117,6 +117,68 @@ def test_links_in_blocks_of_long_lists(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.join(df, 1, 90).collect()} == brute(rows, 1, 90)
 
 
+def crowd(rng, count, shared, own):
+    """Texts with a passage in common and words of their own: all alike to the same degree, below the threshold."""
+    passage = " ".join(f"p{i}" for i in range(shared))
+    for _ in range(count):
+        yield " ".join([passage, *(f"o{rng.randrange(10**12)}" for _ in range(own))])
+
+
+@pytest.mark.parametrize(("shared", "own"), [(60, 40), (80, 60), (85, 15)])
+def test_crowds_that_only_share_a_passage_make_no_pairs(spark, shared, own):
+    """Lists that may yield pairs hold no more of them when the crowd doubles; the links in and beside the crowd are found."""
+    met = []
+    for count in (300, 600):
+        rng = random.Random(count)
+        rows = list(enumerate(crowd(rng, count, shared, own)))
+        for i in range(0, 40, 2):
+            rows.append((1000 + i, rows[i][1].rsplit(" ", 1)[0] + " end"))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        signs = nj.stored(nj.signed(df, 1, 80), "test-signs")
+        found = nj.members(df, signs, 1, 80)
+        led = found.groupBy("key").agg({"leads": "max", "node": "count"}).where("`max(leads)`").collect()
+        met.append(sum(r["count(node)"] ** 2 for r in led))
+        if count == 300:
+            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.join(df, 1, 80).collect()}
+            assert got == brute(rows, 1, 80)
+            assert len({c for _, c in got.values()}) == count
+    assert met[1] <= 1.5 * met[0] + 100
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_rarest_elements_keep_every_partner(spark, monkeypatch, percent):
+    """With every list heavy, all links come from rarest elements, where the smaller set leads."""
+    monkeypatch.setattr(nj, "HEAVY", 1)
+    rng = random.Random(percent)
+    texts = []
+    for size in (1, 3, 8, 13, 30, 90):
+        for _ in range(3):
+            texts += family(rng, size, 9, max(1, size * (100 - percent) // 50))
+    texts += crowd(rng, 20, 50, 9)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.join(df, 2, percent).collect()} == brute(rows, 2, percent)
+
+
+def test_a_pair_shares_a_list_that_its_smaller_set_leads():
+    rng, met = random.Random(3), 0
+    for percent in (60, 80, 90):
+        for _ in range(4000):
+            n = rng.randint(1, 120)
+            a = set(range(n))
+            b = set(rng.sample(range(n), n - rng.randint(0, n * (100 - percent) // 100))) | set(range(500, 500 + rng.randint(0, n * (100 - percent) // 100 + 1)))
+            if 100 * len(a & b) < percent * len(a | b) or not a & b:
+                continue
+            met += 1
+            order = {e: rng.random() for e in a | b}
+            x, y = sorted((sorted(s, key=order.get) for s in (a, b)), key=len)
+            leading = x[: len(x) - nj.equal_share(len(x), percent) + 1]
+            assert set(leading) & set(y[: len(y) - nj.least(len(y), percent) + 1])
+            if len(x) == len(y):
+                assert set(leading) & set(y[: len(y) - nj.equal_share(len(y), percent) + 1])
+    assert met > 1000
+
+
 def test_rows_of_one_doc_id_are_apart(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(5, long), (5, "another text"), (None, long), (None, "alone here"), (3, "another text"), (9, None), (7, " ".join(f"v{i}" for i in range(20_000)))]
