@@ -1,18 +1,32 @@
 """Joins by nearness: each row with the anchors next to it on an axis, and values between anchors on straight lines.
 
-The axis is cut into buckets. Rows and anchors of a bucket are put in one order, in which a row's neighbours are the last anchor
-before it and the first one after it; where a bucket has none on a side, the nearest bucket that has one gives it. Only
-distinct places of the rows take part, so a place that many rows share is no burden, and no window is larger than a bucket.
+The axis is cut into buckets at even ranks, so places that crowd in parts of it spread over them all. Rows and anchors of a bucket
+are put in order, once upwards and once downwards, and each takes the last anchor before it, so a bucket is read once each way;
+where it has none on a side, the nearest bucket that has one gives it. Only distinct places of the rows take part, so a
+place that many rows share is no burden, and no window is larger than a bucket.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beamquarry.session import kept
+
 BUCKETS = 1024
 
 
+def bucketed(places: DataFrame, buckets: int) -> DataFrame:
+    """Places with `_b`, the bucket of `_x`; buckets hold about as many places each. The driver gets their borders."""
+    borders = places.where(~F.isnan("_x")).agg(F.percentile_approx("_x", [k / buckets for k in range(1, buckets)] or [0.5], 10_000)).first()[0] or []
+    inner = sorted(set(borders) - {float("-inf"), float("inf")})
+    if not inner:
+        return places.withColumn("_b", F.lit(0))
+    split = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="_x", outputCol="_b", handleInvalid="keep")  # NaN is after all
+    return split.transform(places).withColumn("_b", F.col("_b").cast("int"))
+
+
 def neighbours(places: DataFrame, anchors: DataFrame, x: str, buckets: int = BUCKETS) -> DataFrame:
     """(x, below, above): for each distinct place the last anchor at or before it and the first one after it, as structs of the anchors' columns.
 
@@ -21,16 +35,11 @@ def neighbours(places: DataFrame, anchors: DataFrame, x: str, buckets: int = BUC
     whole = F.struct(x, *[c for c in anchors.columns if c != x])
     known = anchors.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("_x")).agg(F.min(whole).alias("_a"))
     asked = places.select(F.col(x).cast("double").alias("_x")).where("_x IS NOT NULL").distinct()
-    ends = known.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    both = asked.withColumn("_a", F.lit(None).cast(known.schema["_a"].dataType)).unionByName(known).join(F.broadcast(ends))  # one row
-    share = (F.col("_x") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    bucket = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0)))) * (buckets - 1)).cast("int")
-    placed = both.withColumn("_b", bucket).drop("_lo", "_hi")
-    # at one place the anchor comes first, so it counts as at or before the place
-    order = Window.partitionBy("_b").orderBy("_x", F.col("_a").isNull())
-    before = order.rowsBetween(Window.unboundedPreceding, 0)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    near = placed.select("_b", "_x", F.col("_a").isNull().alias("_row"), F.last("_a", True).over(before).alias("_below"), F.first("_a", True).over(after).alias("_above"))
+    placed = bucketed(kept(asked.withColumn("_a", F.lit(None).cast(known.schema["_a"].dataType)).unionByName(known), "places"), buckets)
+    # at one place the anchor comes first, so it counts as at or before the place; a frame that begins at the bucket's start is read once
+    up = Window.partitionBy("_b").orderBy("_x", F.col("_a").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("_b").orderBy(F.desc("_x"), F.col("_a").isNull().desc()).rowsBetween(Window.unboundedPreceding, 0)
+    near = placed.select("_b", "_x", F.col("_a").isNull().alias("_row"), F.last("_a", True).over(up).alias("_below"), F.last("_a", True).over(down).alias("_above"))
     # a row for each bucket: what the buckets before and after it have
     held = placed.groupBy("_b").agg(F.max_by("_a", F.when(F.col("_a").isNotNull(), F.col("_x"))).alias("_last"), F.min_by("_a", F.when(F.col("_a").isNotNull(), F.col("_x"))).alias("_first"))
     all_buckets = Window.orderBy("_b")
@@ -52,7 +61,8 @@ def interpolated(rows: DataFrame, anchors: DataFrame, x: str, values: list[str],
 
     A single anchor gives its value everywhere; without any, values are null.
     """
-    few = anchors.where(F.col(x).isNotNull()).groupBy(x).agg(F.min(F.struct(*values)).alias("_v")).select(F.struct(F.col(x).cast("double").alias(x), *[F.col(f"_v.{v}").alias(v) for v in values]).alias("_a"))
+    one = anchors.where(F.col(x).isNotNull()).groupBy(x).agg(F.min(F.struct(*values)).alias("_v")).select(F.struct(F.col(x).cast("double").alias(x), *[F.col(f"_v.{v}").alias(v) for v in values]).alias("_a"))
+    few = kept(one, "anchors")
     edges = few.orderBy("_a").limit(2).agg(F.sort_array(F.collect_list("_a")).alias("_low")).join(few.orderBy(F.desc("_a")).limit(2).agg(F.sort_array(F.collect_list("_a")).alias("_high")))
     near = with_neighbours(rows, few.select("_a.*"), x, buckets).join(F.broadcast(edges))  # one row
     inner = F.col("below").isNotNull() & F.col("above").isNotNull()
