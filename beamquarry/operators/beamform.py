@@ -1,13 +1,15 @@
 """Beamforming in two physical forms of one plan.
 
 Relational form: one row per sample, an equi-join with the weights and a grouped sum; it is checked
-against SQL. Frame form: one row per (t, f) with a packed payload, multiplied with the weights of its
+against SQL. Packed samples are dealt to tasks once, by spectrum or by window (`dealt`, `by_window`); sums over antennas are columns,
+one for each beam, and become rows where they are made, so neither beams nor power are shuffled. Frame form: one row per (t, f) with a packed payload, multiplied with the weights of its
 channel in NumPy inside Arrow batches, with power and the window sum taken before anything is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,10 @@ from beamquarry.model import BEAM_TILE, MAX_BEAMS
 MAX_WEIGHTS = MAX_BEAMS * 336 * 256
 #: Rows of a weight table up to which a join broadcasts it: some 40 MB.
 BROADCAST_WEIGHTS = 1_000_000
+#: Beams whose sums share a row; more take several rows.
+LANES = 16
+#: Samples times beams that a task puts together: some 100 MB of sums.
+TASK_VALUES = 4_000_000
 #: The sample of each byte.
 SAMPLES = np.array([((b & 15) ^ 8) - 8 + 1j * (((b >> 4) ^ 8) - 8) for b in range(256)], np.complex64)
 
@@ -45,22 +51,58 @@ def decode(voltage: DataFrame) -> DataFrame:
     return voltage.select("t", "f", "a", S.unpack_re(F.col("byte")).alias("re"), S.unpack_im(F.col("byte")).alias("im"))
 
 
-def complex_sums(samples: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("t", "f", "b"), on: tuple[str, ...] = ("f", "a")) -> DataFrame:
-    """Sum of w x over antennas (no conjugate) by keys. Weights are broadcast if they are counted to be few; a full cube is shuffled."""
-    wr, wi, re, im = (F.col(c) for c in ("wr", "wi", "re", "im"))
+def dealt(rows: DataFrame, by: tuple[str, ...], values: int) -> DataFrame:
+    """Rows shuffled by the columns `by`; grouping by these and others then stays in the tasks.
+
+    Each row comes to `values` sums or so, and the number of tasks grows with the rows, so that what one holds does not.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() * values // TASK_VALUES)), *by)
+
+
+def by_window(rows: DataFrame, spectra: int, values: int) -> DataFrame:
+    """Rows with their window `w`, dealt by it."""
+    return dealt(rows.withColumn("w", F.floor(F.col("t") / spectra).cast("long")), ("w",), values)
+
+
+def side_by_side(weights: DataFrame, lanes: int, on: tuple[str, ...]) -> DataFrame:
+    """(on, _tile, wr0, wi0, wr1, ..., _held): the weights of `lanes` beams in a row; the bits of `_held` tell which of them there are."""
+    lane = F.col("b") % lanes
+    each = [F.sum(F.when(lane == k, F.col(c))).alias(f"{c}{k}") for k in range(lanes) for c in ("wr", "wi")]
+    return weights.groupBy(*on, F.floor(F.col("b") / lanes).alias("_tile")).agg(*each, F.bit_or(reduce(lambda x, k: x.when(lane == k, 1 << k), range(1, lanes), F.when(lane == 0, 1))).alias("_held"))
+
+
+def complex_sums(samples: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("t", "f"), on: tuple[str, ...] = ("f", "a")) -> DataFrame:
+    """(keys, b, sr, si): sum of w x over antennas (no conjugate) by keys and beam. Weights are broadcast if they are counted to be few; a full cube is shuffled."""
     few = weights.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS
-    joined = samples.join(F.broadcast(weights) if few else weights, list(on))
-    return joined.groupBy(*keys).agg(F.sum(wr * re - wi * im).alias("sr"), F.sum(wr * im + wi * re).alias("si"))
+    lanes = min(LANES, 1 + (weights.agg(F.max("b")).first()[0] or 0))
+    wide = side_by_side(weights, lanes, on)
+    joined, re, im = samples.join(F.broadcast(wide) if few else wide, list(on)), F.col("re"), F.col("im")
+    sums = []
+    for k in range(lanes):
+        wr, wi = F.col(f"wr{k}"), F.col(f"wi{k}")
+        sums += [F.sum(wr * re - wi * im).alias(f"sr{k}"), F.sum(wr * im + wi * re).alias(f"si{k}")]
+    summed = joined.groupBy(*keys, "_tile").agg(*sums, F.bit_or("_held").alias("_held"))
+    beams = F.array(*[F.struct(F.lit(k).alias("lane"), F.lit(1 << k).alias("bit"), F.col(f"sr{k}").alias("sr"), F.col(f"si{k}").alias("si")) for k in range(lanes)])
+    rows = summed.select(*keys, "_tile", "_held", F.explode(beams).alias("x")).where(F.col("_held").bitwiseAND(F.col("x.bit")) != 0)
+    return rows.select(*keys, (F.col("_tile") * lanes + F.col("x.lane")).cast(weights.schema["b"].dataType).alias("b"), "x.sr", "x.si")
 
 
-def beamform(samples: DataFrame, weights: DataFrame) -> DataFrame:
-    """(t, f, b, power) of decoded samples."""
-    sums = complex_sums(samples, weights)
-    return sums.select("t", "f", "b", S.power(F.col("sr"), F.col("si")).alias("power"))
+def beamform(samples: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("t", "f")) -> DataFrame:
+    """(keys, b, power) of decoded samples."""
+    sums = complex_sums(samples, weights, keys)
+    return sums.select(*keys, "b", S.power(F.col("sr"), F.col("si")).alias("power"))
 
 
 def beamform_packed(voltage: DataFrame, weights: DataFrame) -> DataFrame:
-    return beamform(decode(voltage), weights)
+    """(t, f, b, power) of packed samples, dealt by spectrum."""
+    return beamform(decode(dealt(voltage, ("t",), LANES)), weights)
+
+
+def beamform_windows(voltage: DataFrame, weights: DataFrame, spectra: int) -> DataFrame:
+    """(w, t, f, b, power) of packed samples, dealt by window: sums over windows, and over tiles of one, are made where the power is."""
+    placed = by_window(voltage, spectra, LANES)
+    return beamform(placed.select("w", "t", "f", "a", S.unpack_re(F.col("byte")).alias("re"), S.unpack_im(F.col("byte")).alias("im")), weights, ("w", "t", "f"))
 
 
 def apply_loss_mask(frames: DataFrame, mask: DataFrame) -> DataFrame:
@@ -71,11 +113,12 @@ def apply_loss_mask(frames: DataFrame, mask: DataFrame) -> DataFrame:
 def integrate(power: DataFrame, spectra: int, keys: tuple[str, ...] = ("f", "b"), value: str = "power") -> DataFrame:
     """Sum over windows of `spectra` samples; a partial last window is kept, and `spectra_summed` says how full each is.
 
-    A place has one row at most, so spectra are counted by rows, in the same shuffle as the sum.
+    A place has one row at most, so spectra are counted by rows, in the same shuffle as the sum. Windows `w` that the rows were
+    dealt by (`beamform_windows`) are taken as they are.
     """
     if spectra <= 0:
         raise ValueError("integration count must be positive")
-    window = F.floor(F.col("t") / spectra).cast("long").alias("w")
+    window = "w" if "w" in power.columns else F.floor(F.col("t") / spectra).cast("long").alias("w")
     return power.groupBy(window, *keys).agg(F.sum(value).alias(value), F.count(F.lit(1)).alias("spectra_summed"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beamquarry.operators.percentiles import BUFFERED, percentiles
@@ -94,8 +94,7 @@ def peak_beam(power: DataFrame) -> DataFrame:
 def top_beams(power: DataFrame, k: int = 8) -> DataFrame:
     """The k strongest beams, relative to the first."""
     best = power.groupBy("b").agg(F.sum("power").alias("total")).orderBy(F.desc("total"), F.asc("b")).limit(k)
-    first = best.agg(F.max("total").alias("_first"))
-    return best.crossJoin(F.broadcast(first)).select("b", "total", F.try_divide("total", "_first").alias("relative"))
+    return best.select("b", "total", F.try_divide("total", F.max("total").over(Window.partitionBy(F.lit(0)))).alias("relative"))  # k rows, and power is made once
 
 
 def marginals(power: DataFrame) -> DataFrame:
@@ -192,8 +191,6 @@ def log_slope(points: DataFrame, x: str, y: str) -> DataFrame:
 
 def falls_monotonically(points: DataFrame, order: str, value: str, first: int = 4, slack: float = 0.05) -> DataFrame:
     """Whether the first points, relative to the first of them, never rise by more than the slack."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(F.lit(0)).orderBy(order)  # a handful of points
     norm = F.col(value) / F.greatest(F.first(value).over(w), F.lit(1e-6))
     rows = points.withColumn("_n", norm).withColumn("_i", F.row_number().over(w)).withColumn("_d", F.col("_n") - F.lag("_n").over(w))

@@ -86,11 +86,15 @@ def steered(spark, beams=4):
 
 
 def integer_power(spark, sf_dir):
-    return beamform.beamform(V.samples(spark, sf_dir), V.integer_weights(spark, 8))
+    return beamform.beamform_packed(V.voltage(spark, sf_dir), V.integer_weights(spark, 8))
+
+
+def window_power(spark, sf_dir):
+    return beamform.beamform_windows(V.voltage(spark, sf_dir), V.integer_weights(spark, 8), SPECTRA)
 
 
 def integrated(spark, sf_dir):
-    sums = beamform.integrate(integer_power(spark, sf_dir), SPECTRA)
+    sums = beamform.integrate(window_power(spark, sf_dir), SPECTRA)
     return sums.withColumn("power", F.col("power").cast("double"))
 
 
@@ -105,7 +109,7 @@ def beamform_relational(spark, sf_dir):
     "SELECT t // 320 AS w, f, b, sum(power) AS power, count(*) AS spectra_summed FROM intensity GROUP BY 1, 2, 3",
 )
 def beamform_integrated(spark, sf_dir):
-    return beamform.integrate(beamform.beamform(V.samples(spark, sf_dir), steered(spark)), SPECTRA)
+    return beamform.integrate(beamform.beamform_windows(V.voltage(spark, sf_dir), steered(spark), SPECTRA), SPECTRA)
 
 
 def frame_cube(spark):
@@ -206,10 +210,10 @@ def positions():
     "SELECT t // 320 AS w, f, b, sum(power) AS two_stage, sum(power) AS one_stage FROM integer_power GROUP BY 1, 2, 3",
 )
 def two_stage_integration(spark, sf_dir):
-    """Power is made once and grouped by both lengths in one shuffle; only the short sums are summed again."""
-    power = integer_power(spark, sf_dir).select(F.floor(F.col("t") / SPECTRA).cast("long").alias("w"), F.floor(F.col("t") / 32).cast("long").alias("short"), "f", "b", "power")
-    sums = power.groupingSets([["w", "short", "f", "b"], ["w", "f", "b"]], "w", "short", "f", "b").agg(F.sum("power").alias("power"), F.grouping("short").alias("whole"))
-    one, two = (F.sum(F.when(F.col("whole") == k, F.col("power"))).alias(name) for k, name in ((1, "one_stage"), (0, "two_stage")))
+    """Power is made once, where its window's samples are, and grouped by both lengths there; only the short sums are summed again."""
+    short = F.explode(F.array(F.floor(F.col("t") / 32).cast("long"), F.lit(None))).alias("short")  # null: the whole window
+    sums = window_power(spark, sf_dir).select("w", "f", "b", "power", short).groupBy("w", "short", "f", "b").agg(F.sum("power").alias("power"))
+    one, two = (F.sum(F.when(whole, F.col("power"))).alias(name) for whole, name in ((F.col("short").isNull(), "one_stage"), (F.col("short").isNotNull(), "two_stage")))
     return sums.groupBy("w", "f", "b").agg(two, one)
 
 
