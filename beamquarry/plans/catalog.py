@@ -134,7 +134,7 @@ def beamform_frames_integrated(spark, sf_dir):
 )
 def loss_mask_filtered(spark, sf_dir):
     """Frames that were lost leave before their samples are multiplied."""
-    samples = V.samples(spark, sf_dir)
+    samples = beamform.decode(beamform.dealt(V.voltage(spark, sf_dir), ("t", "f"), beamform.LANES))
     mask = samples.select("t", "f").distinct().withColumn("valid", (F.col("t") * 7 + F.col("f") * 3) % 10 != 0)
     return beamform.beamform(beamform.apply_loss_mask(samples, mask), V.integer_weights(spark, 8))
 
