@@ -14,11 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beamquarry.model import LIGHT_M_S, SearchConfig
-from beamquarry.operators.beamform import payload_matrix, unpack_frames  # noqa: F401
+from beamquarry.operators.beamform import by_window, payload_matrix, unpack_frames  # noqa: F401
 from beamquarry.session import kept
 
 COVARIANCE = "shard_id int, w long, f int, snapshots long, r binary"
@@ -30,15 +30,18 @@ ESTIMATE = "shard_id int, w long, l double, m double, n double, power double"
 
 
 def covariance_relational(samples: DataFrame, spectra: int) -> DataFrame:
-    """(w, f, r, c, re, im): mean of x_r conj(x_c) over a window's spectra, by a self-join on the spectrum."""
-    one = samples.select("t", "f", F.col("a").alias("r"), F.col("re").alias("rr"), F.col("im").alias("ri"))
-    two = samples.select("t", "f", F.col("a").alias("c"), F.col("re").alias("cr"), F.col("im").alias("ci"))
-    products = one.join(two, ["t", "f"]).withColumn("w", F.floor(F.col("t") / spectra).cast("long"))
-    count = samples.select(F.floor(F.col("t") / spectra).cast("long").alias("w"), "f", "t").distinct().groupBy("w", "f").agg(F.count(F.lit(1)).alias("k"))
-    sums = products.groupBy("w", "f", "r", "c").agg(
-        F.sum(F.col("rr") * F.col("cr") + F.col("ri") * F.col("ci")).alias("re"), F.sum(F.col("ri") * F.col("cr") - F.col("rr") * F.col("ci")).alias("im")
-    )
-    return sums.join(count, ["w", "f"]).select("w", "f", "r", "c", (F.col("re") / F.col("k")).alias("re"), (F.col("im") / F.col("k")).alias("im"))
+    """(w, f, r, c, re, im): mean of x_r conj(x_c) over a window's spectra, by all pairs of a spectrum's samples.
+
+    Samples are dealt by window, in the one shuffle; pairs are made and summed where their window is.
+    """
+    n_ant = 1 + (samples.agg(F.max("a")).first()[0] or 0)
+    placed = by_window(samples.where("t IS NOT NULL AND f IS NOT NULL"), spectra, n_ant)
+    held = placed.groupBy("w", "t", "f").agg(F.collect_list(F.struct("a", "re", "im")).alias("_s"))
+    counted = held.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("w", "f")))  # a window's spectra at most
+    pairs = counted.select("w", "f", "k", F.explode("_s").alias("x"), "_s").select("w", "f", "k", "x", F.explode("_s").alias("y"))
+    re = F.sum(F.col("x.re") * F.col("y.re") + F.col("x.im") * F.col("y.im"))
+    im = F.sum(F.col("x.im") * F.col("y.re") - F.col("x.re") * F.col("y.im"))
+    return pairs.groupBy("w", "f", F.col("x.a").alias("r"), F.col("y.a").alias("c")).agg((re / F.first("k")).alias("re"), (im / F.first("k")).alias("im"))
 
 
 def rls_fold(values: DataFrame, key: str, order: str, value: str, forgetting: float, block: int = 4096) -> DataFrame:
