@@ -11,8 +11,8 @@ class from the start. For a threshold t:
   n, so most sets that merely share passages with others leave the lists of these. Small sets that can
   have a large partner are in the lists too.
 * Lists that stay heavy (more than HEAVY members) are not met as they are. Partners that share one are both among its members,
-  so the members' whole sets are read, and each set is listed again under its rarest elements only, by their counts in
-  these sets: a set of n needs (1 - t) n + 1 of them, and of two partners the smaller one has a common element among its first
+  so the members' whole sets are read, and each set is listed again under its rarest elements only, by counts in
+  these sets (a table of fixed size, where elements that share a counter count together; any order that all sets share will do): a set of n needs (1 - t) n + 1 of them, and of two partners the smaller one has a common element among its first
   (1 - t) / (1 + t) n + 1, where it is marked `leads`. A passage that many sets share is not among the rarest
   elements of any set that has enough of its own, so crowds that link with nothing leave their lists or lead none.
 * The boundary is the size up to which enumerating subsets costs less than the lists, by the lists' measured lengths.
@@ -50,6 +50,8 @@ SKETCH_LONGS = 8
 BLOCK = 2048
 #: Lists with more members than that are replaced by lists of their members' rarest elements.
 HEAVY = 128
+#: Counters by which elements of such members are ranked, 8 MB.
+COUNTER_BITS = 20
 SIGNED = "doc_id long, n int, node long, sketch array<long>, prefix array<long>, small array<long>"
 
 
@@ -200,34 +202,57 @@ def members(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFram
     at_heavy = bounded_broadcast(heavy, heavy)
     light = found.join(at_heavy, "key", "left_anti").withColumn("leads", F.lit(True))
     hot = stored(found.join(at_heavy, "key", "left_semi").select("node").distinct(), "join-hot")
-    rare, depths = rarest(docs, nodes, hot, k, percent)
+    rare, held = rarest(docs, nodes, hot, k, percent, COUNTER_BITS)
     out = stored(light.unionByName(rare), "join-members")
-    forget(lengths, lists, found, heavy, hot, *depths)
+    forget(lengths, lists, found, heavy, hot, held)
     return out
 
 
-def rarest(docs: DataFrame, nodes: DataFrame, hot: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(key, node, many, leads) of the nodes `hot` under their rarest elements, by counts in these sets; and the stored tables it reads.
+def counter(elements: np.ndarray, bits: int) -> np.ndarray:
+    return (elements >> np.uint64(64 - bits)).astype(np.int64)
 
-    Elements that one set has alone come first in its order; they need no list.
+
+def tallied(held: DataFrame, bits: int) -> np.ndarray:
+    """How many elements of the sets fall on each counter. Tasks add up what they have first; the driver gets a row a counter at most."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for batch in sliced(batches):
+            at, many = np.unique(counter(np.frombuffer(b"".join(batch["elements"].to_pylist()), np.uint64), bits), return_counts=True)
+            total[at] += many
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "many"])
+
+    sums = held.mapInArrow(tally, "at long, many long").groupBy("at").agg(F.sum("many").alias("many")).toArrow()
+    table = np.zeros(1 << bits, np.int64)
+    table[sums["at"].to_numpy()] = sums["many"].to_numpy()
+    return table
+
+
+def rarest(docs: DataFrame, nodes: DataFrame, hot: DataFrame, k: int, percent: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(key, node, many, leads) of the nodes `hot` under their rarest elements, by counters over these sets; and the stored table it reads.
+
+    An element is in no more sets than its counter says, so those with a counter of 1 are one set's alone. They come first in its
+    order and need no list.
     """
     held = full_sets(docs, nodes, hot, k)
+    counters = docs.sparkSession.sparkContext.broadcast(tallied(held, bits))
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sets = [np.frombuffer(x, np.uint64) for x in batch["elements"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["node"], lists_of(sets)], ["node", "keys"])
-
-    entries = held.mapInArrow(opened, "node long, keys array<long>").select(F.explode("keys").alias("key"), "node", F.size("keys").alias("n"))
-    depths = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "join-depths")
-    total = held.agg(F.sum(F.octet_length("elements") / 8)).first()[0] or 0
-    by_count = F.sort_array(F.collect_list(F.struct("many", "key")))
-    of_node = lookup(entries, depths, "key", "many", int(total)).groupBy("node", "n").agg(by_count.alias("all"))
-    n, alone = F.col("n"), F.col("n") - F.size("all")
-    enters = n - F.floor((percent * n + 99) / 100) + 1 - alone  # least(n)
-    leads = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1 - alone  # equal_share(n)
-    ranked = of_node.select("node", leads.alias("_leads"), F.posexplode(F.slice("all", F.lit(1), F.greatest(F.lit(0), enters.cast("int")))).alias("_at", "x"))
-    return ranked.select("x.key", "node", "x.many", (F.col("_at") < F.col("_leads")).alias("leads")), [held, depths]
+            rows = []
+            for x in batch["elements"].to_pylist():
+                elements = np.frombuffer(x, np.uint64)
+                many, n = counters.value[counter(elements, bits)], len(elements)
+                order = np.lexsort((elements, many))[int((many == 1).sum()) : n - least(n, percent) + 1]
+                leading = n - equal_share(n, percent) + 1 - int((many == 1).sum())
+                rows.append((elements[order].view(np.int64), many[order], np.arange(len(order)) < leading))
+            if rows:
+                key, many, leads = (pa.array(np.concatenate(column)) for column in zip(*rows, strict=True))
+                node = np.repeat(batch["node"].to_numpy(), [len(r[0]) for r in rows])
+                yield pa.RecordBatch.from_arrays([key, pa.array(node), many, leads], ["key", "node", "many", "leads"])
+
+    return held.mapInArrow(ranked, "key long, node long, many long, leads boolean"), held
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, named: DataFrame, k: int) -> DataFrame:

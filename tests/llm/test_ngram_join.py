@@ -160,6 +160,32 @@ def test_rarest_elements_keep_every_partner(spark, monkeypatch, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.join(df, 2, percent).collect()} == brute(rows, 2, percent)
 
 
+@pytest.mark.parametrize("bits", [1, 6, 20])
+def test_any_number_of_counters_keeps_every_partner(spark, monkeypatch, bits):
+    """Elements that share counters are ranked together, and no link is lost."""
+    monkeypatch.setattr(nj, "HEAVY", 1)
+    monkeypatch.setattr(nj, "COUNTER_BITS", bits)
+    rng = random.Random(bits)
+    texts = [t for size in (5, 14, 40) for _ in range(3) for t in family(rng, size, 8, max(1, size // 8))] + list(crowd(rng, 20, 50, 9))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.join(df, 1, 80).collect()} == brute(rows, 1, 80)
+
+
+def test_sets_of_heavy_lists_are_not_opened_whole(spark):
+    """Of 200 near copies of 300 words each is listed under the elements that it needs, a fifth; nothing makes a row of each element."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*words[:-20], *(f"x{rng.randrange(10**9)}" for _ in range(20))])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signs = nj.stored(nj.signed(df, 1, 80), "test-signs")
+    rare, held = nj.rarest(df, signs, signs.select("node"), 1, 80, 20)
+    found = rare.groupBy("node").count().collect()
+    assert len(found) == 200 and max(r["count"] for r in found) <= 61 - 18
+    assert "Generate" not in rare._jdf.queryExecution().executedPlan().toString()
+    assert held.count() == 200
+
+
 def test_a_pair_shares_a_list_that_its_smaller_set_leads():
     rng, met = random.Random(3), 0
     for percent in (60, 80, 90):
