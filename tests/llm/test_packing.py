@@ -104,3 +104,18 @@ def test_another_vocabulary_is_used_whole():
     got = [np.frombuffer(x, words.kind).tolist() for x in words.of(texts, 1)]
     assert got == [[*direct.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
     assert not words.fast and packing.PieceIds(PATH).fast
+
+
+def test_fast_way_takes_exactly_the_common_texts():
+    """ASCII texts are told without the pattern, and pieces are those of the vocabulary's own rule in its own order."""
+    import random
+    import re
+
+    from beamquarry.llm import packing
+
+    rule = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \t\n\r\f\va-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice(["'", "'s", "'re", "'l", "a", "Z", "7", " ", "\n", "\x1c", "<", "|", "<|", "!", "\u00e9", "\u00d7", "\x00", "\x7f"]) for _ in range(rng.randint(0, 9)))
+        assert packing.common(text) == (not packing.UNCOMMON.search(text))
+        assert packing.PIECE.findall(text.lower()) == rule.findall(text.lower())
